@@ -57,6 +57,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+def stretches(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and end of every run of equal neighbours (in all keys)."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return first, np.r_[first[1:], n]
+
+
 def batches(texts: list[bytes], limit: int = 1 << 21):
     """(first, last) index ranges of texts whose bytes together stay near limit; a longer text stands alone."""
     first, held = 0, 0
@@ -99,12 +112,11 @@ def pack(chunk: int, h: np.ndarray, marked: np.ndarray | None, bits: int, exact:
         key = (short(key, bits) << U64(1)) | (key & U64(1))
     key = np.sort(key)
     value = key >> U64(1)
-    first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(key) else np.zeros(0, np.int64)
-    last = np.r_[first[1:], len(key)].astype(np.int64) - 1
+    first, last = stretches(value)
+    last = last - 1
     many, mark, value = (last > first), (key[last] & U64(1)).astype(bool), value[first]
     part = (value >> U64(63 - bits) if exact else value >> U64(32)).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-    ends = np.r_[cut[1:], len(part)].astype(np.int64)
+    cut, ends = stretches(part)
     kind = np.uint64 if exact else np.uint32
     rows = {"part": [], "chunk": [], "keys": [], "many": [], "marked": []}
     for a, b in zip(cut, ends, strict=True):
@@ -140,8 +152,7 @@ def repeats(packed: DataFrame, exact: bool, need_mark: bool) -> DataFrame:
             key |= U64(part << 32)
         order = np.argsort(owner, kind="stable")
         key, owner = key[order], owner[order]
-        cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-        ends = np.r_[cut[1:], len(owner)].astype(np.int64)
+        cut, ends = stretches(owner)
         return pa.table({"chunk": pa.array([int(chunks[owner[a]]) for a in cut], pa.int32()), "keys": pa.array([key[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
     return packed.groupBy("part").applyInArrow(count, FOUND)
