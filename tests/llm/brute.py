@@ -99,3 +99,18 @@ def near_duplicates(docs):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def secrets(docs):
+    out = {}
+    for i, t in docs:
+        t, spans = t or "", []
+        spans += [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        n = Counter(s[2] for s in spans)
+        out[i] = (n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)).encode()))
+    return out
