@@ -43,7 +43,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
             marks.append(w.place[: len(h)][whole] % block == 0)
         return pack(key[0].as_py(), np.concatenate(hashes), np.concatenate(marks), bits, exact=False)
 
-    hits = repeats(rows.select("chunk", "text").groupBy("chunk").applyInArrow(anchors, PACKED), exact=False, need_mark=True)
+    hits = repeats(rows.groupBy("chunk").applyInArrow(anchors, PACKED), exact=False, need_mark=True)
 
     def candidates(w, keys):
         """Windows that hold a hit at one of the places where an indexed block may lie."""
@@ -59,7 +59,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
             hashes.append(long[at])
         return pack(key[0].as_py(), np.concatenate(hashes), None, bits, exact=True)
 
-    again = repeats(rows.select("chunk", "text").groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extended, PACKED), exact=True, need_mark=False)
+    again = repeats(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extended, PACKED), exact=True, need_mark=False)
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
     if carry:
         out.add("rest", rows.schema["rest"].dataType)
