@@ -114,3 +114,19 @@ def secrets(docs):
         n = Counter(s[2] for s in spans)
         out[i] = (n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)).encode()))
     return out
+
+
+def line_rules(docs):
+    out = {}
+    for i, t in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        grams = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        again = {j for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        out[i] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(again), len(w) < 20 or 100 * len(again) > 30 * len(w))
+    return out
