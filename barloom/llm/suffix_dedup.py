@@ -2,12 +2,12 @@
 
 1. Anchors. Every window of `window` bytes has a lightest k-byte gram (by hash). Equal windows have equal lightest grams,
    so windows whose gram stands nowhere else are settled at once. Runs of windows with one gram form a segment.
-2. Segments whose gram repeats are dealt by gram: equal windows meet in one bucket. Equal segments are one string with a
-   count.
-3. In a bucket, shards of segments get their transforms; all shards are merged by interleave refinement: each round reads
-   the next preceding character in merged order and re-deals the interleave stably, so that after h rounds it is right for
-   h characters; a block that splits in round h ends a common prefix of h - 1. After `window` rounds the unsplit blocks
-   are the repeated intervals. The suffixes are never sorted together.
+2. Segments whose gram repeats are dealt by gram: equal windows meet in one bucket. Equal segments (by 64-bit digest) are
+   one string with a count, and one that is alone with its gram and stands twice is settled without its bytes.
+3. In a bucket, shards of segments get their transforms, over letters of q bytes; all shards are merged by interleave
+   refinement: each round reads the letter before each suffix in merged order and re-deals the interleave stably, so that
+   after h rounds it is right for h letters; a block that splits in round h ends a common prefix of h - 1 letters. After
+   `window` bytes the unsplit blocks are the repeated intervals. The suffixes are never sorted together.
 4. A gram with over `group_limit` different segments (the edge of a very common passage) would outgrow one task: its
    windows are counted over the corpus by 63-bit hash instead, packed by hash range.
 
@@ -71,68 +71,73 @@ def lightest(texts: list[bytes], window: int):
     return grams, least, np.cumsum(valid)[: len(least)] > 0, offsets
 
 
-def shard_transform(segments: list[bytes], letter: np.ndarray):
-    """Suffix array (text, offset), transform and LF mapping of one shard; end marks sort first, in order of the segments."""
-    m = len(segments)
-    ends = np.cumsum([len(s) + 1 for s in segments]) - 1
-    raw = np.frombuffer(b"\0".join([*segments, b""]), np.uint8)
-    size = len(raw)
-    rank = raw.astype(np.int64) + m
-    rank[ends] = np.arange(m)
-    width = 1
+def letter_size(depth: int) -> int:
+    """The largest divisor of depth up to GRAM: the bytes of a letter."""
+    return max(q for q in range(1, GRAM + 1) if depth % q == 0)
+
+
+def shard_order(rank: np.ndarray, step: int) -> np.ndarray:
+    """Positions of one shard in suffix order. rank orders positions by their first letter; end marks are unique in it."""
+    size, index = len(rank), np.arange(len(rank))
+    _, rank = np.unique(rank, return_inverse=True)
     while True:
-        shifted = np.zeros(size, np.int64)
-        shifted[: size - width] = rank[width:] + 1 if width < size else 0
-        pair = rank * (size + m + 258) + shifted
-        order = np.argsort(pair, kind="stable")
-        fresh = np.r_[False, pair[order[1:]] != pair[order[:-1]]]
+        after = np.zeros(size, np.int64)
+        after[: max(0, size - step)] = rank[step:]
+        bits = int(size).bit_length()
+        if 3 * bits <= 63:
+            key = np.sort((rank << (2 * bits)) | (after << bits) | index)
+            order, key = key & ((1 << bits) - 1), key >> bits
+        else:
+            order = np.lexsort((after, rank))
+            key = rank[order] * (size + 1) + after[order]
+        new = np.zeros(size, np.int64)
+        new[1:] = np.cumsum(key[1:] != key[:-1])
         rank = np.empty(size, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if rank[order[-1]] == size - 1 or width >= size:
-            break
-        width *= 2
-    begins = np.r_[0, ends[:-1] + 1]
-    text = np.searchsorted(ends, order)
-    offset = order - begins[text]
-    code = letter[raw[order - 1]]
-    code[offset == 0] = 0
-    follow = np.empty(size, np.int64)
-    follow[np.argsort(code, kind="stable")] = np.arange(size)
-    return text, offset, code, follow
+        rank[order] = new
+        if new[-1] == size - 1 or step > size:
+            return order
+        step *= 2
 
 
 def repeated_starts(segments: list[bytes], counts: np.ndarray, depth: int, shard_bytes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of every string of depth bytes that stands twice or more, by count or by place."""
-    used = np.unique(np.frombuffer(b"".join(segments), np.uint8))
-    letter = np.zeros(256, np.uint8 if len(used) < 255 else np.uint16)
-    letter[used] = np.arange(1, len(used) + 1)
-    text, offset, code, follow, marks, base, seen = [], [], [], [], [], 0, 0
+    """(segment, offset) of every string of depth bytes that stands twice or more, by count or by place.
+
+    A letter is a block of q bytes, by hash; the suffix at an offset reads letters at that offset, q later, and so on, so
+    that a segment is q interwoven strings. The last q places of a segment are end marks, each different from all else.
+    Each shard's suffixes are ordered and its transform, the letter before each, is taken; then rounds of refinement
+    interleave all shards, one letter a round, until depth is reached."""
+    q = letter_size(depth)
+    raw = np.frombuffer(b"\0".join([*segments, b""]), np.uint8)
+    lengths = np.array([len(s) for s in segments])
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    size = len(raw)
+    hashes = gram_hashes(raw, q)
+    _, letter = np.unique(hashes, return_inverse=True)
+    letter = np.r_[letter, np.zeros(size - len(letter), np.int64)]
+    text = np.repeat(np.arange(len(segments)), lengths + 1)
+    offset = np.arange(size) - begin[text]
+    mark = offset > lengths[text] - q
+    rank = np.where(mark, np.cumsum(mark), letter + int(mark.sum()) + 1)
+    merged = []
     for a, b in batches(segments, shard_bytes):
-        t, o, c, f = shard_transform(segments[a:b], letter)
-        text.append(t + seen)
-        offset.append(o)
-        code.append(c)
-        follow.append(f + base)
-        marks.append(base + np.arange(b - a))
-        base, seen = base + len(t), seen + b - a
-    text, offset, code, follow, marks = map(np.concatenate, (text, offset, code, follow, marks))
-    kind = np.int32 if base < 2**31 else np.int64
-    follow, n_marks = follow.astype(kind), len(marks)
-    merged, block = np.arange(base, dtype=kind), np.zeros(base, kind)
-    fixed = np.arange(n_marks, dtype=kind)
-    split = np.empty(base - n_marks, bool)
-    for _ in range(depth):
-        letters = code[merged]
-        order = np.argsort(letters, kind="stable")[n_marks:]
-        letters, former = letters[order], block[order]
-        split[:1] = True
-        np.not_equal(letters[1:], letters[:-1], out=split[1:])
-        split[1:] |= former[1:] != former[:-1]
-        merged = np.concatenate([marks.astype(kind), follow[merged[order]]])
-        block = np.concatenate([fixed, n_marks - 1 + np.cumsum(split, dtype=kind)])
+        lo, hi = int(begin[a]), int(begin[b - 1] + lengths[b - 1] + 1)
+        merged.append(lo + shard_order(rank[lo:hi], q))
+    merged, marks = np.concatenate(merged), np.flatnonzero(mark)
+    before = np.r_[np.zeros(q, np.int64), letter[: size - q]][:size] << 32
+    first = offset < q
+    block = np.zeros(size, np.int64)
+    for _ in range(depth // q):
+        held = ~first[merged]
+        at, former = merged[held], block[held]
+        key = np.sort(before[at] | np.arange(len(at)))
+        order, key = key & 0xFFFFFFFF, key >> 32
+        former = former[order]
+        split = np.ones(len(at), bool)
+        split[1:] = (key[1:] != key[:-1]) | (former[1:] != former[:-1])
+        merged = np.concatenate([marks, at[order] - q])
+        block = np.concatenate([np.arange(len(marks)), len(marks) - 1 + np.cumsum(split)])
     sizes = np.bincount(block)
     text, offset = text[merged], offset[merged]
-    lengths = np.array([len(s) for s in segments])
     again = ((sizes[block] > 1) | (counts[text] > 1)) & (offset + depth <= lengths[text])
     return text[again], offset[again]
 
@@ -144,7 +149,8 @@ def runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[cut].tolist(), (starts[last] + window).tolist(), strict=True))
 
 
-SEGMENTS = "anchor long, segment long, doc_id long, text_hash long, chunk int, start int, bytes binary"
+SEGMENTS = "anchor long, segment long, doc_id long, text_hash long, chunk int, start int, size int"
+STRINGS = "anchor long, segment long, n long, bytes binary"
 RUNS = "segment long, first int, last int"
 
 
@@ -189,41 +195,53 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
                 out["text_hash"].append(hashes[i])
                 out["chunk"].append(key[0].as_py())
                 out["start"].append(begin)
-                out["bytes"].append(piece)
-        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+                out["size"].append(len(piece))
+        kinds = {"long": pa.int64(), "int": pa.int32()}
         return pa.table(out, pa.schema([(k.split()[0], kinds[k.split()[1]]) for k in SEGMENTS.split(", ")]))
 
     found = durable(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(segments, SEGMENTS))
-    strings = found.groupBy("anchor", "segment").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
-    crowded = found.select("anchor", "segment").distinct().groupBy("anchor").count().where(F.col("count") > group_limit).select("anchor")
+    groups = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "doc_id", "text_hash", "start", "size")).alias("x"))
+    crowds = groups.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    known = durable(groups.join(crowds, "anchor").select("anchor", "segment", "n", "kinds", "x.*"))
+    alone = known.where("kinds = 1 and n > 1").select("segment", F.lit(0).alias("first"), F.col("size").alias("last"))
+
+    def strings(wanted: DataFrame) -> DataFrame:
+        """The bytes of segments, each from one document that holds it."""
+
+        def read(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            need: dict[tuple, list] = {}
+            for d, h, *x in zip(*[right.column(c).to_pylist() for c in ("doc_id", "text_hash", "start", "size", "anchor", "segment", "n")], strict=True):
+                need.setdefault((d, h), []).append(x)
+            out = [[], [], [], []]
+            for d, h, t in zip(left.column("doc_id").to_pylist(), left.column("text_hash").to_pylist(), left.column("text"), strict=True):
+                if (d, h) in need:
+                    t = t.as_py().encode()
+                    for start, size, *x in need.pop((d, h)):
+                        for column, value in zip(out, (*x, t[start : start + size]), strict=True):
+                            column.append(value)
+            return pa.table(out, pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
+
+        return rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(read, STRINGS)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        anchor, ids, pieces = table.column("anchor").to_numpy(), table.column("segment").to_numpy(), table.column("bytes").to_pylist()
+        ids, pieces = table.column("segment").to_numpy(), table.column("bytes").to_pylist()
         counts = table.column("n").to_numpy()
-        _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
-        alone = members[group] == 1
         out = [[], [], []]
-
-        def add(i: int, starts: np.ndarray) -> None:
-            for first, last in runs(starts, window):
-                for column, value in zip(out, (int(ids[i]), first, last), strict=True):
+        text, offset = repeated_starts(pieces, counts, window)
+        order = np.lexsort((offset, text))
+        text, offset = text[order], offset[order]
+        for x, y in zip(*stretches(text), strict=True):
+            for first, last in runs(offset[x:y], window):
+                for column, value in zip(out, (int(ids[text[x]]), first, last), strict=True):
                     column.append(value)
-
-        for i in np.flatnonzero(alone & (counts > 1)):
-            add(i, np.arange(len(pieces[i]) - window + 1))
-        # A single string with a count of one can only repeat inside itself, which takes two windows at least.
-        rest = np.array([i for i in np.flatnonzero(~alone | (counts == 1)) if not alone[i] or len(pieces[i]) > window], np.int64)
-        if len(rest):
-            text, offset = repeated_starts([pieces[i] for i in rest], counts[rest], window)
-            order = np.lexsort((offset, text))
-            text, offset = text[order], offset[order]
-            for x, y in zip(*stretches(text), strict=True):
-                add(rest[text[x]], offset[x:y])
         return pa.table(out, pa.schema([("segment", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
 
-    ranges = strings.join(crowded, "anchor", "left_anti").withColumn("bucket", F.pmod(F.col("anchor"), F.lit(2 * n))).groupBy("bucket").applyInArrow(merge, RUNS)
+    # A string that is alone with its gram and stands once can only repeat inside itself, which takes two windows.
+    mixed = known.where(f"kinds <= {group_limit} and (kinds > 1 or (n = 1 and size > {window}))")
+    ranges = strings(mixed).withColumn("bucket", F.pmod(F.col("anchor"), F.lit(2 * n))).groupBy("bucket").applyInArrow(merge, RUNS).unionByName(alone)
+    crowded = known.where(f"kinds > {group_limit}")
     if crowded.take(1):
-        shared = strings.join(crowded, "anchor", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("segment"), F.lit(n)).cast("int"))
+        shared = strings(crowded).withColumn("bucket", F.pmod(F.xxhash64("segment"), F.lit(n)).cast("int"))
 
         def hashed(piece: bytes) -> np.ndarray:
             return gram_hashes(np.frombuffer(piece, np.uint8), window)
