@@ -8,7 +8,8 @@ compared. The chance that a pair at 0.75 shares none of 32 bands of 4 is below 6
 Round A tests every class against its buckets' smallest class, a number of tests linear in the buckets' sizes, and joins
 what is linked. Round B tests, in buckets that still hold classes of two components, the pairs across components; large
 buckets are split into blocks, and each pair of blocks is a task. A bucket of any size that is one component after
-round A, as groups of copies are, costs nothing more. Every link is confirmed on full sets.
+round A, as groups of copies are, costs nothing more; a block tests no pair that it has joined already. Every link is
+confirmed on full sets.
 
 Nulls, empty texts and texts without words have an empty set and stand alone. Texts shorter than the shingle are one
 shingle. Repeated rows are linked unless their sets are empty. Rows that share a doc_id share a component.
@@ -117,8 +118,8 @@ def flips(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int = 128, rows: int = 4, slack: float = 0.3, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class (set digest), component_id, kept, n_links (confirmed links of its class)."""
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int = 128, rows: int = 4, slack: float = 0.3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, class (set digest), component_id, kept."""
     texts = text_table(docs, id_col, text_col)
     limit = most_flips(k, percent / 100 - slack)
     signed = durable(signatures(texts, shingle, k, rows))
@@ -157,36 +158,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
     roots = components(first)
     placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    open_rows = placed.join(mixed, "band").join(sketches, "class").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "root", "leader", "mine", "sketch")
+    open_rows = placed.join(mixed, "band").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    open_rows = open_rows.join(classes.select("class", "bands", "sketch"), "class").join(own_text, "class")
+    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "root", "leader", "mine", "bands", "sketch", "text")
 
     def across(key: tuple, table: pa.Table) -> pa.Table:
         name, root, lead, mine = (table.column(c).to_numpy() for c in ("class", "root", "leader", "mine"))
-        bits = np.array(table.column("sketch").to_pylist(), np.int64)
-        plain = np.flatnonzero(name != lead)  # round A has tested the leader
-        out_a, out_b = [], []
-        two = key[1].as_py() != key[2].as_py()
-        for at, i in enumerate(plain):
-            rest = plain[at + 1 :]
+        held = shingle_sets(texts_of(table), shingle)
+        # Rows that share a doc_id can bring a text of another class; round A has tested the leader.
+        plain = [i for i in range(len(name)) if name[i] != lead[i] and class_of(held[i]) == name[i]]
+        name, root, mine, held = name[plain], root[plain].copy(), mine[plain], [held[i] for i in plain]
+        bits, bands = (np.array(table.column(c).take(pa.array(plain, pa.int64())).to_pylist(), np.int64) for c in ("sketch", "bands"))
+        here, two, out = key[0].as_py(), key[1].as_py() != key[2].as_py(), [[], []]
+        for i in range(len(name)):
+            rest = np.arange(i + 1, len(name))
             rest = rest[(root[rest] != root[i]) & ((mine[rest] != mine[i]) if two else True)]
-            if len(rest):
-                near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= limit]
-                out_a += np.minimum(name[near], name[i]).tolist()
-                out_b += np.maximum(name[near], name[i]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    second = durable(tested(durable(dealt.groupBy("band", "i", "j").applyInArrow(across, "a long, b long").distinct())))
-    links = first.unionByName(second).distinct()
+            rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= limit]
+            if len(rest):  # a pair is tested in the first band that it shares
+                rest = rest[bands[i][(bands[rest] == bands[i]).argmax(axis=1)] == here]
+            for j in rest.tolist():
+                if root[i] != root[j] and similar(held[i], held[j], percent):
+                    out[0].append(int(name[i]))
+                    out[1].append(int(name[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    second = durable(dealt.groupBy("band", "i", "j").applyInArrow(across, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if second.take(1):
-        roots = components(links)
+        roots = components(first.unionByName(second))
     labels = roots.withColumnRenamed("node", "class").join(classes.select("class", "doc_id"), "class")
     label = labels.groupBy("root").agg(F.min("doc_id").alias("label"))
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
-    final = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class").join(label, "root").select("class", "label"), "class", "left").join(degree, "class", "left").select("class", F.coalesce("label", "doc_id").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    final = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class").join(label, "root").select("class", "label"), "class", "left").select("class", F.coalesce("label", "doc_id").alias("label"))
     out = signed.select("doc_id", "n_shingles", "class").join(final, "class", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
-    return out.select("doc_id", "n_shingles", "class", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", "class", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Classes of documents at a similarity of 0.75 or more on five-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
