@@ -43,7 +43,12 @@ def welch_t(value: Column, side: Column) -> Column:
 def safe_divide(a: Column, b: Column, cap: float = 1e6) -> Column:
     """a / b; null where b is 0 or the ratio is not finite, held within +-cap."""
     x = F.try_divide(a, b)
-    return F.when(F.isnan(x), None).otherwise(F.greatest(F.lit(-cap), F.least(F.lit(cap), x)))
+    return F.when(~F.isnan(x), clip(x, -cap, cap))
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    """x held between two bounds; null stays null, which greatest and least alone would turn into a bound."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def sum_reported(*cols: Column) -> Column:

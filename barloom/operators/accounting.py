@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import safe_divide
+from barloom.functions.ranks import clip, safe_divide
 from barloom.operators.asof import latest_by
 
 
@@ -92,7 +92,7 @@ def piotroski(now: str = "", before: str = "p_") -> Column:
 def altman_z(prefix: str = "") -> Column:
     c = lambda k: F.col(prefix + k)
     z = 1.2 * safe_divide(c("assets_current") - c("liabilities_current"), c("assets")) + 1.4 * safe_divide(c("retained"), c("assets")) + 3.3 * safe_divide(c("ebit"), c("assets")) + 0.6 * safe_divide(c("market_cap"), c("liabilities")) + 1.0 * safe_divide(c("revenue"), c("assets"))
-    return F.greatest(F.lit(-20.0), F.least(F.lit(40.0), z))
+    return clip(z, -20.0, 40.0)
 
 
 def surprise(df: DataFrame, value: str = "value", least: int = 4, n: int = 8, cap: float = 10.0) -> DataFrame:
@@ -101,7 +101,7 @@ def surprise(df: DataFrame, value: str = "value", least: int = 4, n: int = 8, ca
     out = df.withColumn("change", F.col(value) - F.lag(value, 4).over(w))
     frame = w.rowsBetween(-n, -1)
     sd = F.stddev_samp("change").over(frame)
-    return out.withColumn("sue", F.when((F.count("change").over(frame) >= least) & (sd > 0), F.greatest(F.lit(-cap), F.least(F.lit(cap), F.col("change") / sd))))
+    return out.withColumn("sue", F.when((F.count("change").over(frame) >= least) & (sd > 0), clip(F.col("change") / sd, -cap, cap)))
 
 
 def main_currency(facts: DataFrame, key: str = "cik", unit: str = "uom") -> DataFrame:

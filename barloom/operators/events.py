@@ -36,10 +36,11 @@ def owner_filings(trades: DataFrame) -> DataFrame:
 
 def routine(trades: DataFrame) -> DataFrame:
     """A filing is routine if its owner filed in the same month of each of the three years before."""
-    months = trades.select("owner", F.year("filed").alias("y"), F.month("filed").alias("m")).distinct()
-    w = Window.partitionBy("owner", "m").orderBy("y").rangeBetween(-3, -1)
+    months = trades.select(F.col("owner").alias("__o"), F.year("filed").alias("__y"), F.month("filed").alias("__m")).distinct()
+    w = Window.partitionBy("__o", "__m").orderBy("__y").rangeBetween(-3, -1)
     marked = months.withColumn("routine", F.count("*").over(w) == 3)
-    return trades.join(marked, (trades["owner"] == marked["owner"]) & (F.year("filed") == F.col("y")) & (F.month("filed") == F.col("m"))).select(*[trades[c] for c in trades.columns], "routine")
+    dated = trades.withColumn("__y", F.year("filed")).withColumn("__m", F.month("filed")).withColumn("__o", F.col("owner"))
+    return dated.join(marked, ["__o", "__y", "__m"]).drop("__o", "__y", "__m")
 
 
 def trailing_window(df: DataFrame, by: str, day: str, days: int, who: str, value: str) -> DataFrame:

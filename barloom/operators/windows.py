@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranks import clip
+
 
 def rows(n_back: int, n_ahead: int = 0, by: str = "ticker", order: str = "session"):
     return Window.partitionBy(by).orderBy(order).rowsBetween(n_back, n_ahead)
@@ -171,4 +173,4 @@ def with_market_beta(df: DataFrame, n: int = 120, least: int = 40, cap: float =
     frame = rows(-(n - 1))
     var = F.var_samp("__m").over(frame)
     beta = F.covar_samp("__r", "__m").over(frame) / var
-    return out.withColumn("beta", F.when((F.count("__r").over(frame) >= least) & (var > 0), F.greatest(F.lit(-3.0), F.least(F.lit(cap), beta)))).drop("__r", "__m")
+    return out.withColumn("beta", F.when((F.count("__r").over(frame) >= least) & (var > 0), clip(beta, -3.0, cap))).drop("__r", "__m")
