@@ -16,10 +16,10 @@ def spearman_by(df: DataFrame, by: list[str], x: str, y: str, least: int = 5) ->
 
 
 def ic_summary(series: DataFrame, horizon: int, spacing: int, by: list[str] | None = None) -> DataFrame:
-    """Mean, t with as many independent dates as the horizon leaves, hit rate and ratio of an IC series."""
+    """Mean, t with as many independent dates as the horizon leaves, hit rate and ratio of an IC series. A correlation within rounding of zero is no hit."""
     n, mean, sd = F.count("ic"), F.avg("ic"), F.stddev_samp("ic")
     n_eff = F.greatest(F.lit(2.0), n / F.lit(max(1.0, horizon / spacing)))
-    return series.groupBy(*(by or [])).agg(n.alias("n_dates"), mean.alias("ic"), F.when(sd > 0, mean / (sd / F.sqrt(n_eff))).alias("t"), F.avg((F.col("ic") > 0).cast("double")).alias("hit"), F.when(sd > 0, mean / sd).alias("ir"))
+    return series.groupBy(*(by or [])).agg(n.alias("n_dates"), mean.alias("ic"), F.when(sd > 0, mean / (sd / F.sqrt(n_eff))).alias("t"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("hit"), F.when(sd > 0, mean / sd).alias("ir"))
 
 
 def quantile_spread(df: DataFrame, by: list[str], metric: str, outcome: str, q: int = 5) -> DataFrame:

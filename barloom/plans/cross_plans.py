@@ -34,7 +34,7 @@ def spearman_by_month(spark, d):
 
 @query("E7_ic_by_horizon", f"""WITH {X}, l AS (SELECT session, 'fwd5' AS h, mom, fwd5 AS y, 5 AS n FROM m UNION ALL SELECT session, 'fwd20', mom, fwd20, 20 FROM m), k AS (SELECT h, n, session, {avg_rank('mom', 'h, session')} AS a, {avg_rank('y', 'h, session')} AS b FROM l WHERE mom IS NOT NULL AND y IS NOT NULL),
 s AS (SELECT h, any_value(n) AS n, session, CASE WHEN count(*) >= 5 THEN corr(a, b) END AS ic FROM k GROUP BY h, session)
-SELECT h, count(ic) AS n_dates, round(avg(ic), 6) AS ic, round(avg(ic) / (stddev_samp(ic) / sqrt(greatest(2, count(ic) / any_value(n)))), 4) AS t, round(avg(CAST(ic > 0 AS INT)), 6) AS hit, round(avg(ic) / stddev_samp(ic), 6) AS ir FROM s GROUP BY 1""")
+SELECT h, count(ic) AS n_dates, round(avg(ic), 6) AS ic, round(avg(ic) / (stddev_samp(ic) / sqrt(greatest(2, count(ic) / any_value(n)))), 4) AS t, round(avg(CAST(ic > 1e-12 AS INT)), 6) AS hit, round(avg(ic) / stddev_samp(ic), 6) AS ir FROM s GROUP BY 1""")
 def ic_by_horizon(spark, d):
     x = scored(spark, d)
     parts = []
@@ -51,7 +51,7 @@ def quantile_spread(spark, d):
 
 
 @query("E10_ic_by_sector", f"""WITH {X}, {SECTORS}, s AS (SELECT sector, month, mom, fwd5 FROM m JOIN sectors USING (ticker) WHERE mom IS NOT NULL AND fwd5 IS NOT NULL), k AS (SELECT sector, month, {avg_rank('mom', 'sector, month')} AS a, {avg_rank('fwd5', 'sector, month')} AS b FROM s),
-i AS (SELECT sector, month, CASE WHEN count(*) >= 5 THEN corr(a, b) END AS ic FROM k GROUP BY 1, 2) SELECT sector, count(ic) AS n_dates, round(avg(ic), 6) AS ic, round(avg(CAST(ic > 0 AS INT)), 6) AS hit FROM i GROUP BY 1""")
+i AS (SELECT sector, month, CASE WHEN count(*) >= 5 THEN corr(a, b) END AS ic FROM k GROUP BY 1, 2) SELECT sector, count(ic) AS n_dates, round(avg(ic), 6) AS ic, round(avg(CAST(ic > 1e-12 AS INT)), 6) AS hit FROM i GROUP BY 1""")
 def ic_by_sector(spark, d):
     s = cs.spearman_by(scored(spark, d).join(sectors(spark, d), "ticker"), ["sector", "month"], "mom", "fwd5")
     return cs.ic_summary(s, 1, 1, ["sector"]).select("sector", "n_dates", r("ic", "ic"), r("hit", "hit"))
