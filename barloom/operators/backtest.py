@@ -56,20 +56,51 @@ def below_level(level: Column, slack: float = 0.02, n: int = 20) -> Column:
     return fold(F.col("path"), F.lit(0.0), lambda s, b: (F.when(b["c"] < level * (1 - slack), b["c"]), s), n)
 
 
-#: The exit rules by name.
-EXITS = {
-    **{f"hold_{n}": (lambda n=n: hold(n)) for n in (3, 5, 10, 20)},
-    **{f"stop{k}_hold20": (lambda k=k: stop(k)) for k in (1, 2)},
-    **{f"bracket_{a:g}x{b:g}": (lambda a=a, b=b: bracket(a, b)) for a, b in ((1, 2), (1, 1.5), (2, 3))},
-    **{f"trail_{k:g}": (lambda k=k: trail(k)) for k in (1, 1.5, 2)},
+#: The exit rules by name: what ends a trade (nothing, a stop, a bracket, a trail), its multiples of the range, and bars.
+RULES = {
+    **{f"hold_{n}": ("hold", (), n) for n in (3, 5, 10, 20)},
+    **{f"stop{k}_hold20": ("stop", (float(k),), 20) for k in (1, 2)},
+    **{f"bracket_{a:g}x{b:g}": ("bracket", (float(a), float(b)), 20) for a, b in ((1, 2), (1, 1.5), (2, 3))},
+    **{f"trail_{k:g}": ("trail", (float(k),), 20) for k in (1, 1.5, 2)},
 }
 
 
 def exits(paths: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One row a path and rule: return on the entry and bars held."""
-    rules = F.array(*[F.struct(F.lit(k).alias("rule"), EXITS[k]().alias("x")) for k in names or EXITS])
-    each = paths.where(F.size("path") > 0).select("ticker", "session", "entry", F.explode(rules).alias("r"))
-    return each.select("ticker", "session", F.col("r.rule").alias("rule"), (F.col("r.x.price") / F.col("entry") - 1).alias("ret"), F.col("r.x.held").cast("long").alias("held")).where("ret is not null")
+    """One row a path and rule: return on the entry and bars held.
+
+    All rules are first-hit minima of one pass over the paths' bars: paths are already dealt by ticker, so the grouping
+    takes no shuffle, and it runs as generated code, where a fold by a higher-order function is interpreted."""
+    rules = {k: RULES[k] for k in names or RULES}
+    bars = paths.where(F.size("path") > 0).select("ticker", "session", "entry", "atr", F.size("path").alias("size"), F.element_at("path", -1)["c"].alias("last"), F.posexplode("path").alias("i", "b")).withColumn("i", F.col("i") + 1)
+    if any(kind == "trail" for kind, _, _ in rules.values()):
+        seen = Window.partitionBy("ticker", "session").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+        bars = bars.withColumn("peak", F.greatest("entry", F.max("b.c").over(seen)))
+    entry, atr, low, high = F.col("entry"), F.col("atr"), F.col("b.l"), F.col("b.h")
+    found, ends = [], []
+    for j, (kind, k, n) in enumerate(rules.values()):
+        inside = F.col("i") <= n
+        at = lambda test: F.min(F.when(test & inside, F.col("i")))  # noqa: B023, E731
+        found.append(F.max(F.when(F.col("i") == n, F.col("b.c"))).alias(f"c{j}"))
+        if kind in ("stop", "bracket"):
+            found.append(at(low <= entry - k[0] * atr).alias(f"s{j}"))
+        if kind == "bracket":
+            found.append(at(high >= entry + k[1] * atr).alias(f"t{j}"))
+        if kind == "trail":
+            hit = low <= F.col("peak") - k[0] * atr
+            found += [at(hit).alias(f"s{j}"), F.min(F.when(hit & inside, F.col("peak"))).alias(f"p{j}")]  # peaks only rise, so the least is the first hit's
+    each = bars.groupBy("ticker", "session", "entry", "atr", "size", "last").agg(*found)
+    for j, (name, (kind, k, n)) in enumerate(rules.items()):
+        s, t = F.col(f"s{j}"), F.col(f"t{j}")
+        price, held = F.coalesce(f"c{j}", "last"), F.least(F.lit(n), F.col("size"))
+        if kind == "bracket":
+            stopped, reached = s.isNotNull() & (t.isNull() | (s <= t)), t.isNotNull()
+            price = F.when(stopped, entry - k[0] * atr).when(reached, entry + k[1] * atr).otherwise(price)
+            held = F.coalesce(F.least(s, t), held)
+        elif kind in ("stop", "trail"):
+            base = F.col(f"p{j}") if kind == "trail" else entry
+            price, held = F.when(s.isNotNull(), base - k[0] * atr).otherwise(price), F.coalesce(s, held)
+        ends.append(F.struct(F.lit(name).alias("rule"), (price / entry - 1).alias("ret"), held.cast("long").alias("held")))
+    return each.select("ticker", "session", F.explode(F.array(*ends)).alias("r")).select("ticker", "session", "r.*").where("ret is not null")
 
 
 def summary(done: DataFrame) -> DataFrame:
