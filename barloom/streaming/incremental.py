@@ -18,9 +18,9 @@ def files(spark: SparkSession, path: str, schema: StructType, kind: str = "parqu
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).load(path)
 
 
-def drain(stream: DataFrame, to: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def drain(stream: DataFrame, to: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Runs what has arrived since the last run, then ends."""
-    return stream.writeStream.foreachBatch(to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert_sink(path: str, keys: list[str], by: list[str], max_day: str | None = None, day: str = "session") -> Callable[[DataFrame, int], None]:
