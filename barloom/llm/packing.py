@@ -89,12 +89,12 @@ def curve_keys(vectors: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
 REST = "doc_id long, doc_tokens long, curve long, whole array<long>, rest binary, rest_ids long, rest_crc long"
 
 
-def encoded(docs: DataFrame, path: str, length: int, end_id: int | None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, length: int, end_id: int | None, room: int) -> DataFrame:
     """Per document: tokens, place on the curve, checksums of whole sequences, and what is left."""
     end = np.array([] if end_id is None else [end_id], "<u4")
 
     def encode(stream):
-        cache = cached_tokenizer(path)
+        cache = cached_tokenizer(path, room)
         for batch in stream:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batches(texts, 1 << 20):
@@ -117,11 +117,12 @@ def encoded(docs: DataFrame, path: str, length: int, end_id: int | None) -> Data
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long"
 
 
-def pack_along_curve(docs: DataFrame, length: int = 1024, tokenizer: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_along_curve(docs: DataFrame, length: int = 1024, tokenizer: str | None = None, end_id: int | None = 0, room: int = 800_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, start and length in the document's ids, ids_crc32, doc_tokens, sequence_id, offset, curve.
 
-    Sequences of document rests come first, in the order of the curve, then those that one document fills."""
-    kept = durable(encoded(text_table(docs, id_col, text_col), tokenizer or default_tokenizer(), length, end_id))
+    Sequences of document rests come first, in the order of the curve, then those that one document fills. room bounds the
+    words whose ids a worker remembers."""
+    kept = durable(encoded(text_table(docs, id_col, text_col), tokenizer or default_tokenizer(), length, end_id, room))
     spark = docs.sparkSession
 
     def number(stream):

@@ -8,6 +8,7 @@ the tokenizer's own.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -91,6 +92,7 @@ def tokenizer_cache(path: str, room: int = 800_000) -> ChunkCache:
     """ids of a tokenizers file with a byte-level pattern, without special tokens added."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
     tokenizer = Tokenizer.from_file(path)
     bytes_of = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
     for token, i in tokenizer.get_vocab().items():
@@ -116,10 +118,12 @@ def tokenizer_cache(path: str, room: int = 800_000) -> ChunkCache:
 _caches: dict[str, ChunkCache] = {}
 
 
-def cached_tokenizer(path: str) -> ChunkCache:
-    """The worker's own tokenizer for a path; a cluster has the file at that path on every node."""
+def cached_tokenizer(path: str, room: int = 800_000) -> ChunkCache:
+    """The worker's own tokenizer for a path; a cluster has the file at that path on every node. room bounds the words
+    that it remembers, at some 200 bytes each."""
     if path not in _caches:
-        _caches[path] = tokenizer_cache(path)
+        _caches[path] = tokenizer_cache(path, room)
+    _caches[path].room = room
     return _caches[path]
 
 

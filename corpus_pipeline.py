@@ -43,8 +43,8 @@ def hide_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 ids along the curve."""
-    return packing.pack_along_curve(docs)
+    """Sequences of 1024 ids along the curve. Workers live through all stages, so they remember fewer words here."""
+    return packing.pack_along_curve(docs, room=100_000)
 
 
 STAGES = [
