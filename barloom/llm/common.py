@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def stretches(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.r_[first[1:], n]
 
 
-def batches(texts: list[bytes], limit: int = 1 << 21):
+def batches(texts: list[bytes], limit: int = 1 << 19):
     """(first, last) index ranges of texts whose bytes together stay near limit; a longer text stands alone."""
     first, held = 0, 0
     for i, t in enumerate(texts):
@@ -82,6 +83,18 @@ def batches(texts: list[bytes], limit: int = 1 << 21):
         yield first, len(texts)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
+    """A record batch in parts whose texts together stay near limit bytes, so that only a part is held as Python values."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy()
+    ends = np.cumsum(sizes.astype(np.int64) + 1)
+    first = 0
+    while first < batch.num_rows:
+        held = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, held + limit, side="right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def texts_of(table: pa.Table, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8 bytes; null is empty."""
     return [t or b"" for t in table.column(column).cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, batches, mix64, stretches, text_table
+from barloom.llm.common import U64, mix64, slices, stretches, text_table
 from barloom.llm.textnum import covered, windows, words
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -172,34 +172,32 @@ def rate(docs: DataFrame, field: Field | None, content_share: float = 0.5, id_co
     names = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, line_labels array<int>, kept boolean"
 
     def run(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches(texts, 1 << 20):
-                part = texts[a:b]
-                w = words([t.encode() for t in part])
-                h, whole = windows(w, 8, 8)
-                again = np.zeros(len(w.hash), bool)
-                at = np.flatnonzero(whole)
-                if len(at):
-                    key = mix64(h[at] + w.text[at].astype(U64) * U64(0x9E3779B97F4A7C15))
-                    order = np.argsort(key, kind="stable")
-                    first, end = stretches(key[order])
-                    again = covered(at[order[np.repeat(end - first > 1, end - first)]], 8, len(w.hash))
-                repeated = np.bincount(w.text, again, minlength=len(part)).astype(np.int64)
-                letters = np.bincount(w.text, w.end - w.start, minlength=len(part)).astype(np.int64)
-                out = [[] for _ in range(9)]
-                for i, t in enumerate(part):
-                    n, repeat = int(w.counts[i]), int(repeated[i])
-                    space = len(t.encode()) - int(letters[i])
-                    features, counts, dup = chain(t)
-                    path = field.path(features) if field else [1] * len(features)
-                    share = sum(c for c, x in zip(counts, path, strict=True) if x) / n if n else 0.0
-                    failed = n < 20 or 100 * repeat > 30 * n
-                    row = (n, len(t) - space, len(SYMBOLS.findall(t)), dup, repeat, failed, share, path, not failed and share >= content_share)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.list_(pa.int32()), pa.bool_()]
-                yield pa.record_batch([batch.column(0)[a:b], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=[x.split()[0] for x in names.split(", ")])
+            w = words([t.encode() for t in texts])
+            h, whole = windows(w, 8, 8)
+            again = np.zeros(len(w.hash), bool)
+            at = np.flatnonzero(whole)
+            if len(at):
+                key = mix64(h[at] + w.text[at].astype(U64) * U64(0x9E3779B97F4A7C15))
+                order = np.argsort(key, kind="stable")
+                first, end = stretches(key[order])
+                again = covered(at[order[np.repeat(end - first > 1, end - first)]], 8, len(w.hash))
+            repeated = np.bincount(w.text, again, minlength=len(texts)).astype(np.int64)
+            letters = np.bincount(w.text, w.end - w.start, minlength=len(texts)).astype(np.int64)
+            out = [[] for _ in range(9)]
+            for i, t in enumerate(texts):
+                n, repeat = int(w.counts[i]), int(repeated[i])
+                space = len(t.encode()) - int(letters[i])
+                features, counts, dup = chain(t)
+                path = field.path(features) if field else [1] * len(features)
+                share = sum(c for c, x in zip(counts, path, strict=True) if x) / n if n else 0.0
+                failed = n < 20 or 100 * repeat > 30 * n
+                row = (n, len(t) - space, len(SYMBOLS.findall(t)), dup, repeat, failed, share, path, not failed and share >= content_share)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.list_(pa.int32()), pa.bool_()]
+            yield pa.record_batch([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=[x.split()[0] for x in names.split(", ")])
 
     return text_table(docs, id_col, text_col).mapInArrow(run, names)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, batches, durable, mix64, text_table, texts_of
+from barloom.llm.common import U64, batches, durable, mix64, slices, text_table, texts_of
 from barloom.llm.links import components
 from barloom.llm.textnum import odd_constants, windows, words
 
@@ -97,9 +97,9 @@ def signatures(docs: DataFrame, shingle: int = 5, k: int = 128, rows: int = 4) -
     """Rows of SIGNED for (doc_id, text); class, bands and sketch are null for an empty set."""
 
     def sign(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole)):
             ids, texts = batch.column(0), texts_of(pa.Table.from_batches([batch]))
-            for a, b in batches(texts, 1 << 20):
+            for a, b in batches(texts):
                 sets = shingle_sets(texts[a:b], shingle)
                 full = [s for s in sets if len(s)]
                 if full:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, batches, durable, mix64, text_table
+from barloom.llm.common import U64, durable, mix64, slices, text_table
 from barloom.llm.tokens import cached_tokenizer, default_tokenizer
 
 DIMENSIONS, CELL_BITS, HASHED = 4, 15, 256
@@ -95,21 +95,20 @@ def encoded(docs: DataFrame, path: str, length: int, end_id: int | None, room: i
 
     def encode(stream):
         cache = cached_tokenizer(path, room)
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches(texts, 1 << 20):
-                all_ids = cache.ids(texts[a:b])
-                keys = curve_keys(np.stack([hashed_vector(x) for x in all_ids]))
-                out: list[list] = [[] for _ in range(6)]
-                for x, key in zip(all_ids, keys.tolist(), strict=True):
-                    x = np.concatenate([x, end])
-                    whole = len(x) // length * length
-                    rest = x[whole:]
-                    row = (len(x), key, [zlib.crc32(x[i : i + length]) for i in range(0, whole, length)], (rest.astype("<u2") if not len(rest) or rest.max() < 65536 else rest).tobytes(), len(rest), zlib.crc32(rest))
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.record_batch([batch.column(0)[a:b], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=[c.split()[0] for c in REST.split(", ")])
+            all_ids = cache.ids(texts)
+            keys = curve_keys(np.stack([hashed_vector(x) for x in all_ids]))
+            out: list[list] = [[] for _ in range(6)]
+            for x, key in zip(all_ids, keys.tolist(), strict=True):
+                x = np.concatenate([x, end])
+                whole = len(x) // length * length
+                rest = x[whole:]
+                row = (len(x), key, [zlib.crc32(x[i : i + length]) for i in range(0, whole, length)], (rest.astype("<u2") if not len(rest) or rest.max() < 65536 else rest).tobytes(), len(rest), zlib.crc32(rest))
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.record_batch([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=[c.split()[0] for c in REST.split(", ")])
 
     return docs.mapInArrow(encode, REST)
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import batches, text_table
+from barloom.llm.common import slices, text_table
 from barloom.llm.tokens import ChunkCache
 
 
@@ -153,11 +153,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(stream):
         bpe, cache = coder(path, pattern)
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches(texts, 1 << 20):
-                ids = cache.ids(texts[a:b])
-                yield pa.record_batch([batch.column(0)[a:b], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            ids = cache.ids(texts)
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return text_table(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 

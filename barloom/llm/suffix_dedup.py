@@ -164,7 +164,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         texts, found = [t for t in texts_of(table) if len(t) >= window], [np.zeros(0, U64)]
-        for a, b in batches(texts, 1 << 20):
+        for a, b in batches(texts, 1 << 19):
             grams, least, valid, _ = lightest(texts[a:b], window)
             span = window - GRAM + 1
             most = slide(np.r_[np.zeros(span - 1, U64), np.where(valid, least, U64(0)), np.zeros(len(grams) - len(least), U64)], span, np.maximum)
@@ -178,7 +178,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
         ids, hashes = left.column("doc_id").to_pylist(), left.column("text_hash").to_pylist()
         texts = texts_of(left)
         own = [i for i, t in enumerate(texts) if len(t) >= window] if len(keys) else []
-        for a, b in batches([texts[i] for i in own], 1 << 20):
+        for a, b in batches([texts[i] for i in own], 1 << 19):
             part = [texts[i] for i in own[a:b]]
             _, least, valid, offsets = lightest(part, window)
             at = np.flatnonzero(valid)
