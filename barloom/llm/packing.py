@@ -101,7 +101,7 @@ def encoded(docs: DataFrame, path: str, length: int, end_id: int | None, room: i
             keys = curve_keys(np.stack([hashed_vector(x) for x in all_ids]))
             out: list[list] = [[] for _ in range(6)]
             for x, key in zip(all_ids, keys.tolist(), strict=True):
-                x = np.concatenate([x, end])
+                x = np.concatenate([x, end]).astype("<u4")
                 whole = len(x) // length * length
                 rest = x[whole:]
                 row = (len(x), key, [zlib.crc32(x[i : i + length]) for i in range(0, whole, length)], (rest.astype("<u2") if not len(rest) or rest.max() < 65536 else rest).tobytes(), len(rest), zlib.crc32(rest))
@@ -116,7 +116,7 @@ def encoded(docs: DataFrame, path: str, length: int, end_id: int | None, room: i
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long"
 
 
-def pack_along_curve(docs: DataFrame, length: int = 1024, tokenizer: str | None = None, end_id: int | None = 0, room: int = 800_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_along_curve(docs: DataFrame, length: int = 1024, tokenizer: str | None = None, end_id: int | None = 0, room: int = 1_200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, start and length in the document's ids, ids_crc32, doc_tokens, sequence_id, offset, curve.
 
     Sequences of document rests come first, in the order of the curve, then those that one document fills. room bounds the

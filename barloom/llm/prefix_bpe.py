@@ -155,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         bpe, cache = coder(path, pattern)
         for batch in (part for whole in stream for part in slices(whole)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = cache.ids(texts)
+            ids = [x.astype("<u4") for x in cache.ids(texts)]
             yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return text_table(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import batches, durable, text_table
+from barloom.llm.common import durable, slices, text_table
 from barloom.llm.tokens import cached_tokenizer, default_tokenizer
 
 MAGIC, SPAN = b"BLWM1\0", 512
@@ -47,7 +47,7 @@ def write_shard(doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> bytes:
         whole = np.r_[plane, np.zeros(-len(plane) % (SPAN // 8), np.uint8)].view(np.uint64).reshape(-1, SPAN // 64)
         ones = np.cumsum(np.bitwise_count(whole).sum(axis=1, dtype=np.uint64), dtype=np.uint64)
         parts += [packed(plane.tobytes()), packed(np.r_[np.zeros(1, np.uint64), ones].astype("<u8").tobytes())]
-        now = np.concatenate([now[~bit], now[bit]])
+        now = np.concatenate([now.take(np.flatnonzero(~bit)), now.take(np.flatnonzero(bit))])
     return b"".join(parts)
 
 
@@ -146,16 +146,17 @@ class Shard:
     def tokens(self) -> np.ndarray:
         """All tokens, by undoing the splits from the last plane up."""
         kind = np.uint16 if self.levels <= 16 else np.uint32
-        now = np.zeros(self.n, kind)
+        now = np.zeros(self.n, np.uint8)
         for level in range(self.levels - 1, -1, -1):
+            if level == self.levels - 9:  # the low eight bits move as bytes
+                now = now.astype(kind)
             bit = np.unpackbits(self.plane(level)[0], count=self.n, bitorder="little").view(bool)
-            zero = ~bit
-            zeros = int(np.count_nonzero(zero))
-            above = np.empty(self.n, kind)
-            above[zero] = now[:zeros]
-            above[bit] = now[zeros:] | kind(1 << (self.levels - 1 - level))
+            zero, one = np.flatnonzero(~bit), np.flatnonzero(bit)
+            above = np.empty(self.n, now.dtype)
+            above[zero] = now[: len(zero)]
+            above[one] = now[len(zero) :] | now.dtype.type(1 << (self.levels - 1 - level))
             now = above
-        return now
+        return now.astype(kind)
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = 2, shard_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,18 +172,17 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
         def shard():
             return pa.record_batch([pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([len(names)]), pa.array([total]), pa.array([write_shard(names, np.array(sizes), np.concatenate(held))], pa.binary())], names=["task", "number", "n_docs", "n_ids", "file"])
 
-        end = np.array([] if end_id is None else [end_id], "<u4")
-        for batch in stream:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in batches(texts, 1 << 20):
-                for d, x in zip(ids[a:b], cache.ids(texts[a:b]), strict=True):
-                    names.append(d)
-                    held += [x, end]
-                    sizes.append(len(x) + len(end))
-                    total += sizes[-1]
-                    if total >= shard_ids:
-                        yield shard()
-                        names, sizes, held, total, number = [], [], [], 0, number + 1
+        end = np.array([] if end_id is None else [end_id], np.uint16 if end_id is None or end_id < 65536 else np.uint32)
+        for batch in (part for whole in stream for part in slices(whole)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for d, x in zip(batch.column(0).to_pylist(), cache.ids(texts), strict=True):
+                names.append(d)
+                held += [x, end]
+                sizes.append(len(x) + len(end))
+                total += sizes[-1]
+                if total >= shard_ids:
+                    yield shard()
+                    names, sizes, held, total, number = [], [], [], 0, number + 1
         if names:
             yield shard()
 
