@@ -42,14 +42,14 @@ a AS (SELECT ticker, session, close / open - 1 AS ret, CASE WHEN count(tr) OVER
 {TRADES}, j AS (SELECT role AS event_type, least(20, abs(ret) / atr) AS x FROM a JOIN trades ON trades.issuer + 1 = a.ticker AND trades.filed = a.session WHERE atr > 0)"""
 
 
-@query("E5_severity_calibration", f"""WITH {CAL} SELECT event_type, count(*) AS n, round(avg(x), 5) AS mean, round(quantile_cont(x, 0.5), 5) AS median, round(quantile_cont(x, 0.9), 5) AS p90, round(quantile_cont(x, 0.5) / (SELECT quantile_cont(x, 0.5) FROM j), 5) AS lift FROM j GROUP BY 1""")
+@query("E5_severity_calibration", f"""WITH {CAL} SELECT event_type, count(*) AS n, round(avg(x), 5) AS mean, round(quantile_cont(x, 0.5), 5) AS median, round(quantile_cont(x, 0.9), 5) AS p90, round(quantile_cont(x, 0.5) / nullif((SELECT quantile_cont(x, 0.5) FROM j), 0), 5) AS lift FROM j GROUP BY 1""")
 def severity_calibration(spark, d):
     a = w.with_atr(bars(spark, d), 14, 7, lag=1).withColumn("ret", F.col("close") / F.col("open") - 1).withColumn("rel", F.col("atr") / F.col("close")).where("rel > 0")
     e = trades(spark, d).select((F.col("issuer") + 1).alias("ticker"), F.col("filed").alias("session"), F.col("role").alias("event_type"))
     j = a.join(e, ["ticker", "session"]).withColumn("x", F.least(F.lit(20.0), F.try_divide(F.abs("ret"), F.col("rel"))))
     everything = j.agg(F.percentile("x", F.lit(0.5)).alias("all"))
     out = j.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.9)).alias("p90")).join(F.broadcast(everything), how="cross")  # one row
-    return out.select("event_type", "n", r("mean", "mean", 5), r("median", "median", 5), r("p90", "p90", 5), r(F.col("median") / F.col("all"), "lift", 5))
+    return out.select("event_type", "n", r("mean", "mean", 5), r("median", "median", 5), r("p90", "p90", 5), r(F.try_divide("median", "all"), "lift", 5))
 
 
 @query("E14_best_metric", f"""WITH {X}, l AS (SELECT month, 'mom' AS metric, mom AS v, fwd5 FROM m UNION ALL SELECT month, 'volume', volume, fwd5 FROM m UNION ALL SELECT month, 'traded', traded, fwd5 FROM m), k AS (SELECT metric, month, {avg_rank('v', 'metric, month')} AS a, {avg_rank('fwd5', 'metric, month')} AS b FROM l WHERE v IS NOT NULL AND fwd5 IS NOT NULL),
