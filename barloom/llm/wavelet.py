@@ -159,7 +159,7 @@ class Shard:
         return now.astype(kind)
 
 
-def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = 2, shard_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = 2, shard_ids: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written shards, as rows of SHARD: task, number in the task, documents, ids and the file."""
     path = tokenizer or default_tokenizer()
     rows = text_table(docs, id_col, text_col)
