@@ -25,3 +25,29 @@ MODULES = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: getattr(importlib.import_module(f"barloom.llm.{module}"), name) for name, module in MODULES.items() if importlib.util.find_spec(f"barloom.llm.{module}")}
+
+
+WORDS = r"""d AS (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d)"""
+
+#: SQL of the operators that SQL can express within seconds on the small tables; the others are tested by brute force.
+SQL = {
+    "op1_minhash_dedup": "WITH RECURSIVE "
+    + WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """, g AS (SELECT doc_id, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS k FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+    s AS (SELECT DISTINCT doc_id, k FROM g WHERE n = 5 UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4), c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * both_have >= 75 * (x.n + y.n - both_have)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), m AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+    SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN c USING (doc_id) JOIN m ON m.a = d.doc_id""",
+    "op3_substring_dedup": "WITH "
+    + WORDS.format(text="coalesce(text, '')")
+    + """, g AS (SELECT doc_id, pos, word, CASE WHEN count(*) OVER f = 35 THEN string_agg(word, ' ') OVER f END AS k FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+    r AS (SELECT k FROM g WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1), m AS (SELECT doc_id, pos, word, max(CASE WHEN r.k IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS 34 PRECEDING) AS gone FROM g LEFT JOIN r ON g.k = r.k),
+    s AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM m GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
+    "op2_suffix_dedup": """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents), x AS (SELECT doc_id, h, unnest(range(1, octet_length(h) + 1)) AS i FROM d),
+    g AS (SELECT doc_id, i, hex(h[i:i]) AS b, CASE WHEN i + 199 <= octet_length(h) THEN md5(h[i:i + 199]) END AS k FROM x), r AS (SELECT k FROM g WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+    m AS (SELECT doc_id, i, b, max(CASE WHEN r.k IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS 199 PRECEDING) AS gone FROM g LEFT JOIN r ON g.k = r.k), e AS (SELECT *, gone - lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS edge FROM m),
+    s AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (edge = 1) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY 1)
+    SELECT d.doc_id, octet_length(h) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
+}

@@ -317,3 +317,44 @@ def test_edges(spark, name):
     ids = sorted((r[0] for r in got.select("doc_id").collect()), key=str)
     assert set(ids) == {i for i, _ in odd} and (name == "op4" or len(ids) == len(odd))
     assert OPERATORS[name](df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_minhash_dedup", "op2_suffix_dedup", "op3_substring_dedup"])
+def test_sql(spark, data, name):
+    """The SQL that stands beside a query gives the query's rows."""
+    import duckdb
+
+    from barloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet/*.parquet'")
+    want = con.execute(queries.SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, queries.queries()[name](spark, data).select(*columns).collect())) == sorted(map(tuple, want.fetchall()))
+
+
+def test_pipeline(spark, data):
+    """Each stage against what its operator says of its own input; the last packs all that is left."""
+    import corpus_pipeline
+
+    frame = spark.read.parquet(f"{data}/documents.parquet")
+    held = {r.doc_id: r.text for r in frame.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, data)
+        rows = [(i, t) for i, t in held.items()]
+        if name == "packing":
+            assert {r.doc_id for r in out.select("doc_id").collect()} == set(held)
+            break
+        assert out.columns == frame.columns
+        got = {r.doc_id: r.text for r in out.collect()}
+        if name == "language_id":
+            assert got == {i: t for i, t in rows if t and any(c.isalpha() for c in t)}
+        elif name == "minhash_dedup":
+            assert set(got) == {i for i, v in brute.near_duplicates(rows).items() if v[2]}
+        elif name == "substring_dedup":
+            want = brute.passages(rows)
+            assert set(got) == {i for i, v in want.items() if v[1] < v[0] or not v[0]}
+            assert all(got[i] == held[i] if not v[1] else brute.sha(got[i].encode()) == v[2] for i, v in want.items() if i in got)
+        else:
+            assert set(got) == set(held) and all(v[0] + v[1] + v[2] == 0 for v in brute.secrets(list(got.items())).values())
+        held, frame = got, spark.createDataFrame(out.collect(), frame.schema)
