@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 
 def rank_avg(value: str | Column, *by: str) -> Column:
-    """Rank from 1 with ties averaged, over non-null values; null for null."""
+    """Rank from 1 with ties averaged, over non-null values; null for null.
+
+    All its windows are partitioned by the group alone, so that one exchange serves them: with a ranks from below, d from
+    above and n values, the mean rank of ties is (a - d + n + 1) / 2."""
     v = F.col(value) if isinstance(value, str) else value
-    group = Window.partitionBy(*by, v.isNull())
-    first = F.rank().over(group.orderBy(v))
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*by, v))
-    return F.when(v.isNotNull(), first + (tied - 1) / 2)
+    group = Window.partitionBy(*by)
+    below, above = F.rank().over(group.orderBy(v.asc_nulls_last())), F.rank().over(group.orderBy(v.desc_nulls_last()))
+    return F.when(v.isNotNull(), (below - above + F.count(v).over(group) + 1) / 2)
 
 
 def rank_pct(value: str | Column, *by: str) -> Column:
