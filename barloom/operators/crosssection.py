@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import quantile, rank_avg, rank_pct, t_stat
@@ -15,10 +15,11 @@ def spearman_by(df: DataFrame, by: list[str], x: str, y: str, least: int = 5) ->
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("__x", "__y")).alias("ic"))
 
 
-def ic_summary(series: DataFrame, horizon: int, spacing: int, by: list[str] | None = None) -> DataFrame:
+def ic_summary(series: DataFrame, horizon: int | Column, spacing: int, by: list[str] | None = None) -> DataFrame:
     """Mean, t with as many independent dates as the horizon leaves, hit rate and ratio of an IC series. A correlation within rounding of zero is no hit."""
     n, mean, sd = F.count("ic"), F.avg("ic"), F.stddev_samp("ic")
-    n_eff = F.greatest(F.lit(2.0), n / F.lit(max(1.0, horizon / spacing)))
+    ahead = F.max(horizon) if isinstance(horizon, Column) else F.lit(horizon)  # a column that is one value a group
+    n_eff = F.greatest(F.lit(2.0), n / F.greatest(F.lit(1.0), ahead / spacing))
     return series.groupBy(*(by or [])).agg(n.alias("n_dates"), mean.alias("ic"), F.when(sd > 0, mean / (sd / F.sqrt(n_eff))).alias("t"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("hit"), F.when(sd > 0, mean / sd).alias("ir"))
 
 

@@ -36,12 +36,10 @@ def spearman_by_month(spark, d):
 s AS (SELECT h, any_value(n) AS n, session, CASE WHEN count(*) >= 5 THEN corr(a, b) END AS ic FROM k GROUP BY h, session)
 SELECT h, count(ic) AS n_dates, round(avg(ic), 6) AS ic, round(avg(ic) / (stddev_samp(ic) / sqrt(greatest(2, count(ic) / any_value(n)))), 4) AS t, round(avg(CAST(ic > 1e-12 AS INT)), 6) AS hit, round(avg(ic) / stddev_samp(ic), 6) AS ir FROM s GROUP BY 1""")
 def ic_by_horizon(spark, d):
-    x = scored(spark, d)
-    parts = []
-    for name, h in (("fwd5", 5), ("fwd20", 20)):
-        s = cs.spearman_by(x, ["session"], "mom", name)
-        parts.append(cs.ic_summary(s, h, 1).select(F.lit(name).alias("h"), "n_dates", r("ic", "ic"), r("t", "t", 4), r("hit", "hit"), r("ir", "ir")))
-    return parts[0].unionByName(parts[1])
+    tidy = scored(spark, d).unpivot(["ticker", "session", "mom"], ["fwd5", "fwd20"], "h", "fwd")
+    series = cs.spearman_by(tidy, ["h", "session"], "mom", "fwd")
+    horizon = F.when(F.col("h") == "fwd5", 5).otherwise(20)
+    return cs.ic_summary(series, horizon, 1, ["h"]).select("h", "n_dates", r("ic", "ic"), r("t", "t", 4), r("hit", "hit"), r("ir", "ir"))
 
 
 @query("E9_quantile_spread", f"""WITH {X}, k AS (SELECT month, fwd5, (row_number() OVER (PARTITION BY session ORDER BY mom, ticker) - 1) * 5 // count(*) OVER (PARTITION BY session) AS bin, count(*) OVER (PARTITION BY session) AS n, session FROM m WHERE mom IS NOT NULL AND fwd5 IS NOT NULL)
