@@ -12,7 +12,12 @@ round A, as groups of copies are, costs nothing more; a block tests no pair that
 confirmed on full sets.
 
 Nulls, empty texts and texts without words have an empty set and stand alone. Texts shorter than the shingle are one
-shingle. Repeated rows are linked unless their sets are empty. Rows that share a doc_id share a component.
+shingle. Repeated rows are linked unless their sets are empty. Rows that share a doc_id share a component, also where
+their texts differ or have no words.
+
+A null doc_id is no id: it links nothing, and such rows count by their texts alone. In a component that has an id they
+are not kept. A component of null ids alone has a null component_id and keeps the row with the smallest set digest, then
+row key; without words every one is kept. Rows that are equal in doc_id and text get the same verdict.
 An empty table gives an empty result.
 """
 
@@ -90,15 +95,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-SIGNED = "doc_id long, n_shingles long, class long, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, n_shingles long, class long, bands array<long>, sketch array<long>, row_key long"
+
+
+def row_key():
+    """What finds a row again, with or without an id: a 64-bit hash of doc_id and text."""
+    return F.xxhash64("doc_id", "text")
 
 
 def signatures(docs: DataFrame, shingle: int = 5, k: int = 128, rows: int = 4) -> DataFrame:
-    """Rows of SIGNED for (doc_id, text); class, bands and sketch are null for an empty set."""
+    """Rows of SIGNED for (doc_id, text, row_key); class, bands and sketch are null for an empty set."""
 
     def sign(stream):
         for batch in (part for whole in stream for part in slices(whole)):
-            ids, texts = batch.column(0), texts_of(pa.Table.from_batches([batch]))
+            ids, keys, texts = batch.column(0), batch.column("row_key"), texts_of(pa.Table.from_batches([batch]))
             for a, b in batches(texts):
                 sets = shingle_sets(texts[a:b], shingle)
                 full = [s for s in sets if len(s)]
@@ -107,8 +117,8 @@ def signatures(docs: DataFrame, shingle: int = 5, k: int = 128, rows: int = 4) -
                     bands, sketch = iter(band_keys(least, rows).tolist()), iter(odd_sketches(least).tolist())
                 own = [bool(len(s)) for s in sets]
                 yield pa.record_batch(
-                    [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([next(bands) if x else None for x in own], pa.list_(pa.int64())), pa.array([next(sketch) if x else None for x in own], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "class", "bands", "sketch"],
+                    [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([next(bands) if x else None for x in own], pa.list_(pa.int64())), pa.array([next(sketch) if x else None for x in own], pa.list_(pa.int64())), keys[a:b]],
+                    names=["doc_id", "n_shingles", "class", "bands", "sketch", "row_key"],
                 )
 
     return docs.mapInArrow(sign, SIGNED)
@@ -119,17 +129,22 @@ def flips(a: str, b: str):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int = 128, rows: int = 4, slack: float = 0.3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class (set digest), component_id, kept."""
-    texts = text_table(docs, id_col, text_col)
+    """Per row: doc_id, n_shingles, class (set digest), component_id, kept, row_key."""
+    texts = text_table(docs, id_col, text_col).withColumn("row_key", row_key())
     limit = most_flips(k, percent / 100 - slack)
     signed = durable(signatures(texts, shingle, k, rows))
-    classes = durable(signed.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x")).select("class", "x.doc_id", "x.bands", "x.sketch"))
+    classes = durable(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row_key", "bands", "sketch")).alias("x")).select("class", "doc_id", "x.row_key", "x.bands", "x.sketch"))
+    # Ids that stand with several sets, or with a set and without words; most tables have none.
+    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("last"), F.bool_or(F.col("class").isNull()).alias("bare"))
+    again = durable(ids.where("a <> last or (bare and a is not null)").select("doc_id", "a"))
     entries = classes.select(F.explode("bands").alias("band"), "class")
     shared = entries.groupBy("band").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = durable(entries.join(shared, "band"))
     sketches = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "sketch")
-    involved = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "doc_id")
-    own_text = durable(texts.join(involved, "doc_id").select("class", "text"))
+    involved = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "row_key")
+    own_text = durable(texts.where("text is not null").join(involved, "row_key").select("class", "text"))
+    if own_text.groupBy("class").count().where("count > 1").take(1):  # rows equal in doc_id and text
+        own_text = durable(own_text.dropDuplicates(["class"]))
 
     def tested(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that full sets confirm. Text b goes to a's group; large groups of a are split."""
@@ -139,7 +154,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
 
         def confirm(table: pa.Table) -> pa.Table:
             a, b, held = table.column("a")[0].as_py(), table.column("b").to_pylist(), texts_of(table)
-            # Rows that share a doc_id can bring a text of another class; the digest tells.
+            # Rows whose keys collide can bring a text of another class; the digest tells.
             base = next((s for i in range(len(b)) if b[i] is None for s in shingle_sets([held[i]], shingle) if class_of(s) == a), None)
             found = set()
             for i, j in batches(held) if base is not None else ():
@@ -155,6 +170,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
         return both.where(flips("left", "right") <= limit).select("a", "b")
 
     first = durable(tested(durable(close(members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()))))
+    repeated = bool(again.take(1))
+    if repeated:
+        first = durable(first.unionByName(signed.join(again, "doc_id").where("class <> a").select("a", F.col("class").alias("b")).distinct()))
     roots = components(first)
     placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
@@ -165,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
     def across(key: tuple, table: pa.Table) -> pa.Table:
         name, root, lead, mine = (table.column(c).to_numpy() for c in ("class", "root", "leader", "mine"))
         held = shingle_sets(texts_of(table), shingle)
-        # Rows that share a doc_id can bring a text of another class; round A has tested the leader.
+        # Rows whose keys collide can bring a text of another class; round A has tested the leader.
         plain = [i for i in range(len(name)) if name[i] != lead[i] and class_of(held[i]) == name[i]]
         name, root, mine, held = name[plain], root[plain].copy(), mine[plain], [held[i] for i in plain]
         bits, bands = (np.array(table.column(c).take(pa.array(plain, pa.int64())).to_pylist(), np.int64) for c in ("sketch", "bands"))
@@ -188,9 +206,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
         roots = components(first.unionByName(second))
     labels = roots.withColumnRenamed("node", "class").join(classes.select("class", "doc_id"), "class")
     label = labels.groupBy("root").agg(F.min("doc_id").alias("label"))
-    final = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class").join(label, "root").select("class", "label"), "class", "left").select("class", F.coalesce("label", "doc_id").alias("label"))
-    out = signed.select("doc_id", "n_shingles", "class").join(final, "class", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
-    return out.select("doc_id", "n_shingles", "class", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    placed = classes.select("class", "doc_id", "row_key").join(roots.withColumnRenamed("node", "class").join(label, "root"), "class", "left")
+    # lone: the row that a component without any id keeps.
+    final = placed.select("class", F.coalesce("label", "doc_id").alias("label"), F.when(F.coalesce("label", "doc_id").isNull() & (F.coalesce("root", "class") == F.col("class")), F.col("row_key")).alias("lone"))
+    out = signed.select("doc_id", "n_shingles", "class", "row_key")
+    if repeated:
+        out = out.join(again, "doc_id", "left").withColumn("at", F.coalesce("class", "a"))
+    else:
+        out = out.withColumn("at", F.col("class"))
+    out = out.join(final.withColumnRenamed("class", "at"), "at", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
+    kept = F.when(F.col("component_id").isNotNull(), F.col("doc_id") == F.col("component_id")).otherwise(F.col("class").isNull() | (F.col("row_key") == F.col("lone")))
+    return out.select("doc_id", "n_shingles", "class", "component_id", F.coalesce(kept, F.lit(False)).alias("kept"), "row_key")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,9 +23,14 @@ def keep_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id").select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the smallest doc_id, and of rows that share this id the
+    one with the most shingles. A null doc_id is no id: such a row stays if its group has no id and it is the group's kept
+    row; without words all such rows stay."""
+    kept = minhash_dedup.near_duplicates(docs).where("kept and (doc_id is not null or n_shingles > 0)")
+    best = kept.groupBy("doc_id", F.expr("if(doc_id is null, row_key, null)").alias("alone")).agg(F.min(F.struct((-F.col("n_shingles")).alias("n"), "row_key")).alias("x"))
+    found = docs.withColumn("row_key", minhash_dedup.row_key()).join(best.select("x.row_key"), "row_key").dropDuplicates(["row_key"])
+    wordless = docs.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return found.select(*COLUMNS).unionByName(wordless.select(*COLUMNS))
 
 
 def cut_repeated_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

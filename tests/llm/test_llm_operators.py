@@ -77,6 +77,29 @@ def test_minhash_blocks(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_minhash_null_ids(spark):
+    """A null id takes no links away and no document with it; rows that share an id share a component."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    t, u, v, w = (" ".join(words[i : i + 60]) for i in (0, 60, 120, 180))
+    near = lambda x: x + " end"
+    rows = [(None, t), (5, t), (6, near(t)), (None, near(t)), (None, u), (None, u), (None, near(u)), (8, v), (9, v), (9, w), (9, " "), (7, near(w)), (None, " "), (None, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = minhash_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    named = {(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None}
+    assert named == {(5, 5, True), (6, 5, False), (7, 7, True), (8, 7, False), (9, 7, False)}
+    assert sorted((r.component_id or 0, r.n_shingles > 0) for r in got if r.doc_id is None) == [(0, False)] * 2 + [(0, True)] * 3 + [(5, True)] * 2
+    assert all(r.kept == (not r.n_shingles) for r in got if r.doc_id is None and (r.component_id or not r.n_shingles))
+    assert len({r["class"] for r in got if r.doc_id is None and r.component_id is None and r.n_shingles and r.kept}) == 1
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, None).collect()
+    texts = [(r.doc_id, r.text) for r in out]
+    lone = [x for i, x in texts if i is None and x and x.strip()]
+    assert len(lone) == 1 and lone[0] in (u, near(u))
+    assert sorted(texts, key=str) == sorted([(5, t), (7, near(w)), (None, lone[0]), (None, " "), (None, None)], key=str)
+
+
 def test_odd_sketch_counts_differences():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 32, (128, 1)).astype(np.uint32)
