@@ -55,6 +55,13 @@ def missing_sessions(calendar: DataFrame, stored: DataFrame) -> DataFrame:
     return calendar.join(stored.select("session").distinct(), "session", "left_anti")
 
 
+def missing_sessions_by(calendar: DataFrame, stored: DataFrame, by: str) -> DataFrame:
+    """(by, session) for the sessions between the first and the last stored one of each `by` that it lacks."""
+    spans = stored.groupBy(by).agg(F.min("session").alias("__from"), F.max("session").alias("__to"))
+    wanted = spans.join(F.broadcast(calendar.select("session")), F.col("session").between(F.col("__from"), F.col("__to"))).select(by, "session")
+    return wanted.join(stored.select(by, "session").distinct(), [by, "session"], "left_anti")
+
+
 def replace_groups(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Groups that new holds come from new alone, as a score module's session does."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

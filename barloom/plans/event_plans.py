@@ -100,6 +100,14 @@ def purchase_filter(spark, d):
     return trades(spark, d).where("role in ('1-URGENT', '2-HIGH') and value > 100000 and owner % 10 <> 0").select("accession", "owner", r("value", "value", 4))
 
 
+@query("C10_purchase_owners", f"WITH {TRADES} SELECT accession, owner, round(value, 4) AS value FROM trades LEFT JOIN customer ON c_custkey = owner WHERE role IN ('1-URGENT', '2-HIGH') AND value > 100000 AND c_mktsegment IS DISTINCT FROM 'MACHINERY'")
+def purchase_owners(spark, d):
+    """Purchases of all owners but those of one segment, which stands for entities; an owner of no known segment stays."""
+    owners = table(spark, d, "customer").select(F.col("c_custkey").alias("owner"), "c_mktsegment")
+    kept = trades(spark, d).where("role in ('1-URGENT', '2-HIGH') and value > 100000").join(owners, "owner", "left")
+    return kept.where("not (c_mktsegment <=> 'MACHINERY')").select("accession", "owner", r("value", "value", 4))
+
+
 @query("I11_role", "SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '(?i)urgent') THEN 'CEO' WHEN regexp_matches(o_orderpriority, '(?i)high|medium') THEN 'OFFICER' WHEN regexp_matches(o_orderpriority, '(?i)low') THEN 'DIRECTOR' ELSE 'OTHER' END AS role FROM orders")
 def role(spark, d):
     from barloom.functions.text import first_match

@@ -184,6 +184,16 @@ def watchlist(spark, d):
     return b.select("ticker", "session", r(F.col("close") / F.col("first_close") - 1, "since"), r(F.max("close").over(o), "best"), F.bool_or(F.col("close") < 0.5 * F.col("first_close")).over(o).alias("failed"))
 
 
+@query("E97_watchlist_all", f"""WITH {BARS}, k AS (SELECT *, first_value(close) OVER ({T}) AS entry FROM bars), s AS (SELECT ticker, session, close / entry - 1 AS since, max(close) OVER ({T}) AS best, min(low) OVER ({T}) AS worst, bool_or(low < 0.5 * entry) OVER ({T}) AS failed FROM k)
+SELECT ticker, session, round(since, 6) AS since, round(best, 6) AS best, round(worst, 6) AS worst, failed, round(since - avg(since) OVER (PARTITION BY session), 6) AS ahead FROM s""")
+def watchlist_all(spark, d):
+    """Every name from its first bar on: best close, worst low, whether a low fell under half the entry, and the lead over the mean of all names."""
+    o = w.order()
+    b = bars(spark, d).withColumn("entry", F.first("close").over(o))
+    s = b.select("ticker", "session", (F.col("close") / F.col("entry") - 1).alias("since"), F.max("close").over(o).alias("best"), F.min("low").over(o).alias("worst"), F.bool_or(F.col("low") < 0.5 * F.col("entry")).over(o).alias("failed"))
+    return s.select("ticker", "session", r("since", "since"), r("best", "best"), r("worst", "worst"), "failed", r(F.col("since") - F.avg("since").over(Window.partitionBy("session")), "ahead"))
+
+
 @query("E100_walk_forward")
 def walk_forward(spark, d):
     return themes.walk_forward(scored(spark, d), ["mom", "volume", "traded"], "month", "fwd5", folds=4).select("fold", "chosen", "n", r("ic", "ic"))

@@ -52,6 +52,12 @@ def missing_sessions(spark, d):
     return up.missing_sessions(calendar(spark, d), bars(spark, d).where("ticker % 3 = 0")).select("session")
 
 
+@query("H4_missing_by_ticker", f"WITH {BARS}, {CALENDAR}, s AS (SELECT ticker, min(session) AS a, max(session) AS z FROM bars GROUP BY 1) SELECT s.ticker, c.session FROM s JOIN cal c ON c.session BETWEEN s.a AND s.z ANTI JOIN bars b ON b.ticker = s.ticker AND b.session = c.session")
+def missing_by_ticker(spark, d):
+    """Sessions between a name's first and last bar for which it has none, of all names."""
+    return up.missing_sessions_by(calendar(spark, d), bars(spark, d), "ticker")
+
+
 @query("J13_insert_only", "WITH l AS (SELECT o_orderkey AS k, 'old' AS src FROM orders WHERE o_orderkey % 2 = 0) SELECT k, src FROM l UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey NOT IN (SELECT k FROM l)")
 def insert_only(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
