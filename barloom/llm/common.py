@@ -29,24 +29,60 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Without one, a temporary folder serves a local session;
+    on a cluster it is an error, as executors would not see each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="barloom-"))
     return sc.getCheckpointDir()
 
 
+#: Paths of the tables that durable has written in this process and that nobody has released.
+WRITTEN: list[str] = []
+
+
 def durable(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: lineage ends there, and no executor's loss undoes it."""
+    """df written once as Parquet to the shared folder and read back: lineage ends there, and no executor's loss undoes it.
+
+    The table stays until release() is called, as a result that is read later may rest on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes the tables written after the first `since`, but for the last `keep`. For callers that have written their
+    result elsewhere: what was built on a released table can no longer be read."""
+    gone = WRITTEN[since : len(WRITTEN) - keep]
+    del WRITTEN[since : len(WRITTEN) - keep]
+    jvm = spark._jvm
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bytes of text that one chunk is to hold, and hashes that one hash range is to hold.
+CHUNK_BYTES, RANGE_HASHES = 1 << 25, 1 << 22
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what the numbers of chunks and ranges follow."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+
+
+def chunks(spark: SparkSession, size: int) -> int:
+    """Chunks for so many bytes of text, and never fewer than the session's partitions."""
+    return max(partitions(spark), -(-size // CHUNK_BYTES))
+
+
 def with_chunk(docs: DataFrame, n: int) -> DataFrame:
-    """Documents dealt evenly into n chunks by a hash of doc_id; a chunk is what one task handles at a time."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    """Documents dealt evenly into n chunks by a hash of doc_id and text; a chunk is what one task handles at a time."""
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -109,8 +145,9 @@ PACKED = "part int, chunk int, keys binary, many binary, marked binary"
 FOUND = "chunk int, keys binary"
 
 
-def range_bits(spark: SparkSession) -> int:
-    return max(1, min(24, math.ceil(math.log2(partitions(spark)))))
+def range_bits(spark: SparkSession, hashes: int) -> int:
+    """Leading bits that tell a hash's range, for so many hashes."""
+    return max(1, min(31, math.ceil(math.log2(max(partitions(spark), hashes / RANGE_HASHES)))))
 
 
 def short(h: np.ndarray, bits: int) -> np.ndarray:

@@ -8,6 +8,9 @@ those found again is the set of maximal exact repeats of `window` words or more.
 Hashes travel packed, by hash range, once a chunk (see common.repeats): a passage that a third of all documents hold
 adds one entry a chunk, and no pairs are formed.
 
+A chunk is bounded by bytes of text and a range by hashes, each by its own count, so tasks keep their size as the corpus
+grows. Texts are handled whole: a chunk's words are taken in batches of some 512 KB, a longer text being a batch alone.
+
 Nulls, empty texts and texts shorter than the window come back whole. Repeated rows count as occurrences of their own.
 An empty table gives an empty result.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import PACKED, U64, batches, found_keys, member, pack, partitions, range_bits, repeats, short, text_table, texts_of, with_chunk
+from barloom.llm.common import PACKED, U64, batches, chunks, found_keys, member, pack, range_bits, repeats, short, text_bytes, text_table, texts_of, with_chunk
 from barloom.llm.textnum import covered, windows, words
 
 
@@ -31,8 +34,10 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole block at any place: 2 * block - 1 <= window")
     spark = docs.sparkSession
-    n, bits = partitions(spark), range_bits(spark)
-    rows = with_chunk(text_table(docs, id_col, text_col, carry), n)
+    rows = text_table(docs, id_col, text_col, carry)
+    size = text_bytes(rows)
+    bits = range_bits(spark, size // 4)  # a hash a word
+    rows = with_chunk(rows, chunks(spark, size))
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         texts, hashes, marks = texts_of(table), [np.zeros(0, U64)], [np.zeros(0, bool)]
@@ -95,6 +100,6 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Digest of kept words, joined by one space, with windows of 35 words."""
     out = remove_repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    squeezed = F.regexp_replace(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    squeezed = F.regexp_replace(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "), r"\A | \z", "")
     kept = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(squeezed)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

@@ -2,29 +2,34 @@
 
 1. Anchors. Every window of `window` bytes has a lightest k-byte gram (by hash). Equal windows have equal lightest grams,
    so windows whose gram stands nowhere else are settled at once. Runs of windows with one gram form a segment.
-2. Segments whose gram repeats are dealt by gram: equal windows meet in one bucket. Equal segments (by 64-bit digest) are
-   one string with a count, and one that is alone with its gram and stands twice is settled without its bytes.
-3. In a bucket, shards of segments get their transforms, over letters of q bytes; all shards are merged by interleave
-   refinement: each round reads the letter before each suffix in merged order and re-deals the interleave stably, so that
-   after h rounds it is right for h letters; a block that splits in round h ends a common prefix of h - 1 letters. After
-   `window` bytes the unsplit blocks are the repeated intervals. The suffixes are never sorted together.
-4. A gram with over `group_limit` different segments (the edge of a very common passage) would outgrow one task: its
-   windows are counted over the corpus by 63-bit hash instead, packed by hash range.
-
-Nulls and texts below the window come back whole, as empty or unchanged bytes. Repeated rows count as occurrences of
-their own. An empty table gives an empty result.
+2. Segments whose gram repeats are dealt by gram: equal windows meet in one bucket. Equal segments (by 128-bit digest) are
+   one string with a count, and one that is alone with its gram and stands twice is a repeat as it is.
+3. A gram with over `group_limit` different segments (the edge of a very common passage) would outgrow a task. Its windows
+   are dealt anew by what all windows at a like distance from the gram share, 16 distances together and, where that is
+   still too much, one by one; equal windows still meet.
+4. In a bucket, every shard of segments gets its transform once, over letters of q bytes: the letter before each suffix, in
+   suffix order. The merge reads transforms alone. It keeps the interleave, which tells from which shard each suffix of
+   the merged order comes, and refines it: a round reads the shards' letters in the interleave's order and deals them
+   out by letter, so that after h rounds it is right for h letters. A split depth is kept for every place of the merged
+   order: a place that splits from the one before in round h shares h - 1 letters with it. Unsplit stretches after
+   `window` bytes are the repeated intervals; the shards' own orders say where their suffixes stand.
+
+Chunks and buckets are bounded by bytes, ranges by hashes, so tasks keep their size as the corpus grows. A text is never
+cut; one of many megabytes is a batch of its own. Nulls and texts below the window come back whole, as empty or unchanged
+bytes. Repeated rows count as occurrences of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import PACKED, U64, batches, durable, found_keys, member, mix64, pack, partitions, range_bits, repeats, short, stretches, text_table, texts_of, with_chunk
+from barloom.llm.common import PACKED, U64, batches, chunks, durable, found_keys, member, mix64, pack, partitions, range_bits, repeats, short, stretches, text_bytes, text_table, texts_of, with_chunk
 from barloom.llm.textnum import odd_constants
 
 GRAM = 32
@@ -99,45 +104,80 @@ def shard_order(rank: np.ndarray, step: int) -> np.ndarray:
         step *= 2
 
 
-def repeated_starts(segments: list[bytes], counts: np.ndarray, depth: int, shard_bytes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of every string of depth bytes that stands twice or more, by count or by place.
+@dataclass
+class Transform:
+    """A shard's transform. letters: the letter before each suffix, in suffix order, 0 where the suffix begins a string;
+    marks: how many suffixes, the first ones, are end marks; places: where each suffix stands in the joined segments."""
+
+    letters: np.ndarray
+    marks: int
+    places: np.ndarray
+
+
+def transform(segments: list[bytes], q: int) -> Transform:
+    """The transform of one shard.
 
     A letter is a block of q bytes, by hash; the suffix at an offset reads letters at that offset, q later, and so on, so
-    that a segment is q interwoven strings. The last q places of a segment are end marks, each different from all else.
-    Each shard's suffixes are ordered and its transform, the letter before each, is taken; then rounds of refinement
-    interleave all shards, one letter a round, until depth is reached."""
-    q = letter_size(depth)
+    that a segment is q interwoven strings. The last q places of a segment are end marks, each different from all else."""
     raw = np.frombuffer(b"\0".join([*segments, b""]), np.uint8)
     lengths = np.array([len(s) for s in segments])
-    begin = np.cumsum(lengths + 1) - lengths - 1
     size = len(raw)
     hashes = gram_hashes(raw, q)
-    _, letter = np.unique(hashes, return_inverse=True)
-    letter = np.r_[letter, np.zeros(size - len(letter), np.int64)]
-    text = np.repeat(np.arange(len(segments)), lengths + 1)
-    offset = np.arange(size) - begin[text]
-    mark = offset > lengths[text] - q
-    rank = np.where(mark, np.cumsum(mark), letter + int(mark.sum()) + 1)
-    merged = []
+    hashes[hashes == 0] = 1
+    hashes = np.r_[hashes, np.zeros(size - len(hashes), U64)]
+    offset = np.arange(size) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
+    mark = offset > np.repeat(lengths, lengths + 1) - q
+    marks = int(mark.sum())
+    _, rank = np.unique(hashes, return_inverse=True)
+    order = shard_order(np.where(mark, np.cumsum(mark), rank + marks + 1), q)
+    before = np.r_[np.zeros(q, U64), hashes[:-q]][:size]
+    return Transform(np.where(offset[order] < q, U64(0), before[order]), marks, order.astype(np.int32))
+
+
+def merge_transforms(parts: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(interleave, split): the shard of each suffix of the merged order, right for `rounds` letters, and the round in
+    which each place split from the one before it (0: the two share all letters read). Only letters and marks are read."""
+    kind = np.uint16 if len(parts) < 1 << 16 else np.int32
+    shard = np.arange(len(parts), dtype=kind)
+    marks = np.repeat(shard, [p.marks for p in parts])
+    source = np.r_[marks, np.repeat(shard, [len(p.letters) - p.marks for p in parts])]
+    names, letter = np.unique(np.concatenate([p.letters for p in parts]), return_inverse=True)
+    letter = letter + int(names[0] != 0)  # 0 stays for the beginning of a string
+    split = np.zeros(len(source), np.int16)
+    block = np.zeros(len(source), np.int64)
+    here = np.empty(len(source), np.int64)
+    for turn in range(1, rounds + 1):
+        here[np.argsort(source, kind="stable")] = letter
+        held = np.flatnonzero(here)
+        key = np.sort(here[held] << 32 | np.arange(len(held)))
+        at, key = held[key & 0xFFFFFFFF], key >> 32
+        former = block[at]
+        apart = np.ones(len(at), bool)
+        apart[1:] = (key[1:] != key[:-1]) | (former[1:] != former[:-1])
+        source = np.r_[marks, source[at]]
+        apart = np.r_[np.ones(len(marks), bool), apart]
+        split[apart & (split == 0)] = turn
+        block = np.cumsum(split > 0)
+    return source, split
+
+
+def repeated_starts(segments: list[bytes], counts: np.ndarray, depth: int, shard_bytes: int = 1 << 17, q: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, offset) of every string of depth bytes that stands twice or more, by count or by place. q, a divisor of
+    depth, is the bytes of a letter."""
+    q = q or letter_size(depth)
+    lengths = np.array([len(s) for s in segments])
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    parts, base = [], []
     for a, b in batches(segments, shard_bytes):
-        lo, hi = int(begin[a]), int(begin[b - 1] + lengths[b - 1] + 1)
-        merged.append(lo + shard_order(rank[lo:hi], q))
-    merged, marks = np.concatenate(merged), np.flatnonzero(mark)
-    before = np.r_[np.zeros(q, np.int64), letter[: size - q]][:size] << 32
-    first = offset < q
-    block = np.zeros(size, np.int64)
-    for _ in range(depth // q):
-        held = ~first[merged]
-        at, former = merged[held], block[held]
-        key = np.sort(before[at] | np.arange(len(at)))
-        order, key = key & 0xFFFFFFFF, key >> 32
-        former = former[order]
-        split = np.ones(len(at), bool)
-        split[1:] = (key[1:] != key[:-1]) | (former[1:] != former[:-1])
-        merged = np.concatenate([marks, at[order] - q])
-        block = np.concatenate([np.arange(len(marks)), len(marks) - 1 + np.cumsum(split)])
+        parts.append(transform(segments[a:b], q))
+        base.append(int(begin[a]))
+    source, split = merge_transforms(parts, depth // q)
+    place = np.empty(len(source), np.int64)
+    place[np.argsort(source, kind="stable")] = np.concatenate([p.places + b for p, b in zip(parts, base, strict=True)])
+    block = np.cumsum(split > 0) - 1
     sizes = np.bincount(block)
-    text, offset = text[merged], offset[merged]
+    text = np.repeat(np.arange(len(segments), dtype=np.int32), lengths + 1)[place]
+    offset = place - begin[text]
     again = ((sizes[block] > 1) | (counts[text] > 1)) & (offset + depth <= lengths[text])
     return text[again], offset[again]
 
@@ -149,9 +189,30 @@ def runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[cut].tolist(), (starts[last] + window).tolist(), strict=True))
 
 
-SEGMENTS = "anchor long, segment long, doc_id long, text_hash long, chunk int, start int, size int"
-STRINGS = "anchor long, segment long, n long, bytes binary"
-RUNS = "segment long, first int, last int"
+SEGMENTS = "anchor long, segment binary, doc_id long, text_hash long, chunk int, start int, size int"
+SEGMENT_TYPES = {"anchor": pa.int64(), "segment": pa.binary(), "doc_id": pa.int64(), "text_hash": pa.int64(), "chunk": pa.int32(), "start": pa.int32(), "size": pa.int32()}
+STRINGS = "anchor long, segment binary, n long, bytes binary"
+RUNS = "segment binary, first int, last int"
+#: Bytes of strings that one bucket is to hold, and window starts that are dealt together when a gram has too many segments.
+BUCKET_BYTES, NEAR = 1 << 21, 16
+
+
+def digest(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def nearer(piece: bytes, gram: int, window: int, near: int) -> list[tuple[bytes, int, int]]:
+    """(key, first, end) of the runs of a segment's windows that lie in like distance from the gram: `near` distances
+    together. The key is what all windows at these distances share, so equal windows have equal keys."""
+    at = np.flatnonzero(gram_hashes(np.frombuffer(piece, np.uint8), GRAM) == U64(gram & (2**64 - 1)))
+    starts = np.arange(len(piece) - window + 1)
+    at = at[np.searchsorted(at, starts)]
+    band = (at - starts) // near
+    out = []
+    for x, y in zip(*stretches(at, band), strict=True):
+        last = int(at[x] - band[x] * near)
+        out.append((b"%d " % band[x] + piece[last : last - near + 1 + window], int(starts[x]), int(starts[y - 1]) + window))
+    return out
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +220,10 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
     if window < GRAM:
         raise ValueError(f"the window must hold a gram of {GRAM} bytes")
     spark = docs.sparkSession
-    n, bits = partitions(spark), range_bits(spark)
-    rows = with_chunk(text_table(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")), n)
+    rows = text_table(docs, id_col, text_col)
+    total = text_bytes(rows)
+    bits = range_bits(spark, total // 64)  # grams that are lightest somewhere, with room
+    rows = with_chunk(rows.withColumn("text_hash", F.xxhash64("text")), chunks(spark, total))
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         texts, found = [t for t in texts_of(table) if len(t) >= window], [np.zeros(0, U64)]
@@ -174,7 +237,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
     hits = repeats(rows.groupBy("chunk").applyInArrow(anchors, PACKED), exact=False, need_mark=False)
 
     def segments(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, out = found_keys(right), {k.split()[0]: [] for k in SEGMENTS.split(", ")}
+        keys, out = found_keys(right), {k: [] for k in SEGMENT_TYPES}
         ids, hashes = left.column("doc_id").to_pylist(), left.column("text_hash").to_pylist()
         texts = texts_of(left)
         own = [i for i, t in enumerate(texts) if len(t) >= window] if len(keys) else []
@@ -189,20 +252,44 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
                 begin = int(at[x] - offsets[d])
                 piece = part[d][begin : int(at[y - 1] - offsets[d]) + window]
                 i = own[a + d]
-                out["anchor"].append(int(least[at[x]].astype(np.int64)))
-                out["segment"].append(int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True))
-                out["doc_id"].append(ids[i])
-                out["text_hash"].append(hashes[i])
-                out["chunk"].append(key[0].as_py())
-                out["start"].append(begin)
-                out["size"].append(len(piece))
-        kinds = {"long": pa.int64(), "int": pa.int32()}
-        return pa.table(out, pa.schema([(k.split()[0], kinds[k.split()[1]]) for k in SEGMENTS.split(", ")]))
+                for column, value in zip(out.values(), (int(least[at[x]].astype(np.int64)), digest(piece), ids[i], hashes[i], key[0].as_py(), begin, len(piece)), strict=True):
+                    column.append(value)
+        return pa.table(out, pa.schema(SEGMENT_TYPES))
+
+    def redeal(crowd: DataFrame, near: int) -> DataFrame:
+        """Segments cut into runs of windows that are dealt by what they share, no longer by gram."""
+
+        def cut_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            need: dict[tuple, list] = {}
+            for d, h, *x in zip(*[right.column(c).to_pylist() for c in ("doc_id", "text_hash", "anchor", "start", "size")], strict=True):
+                need.setdefault((d, h), []).append(x)
+            out: dict[str, list] = {k: [] for k in SEGMENT_TYPES}
+            for d, h, t in zip(left.column("doc_id").to_pylist(), left.column("text_hash").to_pylist(), left.column("text"), strict=True):
+                wanted = need.pop((d, h), [])
+                t = t.as_py().encode() if wanted else b""
+                for anchor, start, size in wanted:
+                    piece = t[start : start + size]
+                    for name, first, end in nearer(piece, anchor, window, near) if near > 1 else [(piece[i : i + window], i, i + window) for i in range(size - window + 1)]:
+                        value = int.from_bytes(digest(name)[:8], "little", signed=True)
+                        for column, x in zip(out.values(), (value, digest(piece[first:end]), d, h, key[0].as_py(), start + first, end - first), strict=True):
+                            column.append(x)
+            return pa.table(out, pa.schema(SEGMENT_TYPES))
+
+        return rows.groupBy("chunk").cogroup(crowd.groupBy("chunk")).applyInArrow(cut_up, SEGMENTS)
+
+    def kinds(found: DataFrame) -> DataFrame:
+        """Different segments, with their number of places, one of these, and the number of segments that share the key."""
+        groups = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "doc_id", "text_hash", "start", "size")).alias("x"))
+        return durable(groups.join(groups.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor").select("anchor", "segment", "n", "kinds", "x.*"))
 
     found = durable(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(segments, SEGMENTS))
-    groups = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "doc_id", "text_hash", "start", "size")).alias("x"))
-    crowds = groups.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    known = durable(groups.join(crowds, "anchor").select("anchor", "segment", "n", "kinds", "x.*"))
+    known = kinds(found)
+    for near in (min(NEAR, window), 1):
+        crowded = known.where(f"kinds > {group_limit}").select("anchor").distinct()
+        if not crowded.take(1):
+            break
+        found = durable(found.join(crowded, "anchor", "left_anti").unionByName(redeal(found.join(crowded, "anchor", "left_semi"), near)))
+        known = kinds(found)
     alone = known.where("kinds = 1 and n > 1").select("segment", F.lit(0).alias("first"), F.col("size").alias("last"))
 
     def strings(wanted: DataFrame) -> DataFrame:
@@ -219,46 +306,23 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
                     for start, size, *x in need.pop((d, h)):
                         for column, value in zip(out, (*x, t[start : start + size]), strict=True):
                             column.append(value)
-            return pa.table(out, pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
+            return pa.table(out, pa.schema([("anchor", pa.int64()), ("segment", pa.binary()), ("n", pa.int64()), ("bytes", pa.binary())]))
 
         return rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(read, STRINGS)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        ids, pieces = table.column("segment").to_numpy(), table.column("bytes").to_pylist()
-        counts = table.column("n").to_numpy()
-        out = [[], [], []]
-        text, offset = repeated_starts(pieces, counts, window)
+        ids, pieces = table.column("segment").to_pylist(), table.column("bytes").to_pylist()
+        text, offset = repeated_starts(pieces, table.column("n").to_numpy(), window)
         order = np.lexsort((offset, text))
         text, offset = text[order], offset[order]
-        for x, y in zip(*stretches(text), strict=True):
-            for first, last in runs(offset[x:y], window):
-                for column, value in zip(out, (int(ids[text[x]]), first, last), strict=True):
-                    column.append(value)
-        return pa.table(out, pa.schema([("segment", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+        out = [(ids[text[x]], first, last) for x, y in zip(*stretches(text), strict=True) for first, last in runs(offset[x:y], window)]
+        return pa.table([list(c) for c in zip(*out, strict=True)] or [[], [], []], pa.schema([("segment", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
 
     # A string that is alone with its gram and stands once can only repeat inside itself, which takes two windows.
-    mixed = known.where(f"kinds <= {group_limit} and (kinds > 1 or (n = 1 and size > {window}))")
-    ranges = strings(mixed).withColumn("bucket", F.pmod(F.col("anchor"), F.lit(2 * n))).groupBy("bucket").applyInArrow(merge, RUNS).unionByName(alone)
-    crowded = known.where(f"kinds > {group_limit}")
-    if crowded.take(1):
-        shared = strings(crowded).withColumn("bucket", F.pmod(F.xxhash64("segment"), F.lit(n)).cast("int"))
-
-        def hashed(piece: bytes) -> np.ndarray:
-            return gram_hashes(np.frombuffer(piece, np.uint8), window)
-
-        def count(key: tuple, table: pa.Table) -> pa.Table:
-            h = [np.tile(hashed(p), min(2, c)) for p, c in zip(table.column("bytes").to_pylist(), table.column("n").to_pylist(), strict=True)]
-            return pack(key[0].as_py(), np.concatenate(h), None, bits, exact=True)
-
-        def settle(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            keys, out = found_keys(right), []
-            for s, p in zip(left.column("segment").to_pylist(), left.column("bytes").to_pylist(), strict=True):
-                starts = np.flatnonzero(member(hashed(p) >> U64(1), keys))
-                out += [(s, a, b) for a, b in runs(starts, window)] if len(starts) else []
-            return pa.table([list(c) for c in zip(*out, strict=True)] or [[], [], []], pa.schema([("segment", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
-
-        again = repeats(shared.groupBy("bucket").applyInArrow(count, PACKED), exact=True, need_mark=False).withColumnRenamed("chunk", "bucket")
-        ranges = ranges.unionByName(shared.groupBy("bucket").cogroup(again.groupBy("bucket")).applyInArrow(settle, RUNS))
+    mixed = known.where(f"kinds > 1 or (n = 1 and size > {window})")
+    held = mixed.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
+    buckets = max(2 * partitions(spark), -(-held // BUCKET_BYTES))
+    ranges = strings(mixed).withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(merge, RUNS).unionByName(alone)
     gone = found.select("segment", "doc_id", "text_hash", "chunk", "start").join(ranges, "segment").select("chunk", "doc_id", "text_hash", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -15,6 +15,7 @@ from barloom.llm import language_id, line_quality, minhash_dedup, multi_index, p
 from barloom.llm.links import components
 
 DOCS = brute.sample_docs(120)
+DOCS += [(len(DOCS) + i, t) for i, t in enumerate(["foo \u2028", "foo \u0085", "a b \u2029", "\u2028 a", "a\n\u0085", " x \r\n"])]
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, class string, band int, rest string, spans int, `__key` int"
 
 
@@ -55,16 +56,48 @@ def test_suffix_merge_against_counting():
     rng = np.random.default_rng(3)
     for _ in range(40):
         pieces = [bytes(rng.integers(0, 3, rng.integers(1, 90)).astype(np.uint8)) for _ in range(rng.integers(1, 12))]
-        counts, depth = rng.integers(1, 3, len(pieces)), int(rng.integers(2, 12))
+        counts, q, rounds = rng.integers(1, 3, len(pieces)), int(rng.integers(1, 4)), int(rng.integers(1, 5))
+        depth = q * rounds
         seen = {}
         for p, c in zip(pieces, counts, strict=True):
             for k in range(len(p) - depth + 1):
                 seen[p[k : k + depth]] = seen.get(p[k : k + depth], 0) + c
         want = {(i, k) for i, p in enumerate(pieces) for k in range(len(p) - depth + 1) if seen[p[k : k + depth]] > 1}
-        text, offset = suffix_dedup.repeated_starts(pieces, counts, depth, shard_bytes=64)
+        text, offset = suffix_dedup.repeated_starts(pieces, counts, depth, shard_bytes=64, q=q)
         assert set(zip(text.tolist(), offset.tolist(), strict=True)) == want
 
 
+def test_suffix_merge_reads_the_transforms(monkeypatch):
+    """The merge rests on the shards' orders, and its split depths are the common prefixes of neighbours."""
+    rng = np.random.default_rng(4)
+    pieces = [bytes(rng.integers(0, 2, 40).astype(np.uint8)) for _ in range(6)]
+    parts = [suffix_dedup.transform(pieces[i : i + 2], 1) for i in (0, 2, 4)]
+    source, split = suffix_dedup.merge_transforms(parts, 12)
+    suffixes, at = [], [0] * 3
+    for s in source.tolist():
+        place = int(parts[s].places[at[s]])
+        at[s] += 1
+        suffixes.append(pieces[2 * s + place // 41][place % 41 :])
+    marks = sum(p.marks for p in parts)
+    letter = suffix_dedup.gram_hashes(np.array([0, 1], np.uint8), 1).tolist()
+    ranked = [tuple(letter[c] for c in x[:12]) for x in suffixes]
+    assert all(x == () for x in ranked[:marks]) and ranked[marks:] == sorted(ranked[marks:])
+    for a, b, depth in zip(suffixes[marks:], suffixes[marks + 1 :], split[marks + 1 :].tolist()):
+        common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert depth == (common + 1 if common < 12 else 0)
+    want = suffix_dedup.repeated_starts(pieces, np.ones(6, int), 12, shard_bytes=82, q=1)
+    order = suffix_dedup.shard_order
+
+    def scrambled(rank, step):
+        right = order(rank, step)
+        marks = int((np.sort(rank)[: len(right)] <= 2 * 1).sum())
+        return np.r_[right[:marks], rng.permutation(right[marks:])]
+
+    monkeypatch.setattr(suffix_dedup, "shard_order", scrambled)
+    got = suffix_dedup.repeated_starts(pieces, np.ones(6, int), 12, shard_bytes=82, q=1)
+    assert set(zip(*map(np.ndarray.tolist, got), strict=True)) != set(zip(*map(np.ndarray.tolist, want), strict=True))
+
+
 def test_minhash_dedup(spark, data):
     assert {k: v[:3] for k, v in by_id(minhash_dedup.op1_minhash_dedup(spark, data)).items()} == brute.near_duplicates(DOCS)
 
