@@ -5,8 +5,8 @@
 2. Segments whose gram repeats are dealt by gram: equal windows meet in one bucket. Equal segments (by 128-bit digest) are
    one string with a count, and one that is alone with its gram and stands twice is a repeat as it is.
 3. A gram with over `group_limit` different segments (the edge of a very common passage) would outgrow a task. Its windows
-   are dealt anew by what all windows at a like distance from the gram share, 16 distances together and, where that is
-   still too much, one by one; equal windows still meet.
+   are dealt anew by what all windows at a like distance from the gram share: 64 distances together and, where that is
+   still too much, 16, then one by one. Equal windows still meet.
 4. In a bucket, every shard of segments gets its transform once, over letters of q bytes: the letter before each suffix, in
    suffix order. The merge reads transforms alone. It keeps the interleave, which tells from which shard each suffix of
    the merged order comes, and refines it: a round reads the shards' letters in the interleave's order and deals them
@@ -77,8 +77,8 @@ def lightest(texts: list[bytes], window: int):
 
 
 def letter_size(depth: int) -> int:
-    """The largest divisor of depth up to GRAM: the bytes of a letter."""
-    return max(q for q in range(1, GRAM + 1) if depth % q == 0)
+    """The bytes of a letter: the largest divisor of depth of which four or more make up depth."""
+    return max(q for q in range(1, max(1, depth // 4) + 1) if depth % q == 0)
 
 
 def shard_order(rank: np.ndarray, step: int) -> np.ndarray:
@@ -122,14 +122,12 @@ def transform(segments: list[bytes], q: int) -> Transform:
     raw = np.frombuffer(b"\0".join([*segments, b""]), np.uint8)
     lengths = np.array([len(s) for s in segments])
     size = len(raw)
-    hashes = gram_hashes(raw, q)
-    hashes[hashes == 0] = 1
+    hashes = gram_hashes(raw, q) | U64(1 << 63)  # above all marks
     hashes = np.r_[hashes, np.zeros(size - len(hashes), U64)]
     offset = np.arange(size) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
     mark = offset > np.repeat(lengths, lengths + 1) - q
     marks = int(mark.sum())
-    _, rank = np.unique(hashes, return_inverse=True)
-    order = shard_order(np.where(mark, np.cumsum(mark), rank + marks + 1), q)
+    order = shard_order(np.where(mark, np.cumsum(mark).astype(U64), hashes), q)
     before = np.r_[np.zeros(q, U64), hashes[:-q]][:size]
     return Transform(np.where(offset[order] < q, U64(0), before[order]), marks, order.astype(np.int32))
 
@@ -189,18 +187,33 @@ def runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[cut].tolist(), (starts[last] + window).tolist(), strict=True))
 
 
-SEGMENTS = "anchor long, segment binary, doc_id long, text_hash long, chunk int, start int, size int"
-SEGMENT_TYPES = {"anchor": pa.int64(), "segment": pa.binary(), "doc_id": pa.int64(), "text_hash": pa.int64(), "chunk": pa.int32(), "start": pa.int32(), "size": pa.int32()}
+SEGMENTS = "anchor long, segment binary, doc_id long, text_hash long, chunk int, start int, size int, several boolean"
+SEGMENT_TYPES = {"anchor": pa.int64(), "segment": pa.binary(), "doc_id": pa.int64(), "text_hash": pa.int64(), "chunk": pa.int32(), "start": pa.int32(), "size": pa.int32(), "several": pa.bool_()}
+PIECE_TYPES = SEGMENT_TYPES | {"n": pa.int64(), "gram": pa.int64(), "owner": pa.binary(), "at": pa.int32()}
 STRINGS = "anchor long, segment binary, n long, bytes binary"
 RUNS = "segment binary, first int, last int"
-#: Bytes of strings that one bucket is to hold, and window starts that are dealt together when a gram has too many segments.
-BUCKET_BYTES, NEAR = 1 << 21, 16
+#: Bytes of strings that one bucket is to hold, and how many distances are dealt together when a gram has too many segments.
+BUCKET_BYTES, NEAR = 1 << 21, (64, 16, 1)
 
 
 def digest(piece: bytes) -> bytes:
     return hashlib.blake2b(piece, digest_size=16).digest()
 
 
+def several(grams: np.ndarray, least: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which segments (first and last window start) may hold their lightest gram more than once. Where it stands once, all
+    windows lie at different distances from it, so that no two of them are equal."""
+    span = len(grams) - len(least)
+    most = slide(np.r_[np.zeros(span, U64), least, np.zeros(span, U64)], span + 1, np.maximum)
+    places = np.flatnonzero(grams == most[: len(grams)])
+    a, b = np.searchsorted(places, start), np.searchsorted(places, end + span, side="right")
+    held = np.zeros(len(start), np.int64)
+    for k in range(4):
+        here = a + k < b
+        held[here] += grams[places[(a + k)[here]]] == least[start[here]]
+    return (held > 1) | (b - a > 4)
+
+
 def nearer(piece: bytes, gram: int, window: int, near: int) -> list[tuple[bytes, int, int]]:
     """(key, first, end) of the runs of a segment's windows that lie in like distance from the gram: `near` distances
     together. The key is what all windows at these distances share, so equal windows have equal keys."""
@@ -243,53 +256,57 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
         own = [i for i, t in enumerate(texts) if len(t) >= window] if len(keys) else []
         for a, b in batches([texts[i] for i in own], 1 << 19):
             part = [texts[i] for i in own[a:b]]
-            _, least, valid, offsets = lightest(part, window)
+            grams, least, valid, offsets = lightest(part, window)
             at = np.flatnonzero(valid)
             at = at[member(short(least[at] & ~U64(1), bits), keys)]
             doc = np.searchsorted(offsets, at, side="right") - 1
-            for x, y in zip(*stretches(at - np.arange(len(at)), least[at], doc), strict=True):
+            first, end = stretches(at - np.arange(len(at)), least[at], doc)
+            for x, y, more in zip(first.tolist(), end.tolist(), several(grams, least, at[first], at[end - 1]).tolist(), strict=True):
                 d = doc[x]
                 begin = int(at[x] - offsets[d])
                 piece = part[d][begin : int(at[y - 1] - offsets[d]) + window]
                 i = own[a + d]
-                for column, value in zip(out.values(), (int(least[at[x]].astype(np.int64)), digest(piece), ids[i], hashes[i], key[0].as_py(), begin, len(piece)), strict=True):
+                for column, value in zip(out.values(), (int(least[at[x]].astype(np.int64)), digest(piece), ids[i], hashes[i], key[0].as_py(), begin, len(piece), more), strict=True):
                     column.append(value)
         return pa.table(out, pa.schema(SEGMENT_TYPES))
 
     def redeal(crowd: DataFrame, near: int) -> DataFrame:
-        """Segments cut into runs of windows that are dealt by what they share, no longer by gram."""
+        """Different segments cut into runs of windows that are dealt by what they share, no longer by gram."""
 
         def cut_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             need: dict[tuple, list] = {}
-            for d, h, *x in zip(*[right.column(c).to_pylist() for c in ("doc_id", "text_hash", "anchor", "start", "size")], strict=True):
+            for d, h, *x in zip(*[right.column(c).to_pylist() for c in ("doc_id", "text_hash", "gram", "segment", "n", "start", "size")], strict=True):
                 need.setdefault((d, h), []).append(x)
-            out: dict[str, list] = {k: [] for k in SEGMENT_TYPES}
+            out: dict[str, list] = {k: [] for k in PIECE_TYPES}
             for d, h, t in zip(left.column("doc_id").to_pylist(), left.column("text_hash").to_pylist(), left.column("text"), strict=True):
                 wanted = need.pop((d, h), [])
                 t = t.as_py().encode() if wanted else b""
-                for anchor, start, size in wanted:
+                for gram, owner, n, start, size in wanted:
                     piece = t[start : start + size]
-                    for name, first, end in nearer(piece, anchor, window, near) if near > 1 else [(piece[i : i + window], i, i + window) for i in range(size - window + 1)]:
+                    for name, first, end in nearer(piece, gram, window, near) if near > 1 else [(piece[i : i + window], i, i + window) for i in range(size - window + 1)]:
                         value = int.from_bytes(digest(name)[:8], "little", signed=True)
-                        for column, x in zip(out.values(), (value, digest(piece[first:end]), d, h, key[0].as_py(), start + first, end - first), strict=True):
+                        for column, x in zip(out.values(), (value, digest(piece[first:end]), d, h, key[0].as_py(), start + first, end - first, False, n, gram, owner, first), strict=True):
                             column.append(x)
-            return pa.table(out, pa.schema(SEGMENT_TYPES))
+            return pa.table(out, pa.schema(PIECE_TYPES))
 
-        return rows.groupBy("chunk").cogroup(crowd.groupBy("chunk")).applyInArrow(cut_up, SEGMENTS)
+        return rows.groupBy("chunk").cogroup(crowd.groupBy("chunk")).applyInArrow(cut_up, f"{SEGMENTS}, n long, gram long, owner binary, at int")
 
-    def kinds(found: DataFrame) -> DataFrame:
+    def kinds(rows: DataFrame, places: str) -> DataFrame:
         """Different segments, with their number of places, one of these, and the number of segments that share the key."""
-        groups = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "doc_id", "text_hash", "start", "size")).alias("x"))
+        groups = rows.groupBy("anchor", "segment").agg(F.expr(places).alias("n"), F.min(F.struct("chunk", "doc_id", "text_hash", "start", "size", "several", "gram")).alias("x"))
         return durable(groups.join(groups.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor").select("anchor", "segment", "n", "kinds", "x.*"))
 
     found = durable(rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(segments, SEGMENTS))
-    known = kinds(found)
-    for near in (min(NEAR, window), 1):
-        crowded = known.where(f"kinds > {group_limit}").select("anchor").distinct()
-        if not crowded.take(1):
+    latest = kinds(found.withColumn("gram", F.col("anchor")), "count(*)")
+    known, cuts = latest, []
+    for near in NEAR if window > NEAR[0] else NEAR[-1:]:
+        crowd = latest.where(f"kinds > {group_limit}")
+        if not crowd.take(1):
             break
-        found = durable(found.join(crowded, "anchor", "left_anti").unionByName(redeal(found.join(crowded, "anchor", "left_semi"), near)))
-        known = kinds(found)
+        pieces = durable(redeal(crowd, near))
+        cuts.append(pieces.select("segment", "owner", "at"))
+        latest = kinds(pieces, "sum(n)")
+        known = known.where(f"kinds <= {group_limit}").unionByName(latest)
     alone = known.where("kinds = 1 and n > 1").select("segment", F.lit(0).alias("first"), F.col("size").alias("last"))
 
     def strings(wanted: DataFrame) -> DataFrame:
@@ -318,11 +335,14 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
         out = [(ids[text[x]], first, last) for x, y in zip(*stretches(text), strict=True) for first, last in runs(offset[x:y], window)]
         return pa.table([list(c) for c in zip(*out, strict=True)] or [[], [], []], pa.schema([("segment", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
 
-    # A string that is alone with its gram and stands once can only repeat inside itself, which takes two windows.
-    mixed = known.where(f"kinds > 1 or (n = 1 and size > {window})")
+    # A string that is alone with its gram and stands once can only repeat inside itself.
+    mixed = known.where("kinds > 1 or (n = 1 and several)")
     held = mixed.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
     buckets = max(2 * partitions(spark), -(-held // BUCKET_BYTES))
     ranges = strings(mixed).withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(merge, RUNS).unionByName(alone)
+    for cut_rows in reversed(cuts):
+        ranges = durable(ranges)
+        ranges = ranges.unionByName(ranges.join(cut_rows, "segment").select(F.col("owner").alias("segment"), (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last")))
     gone = found.select("segment", "doc_id", "text_hash", "chunk", "start").join(ranges, "segment").select("chunk", "doc_id", "text_hash", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -79,7 +79,7 @@ def test_suffix_merge_reads_the_transforms(monkeypatch):
         at[s] += 1
         suffixes.append(pieces[2 * s + place // 41][place % 41 :])
     marks = sum(p.marks for p in parts)
-    letter = suffix_dedup.gram_hashes(np.array([0, 1], np.uint8), 1).tolist()
+    letter = (suffix_dedup.gram_hashes(np.array([0, 1], np.uint8), 1) | np.uint64(1 << 63)).tolist()
     ranked = [tuple(letter[c] for c in x[:12]) for x in suffixes]
     assert all(x == () for x in ranked[:marks]) and ranked[marks:] == sorted(ranked[marks:])
     for a, b, depth in zip(suffixes[marks:], suffixes[marks + 1 :], split[marks + 1 :].tolist()):
@@ -90,7 +90,7 @@ def test_suffix_merge_reads_the_transforms(monkeypatch):
 
     def scrambled(rank, step):
         right = order(rank, step)
-        marks = int((np.sort(rank)[: len(right)] <= 2 * 1).sum())
+        marks = int((rank < 1 << 63).sum())
         return np.r_[right[:marks], rng.permutation(right[marks:])]
 
     monkeypatch.setattr(suffix_dedup, "shard_order", scrambled)
