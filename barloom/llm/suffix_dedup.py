@@ -289,7 +289,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
                             column.append(x)
             return pa.table(out, pa.schema(PIECE_TYPES))
 
-        return rows.groupBy("chunk").cogroup(crowd.groupBy("chunk")).applyInArrow(cut_up, f"{SEGMENTS}, n long, gram long, owner binary, at int")
+        # Only texts that hold a crowd's segment are dealt again.
+        holders = rows.join(crowd.select("chunk", "text_hash").distinct(), ["chunk", "text_hash"], "left_semi")
+        return holders.groupBy("chunk").cogroup(crowd.groupBy("chunk")).applyInArrow(cut_up, f"{SEGMENTS}, n long, gram long, owner binary, at int")
 
     def kinds(rows: DataFrame, places: str) -> DataFrame:
         """Different segments, with their number of places, one of these, and the number of segments that share the key."""
@@ -300,9 +302,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
     latest = kinds(found.withColumn("gram", F.col("anchor")), "count(*)")
     known, cuts = latest, []
     for near in NEAR if window > NEAR[0] else NEAR[-1:]:
-        crowd = latest.where(f"kinds > {group_limit}")
-        if not crowd.take(1):
+        if not latest.where(f"kinds > {group_limit}").take(1):
             break
+        crowd = durable(latest.where(f"kinds > {group_limit}"))
         pieces = durable(redeal(crowd, near))
         cuts.append(pieces.select("segment", "owner", "at"))
         latest = kinds(pieces, "sum(n)")
