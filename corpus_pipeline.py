@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on the whole of what the stage before kept. All
 but the last return the columns of documents, n_chars being renewed where a text changes.
+
+Rows, not ids, are documents: a null or repeated doc_id goes through all stages. Null texts and texts without a letter go
+in the first stage, so that an input of these alone, or an empty one, gives an empty result. Repeated rows are near
+duplicates, of which one stays; ties are settled by doc_id, then by a digest of the row. Texts are handled whole, however
+long. Further columns of documents are not carried.
 """
 
 from __future__ import annotations
@@ -10,26 +15,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import language_id, minhash_dedup, packing, secrets, substring_dedup
+from barloom.llm import common
 from barloom.llm.common import durable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go. Known labels teach the prototypes."""
+    """Documents in which a language is found: null texts and texts without a letter go, and only these, as every language
+    of the labels is wanted. A null label is filled with the prediction; given labels stay. Known labels teach the
+    prototypes; where there are none, texts with a letter stay without a language."""
     prototypes = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = language_id.predict(docs, prototypes, carry=["lang", "source", "n_chars"])
     return found.where("lang_pred <> 'und'").select("doc_id", "text", F.coalesce("rest.lang", "lang_pred").alias("lang"), "rest.source", "rest.n_chars")
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, and of rows that share this id the
-    one with the most shingles. A null doc_id is no id: such a row stays if its group has no id and it is the group's kept
-    row; without words all such rows stay."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept and (doc_id is not null or n_shingles > 0)")
-    best = kept.groupBy("doc_id", F.expr("if(doc_id is null, row_key, null)").alias("alone")).agg(F.min(F.struct((-F.col("n_shingles")).alias("n"), "row_key")).alias("x"))
-    found = docs.withColumn("row_key", minhash_dedup.row_key()).join(best.select("x.row_key"), "row_key").dropDuplicates(["row_key"])
-    wordless = docs.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    """One row of each group of near duplicates: the one with the smallest doc_id, rows without an id coming last. Rows are
+    found by a key of doc_id and text, so different texts under one doc_id stay apart. Rows without words all stay."""
+    rows = docs.withColumn("row_key", minhash_dedup.row_key())
+    groups = minhash_dedup.near_duplicates(docs).where("class is not null").groupBy("group")
+    best = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("x"))
+    found = rows.join(best.select("x.row_key"), "row_key").dropDuplicates(["row_key"])
+    wordless = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return found.select(*COLUMNS).unionByName(wordless.select(*COLUMNS))
 
 
@@ -66,9 +76,10 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(common.WRITTEN)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = durable(docs)
+            common.release(spark, since=first, keep=1)  # the stage's own tables, and the stage before
     return docs
