@@ -6,19 +6,20 @@ parity bitmap, the odd sketch, let a XOR and a population count estimate a pair'
 compared. The chance that a pair at 0.75 shares none of 32 bands of 4 is below 6e-6.
 
 Round A tests every class against its buckets' smallest class, a number of tests linear in the buckets' sizes, and joins
-what is linked. Round B tests, in buckets that still hold classes of two components, the pairs across components; large
-buckets are split into blocks, and each pair of blocks is a task. A bucket of any size that is one component after
-round A, as groups of copies are, costs nothing more; a block tests no pair that it has joined already. Every link is
-confirmed on full sets.
-
-Nulls, empty texts and texts without words have an empty set and stand alone. Texts shorter than the shingle are one
-shingle. Repeated rows are linked unless their sets are empty. Rows that share a doc_id share a component, also where
-their texts differ or have no words.
-
-A null doc_id is no id: it links nothing, and such rows count by their texts alone. In a component that has an id they
-are not kept. A component of null ids alone has a null component_id and keeps the row with the smallest set digest, then
-row key; without words every one is kept. Rows that are equal in doc_id and text get the same verdict.
-An empty table gives an empty result.
+what is linked. Round B looks at buckets that still hold classes of two components: the classes outside the bucket's
+largest component are paired with all others, those inside it never with each other, so that a few strays in a bucket of
+a million copies cost a few passes over it. Blocks of sketches are compared first; texts follow only for classes that
+have a pair left. A block tests no pair that it has joined already. Every link is confirmed on full sets.
+
+Sketches reject pairs estimated `slack` below the threshold. With 128 samples in 512 bits an estimate at 0.75 has a
+standard deviation of 0.041, so that 0.2 loses a pair at the threshold with a chance below 1e-6.
+
+Rows are the nodes: a shared doc_id alone links nothing, and a null doc_id is no id. Nulls, empty texts and texts without
+words have an empty set and stand alone; shorter texts than the shingle are one shingle. Long texts are signed whole, in
+batches of their own. Repeated rows are linked unless their sets are empty. A component's id is its smallest doc_id, null
+where all its ids are null; such a component keeps the row with the smallest class, then row key. Rows that are equal in
+doc_id and text get the same verdict. Sets and rows are told apart by 128-bit digests. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -56,9 +57,9 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
-def class_of(hashes: np.ndarray) -> int:
-    """A set's 64-bit digest."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(hashes: np.ndarray) -> bytes:
+    """A set's 128-bit digest."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def samples(sets: list[np.ndarray], k: int) -> np.ndarray:
@@ -95,12 +96,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-SIGNED = "doc_id long, n_shingles long, class long, bands array<long>, sketch array<long>, row_key long"
+SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>, row_key binary"
 
 
-def row_key():
-    """What finds a row again, with or without an id: a 64-bit hash of doc_id and text."""
-    return F.xxhash64("doc_id", "text")
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """What finds a row again, with or without an id: a 128-bit digest of doc_id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.when(F.col(text).isNull(), "-").otherwise(":"), F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")))
 
 
 def signatures(docs: DataFrame, shingle: int = 5, k: int = 128, rows: int = 4) -> DataFrame:
@@ -117,7 +118,7 @@ def signatures(docs: DataFrame, shingle: int = 5, k: int = 128, rows: int = 4) -
                     bands, sketch = iter(band_keys(least, rows).tolist()), iter(odd_sketches(least).tolist())
                 own = [bool(len(s)) for s in sets]
                 yield pa.record_batch(
-                    [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([next(bands) if x else None for x in own], pa.list_(pa.int64())), pa.array([next(sketch) if x else None for x in own], pa.list_(pa.int64())), keys[a:b]],
+                    [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([next(bands) if x else None for x in own], pa.list_(pa.int64())), pa.array([next(sketch) if x else None for x in own], pa.list_(pa.int64())), keys[a:b]],
                     names=["doc_id", "n_shingles", "class", "bands", "sketch", "row_key"],
                 )
 
@@ -128,17 +129,18 @@ def flips(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int = 128, rows: int = 4, slack: float = 0.3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class (set digest), component_id, kept, row_key."""
+OPEN = "band long, i int, j int, class binary, root binary, leader binary, mine int, bands array<long>, sketch array<long>"
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int = 128, rows: int = 4, slack: float = 0.2, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, class (set digest), group (its component's digest; null without words), component_id,
+    kept, row_key."""
     texts = text_table(docs, id_col, text_col).withColumn("row_key", row_key())
     limit = most_flips(k, percent / 100 - slack)
     signed = durable(signatures(texts, shingle, k, rows))
     classes = durable(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row_key", "bands", "sketch")).alias("x")).select("class", "doc_id", "x.row_key", "x.bands", "x.sketch"))
-    # Ids that stand with several sets, or with a set and without words; most tables have none.
-    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("last"), F.bool_or(F.col("class").isNull()).alias("bare"))
-    again = durable(ids.where("a <> last or (bare and a is not null)").select("doc_id", "a"))
     entries = classes.select(F.explode("bands").alias("band"), "class")
-    shared = entries.groupBy("band").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    shared = entries.groupBy("band").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     members = durable(entries.join(shared, "band"))
     sketches = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "sketch")
     involved = classes.join(members.select("class").distinct(), "class", "left_semi").select("class", "row_key")
@@ -150,73 +152,89 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
         """The pairs (a, b) that full sets confirm. Text b goes to a's group; large groups of a are split."""
         groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("parts"))
         right = pairs.join(groups, "a").join(own_text.withColumnRenamed("class", "b"), "b").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "text")
-        left = groups.join(own_text.withColumnRenamed("class", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
+        left = groups.join(own_text.withColumnRenamed("class", "a"), "a").select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
 
         def confirm(table: pa.Table) -> pa.Table:
             a, b, held = table.column("a")[0].as_py(), table.column("b").to_pylist(), texts_of(table)
-            # Rows whose keys collide can bring a text of another class; the digest tells.
-            base = next((s for i in range(len(b)) if b[i] is None for s in shingle_sets([held[i]], shingle) if class_of(s) == a), None)
+            base = next((s for i in range(len(b)) if b[i] is None for s in shingle_sets([held[i]], shingle)), None)
             found = set()
             for i, j in batches(held) if base is not None else ():
                 for name, s in zip(b[i:j], shingle_sets(held[i:j], shingle), strict=True):
-                    if name is not None and name not in found and similar(base, s, percent) and class_of(s) == name:
+                    if name is not None and similar(base, s, percent):
                         found.add(name)
-            return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
+            return pa.table({"a": pa.array([a] * len(found), pa.binary()), "b": pa.array(sorted(found), pa.binary())})
 
-        return right.unionByName(left).groupBy("a", "part").applyInArrow(confirm, "a long, b long")
+        return right.unionByName(left).groupBy("a", "part").applyInArrow(confirm, "a binary, b binary")
 
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sketches.select(F.col("class").alias("b"), F.col("sketch").alias("right")), "b").join(sketches.select(F.col("class").alias("a"), F.col("sketch").alias("left")), "a")
         return both.where(flips("left", "right") <= limit).select("a", "b")
 
     first = durable(tested(durable(close(members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()))))
-    repeated = bool(again.take(1))
-    if repeated:
-        first = durable(first.unionByName(signed.join(again, "doc_id").where("class <> a").select("a", F.col("class").alias("b")).distinct()))
     roots = components(first)
     placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    open_rows = placed.join(mixed, "band").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    open_rows = open_rows.join(classes.select("class", "bands", "sketch"), "class").join(own_text, "class")
-    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "root", "leader", "mine", "bands", "sketch", "text")
-
-    def across(key: tuple, table: pa.Table) -> pa.Table:
-        name, root, lead, mine = (table.column(c).to_numpy() for c in ("class", "root", "leader", "mine"))
-        held = shingle_sets(texts_of(table), shingle)
-        # Rows whose keys collide can bring a text of another class; round A has tested the leader.
-        plain = [i for i in range(len(name)) if name[i] != lead[i] and class_of(held[i]) == name[i]]
-        name, root, mine, held = name[plain], root[plain].copy(), mine[plain], [held[i] for i in plain]
-        bits, bands = (np.array(table.column(c).take(pa.array(plain, pa.int64())).to_pylist(), np.int64) for c in ("sketch", "bands"))
-        here, two, out = key[0].as_py(), key[1].as_py() != key[2].as_py(), [[], []]
-        for i in range(len(name)):
-            rest = np.arange(i + 1, len(name))
+    held = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    crowd = F.max(F.struct("n", "root"))
+    mixed = held.groupBy("band").agg(crowd.alias("most"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = mixed.select("band", F.col("most.root").alias("main"), F.ceil(F.col("most.n") / block).cast("int").alias("main_blocks"), F.ceil((F.col("n") - F.col("most.n")) / block).cast("int").alias("blocks"))
+    in_main = F.col("root") == F.col("main")
+    mine = F.when(in_main, F.col("blocks") + F.pmod(F.xxhash64("class"), F.col("main_blocks"))).otherwise(F.pmod(F.xxhash64("class"), F.col("blocks"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(in_main, F.col("blocks")).otherwise(F.col("blocks") + F.col("main_blocks")) - 1)
+    open_rows = placed.join(mixed, "band").select("band", "class", "root", "leader", mine.alias("mine"), F.explode(others).alias("other"))
+    dealt = open_rows.join(classes.select("class", "bands", "sketch"), "class").select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "root", "leader", "mine", "bands", "sketch")
+
+    def left_over(key: tuple, table: pa.Table):
+        """The block's rows but the leader, which round A has tested, and for each the later rows that its sketch leaves."""
+        plain = np.array([a != b for a, b in zip(table.column("class").to_pylist(), table.column("leader").to_pylist(), strict=True)], bool)
+        table = table.filter(pa.array(plain))
+        _, root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)
+        mine = table.column("mine").to_numpy()
+        bits, bands = (table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, n) for c, n in (("sketch", SKETCH_BITS // 64), ("bands", k // rows)))
+        here, two = key[0].as_py(), key[1].as_py() != key[2].as_py()
+
+        def later(i: int) -> np.ndarray:
+            rest = np.arange(i + 1, len(root))
             rest = rest[(root[rest] != root[i]) & ((mine[rest] != mine[i]) if two else True)]
             rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1) <= limit]
             if len(rest):  # a pair is tested in the first band that it shares
                 rest = rest[bands[i][(bands[rest] == bands[i]).argmax(axis=1)] == here]
-            for j in rest.tolist():
-                if root[i] != root[j] and similar(held[i], held[j], percent):
-                    out[0].append(int(name[i]))
-                    out[1].append(int(name[j]))
+            return rest
+
+        return table, root, later
+
+    def sift(key: tuple, table: pa.Table) -> pa.Table:
+        table, root, later = left_over(key, table)
+        wanted = np.zeros(len(root), bool)
+        for i in range(len(root)):
+            rest = later(i)
+            wanted[rest] = True
+            wanted[i] |= len(rest) > 0
+        return table.filter(pa.array(wanted))
+
+    def across(key: tuple, table: pa.Table) -> pa.Table:
+        table, root, later = left_over(key, table)
+        name, out = table.column("class").to_pylist(), [[], []]
+        sets = shingle_sets(texts_of(table), shingle)
+        for i in range(len(name)):
+            for j in later(i).tolist():
+                if root[i] != root[j] and similar(sets[i], sets[j], percent):
+                    out[0].append(name[i])
+                    out[1].append(name[j])
                     root[root == root[j]] = root[i]
-        return pa.table(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        return pa.table(out, pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
-    second = durable(dealt.groupBy("band", "i", "j").applyInArrow(across, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sifted = dealt.select(*[x.split()[0] for x in OPEN.split(", ")]).groupBy("band", "i", "j").applyInArrow(sift, OPEN)
+    second = durable(sifted.join(own_text, "class").groupBy("band", "i", "j").applyInArrow(across, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if second.take(1):
         roots = components(first.unionByName(second))
-    labels = roots.withColumnRenamed("node", "class").join(classes.select("class", "doc_id"), "class")
-    label = labels.groupBy("root").agg(F.min("doc_id").alias("label"))
-    placed = classes.select("class", "doc_id", "row_key").join(roots.withColumnRenamed("node", "class").join(label, "root"), "class", "left")
+    placed = classes.select("class", "doc_id", "row_key").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("root", "class"))
+    label = placed.groupBy("group").agg(F.min("doc_id").alias("label"))
     # lone: the row that a component without any id keeps.
-    final = placed.select("class", F.coalesce("label", "doc_id").alias("label"), F.when(F.coalesce("label", "doc_id").isNull() & (F.coalesce("root", "class") == F.col("class")), F.col("row_key")).alias("lone"))
-    out = signed.select("doc_id", "n_shingles", "class", "row_key")
-    if repeated:
-        out = out.join(again, "doc_id", "left").withColumn("at", F.coalesce("class", "a"))
-    else:
-        out = out.withColumn("at", F.col("class"))
-    out = out.join(final.withColumnRenamed("class", "at"), "at", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
+    lone = F.when(F.col("label").isNull() & (F.col("group") == F.col("class")), F.col("row_key"))
+    final = placed.join(label, "group").select("class", "group", "label", lone.alias("lone"))
+    out = signed.select("doc_id", "n_shingles", "class", "row_key").join(final, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("label")))
     kept = F.when(F.col("component_id").isNotNull(), F.col("doc_id") == F.col("component_id")).otherwise(F.col("class").isNull() | (F.col("row_key") == F.col("lone")))
-    return out.select("doc_id", "n_shingles", "class", "component_id", F.coalesce(kept, F.lit(False)).alias("kept"), "row_key")
+    return out.select("doc_id", "n_shingles", "class", "group", "component_id", F.coalesce(kept, F.lit(False)).alias("kept"), "row_key")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
