@@ -1,17 +1,21 @@
 """Nearest neighbours by an inverted multi-index.
 
-Unit vectors are cut in two halves, each with its own codebook of `codes` centroids, fitted on at most `fit_rows` vectors
-(a documented bound on fitting; every vector is indexed). A vector's entry lies in the cell of its two nearest centroids.
+Unit vectors are cut in two halves, each with its own codebook of centroids, fitted on at most `fit_rows` vectors (a
+documented bound on fitting; every vector is indexed). A vector's entry lies in the cell of its two nearest centroids.
 A query walks centroid pairs by growing summed distance, with a heap over the two sorted lists of distances, until the
 cells it has passed hold `reach` entries; these are reranked by exact cosine of the original vectors.
 
-The table of cell sizes has codes**2 numbers, whatever the data. A task holds a block of the entries of one left centroid
-and a block of the queries that pass cells there; copies of one vector spread over blocks, and each hands back k rows a
-query.
+A codebook has 3 * n ** 0.25 centroids for n vectors, so that there are 9 * sqrt(n) cells: cells and the table of their
+sizes, all that the driver holds, both grow with the root of n. Neighbouring cells of one left centroid are dealt
+together until they hold `group` entries; a query goes only to groups with a cell that it passes. Groups of more than
+`block` entries are split, as copies of one vector make them, and each part hands back k rows a query; a group that more
+than `block` queries pass is copied for each block of them.
 
 Vectors that are null, empty, zero, of another length than most, or with null or non-finite components take no part, as
 entries or queries. Ties go to the smaller vec_id. Repeated rows are entries of their own; a query's own vec_id never
-answers it. With fewer candidates than k, all are returned. An empty table gives an empty result.
+answers it. Different vectors under one queried vec_id are queries of their own, each with its k rows; equal ones are one
+query. With fewer candidates than k, all are returned. An empty table gives an empty result. Long vectors cost in
+proportion to their length.
 """
 
 from __future__ import annotations
@@ -122,7 +126,7 @@ def true_nearest(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) ->
     return [(r[0], x[1]) for r in top.collect() for x in r[1] if x[0] > -np.inf]
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, codes: int = 32, reach: int | None = None, aim: float = 0.985, probes: int = 128, fit_rows: int = 20_000, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, codes: int | None = None, reach: int | None = None, aim: float = 0.985, probes: int = 128, fit_rows: int = 20_000, group: int = 2048, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's k nearest found. Queries: vec_id divisible by every.
 
     reach is how many entries a query's cells must hold. Where none is given, it is measured: `probes` vectors are
@@ -135,6 +139,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, codes: int = 32, re
     width, total = lengths[0]
     rows = rows.where(F.size("v") == width)
     half = width // 2
+    codes = codes or max(2, round(3 * total**0.25))
     draw = lambda n, seed: rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, 2 * n / total) * (1 << 20)) + 1).orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n).collect()
     x = unit(np.array([r["v"] for r in draw(fit_rows, 3)] or [[1.0] * width], float))
     books = [codebook(x[:, s], codes) if x[:, s].shape[1] else np.zeros((1, 0)) for s in (slice(0, half), slice(half, None))]
@@ -149,7 +154,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, codes: int = 32, re
 
     index = durable(rows.mapInArrow(place, "vec_id long, v array<double>, cell int"))
     sizes = np.zeros((n_left, n_right), np.int64)
-    for cell, n in index.groupBy("cell").count().collect():  # codes**2 rows at most
+    for cell, n in index.groupBy("cell").count().collect():  # one row a cell
         sizes[divmod(cell, n_right)] = n
     if reach is None:
         chosen = draw(probes, 7)
@@ -164,55 +169,66 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, codes: int = 32, re
             far.append(held[at][cell])
         reach = int(np.quantile(far, aim)) if far else total
     goal = reach
-    groups = sizes.sum(1)
-    n_queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).count()
-    parts = np.maximum(1, -(-groups // block)).tolist()
-    q_parts = max(1, -(-n_queries // block))
-    parts_of = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("a") + 1)
+    # Cells of one left centroid, in order, until they hold `group` entries.
+    group_of, sums = np.zeros(n_left * n_right, np.int64), []
+    for a in range(n_left):
+        for b in range(n_right):
+            n = int(sizes[a, b])
+            if not b or sums[-1] + n > group:
+                sums.append(0)
+            sums[-1] += n
+            group_of[a * n_right + b] = len(sums) - 1
 
     def ask(stream):
         for batch in stream:
             if batch.num_rows:
                 u = unit(matrix(batch.column("v")))
                 left, right = distances(u[:, :half], books[0]), distances(u[:, half:], books[1])
-                at, group, allowed = [], [], []
+                at, to, cells = [], [], []
                 for i in range(len(u)):
                     by: dict[int, list[int]] = {}
                     for a, b in walk(left[i], right[i], sizes, goal):
-                        by.setdefault(a, []).append(b)
+                        by.setdefault(int(group_of[a * n_right + b]), []).append(a * n_right + b)
                     at += [i] * len(by)
-                    group += by
-                    allowed += by.values()
-                yield pa.record_batch([batch.column("vec_id").take(pa.array(at, pa.int64())), batch.column("v").take(pa.array(at, pa.int64())), pa.array(group, pa.int32()), pa.array(allowed, pa.list_(pa.int32()))], names=["query_id", "q", "a", "cells"])
+                    to += by
+                    cells += by.values()
+                yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), batch.column(2).take(pa.array(at, pa.int64())), pa.array(to, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "twin", "q", "g", "cells"])
 
-    asked = index.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(ask, "query_id long, q array<double>, a int, cells array<int>")
-    asked = asked.withColumn("ask", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(q_parts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1)))
-    entries = index.select("vec_id", "v", F.floor(F.col("cell") / n_right).cast("int").alias("a"), F.pmod("cell", F.lit(n_right)).alias("b"))
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(5)), parts_of).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
+    def grouped(stream):
+        for batch in stream:
+            yield pa.record_batch([*batch.columns, pa.array(group_of[batch.column("cell").to_numpy()])], names=[*batch.schema.names, "g"])
+
+    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", F.xxhash64("v").alias("twin"), "v").dropDuplicates(["vec_id", "twin"])
+    asked = durable(queries.mapInArrow(ask, "query_id long, twin long, q array<double>, g long, cells array<int>"))
+    entries = index.mapInArrow(grouped, "vec_id long, v array<double>, cell int, g long")
+    # Parts of a group's entries and blocks of its queries: both sides are counted, one row a group.
+    parts = entries.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    shape = durable(asked.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("asks")).join(parts, "g"))
+    asked = asked.join(shape, "g").withColumn("ask", F.pmod(F.xxhash64("query_id", "twin"), "asks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "asks")
+    entries = entries.join(shape, "g").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(5)), "parts").cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).drop("parts", "asks")
 
     def rerank(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            ids, e, b = right.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("b").to_numpy()
-            names, q = left.column("query_id").to_numpy(), matrix(left.column("q"))
+            ids, e, cell = right.column("vec_id").to_numpy(), matrix(right.column("v")), right.column("cell").to_numpy()
+            names, twins, q = left.column("query_id").to_numpy(), left.column("twin").to_numpy(), matrix(left.column("q"))
             e, q = e / np.abs(e).max(1, keepdims=True), q / np.abs(q).max(1, keepdims=True)
             e_unit, q_unit = unit(e), unit(q)
             for at in range(0, len(q), 256):
                 scores = q_unit[at : at + 256] @ e_unit.T
                 for i, row in enumerate(scores, at):
-                    inside = np.zeros(n_right, bool)
-                    inside[left.column("cells")[i].as_py()] = True
-                    row[~inside[b] | (ids == names[i])] = -np.inf
+                    row[~np.isin(cell, left.column("cells")[i].as_py()) | (ids == names[i])] = -np.inf
                     near, score = best_rows(row, ids, lambda some, i=i: rows_of(q[i], e[some]), k)
                     out[0] += [int(names[i])] * len(near)
-                    out[1] += near.tolist()
-                    out[2] += score.tolist()
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-    keys = ["a", "part", "ask"]
-    found = asked.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    # k rows a query and block: the rows of a query are as many as the blocks of entries that it meets.
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
+                    out[1] += [int(twins[i])] * len(near)
+                    out[2] += near.tolist()
+                    out[3] += score.tolist()
+        return pa.table(out, pa.schema([("query_id", pa.int64()), ("twin", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    keys = ["g", "part", "ask"]
+    found = asked.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(rerank, "query_id long, twin long, vec_id long, score double")
+    # k rows a query and part: the rows of a query are as many as the parts that it meets.
+    best = found.groupBy("query_id", "twin").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))
 
 
