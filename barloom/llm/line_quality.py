@@ -1,13 +1,19 @@
 """Document quality by labelling lines: a linear-chain conditional random field over lines, decoded by Viterbi.
 
 Every line with a word has a few binary features of its own text (length, case, symbols, repetition, ending, an equal line
-before it). The field has a weight a feature, and weights for a label's start and for one label after another; it is
-fitted on at most `fit_rows` labelled documents of each class (a documented bound), whose lines take the document's label
-as theirs. The decoded path marks each line as content or boilerplate, and the share of words in content lines decides.
+before it). The field has a weight a feature, and weights for a label's start and for one label after another.
 
-Null and empty texts have no words and fail the base rules. A text of one line is a chain of one. Without labels of both
-classes no line can be told apart, and the base rules alone decide. Repeated rows get equal answers. An empty table gives
-an empty result.
+Only documents have labels, so the lines' labels are latent: a good document holds content in at least `most` of its
+words, a poor one boilerplate. The field is fitted by turns: each chain gets the best path that meets this (a common
+bonus on one label is raised until it does), then the field is fitted to these paths. The first paths come from how often
+a feature stands in good and in poor documents. So a plain line of a poor document can be content, and a licence line of
+a good one boilerplate. At most `fit_rows` labelled documents of each class teach (a documented bound).
+
+The decoded path marks each line as content or boilerplate, and the share of words in content lines decides.
+
+Null and empty texts have no words and fail the base rules. A text of one line is a chain of one; long texts are decoded
+whole. At a tie a line is content, and a share equal to the threshold keeps. Without labels of both classes no line can
+be told apart, and the base rules alone decide. Repeated rows get equal answers. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,8 +86,8 @@ class Field:
     def __init__(self, weight: np.ndarray, start: np.ndarray, step: np.ndarray):
         self.weight, self.start, self.step = weight.tolist(), start.tolist(), step.tolist()
 
-    def path(self, features: list[list[int]]) -> list[int]:
-        """The most probable labels; at a tie, content."""
+    def path(self, features: list[list[int]], bonus: float = 0.0) -> list[int]:
+        """The most probable labels; at a tie, content. bonus is added to each content line's score."""
         weight, ((s00, s01), (s10, s11)) = self.weight, self.step
         low, high, back = self.start[0], self.start[1], []
         for i, f in enumerate(features):
@@ -90,7 +96,7 @@ class Field:
                 to_high = (low + s01, 0) if low + s01 > high + s11 else (high + s11, 1)
                 back.append((to_low[1], to_high[1]))
                 low, high = to_low[0], to_high[0]
-            high += sum([weight[k] for k in f])
+            high += sum([weight[k] for k in f]) + bonus
         label = int(high >= low) if features else 1
         out = [label]
         for choice in reversed(back):
@@ -99,20 +105,27 @@ class Field:
         return out[::-1] if features else []
 
 
-def fit_field(chains: list[list[list[int]]], labels: list[int], rounds: int = 60, rate: float = 0.15, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam on whole-batch gradients, forward and backward over all chains at once; classes weigh
-    alike."""
+def fit_field(chains: list[list[list[int]]], paths: list[list[int]], classes: list[int], rounds: int = 60, rate: float = 0.15, decay: float = 1e-3) -> Field:
+    """Maximum likelihood of the paths by Adam on whole-batch gradients, forward and backward over all chains at once;
+    classes of chains weigh alike."""
     order = np.argsort([-len(c) for c in chains], kind="stable")
-    chains, y = [chains[i] for i in order], np.array([labels[i] for i in order])
+    chains, paths, group = [chains[i] for i in order], [paths[i] for i in order], np.array([classes[i] for i in order])
     size = np.array([len(c) for c in chains])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / np.maximum(size, 1)
+    share = np.where(group == 1, 0.5 / max(1, (group == 1).sum()), 0.5 / max(1, (group == 0).sum())) / np.maximum(size, 1)
     steps = int(size.max())
     active = [int((size > t).sum()) for t in range(steps)]  # chains are sorted by length
-    matrix = np.zeros((int(size.sum()), len(FEATURES)))
     first = np.cumsum([0, *active[:-1]])
+    matrix, y = np.zeros((int(size.sum()), len(FEATURES))), np.zeros(int(size.sum()), int)
     for t in range(steps):
         for i in range(active[t]):
             matrix[first[t] + i, chains[i][t]] = 1
+            y[first[t] + i] = paths[i][t]
+    seen = np.zeros((2, 2))
+    for t in range(1, steps):
+        n = active[t]
+        np.add.at(seen, (y[first[t - 1] : first[t - 1] + n], y[first[t] : first[t] + n]), share[:n])
+    begins = np.stack([y[: active[0]] == 0, y[: active[0]] == 1], axis=1)
+    chain_of = np.concatenate([np.arange(n) for n in active])
     parameters = np.zeros(len(FEATURES) + 6)
     mean, square = np.zeros_like(parameters), np.zeros_like(parameters)
     for turn in range(1, rounds + 1):
@@ -129,21 +142,48 @@ def fit_field(chains: list[list[list[int]]], labels: list[int], rounds: int = 60
         total = np.logaddexp(last[:, 0], last[:, 1])
         for t in range(steps - 2, -1, -1):
             n = active[t + 1]
-            after = (score + behind)[first[t + 1] : first[t + 1] + n] if n else np.zeros((0, 2))
+            after = (score + behind)[first[t + 1] : first[t + 1] + n]
             behind[first[t] : first[t] + n] = np.logaddexp(step[:, 0] + after[:, :1], step[:, 1] + after[:, 1:])
             joint = np.exp(ahead[first[t] : first[t] + n, :, None] + step + after[:, None, :] - total[:n, None, None]) * share[:n, None, None]
             pairs += joint.sum(axis=0)
-        chain_of = np.concatenate([np.arange(n) for n in active])
         chance = np.exp(ahead + behind - total[chain_of, None])
-        gap = (y[chain_of] - chance[:, 1]) * share[chain_of]
-        begin = (np.stack([y == 0, y == 1], axis=1) - chance[: active[0]]) * share[:, None]
-        seen = np.diag([((size - 1) * share * (y == k)).sum() for k in (0, 1)])
+        gap = (y - chance[:, 1]) * share[chain_of]
+        begin = (begins - chance[: active[0]]) * share[:, None]
         gradient = np.r_[matrix.T @ gap, begin.sum(axis=0), (seen - pairs).ravel()] - decay * parameters
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         parameters = parameters + rate * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-9)
     return Field(parameters[:-6], parameters[-6:-4], parameters[-4:].reshape(2, 2))
 
 
+def impute(field: Field, chains: list[list[list[int]]], counts: list[list[int]], classes: list[int], most: float) -> list[list[int]]:
+    """Each chain's best path with at least `most` of its words in lines of its class, by the least bonus tried."""
+    out = []
+    for features, words_in, good in zip(chains, counts, classes, strict=True):
+        total, bonus = sum(words_in), 0.0
+        while True:
+            path = field.path(features, bonus if good else -bonus)
+            if bonus > 64 or sum(n for n, x in zip(words_in, path, strict=True) if x == good) >= most * total:
+                break
+            bonus = bonus * 1.5 or 0.25
+        out.append(path)
+    return out
+
+
+def fit_latent(chains: list[list[list[int]]], counts: list[list[int]], classes: list[int], most: float = 2 / 3, turns: int = 3) -> Field:
+    """The field of chains whose lines have no labels: paths and field by turns."""
+    held = np.ones((2, len(FEATURES)))
+    for features, good in zip(chains, classes, strict=True):
+        for f in features:
+            held[good, f] += 1
+    share = held / (held[:, :1] + 1)
+    weight = np.log(share[1] / share[0])
+    weight[0] = 0  # the feature of every line
+    field = Field(weight, np.zeros(2), np.zeros((2, 2)))
+    for _ in range(turns):
+        field = fit_field(chains, impute(field, chains, counts, classes, most), classes)
+    return field
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 800) -> Field | None:
     """The field of labelled documents: (doc_id, text) and (doc_id, quality). At most fit_rows documents a class, by hash."""
     chosen = None
@@ -154,16 +194,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 800) -> Field | None
     def features(stream):
         for batch in stream:
             for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = chain(text or "")[0]
+                found, counts, _ = chain(text or "")
                 if found:
-                    yield pa.record_batch([pa.array([found], pa.list_(pa.list_(pa.int32()))), pa.array([quality], pa.int32())], names=["lines", "quality"])
+                    yield pa.record_batch([pa.array([found], pa.list_(pa.list_(pa.int32()))), pa.array([counts], pa.list_(pa.int32())), pa.array([quality], pa.int32())], names=["lines", "words", "quality"])
 
     # The sample is bounded by fit_rows rows a class, so it can be broadcast.
-    rows = text_table(docs).join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(features, "lines array<array<int>>, quality int").collect()
-    rows = sorted((r[1], r[0]) for r in rows)
+    rows = text_table(docs).join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(features, "lines array<array<int>>, words array<int>, quality int").collect()
+    rows = sorted((r[2], r[0], r[1]) for r in rows)
     if {r[0] for r in rows} != {0, 1}:
         return None
-    return fit_field([r[1] for r in rows], [r[0] for r in rows])
+    return fit_latent([r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows])
 
 
 def rate(docs: DataFrame, field: Field | None, content_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
