@@ -23,6 +23,13 @@ def text_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(*cols)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """What finds a row again, with or without an id: a 128-bit digest of doc_id and text, as a column."""
+    own = F.col(f"`{text}`").cast("string")
+    name = F.coalesce(F.col(f"`{doc_id}`").cast("long").cast("string"), F.lit("-"))
+    return F.unhex(F.md5(F.concat(name, F.when(own.isNull(), "-").otherwise(":"), F.coalesce(own, F.lit(""))).cast("binary")))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which an operator's own grouping follows."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, batches, durable, mix64, slices, text_table, texts_of
+from barloom.llm.common import U64, batches, durable, mix64, row_key, slices, text_table, texts_of
 from barloom.llm.links import components
 from barloom.llm.textnum import odd_constants, windows, words
 
@@ -99,11 +99,6 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch array<long>, row_key binary"
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text"):
-    """What finds a row again, with or without an id: a 128-bit digest of doc_id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.when(F.col(text).isNull(), "-").otherwise(":"), F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")))
-
-
 def signatures(docs: DataFrame, shingle: int = 5, k: int = 128, rows: int = 4) -> DataFrame:
     """Rows of SIGNED for (doc_id, text, row_key); class, bands and sketch are null for an empty set."""
 
