@@ -10,7 +10,8 @@ Documents are encoded once; what is kept is each whole piece's checksum and the
 the vocabulary allows). The rest is range-shuffled by (key, doc_id, length, checksum), so that copies, which share a key,
 spread over tasks. Each task's sums, one row a task, give global positions.
 
-Nulls and empty texts hold the end id alone. Repeated rows are packed each. An empty table gives no pieces.
+Nulls and empty texts hold the end id alone. Long texts are encoded whole; what fills sequences of its own is kept as
+checksums only. Ties on the curve go by doc_id, then length and checksum. Repeated rows are packed each. An empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ before t ends in a token that may stand before t. Two tokens may stand together
 before the merges that made them. The table of last tokens is the whole state: an append continues it, and an edit redoes
 it from the place of the edit, until it agrees with the old table again.
 
-Nulls and empty texts have no ids. Any bytes can be encoded; a text is split by the pattern first. Repeated rows are
+Nulls and empty texts have no ids. Long texts are encoded whole, piece by piece; a piece without a border, however long,
+costs time in proportion to its length. Any bytes can be encoded; a text is split by the pattern first. Repeated rows are
 encoded each. An empty table gives an empty result.
 """
 

@@ -6,7 +6,8 @@ counts of ones every 512 bits, rank and select give any token, the number of tim
 place of its n-th occurrence, from the planes alone. Each plane is its own zstd frame, so a reader opens what it needs.
 
 Documents are range-shuffled by doc_id; a task writes its shards in order, and a table of each task's number of ids (one
-row a task) gives global positions. Rows with one doc_id follow each other by text. Nulls and empty texts hold the end id
+row a task) gives global positions. Rows with one doc_id follow each other by a hash of the text, so that an id that many texts share still spreads over
+tasks. A long text is encoded whole and lies in one shard, which grows with it. Nulls and empty texts hold the end id
 alone. An empty table gives no shards.
 """
 
@@ -163,7 +164,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
     """The written shards, as rows of SHARD: task, number in the task, documents, ids and the file."""
     path = tokenizer or default_tokenizer()
     rows = text_table(docs, id_col, text_col)
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def build(stream):
         cache, task, number = cached_tokenizer(path), TaskContext.get().partitionId(), 0

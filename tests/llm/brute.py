@@ -130,3 +130,31 @@ def line_rules(docs):
         again = {j for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
         out[i] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(again), len(w) < 20 or 100 * len(again) > 30 * len(w))
     return out
+
+
+def secret_spans(docs, wide=5, narrow=2):
+    """(doc_id, text, owner, repository) rows: doc_id to all spans, verdicts included, as text."""
+    values = {}
+    for i, t, owner, repo in docs:
+        for *_, value in spans_with_values(t or ""):
+            values.setdefault(value, set()).add((owner, repo))
+    out = {}
+    for i, t, owner, repo in docs:
+        spans = []
+        for start, rank, kind, end, value in spans_with_values(t or ""):
+            spans.append((start, rank, kind, end))
+            owners, repos = len({o for o, _ in values[value]}), len(values[value])
+            random_looking = len(set(value)) >= 8 and re.search("[0-9]", value) and re.search("[A-Za-z]", value) and not re.search(r"(?i)example|changeme|placeholder|(.)\1{5}", value)
+            if owners >= wide or repos >= 2 * wide:
+                spans.append((start, 4, "example", end))
+            elif owners == 1 and repos <= narrow and random_looking:
+                spans.append((start, 3, "live", end))
+        out[i] = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(set(spans)))
+    return out
+
+
+def spans_with_values(t):
+    out = []
+    for rank, (kind, pattern, group, least) in enumerate((("assign", ASSIGN, 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))):
+        out += [(m.start(), rank, kind, m.end(), m.group(group)) for m in pattern.finditer(t) if len(m.group(group)) >= least]
+    return sorted(out)

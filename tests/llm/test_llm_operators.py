@@ -279,6 +279,37 @@ def test_language_id(spark):
     assert got.where("score < 0 or score > 1").count() == 0 and got.count() == r.count()
 
 
+def test_language_id_against_loops(spark):
+    """Bound, bundled and compared letter by letter."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("le la les", "fr"), ("Éa ça", "fr"), ("the of", "en"), ("привет мир", "ru"), ("мир", None), ("a", None), ("9 é!", None), ("thе of", None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    coder = language_id.profiles()
+    letters = np.roll(coder.placed[2], 0, axis=1).astype(np.int64)
+
+    def bundle(text):
+        marks, out = [0], np.zeros(language_id.DIMENSIONS)
+        for c in text:
+            code = int(coder.codes[ord(c)])
+            if code or marks[-1]:
+                marks.append(code)
+        marks += [0] if marks[-1] or len(marks) == 1 else []
+        for x, y, z in zip(marks, marks[1:], marks[2:]):
+            out += np.roll(letters[x], 2) * np.roll(letters[y], 1) * letters[z]
+        return out / np.linalg.norm(out)
+
+    known = {lang: sum(bundle(t) for _, t, x in rows if x == lang) for lang in ("en", "fr", "ru")}
+    got = by_id(language_id.predict(df, language_id.fit(df)))
+    for i, t, _ in rows:
+        near = {k: float(bundle(t) @ v / np.linalg.norm(v)) for k, v in known.items()}
+        best = max(near, key=near.get)
+        assert got[i][0] == best and got[i][1] == pytest.approx(max(0, near[best]), abs=1e-5)
+
+
+def test_language_sample_is_by_language(spark):
+    df = spark.createDataFrame([(i, "the of", "en") for i in range(3000)] + [(9999, "le la", "fr")], "doc_id long, text string, lang string")
+    assert set(language_id.fit(df, fit_rows=10)) == {"en", "fr"}
+
+
 def test_language_id_edges(spark):
     rows = [(1, "le la les de la", "fr"), (2, "the of and to the", "en"), (3, None, "en"), (4, " 123 !?", "fr"), (5, "la les", None), (6, "\U00020000", "en"), (7, "x" * 100_000, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -295,6 +326,25 @@ def test_secrets(spark, data, tmp_path):
     assert {k: v[:4] for k, v in by_id(secrets.op7_secret_scan(spark, str(tmp_path))).items()} == brute.secrets(rows)
 
 
+def test_secret_verdicts_by_brute_force(spark, tmp_path):
+    """Owners and repositories decide: copies over owners or over one owner's repositories are examples."""
+    rng = np.random.default_rng(12)
+    values = ["token=" + "".join(rng.choice(list("abcdefXYZ0123456789"), 16)) for _ in range(40)] + ["password=changeme1234abcd", "secret: aaaaaaaaaaaa1b2c3d4", "0123456789012345"]
+    rows = []
+    for i in range(400):
+        own = rng.choice(len(values), rng.integers(0, 4)) if i % 3 else [i // 3 % 5]
+        owner = f"s{rng.integers(0, 8)}" if i % 3 else "s0"
+        rows.append((i, " and ".join(values[k] for k in own), owner, f"r{rng.integers(0, 14)}" if i % 5 else None))
+    rows += [(500 + i, f"x token=q7Zx8{i}LmPp0sTuV3 y", f"s{i}", "r1") for i in range(6)] + [(510, "token=q7Zx80LmPp0sTuV3", "s0", "r2"), (511, "token=q7Zx81LmPp0sTuV3", "s2", "r1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {k: v[4] for k, v in by_id(secrets.op7_secret_scan(spark, str(tmp_path))).items()}
+    want = brute.secret_spans([(i, t, o, f"{o}/{r or '?'}") for i, t, o, r in rows])
+    assert got == want and {k for x in want.values() for k in x.replace(":", ",").split(",")} >= {"live", "example"}
+    judged = [x for r in secrets.scan(df).collect() for x in r.judged]
+    assert all(x.owners >= 5 or x.repos >= 10 for x in judged if x.kind == "example") and any(x.owners < 5 for x in judged if x.kind == "example")
+
+
 def test_secret_ownership(spark):
     wide, own = "token=AAAAbbbb1234cccc", "token=q7Zx81LmPp0sTuV3"
     rows = [(i, wide, f"s{i % 6}") for i in range(12)] + [(50, f"x {own} y", "s1"), (51, f"{own}", "s1")]
@@ -318,6 +368,35 @@ def test_line_field(spark):
     assert line_quality.fit(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) is None
 
 
+def test_line_verdicts(spark, docs):
+    """kept is what the base rules and the decoded share say; mixed documents have shares between 0 and 1."""
+    rng = np.random.default_rng(2)
+    good = lambda: "The " + " ".join(rng.choice(["river", "mill", "town", "old", "ran", "past", "into"], 9)) + f" {rng.integers(1000)}."
+    bad = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "###", "$$$"], 5)) + f" {rng.integers(1000)}!!"
+    texts = [(i, "\n".join([good() for _ in range(6)] + [bad() for _ in range(i % 3)]) if i % 2 else "\n".join([bad() for _ in range(8)] + [good() for _ in range(i % 3)])) for i in range(80)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    field = line_quality.fit(df, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int"))
+    shares = set()
+    for r in line_quality.rate(df, field).collect():
+        lines = [x for x in texts[r.doc_id][1].split("\n")]
+        assert [int(x[0] == "T") for x in lines] == r.line_labels
+        share = sum(len(x.split()) for x in lines if x[0] == "T") / sum(len(x.split()) for x in lines)
+        assert r.content_share == pytest.approx(share) and r.kept == (not r.base_failed and share >= 0.5)
+        shares.add(0 < share < 1)
+    assert shares == {True, False}
+
+
+def test_line_quality_held_out(spark):
+    """Labelled documents that taught nothing; plain lines of poor ones and marked lines of good ones are told apart."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    out = line_quality.rate(docs, line_quality.fit(docs, labels.where(~held))).join(labels, "doc_id").where(held & ~F.col("base_failed"))
+    rows = [(r.quality, r.kept, r.content_share) for r in out.collect()]
+    assert sum(k == (q == 1) for q, k, _ in rows) > 0.95 * len(rows)
+    assert sum(0 < s < 1 for *_, s in rows) >= 0.2 * len(rows)
+
+
 def test_viterbi_is_best_path():
     import itertools
 
@@ -350,7 +429,7 @@ def test_multi_index(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = exact_nearest([r for r in rows if not r[1] or len(r[1]) == 8], 50, 5)
     everything = {}
-    for r in multi_index.nearest(df, reach=10**6, block=64).orderBy("query_id", "rank").collect():
+    for r in multi_index.nearest(df, reach=10**6, group=32, block=64).orderBy("query_id", "rank").collect():
         everything.setdefault(r.query_id, []).append(r.vec_id)
     assert everything == want
     found = {}
@@ -359,6 +438,17 @@ def test_multi_index(spark):
     assert sum(len(found[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_multi_index_edges(spark):
+    """An empty table, further columns, repeated ids, and vectors that take no part."""
+    shape = "vec_id long, embedding array<double>, v int, cell int, a int, part int, ask int, q int"
+    more = (1, None, 2, None, 3, 4)
+    rows = [(0, [1.0, 0.0], *more), (0, [0.0, 1.0], *more), (1, [1.0, 0.1], *more), (2, [0.1, 1.0], *more), (2, [0.1, 1.0], *more), (None, [1.0, 0.0], *more), (50, [0.0, 0.0], *more)]
+    got = [(r.query_id, r["rank"], r.vec_id) for r in multi_index.nearest(spark.createDataFrame(rows, shape)).collect()]
+    assert sorted(got) == sorted([(0, 1, 1), (0, 2, 2), (0, 3, 2), (0, 1, 2), (0, 2, 2), (0, 3, 1)])
+    assert multi_index.nearest(spark.createDataFrame(rows, shape).limit(0)).count() == 0
+    assert multi_index.nearest(spark.createDataFrame(rows[-2:], shape)).count() == 0
+
+
 def test_multi_index_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in multi_index.nearest(df).orderBy("rank").collect()]
