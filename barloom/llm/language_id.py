@@ -88,8 +88,10 @@ def profiles() -> Profiles:
 def fit(labelled: DataFrame, fit_rows: int = 5_000) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from (doc_id, text, lang). What comes to the driver is one vector a language."""
     known = labelled.where("text is not null and lang is not null")
-    share = known.groupBy("lang").agg((F.least(F.lit(1.0), fit_rows / F.count("*")) * (1 << 20)).cast("long").alias("share"))
-    chosen = known.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) <= F.col("share"))
+    # One row a language, as the prototypes are.
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, fit_rows / n) * (1 << 20)))]) if counts else F.create_map().cast("map<string,int>")
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) <= F.element_at(share, F.col("lang")))
 
     def bundle(stream):
         sums: dict[str, np.ndarray] = {}
