@@ -42,6 +42,11 @@ def welch_t(value: Column, side: Column) -> Column:
     return F.when((F.count(a) >= 2) & (F.count(b) >= 2) & (error > 0), (F.avg(a) - F.avg(b)) / error)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b; null where b is 0, which under ANSI rules would end the job."""
+    return F.try_divide(a, b)
+
+
 def safe_divide(a: Column, b: Column, cap: float = 1e6) -> Column:
     """a / b; null where b is 0 or the ratio is not finite, held within +-cap."""
     x = F.try_divide(a, b)
@@ -59,7 +64,7 @@ def sum_reported(*cols: Column) -> Column:
 
 
 def log_ratio(a: Column, b: Column) -> Column:
-    return F.when((a > 0) & (b > 0), F.ln(a / b))
+    return F.when((a > 0) & (b > 0), F.ln(F.try_divide(a, b)))
 
 
 def finite(x: Column) -> Column:

@@ -68,39 +68,39 @@ RULES = {
 def exits(paths: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row a path and rule: return on the entry and bars held.
 
-    All rules are first-hit minima of one pass over the paths' bars: paths are already dealt by ticker, so the grouping
-    takes no shuffle, and it runs as generated code, where a fold by a higher-order function is interpreted."""
+    A path's bars are columns of its row, so nothing is exploded, sorted or grouped again. Running lows only fall, so a
+    stop's bar is one more than the number of running lows above it; a target's and a trail's are counted alike."""
     rules = {k: RULES[k] for k in names or RULES}
-    bars = paths.where(F.size("path") > 0).select("ticker", "session", "entry", "atr", F.size("path").alias("size"), F.element_at("path", -1)["c"].alias("last"), F.posexplode("path").alias("i", "b")).withColumn("i", F.col("i") + 1)
-    if any(kind == "trail" for kind, _, _ in rules.values()):
-        seen = Window.partitionBy("ticker", "session").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-        bars = bars.withColumn("peak", F.greatest("entry", F.max("b.c").over(seen)))
-    entry, atr, low, high = F.col("entry"), F.col("atr"), F.col("b.l"), F.col("b.h")
-    found, ends = [], []
-    for j, (kind, k, n) in enumerate(rules.values()):
-        inside = F.col("i") <= n
-        at = lambda test: F.min(F.when(test & inside, F.col("i")))  # noqa: B023, E731
-        found.append(F.max(F.when(F.col("i") == n, F.col("b.c"))).alias(f"c{j}"))
+    longest = max(n for _, _, n in rules.values())
+    cell = lambda i, c: F.get("path", F.lit(i))[c]
+    wide = paths.where(F.size("path") > 0).select("ticker", "session", "entry", "atr", F.size("path").alias("size"), F.element_at("path", -1)["c"].alias("last"), *[cell(i, c).alias(f"{c}{i}") for i in range(longest) for c in "hlc"])
+    entry, atr, size = F.col("entry"), F.col("atr"), F.col("size")
+    until = lambda f, c, i: F.when(F.col(f"{c}{i}").isNotNull(), f(*[F.col(f"{c}{k}") for k in range(i + 1)]) if i else F.col(f"{c}0"))
+    low, high, top = {}, {}, {}
+    for i in range(longest):
+        low[f"low{i}"], high[f"high{i}"] = until(F.least, "l", i), until(F.greatest, "h", i)
+        top[f"top{i}"] = F.greatest(entry, *[F.col(f"c{k}") for k in range(i)]) if i else entry
+    wide = wide.withColumns(low | high | top)
+    counted = lambda tests: 1 + sum((F.coalesce(t.cast("int"), F.lit(0)) for t in tests[1:]), F.coalesce(tests[0].cast("int"), F.lit(0)))
+    ends = []
+    for name, (kind, k, n) in rules.items():
+        whole = F.least(F.lit(n), size)
+        price, held = F.when(size >= n, F.col(f"c{n - 1}")).otherwise(F.col("last")), whole
         if kind in ("stop", "bracket"):
-            found.append(at(low <= entry - k[0] * atr).alias(f"s{j}"))
-        if kind == "bracket":
-            found.append(at(high >= entry + k[1] * atr).alias(f"t{j}"))
-        if kind == "trail":
-            hit = low <= F.col("peak") - k[0] * atr
-            found += [at(hit).alias(f"s{j}"), F.min(F.when(hit & inside, F.col("peak"))).alias(f"p{j}")]  # peaks only rise, so the least is the first hit's
-    each = bars.groupBy("ticker", "session", "entry", "atr", "size", "last").agg(*found)
-    for j, (name, (kind, k, n)) in enumerate(rules.items()):
-        s, t = F.col(f"s{j}"), F.col(f"t{j}")
-        price, held = F.coalesce(f"c{j}", "last"), F.least(F.lit(n), F.col("size"))
-        if kind == "bracket":
-            stopped, reached = s.isNotNull() & (t.isNull() | (s <= t)), t.isNotNull()
-            price = F.when(stopped, entry - k[0] * atr).when(reached, entry + k[1] * atr).otherwise(price)
-            held = F.coalesce(F.least(s, t), held)
-        elif kind in ("stop", "trail"):
-            base = F.col(f"p{j}") if kind == "trail" else entry
-            price, held = F.when(s.isNotNull(), base - k[0] * atr).otherwise(price), F.coalesce(s, held)
-        ends.append(F.struct(F.lit(name).alias("rule"), (price / entry - 1).alias("ret"), held.cast("long").alias("held")))
-    return each.select("ticker", "session", F.explode(F.array(*ends)).alias("r")).select("ticker", "session", "r.*").where("ret is not null")
+            stopped = counted([F.col(f"low{i}") > entry - k[0] * atr for i in range(n)])
+        if kind == "stop":
+            price, held = F.when(stopped <= whole, entry - k[0] * atr).otherwise(price), F.least(stopped, whole)
+        elif kind == "bracket":
+            reached = counted([F.col(f"high{i}") < entry + k[1] * atr for i in range(n)])
+            first = F.least(stopped, reached)
+            price = F.when(first > whole, price).when(stopped <= reached, entry - k[0] * atr).otherwise(entry + k[1] * atr)
+            held = F.least(first, whole)
+        elif kind == "trail":
+            hits = [F.when(F.col(f"l{i}") <= F.col(f"top{i}") - k[0] * atr, F.struct(F.lit(i + 1).alias("at"), F.col(f"top{i}").alias("top"))) for i in range(n)]
+            hit = F.coalesce(*hits)
+            price, held = F.coalesce(hit["top"] - k[0] * atr, price), F.coalesce(hit["at"], whole)
+        ends.append(F.struct(F.lit(name).alias("rule"), (F.try_divide(price, entry) - 1).alias("ret"), held.cast("long").alias("held")))
+    return wide.select("ticker", "session", F.explode(F.array(*ends)).alias("r")).select("ticker", "session", "r.*").where("ret is not null")
 
 
 def summary(done: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ def bounded(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def compare(a: Column, b: Column, tolerance: float) -> Column:
-    """ok, differs or missing for one field of two sources."""
-    return F.when(a.isNull() | b.isNull(), "missing").when(F.abs(a - b) / F.abs(b) <= tolerance, "ok").otherwise("differs")
+    """ok, differs or missing for one field of two sources. Against a 0 only a 0 is ok."""
+    return F.when(a.isNull() | b.isNull(), "missing").when(F.abs(a - b) <= tolerance * F.abs(b), "ok").otherwise("differs")
 
 
 def overlay(mine: DataFrame, provider: DataFrame, key: str, fields: list[str]) -> DataFrame:

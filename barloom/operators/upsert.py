@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def keep_last(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """Old and new rows, one a key: the new one, and among equals the last by order."""
+    """Old and new rows, one a key: the new one, and of several new ones the first by order. Without an order it is the
+    one that comes last in the table's own columns, so that a rerun keeps the same row."""
     both = old.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc("__src"), *(order or []))
+    plain = [F.desc_nulls_last(c) for c, kind in both.dtypes if c not in (*keys, "__src") and not kind.startswith(("map", "variant"))]
+    w = Window.partitionBy(*keys).orderBy(F.desc("__src"), *(order or plain))
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__src")
 
 
@@ -23,11 +27,14 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], by:
     if not exists(spark, path):
         return write_partitions(keep_last(new.limit(0), new, keys), path, by)
     old = spark.read.parquet(path)
-    touched = new.select(*by).distinct()
-    merged = keep_last(old.join(F.broadcast(touched), by, "left_semi"), new, keys)  # touched partitions: a few values of the partition columns
-    staged = f"{path}.staged"
-    merged.write.mode("overwrite").parquet(staged)
-    write_partitions(spark.read.parquet(staged), path, by)
+    merged = keep_last(old.join(new.select(*by).distinct(), by, "left_semi"), new, keys)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"  # its own name, so that two writers do not meet in one
+    try:
+        merged.write.parquet(staged)
+        write_partitions(spark.read.parquet(staged), path, by)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -68,7 +75,10 @@ def replace_groups(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 
 def insert_only(ledger: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """A ledger whose rows stay as first written; only unseen keys are added."""
+    """A ledger whose rows stay as first written; only unseen keys are added, each once: of several found rows the one that
+    comes first in the table's own columns."""
+    plain = [F.asc_nulls_last(c) for c, kind in found.dtypes if c not in keys and not kind.startswith(("map", "variant"))]
+    found = found.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*(plain or [F.lit(0)])))).where("__n = 1").drop("__n")
     return ledger.unionByName(found.join(ledger.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 

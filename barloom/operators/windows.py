@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import clip
+from barloom.functions.ranks import clip, ratio
 
 
 def rows(n_back: int, n_ahead: int = 0, by: str = "ticker", order: str = "session"):
@@ -43,7 +43,7 @@ def with_hma(df: DataFrame, value: str, n: int, name: str) -> DataFrame:
 
 def vwma(value: str, volume: str, n: int) -> Column:
     frame = rows(-(n - 1))
-    return full(F.col(value), F.sum(F.col(value) * F.col(volume)).over(frame) / F.sum(volume).over(frame), n, frame)
+    return full(F.col(value), ratio(F.sum(F.col(value) * F.col(volume)).over(frame), F.sum(volume).over(frame)), n, frame)
 
 
 def linreg_end(value: str, n: int) -> Column:
@@ -73,16 +73,16 @@ def with_atr(df: DataFrame, n: int = 14, least: int = 7, lag: int = 0, name: str
     return out.withColumn(name, F.when(F.count("__tr").over(frame) >= least, F.avg("__tr").over(frame))).drop("__tr")
 
 
-def with_recursive(df: DataFrame, value: str, spans: dict[str, float]) -> DataFrame:
-    """Exponential averages y = y + alpha (x - y), started at the first value, one column a name: recursive, so one
-    grouped map a ticker. A ticker's history is bounded by its sessions."""
+def with_recursive(df: DataFrame, spans: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exponential averages y = y + alpha (x - y), started at the first value; spans names each one's column and alpha.
+    Recursive, so one grouped map a ticker for all of them. A ticker's history is bounded by its sessions."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*df.schema.fields, *[StructField(k, DoubleType()) for k in spans]])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("session")
-        for name, alpha in spans.items():
+        for name, (value, alpha) in spans.items():
             g[name] = g[value].ewm(alpha=alpha, adjust=False).mean()
         return g
 
@@ -97,8 +97,7 @@ def with_rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's index of gains against losses."""
     change = F.col("close") - F.lag("close").over(order())
     moved = df.withColumn("__up", F.greatest(change, F.lit(0.0))).withColumn("__down", F.greatest(-change, F.lit(0.0))).where("__up is not null")
-    moved = with_recursive(moved, "__up", {"__gain": 1 / n})
-    moved = with_recursive(moved, "__down", {"__loss": 1 / n})
+    moved = with_recursive(moved, {"__gain": ("__up", 1 / n), "__loss": ("__down", 1 / n)})
     return moved.withColumn("rsi", F.when(F.col("__gain") + F.col("__loss") > 0, 100 * F.col("__gain") / (F.col("__gain") + F.col("__loss")))).drop("__up", "__down", "__gain", "__loss")
 
 
@@ -114,25 +113,25 @@ def with_squeeze(df: DataFrame, n: int = 20, band: float = 2.0, channel: float =
 
 def forward_return(h: int) -> Column:
     """Close h sessions ahead over the next open: what a decision at the close can earn."""
-    return F.lead("close", h).over(order()) / F.lead("open", 1).over(order()) - 1
+    return ratio(F.lead("close", h).over(order()), F.lead("open", 1).over(order())) - 1
 
 
 def excursions(n: int) -> tuple[Column, Column]:
     """Best high and worst low of the next n bars over the next open."""
     entry, frame = F.lead("open", 1).over(order()), rows(1, n)
-    return F.max("high").over(frame) / entry - 1, F.min("low").over(frame) / entry - 1
+    return ratio(F.max("high").over(frame), entry) - 1, ratio(F.min("low").over(frame), entry) - 1
 
 
 def drawdown(n: int) -> Column:
     """Percent below the highest close of n bars."""
     top = F.max("close").over(rows(-(n - 1)))
-    return (top - F.col("close")) / top * 100
+    return ratio(top - F.col("close"), top) * 100
 
 
 def with_step_z(df: DataFrame, n: int = 60, least: int = 20) -> DataFrame:
     """Log return over the spread of the n before it."""
     frame = rows(-n, -1)
-    out = df.withColumn("log_ret", F.ln(F.col("close") / F.lag("close").over(order())))
+    out = df.withColumn("log_ret", F.ln(ratio(F.col("close"), F.lag("close").over(order()))))
     sd = F.stddev_samp("log_ret").over(frame)
     return out.withColumn("step_z", F.when((F.count("log_ret").over(frame) >= least) & (sd > 0), F.col("log_ret") / sd))
 
@@ -167,10 +166,10 @@ def with_self_percentile(df: DataFrame, value: str, n: int = 252, least: int = 6
 
 def with_market_beta(df: DataFrame, n: int = 120, least: int = 40, cap: float = 5.0) -> DataFrame:
     """Slope of a ticker's returns on the mean return of all, over n bars."""
-    ret = F.col("close") / F.lag("close").over(order()) - 1
+    ret = ratio(F.col("close"), F.lag("close").over(order())) - 1
     out = df.withColumn("__r", ret)
     out = out.withColumn("__m", F.avg("__r").over(Window.partitionBy("session")))
     frame = rows(-(n - 1))
     var = F.var_samp("__m").over(frame)
-    beta = F.covar_samp("__r", "__m").over(frame) / var
+    beta = ratio(F.covar_samp("__r", "__m").over(frame), var)
     return out.withColumn("beta", F.when((F.count("__r").over(frame) >= least) & (var > 0), clip(beta, -3.0, cap))).drop("__r", "__m")

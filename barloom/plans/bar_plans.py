@@ -76,15 +76,16 @@ def atr14(spark, d):
     return w.with_atr(bars(spark, d)).select(*KEY, r("atr", "atr14", 5))
 
 
-@query("F1_ema10", f"""WITH RECURSIVE {BARS}, k AS (SELECT ticker, session, close, row_number() OVER ({T}) AS k FROM bars WHERE ticker <= 20),
+@query("F1_ema10", f"""WITH RECURSIVE {BARS}, k AS (SELECT ticker, session, close, row_number() OVER ({T}) AS k FROM bars),
 e AS (SELECT ticker, session, k, close AS ema FROM k WHERE k = 1 UNION ALL SELECT k.ticker, k.session, k.k, e.ema + 2.0 / 11 * (k.close - e.ema) FROM e JOIN k ON k.ticker = e.ticker AND k.k = e.k + 1)
 SELECT ticker, session, round(ema, 4) AS ema10 FROM e""")
 def ema10(spark, d):
-    """Names 1 to 20: the operator's own watch list."""
-    return w.with_recursive(bars(spark, d).where("ticker <= 20").select("ticker", "session", "close"), "close", {"e": w.ema_alpha(10)}).select(*KEY, r("e", "ema10", 4))
+    return w.with_recursive(bars(spark, d).select("ticker", "session", "close"), {"e": ("close", w.ema_alpha(10))}).select(*KEY, r("e", "ema10", 4))
 
 
-@query("F12_rsi14")
+@query("F12_rsi14", f"""WITH RECURSIVE {BARS}, c AS (SELECT ticker, session, close - lag(close) OVER ({T}) AS v FROM bars), k AS (SELECT ticker, session, greatest(v, 0.0) AS up, greatest(-v, 0.0) AS down, row_number() OVER ({T}) AS k FROM c WHERE v IS NOT NULL),
+e AS (SELECT ticker, session, k, up AS gain, down AS loss FROM k WHERE k = 1 UNION ALL SELECT k.ticker, k.session, k.k, e.gain + (k.up - e.gain) / 14.0, e.loss + (k.down - e.loss) / 14.0 FROM e JOIN k ON k.ticker = e.ticker AND k.k = e.k + 1)
+SELECT ticker, session, round(CASE WHEN gain + loss > 0 THEN 100 * gain / (gain + loss) END, 4) AS rsi14 FROM e""")
 def rsi14(spark, d):
     return w.with_rsi(bars(spark, d).select("ticker", "session", "close")).select(*KEY, r("rsi", "rsi14", 4))
 

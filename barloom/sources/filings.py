@@ -30,7 +30,7 @@ def month_end(day: dt.date) -> dt.date:
 
 def instance_facts(xml: bytes, wanted: set[str] | None = None) -> list[tuple]:
     """(tag, end, quarters, unit, value) of facts without dimensions. Of several reports of one fact the most exact counts,
-    then the one whose span lies nearest to whole quarters."""
+    then the one whose end and span lie nearest to a month's end and whole quarters, then the first."""
     contexts: dict[str, tuple] = {}
     units: dict[str, str] = {}
     facts: list[tuple] = []
@@ -38,11 +38,13 @@ def instance_facts(xml: bytes, wanted: set[str] | None = None) -> list[tuple]:
         name = local(el.tag)
         if name == "context":
             dates = {local(x.tag): (x.text or "").strip()[:10] for x in el.iter() if local(x.tag) in ("startDate", "endDate", "instant")}
-            whole = not any(local(x.tag) in ("explicitMember", "typedMember") for x in el.iter())
+            whole = not any(len(x) for x in el.iter() if local(x.tag) in ("segment", "scenario"))
             contexts[el.get("id")] = (dates.get("startDate"), dates.get("endDate") or dates.get("instant"), whole)
         elif name == "unit":
-            codes = [(x.text or "").strip().split(":")[-1] for x in el.iter() if local(x.tag) == "measure"]
-            units[el.get("id")] = "/".join(codes)
+            # Of a ratio the numerator names the unit: dollars a share are dollars.
+            top = next((x for x in el.iter() if local(x.tag) == "unitNumerator"), el)
+            codes = [(x.text or "").strip().split(":")[-1] for x in top.iter() if local(x.tag) == "measure"]
+            units[el.get("id")] = "*".join(c for c in codes if c)
         elif el.get("contextRef") and el.get("unitRef") and (wanted is None or name in wanted):
             facts.append((name, el.get("contextRef"), el.get("unitRef"), el.get("decimals"), (el.text or "").strip()))
     best: dict[tuple, tuple] = {}
@@ -58,8 +60,11 @@ def instance_facts(xml: bytes, wanted: set[str] | None = None) -> list[tuple]:
         span = (last - first).days + 1 if first else 0
         quarters = math.floor(span / 91.3125 + 0.5)
         exact = math.inf if decimals == "INF" else float(decimals) if decimals and decimals.lstrip("+-").isdigit() else -math.inf
-        key, rank = (name, month_end(last), quarters, units.get(unit, unit)), (-exact, abs(span - 91.3125 * quarters), value)
-        if key not in best or rank < best[key]:
+        if unit not in units:
+            continue
+        fit = abs((month_end(last) - last).days) + (abs(span - 91.3125 * quarters) if first else 0.0)
+        key, rank = (name, month_end(last), quarters, units[unit]), (-exact, fit, value)
+        if key not in best or rank[:2] < best[key][:2]:  # a true tie keeps the first reported
             best[key] = rank
     return [(*key, rank[2] + 0.0) for key, rank in sorted(best.items())]
 

@@ -178,7 +178,7 @@ def test_turnover_of_a_constant_ranking(spark):
 
 def test_squares_of_ema(spark):
     df = spark.createDataFrame([("a", day(f"2025-01-0{i}"), float(v)) for i, v in enumerate((1, 2, 2, 4), 1)], "ticker string, session date, close double")
-    assert [r.e for r in windows.with_recursive(df, "close", {"e": 0.5}).orderBy("session").collect()] == [1.0, 1.5, 1.75, 2.875]
+    assert [r.e for r in windows.with_recursive(df, {"e": ("close", 0.5)}).orderBy("session").collect()] == [1.0, 1.5, 1.75, 2.875]
 
 
 @pytest.mark.parametrize(
@@ -331,3 +331,25 @@ def test_surprise_and_currency(spark):
     assert got[:8] == [None] * 8 and got[-1] is not None and math.isfinite(got[-1])
     df = spark.createDataFrame([(1, "USD"), (1, "EUR/shares"), (1, "EUR"), (1, "USD"), (2, "pure")], "cik int, uom string")
     assert [tuple(r) for r in ac.main_currency(df).collect()] == [(1, "EUR")]
+
+
+def test_zeros_do_not_end_the_job(spark):
+    """A zero price or value gives a null, where ANSI division would fail."""
+    from barloom.operators import mapping, windows
+
+    df = spark.createDataFrame([(1, i, float(o), 1.0, 0.0, float(c), 0.0) for i, (o, c) in enumerate([(1, 0), (0, 0), (2, 3), (4, 5)])], "ticker int, session int, open double, high double, low double, close double, volume double")
+    up, down = windows.excursions(2)
+    out = df.select("session", windows.forward_return(1).alias("f"), up.alias("up"), down.alias("down"), windows.drawdown(2).alias("d"), windows.vwma("close", "volume", 1).alias("v")).orderBy("session").collect()
+    assert [r.f for r in out] == [None, 0.5, 0.25, None] and out[0].up is None and out[0].d is None and all(r.v is None for r in out)
+    assert windows.with_step_z(df, 2, 1).count() == 4 and windows.with_market_beta(df).count() == 4
+    pairs = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (1.0, 1.04), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in pairs.select(mapping.compare(F.col("a"), F.col("b"), 0.05)).collect()] == ["differs", "ok", "ok", "missing"]
+
+
+def test_repeats_inside_one_batch(spark):
+    from barloom.operators import upsert
+
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "z"), (2, "c"), (2, "b"), (2, "c")], "k int, v string")
+    assert sorted(map(tuple, upsert.insert_only(old, new, ["k"]).collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, upsert.keep_last(old, new, ["k"]).collect())) == [(1, "z"), (2, "c")]
