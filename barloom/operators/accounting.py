@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import clip, safe_divide
+from barloom.functions.ranks import clip, ratio, safe_divide, sum_reported
 from barloom.operators.asof import latest_by
 
 
@@ -121,3 +121,42 @@ def prefer_stores(bulk: DataFrame, company: DataFrame, filings: DataFrame) -> Da
     rest = bulk.withColumn("q", quarter).join(better, ["cik", "q"], "left_anti")
     held = own.unionByName(rest).drop("q")
     return held.unionByName(filings.join(held.select("adsh").distinct(), "adsh", "left_anti"))
+
+
+def beneish_m(now: dict[str, Column], before: dict[str, Column]) -> Column:
+    """Beneish's eight ratios of two years' lines, held within 15; selling expenses count as unchanged. Above -1.78 earnings
+    are likely to be managed."""
+    share = lambda y, a, b: ratio(y[a], y[b])
+    change = lambda a, b, first=now, second=before: ratio(share(first, a, b), share(second, a, b))
+    soft = lambda y: 1 - ratio(F.coalesce(y["assets_current"], F.lit(0.0)) + F.coalesce(y["ppe"], F.lit(0.0)), y["assets"])
+    worn = lambda y: ratio(y["dna"], y["dna"] + y["ppe"])
+    m = -4.84 + 0.920 * change("receivables", "revenue") + 0.528 * change("gross_profit", "revenue", before, now) + 0.404 * ratio(soft(now), soft(before)) + 0.892 * ratio(now["revenue"], before["revenue"])
+    m = m + 0.115 * ratio(worn(before), worn(now)) - 0.172 + 4.679 * ratio(now["net_income"] - now["cfo"], now["assets"]) - 0.327 * change("liabilities", "assets")
+    return clip(m, -15.0, 15.0)
+
+
+def derive(lines: dict[str, Column]) -> dict[str, Column]:
+    """Concepts made of reported lines: a missing part counts as none where the whole is a sum, and a stand-in is named."""
+    none = F.lit(0.0)
+    return {
+        "free_cash": F.coalesce(lines["net_income"], none) - lines["debt"],
+        "total_debt": lines["debt"] + F.coalesce(lines["receivables"], none),
+        "working": F.coalesce(lines["receivables"], 0.5 * lines["revenue"]),
+        "reported": sum_reported(lines["net_income"], lines["receivables"]),
+    }
+
+
+def anchored(df: DataFrame, by: str, day: str, reach: int) -> DataFrame:
+    """(by, day, anchor): the first day of a group takes all within reach of it, then the next one begins. Sequential, so a
+    grouped map; a group is one company's periods."""
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(day)
+        anchors, at = [], None
+        for x in g[day]:
+            at = x if at is None or (x - at).days > reach else at
+            anchors.append(at)
+        return pd.DataFrame({by: g[by], day: g[day], "anchor": anchors})
+
+    return df.select(by, day).groupBy(by).applyInPandas(run, f"{by} long, {day} date, anchor date")

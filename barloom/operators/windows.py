@@ -96,7 +96,7 @@ def ema_alpha(n: int) -> float:
 def with_rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's index of gains against losses."""
     change = F.col("close") - F.lag("close").over(order())
-    moved = df.withColumn("__up", F.greatest(change, F.lit(0.0))).withColumn("__down", F.greatest(-change, F.lit(0.0))).where("__up is not null")
+    moved = df.withColumn("__c", change).where("__c is not null").withColumn("__up", F.greatest("__c", F.lit(0.0))).withColumn("__down", F.greatest(-F.col("__c"), F.lit(0.0))).drop("__c")
     moved = with_recursive(moved, {"__gain": ("__up", 1 / n), "__loss": ("__down", 1 / n)})
     return moved.withColumn("rsi", F.when(F.col("__gain") + F.col("__loss") > 0, 100 * F.col("__gain") / (F.col("__gain") + F.col("__loss")))).drop("__up", "__down", "__gain", "__loss")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import upsert as up
 from barloom.plans.catalog import query, r
-from barloom.sources.roles import BARS, CALENDAR, bars, calendar, sectors, table
+from barloom.sources.roles import BARS, CALENDAR, SECTORS, bars, calendar, sectors, table
 
 OLD_NEW = f"{BARS}, o AS (SELECT ticker, session, close, 0 AS src FROM bars WHERE session < DATE '2000-01-01'), n AS (SELECT ticker, session, close * 1.01 AS close, 1 AS src FROM bars WHERE session >= DATE '1999-12-01')"
 
@@ -47,9 +47,12 @@ def reconcile(spark, d):
     return up.reconcile(registry, s.where("ticker % 5 <> 0"), "ticker", "2024-01-01")
 
 
-@query("H4_missing_sessions", f"WITH {BARS}, {CALENDAR} SELECT session FROM cal WHERE session NOT IN (SELECT session FROM bars WHERE ticker % 3 = 0)")
+@query("H4_missing_sessions", f"WITH {BARS}, {CALENDAR}, {SECTORS} SELECT sector, session FROM (SELECT sector, session FROM cal, (SELECT DISTINCT sector FROM sectors)) ANTI JOIN (SELECT sector, session FROM bars JOIN sectors USING (ticker)) USING (sector, session)")
 def missing_sessions(spark, d):
-    return up.missing_sessions(calendar(spark, d), bars(spark, d).where("ticker % 3 = 0")).select("session")
+    """Sessions that the store of a sector lacks."""
+    held = bars(spark, d).join(sectors(spark, d), "ticker").select("sector", "session").distinct()
+    wanted = calendar(spark, d).select("session").crossJoin(F.broadcast(sectors(spark, d).select("sector").distinct()))  # a few sectors
+    return wanted.join(held, ["sector", "session"], "left_anti").select("sector", "session")
 
 
 @query("H4_missing_by_ticker", f"WITH {BARS}, {CALENDAR}, s AS (SELECT ticker, min(session) AS a, max(session) AS z FROM bars GROUP BY 1) SELECT s.ticker, c.session FROM s JOIN cal c ON c.session BETWEEN s.a AND s.z ANTI JOIN bars b ON b.ticker = s.ticker AND b.session = c.session")
@@ -101,10 +104,11 @@ def group_override(spark, d):
     return s.join(override, "ticker", "left").select("ticker", F.coalesce("own", "sector").alias("sector"))
 
 
-@query("D38_unique_first_word", "WITH w AS (SELECT p_partkey, split_part(lower(p_name), ' ', 1) AS word FROM part) SELECT word, min(p_partkey) AS p_partkey FROM w GROUP BY 1 HAVING count(*) = 1")
+@query("D38_unique_first_word", "WITH w AS (SELECT c_custkey, split_part(replace(lower(c_name), '#000000', ' '), ' ', 2) AS word FROM customer) SELECT right(word, 3) AS word, min(c_custkey) AS c_custkey FROM w GROUP BY 1 HAVING count(*) = 1")
 def unique_first_word(spark, d):
-    w = table(spark, d, "part").select("p_partkey", F.split_part(F.lower("p_name"), F.lit(" "), F.lit(1)).alias("word"))
-    return w.groupBy("word").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).where("n = 1").drop("n")
+    """Words that one name alone has: they tell the company."""
+    w = table(spark, d, "customer").select("c_custkey", F.right(F.split_part(F.replace(F.lower("c_name"), F.lit("#000000"), F.lit(" ")), F.lit(" "), F.lit(2)), F.lit(3)).alias("word"))
+    return w.groupBy("word").agg(F.min("c_custkey").alias("c_custkey"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
 @query("C6_universe_funnel", "SELECT count(*) AS listed, CAST(sum(CAST(s_acctbal > 0 AS INT)) AS BIGINT) AS solvent, CAST(sum(CAST(s_acctbal > 0 AND s_nationkey < 15 AS INT)) AS BIGINT) AS domestic, CAST(sum(CAST(s_acctbal > 0 AND s_nationkey < 15 AND NOT regexp_matches(s_name, '7$') AS INT)) AS BIGINT) AS kept FROM supplier")
