@@ -342,9 +342,10 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
     held = mixed.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
     buckets = max(2 * partitions(spark), -(-held // BUCKET_BYTES))
     ranges = strings(mixed).withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(merge, RUNS).unionByName(alone)
-    for cut_rows in reversed(cuts):
-        ranges = durable(ranges)
-        ranges = ranges.unionByName(ranges.join(cut_rows, "segment").select(F.col("owner").alias("segment"), (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last")))
+    for cut_rows in reversed(cuts):  # a piece's ranges are its owner's too; the merge itself is read once
+        own = F.struct("segment", "first", "last")
+        owners = F.when(F.col("owner").isNotNull(), F.struct(F.col("owner").alias("segment"), (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last")))
+        ranges = ranges.join(cut_rows, "segment", "left").select(F.explode(F.array_compact(F.array(own, owners))).alias("x")).select("x.*")
     gone = found.select("segment", "doc_id", "text_hash", "chunk", "start").join(ranges, "segment").select("chunk", "doc_id", "text_hash", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
