@@ -353,3 +353,35 @@ def test_repeats_inside_one_batch(spark):
     new = spark.createDataFrame([(1, "z"), (2, "c"), (2, "b"), (2, "c")], "k int, v string")
     assert sorted(map(tuple, upsert.insert_only(old, new, ["k"]).collect())) == [(1, "a"), (2, "b")]
     assert sorted(map(tuple, upsert.keep_last(old, new, ["k"]).collect())) == [(1, "z"), (2, "c")]
+
+
+def bounce_path() -> pd.DataFrame:
+    """A base near 7.7 to 8.8 with three lows, a run to 26, and the way back to the base's lows."""
+    legs = [(8, 8.6, 20), (8.6, 7.7, 15), (7.7, 8.8, 20), (8.8, 7.8, 20), (7.8, 8.4, 15), (8.4, 7.75, 15), (7.75, 26, 42), (26, 15, 20), (15, 17, 6), (17, 7.9, 22), (7.9, 9.4, 4)]
+    c = np.concatenate([np.geomspace(a, b, n, endpoint=False) for a, b, n in legs]) * np.exp(np.random.default_rng(1).normal(0, 0.004, sum(n for *_, n in legs)))
+    g = pd.DataFrame({"ticker": 1, "session": pd.bdate_range("2024-01-01", periods=len(c)).date, "open": np.r_[c[0], c[:-1]], "close": c, "volume": 1e6})
+    return g.assign(high=g[["open", "close"]].max(axis=1) * 1.01, low=g[["open", "close"]].min(axis=1) * 0.99)
+
+
+def test_bounce_screen(spark):
+    """The run starts in the base, not inside the way up; the level is the base's lows, with its earlier visits only."""
+    from barloom.operators import bounce
+
+    g = bounce_path()
+    flat = g.assign(ticker=2, open=10.0, close=10.0, high=10.1, low=9.9)
+    rows = {x.ticker: x for x in bounce.screen(spark.createDataFrame(pd.concat([g, flat, flat.head(20).assign(ticker=3)]))).collect()}
+    one = rows[1]
+    assert set(rows) == {1, 2} and one.failed is None and one.shape == "SINGLE"
+    assert one.peak == pytest.approx(g["high"].max()) and 3.2 < one.run_x < 3.7 and one.run_bars > 60
+    assert 0.95 < one.retrace_of_run < 1.05 and abs(one.level / 7.7 - 1) < 0.02 and one.touches >= 2 and one.pre_run >= 1
+    assert (one.grade, one.stage, one.bucket) == ("B", "CONFIRMED", "PRIME") and 45 <= one.score <= 100
+    assert rows[2].failed == "NO_RUN" and rows[2].score is None
+
+
+def test_bounce_reads_only_the_past():
+    """A shorter history gives the row that was known then, whatever follows."""
+    from barloom.operators import bounce
+
+    g = bounce_path()
+    later = g.tail(40).assign(close=99.0, high=100.0, low=98.0)
+    assert bounce.read_name(g.head(190)) == bounce.read_name(pd.concat([g.head(190), later]).head(190).reset_index(drop=True))
