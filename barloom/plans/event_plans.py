@@ -95,9 +95,10 @@ def track_record(spark, d):
     return ev.track_record(x, "owner", "filed", "done", "ex").select("accession", "past_n", r("past_mean", "past_mean", 5))
 
 
-@query("C10_purchase_filter", f"WITH {TRADES} SELECT accession, owner, round(value, 4) AS value FROM trades WHERE role IN ('1-URGENT', '2-HIGH') AND value > 100000 AND owner % 10 <> 0")
+@query("C10_purchase_filter", f"WITH {TRADES} SELECT accession, owner, round(value, 4) AS value FROM trades WHERE role IN ('1-URGENT', '2-HIGH') AND value > 100000")
 def purchase_filter(spark, d):
-    return trades(spark, d).where("role in ('1-URGENT', '2-HIGH') and value > 100000 and owner % 10 <> 0").select("accession", "owner", r("value", "value", 4))
+    """Large purchases of all owners; C10_purchase_owners leaves entities out."""
+    return trades(spark, d).where("role in ('1-URGENT', '2-HIGH') and value > 100000").select("accession", "owner", r("value", "value", 4))
 
 
 @query("C10_purchase_owners", f"WITH {TRADES} SELECT accession, owner, round(value, 4) AS value FROM trades LEFT JOIN customer ON c_custkey = owner WHERE role IN ('1-URGENT', '2-HIGH') AND value > 100000 AND c_mktsegment IS DISTINCT FROM 'MACHINERY'")

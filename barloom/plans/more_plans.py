@@ -176,11 +176,11 @@ def strategy_coverage(spark, d):
     return x.agg(F.count_if(F.expr("mom is not null and fwd5 is not null")).alias("ranked"), F.count_if(F.expr("mom is null or fwd5 is null")).alias("dropped"), F.count_if(F.expr("mom is null")).alias("missing"))
 
 
-@query("E97_watchlist", f"""WITH {BARS}, k AS (SELECT *, row_number() OVER ({T}) AS k FROM bars WHERE ticker % 10 = 1) SELECT ticker, session, round(close / first_value(close) OVER ({T}) - 1, 6) AS since, round(max(close) OVER ({T}), 6) AS best, bool_or(close < 0.5 * first_close) OVER ({T}) AS failed FROM (SELECT *, first_value(close) OVER ({T}) AS first_close FROM k)""")
+@query("E97_watchlist", f"""WITH {BARS}, k AS (SELECT *, first_value(close) OVER ({T}) AS first_close FROM bars) SELECT ticker, session, round(close / first_close - 1, 6) AS since, round(max(close) OVER ({T}), 6) AS best, bool_or(close < 0.5 * first_close) OVER ({T}) AS failed FROM k""")
 def watchlist(spark, d):
-    """Names that end in 1: a watch list of the operator's own."""
+    """Every name from its first bar on: gain since, best close, whether a close fell under half the first."""
     o = w.order()
-    b = bars(spark, d).where("ticker % 10 = 1").withColumn("first_close", F.first("close").over(o))
+    b = bars(spark, d).withColumn("first_close", F.first("close").over(o))
     return b.select("ticker", "session", r(F.col("close") / F.col("first_close") - 1, "since"), r(F.max("close").over(o), "best"), F.bool_or(F.col("close") < 0.5 * F.col("first_close")).over(o).alias("failed"))
 
 

@@ -10,6 +10,7 @@ def test_watchlist_tracks_every_name(spark):
     b, got = bars(spark, SF), catalog.QUERIES["E97_watchlist_all"](spark, SF)
     assert got.count() == b.count() and got.select("ticker").distinct().count() == b.select("ticker").distinct().count()
     assert {"worst", "ahead"} <= set(got.columns)
+    assert catalog.QUERIES["E97_watchlist"](spark, SF).count() == b.count()
 
 
 def test_missing_sessions_of_each_name(spark):
@@ -22,5 +23,6 @@ def test_missing_sessions_of_each_name(spark):
 
 
 def test_purchases_of_owners_with_any_number(spark):
-    got = {x.owner % 10 for x in catalog.QUERIES["C10_purchase_owners"](spark, SF).collect()}
-    assert got == set(range(10))
+    for name in ("C10_purchase_filter", "C10_purchase_owners"):
+        got = {x.owner % 10 for x in catalog.QUERIES[name](spark, SF).collect()}
+        assert got == set(range(10))
