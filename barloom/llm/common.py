@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import math
 import tempfile
 import uuid
@@ -92,6 +95,27 @@ def with_chunk(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: workers outlive their tasks, and allocators keep what a group needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(f):
+    """A group's function that gives back memory once the group is done."""
+
+    @functools.wraps(f)
+    def done(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    done.__signature__ = inspect.signature(f)  # Spark counts the arguments
+    return done
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(33))
@@ -136,6 +160,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
         end = max(first + 1, int(np.searchsorted(ends, held + limit, side="right")))
         yield batch.slice(first, end - first)
         first = end
+    give_back()
 
 
 def texts_of(table: pa.Table, column: str = "text") -> list[bytes]:
@@ -188,6 +213,7 @@ def pack(chunk: int, h: np.ndarray, marked: np.ndarray | None, bits: int, exact:
 def repeats(packed: DataFrame, exact: bool, need_mark: bool) -> DataFrame:
     """FOUND rows: for each chunk, which of its hashes stand in two places or more (with need_mark: one of them marked)."""
 
+    @tidy
     def count(table: pa.Table) -> pa.Table:
         kind = np.uint64 if exact else np.uint32
         part = table.column("part")[0].as_py()

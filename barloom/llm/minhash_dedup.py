@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import U64, batches, durable, mix64, row_key, slices, text_table, texts_of
+from barloom.llm.common import U64, batches, durable, mix64, row_key, slices, text_table, texts_of, tidy
 from barloom.llm.links import components
 from barloom.llm.textnum import odd_constants, windows, words
 
@@ -149,6 +149,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
         right = pairs.join(groups, "a").join(own_text.withColumnRenamed("class", "b"), "b").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "text")
         left = groups.join(own_text.withColumnRenamed("class", "a"), "a").select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
 
+        @tidy
         def confirm(table: pa.Table) -> pa.Table:
             a, b, held = table.column("a")[0].as_py(), table.column("b").to_pylist(), texts_of(table)
             base = next((s for i in range(len(b)) if b[i] is None for s in shingle_sets([held[i]], shingle)), None)
@@ -197,6 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
 
         return table, root, later
 
+    @tidy
     def sift(key: tuple, table: pa.Table) -> pa.Table:
         table, root, later = left_over(key, table)
         wanted = np.zeros(len(root), bool)
@@ -206,6 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, k: int
             wanted[i] |= len(rest) > 0
         return table.filter(pa.array(wanted))
 
+    @tidy
     def across(key: tuple, table: pa.Table) -> pa.Table:
         table, root, later = left_over(key, table)
         name, out = table.column("class").to_pylist(), [[], []]

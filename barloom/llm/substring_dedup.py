@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import PACKED, U64, batches, chunks, found_keys, member, pack, range_bits, repeats, short, text_bytes, text_table, texts_of, with_chunk
+from barloom.llm.common import PACKED, U64, batches, chunks, found_keys, member, pack, range_bits, repeats, short, text_bytes, text_table, texts_of, tidy, with_chunk
 from barloom.llm.textnum import covered, windows, words
 
 
@@ -39,6 +39,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
     bits = range_bits(spark, size // 4)  # a hash a word
     rows = with_chunk(rows, chunks(spark, size))
 
+    @tidy
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         texts, hashes, marks = texts_of(table), [np.zeros(0, U64)], [np.zeros(0, bool)]
         for a, b in batches(texts):
@@ -57,6 +58,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
         long, inside = windows(w, window, 35)
         return np.flatnonzero(near[: len(long)] & inside), long
 
+    @tidy
     def extended(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts, keys, hashes = texts_of(left), found_keys(right), [np.zeros(0, U64)]
         for a, b in batches(texts) if len(keys) else ():
@@ -69,6 +71,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
     if carry:
         out.add("rest", rows.schema["rest"].dataType)
 
+    @tidy
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts, keys = texts_of(left), found_keys(right)
         n_words, n_removed, kept, spans = [], [], [], []
