@@ -85,9 +85,9 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
 
 
-def chunks(spark: SparkSession, size: int) -> int:
+def chunks(spark: SparkSession, size: int, each: int = CHUNK_BYTES) -> int:
     """Chunks for so many bytes of text, and never fewer than the session's partitions."""
-    return max(partitions(spark), -(-size // CHUNK_BYTES))
+    return max(partitions(spark), -(-size // each))
 
 
 def with_chunk(docs: DataFrame, n: int) -> DataFrame:
@@ -189,14 +189,23 @@ def short(h: np.ndarray, bits: int) -> np.ndarray:
 
 def pack(chunk: int, h: np.ndarray, marked: np.ndarray | None, bits: int, exact: bool) -> pa.Table:
     """Rows of PACKED for the hashes of one chunk. exact keeps 64 bits; else a fingerprint, which may only add hits."""
-    key = h & ~U64(1) if marked is None else (h & ~U64(1)) | marked.astype(U64)
+    # In place where it can be: a worker holds few arrays as long as h at a time.
+    key = h & ~U64(1)
+    if marked is not None:
+        key |= marked
     if not exact:
-        key = (short(key, bits) << U64(1)) | (key & U64(1))
-    key = np.sort(key)
-    value = key >> U64(1)
-    first, last = stretches(value)
-    last = last - 1
-    many, mark, value = (last > first), (key[last] & U64(1)).astype(bool), value[first]
+        mark = key & U64(1)
+        key >>= U64(32 - bits)
+        key <<= U64(1)
+        key |= mark
+        del mark
+    key.sort()
+    new = np.ones(len(key), bool)
+    np.greater(key[1:] >> U64(1), key[:-1] >> U64(1), out=new[1:])
+    last = np.r_[new[1:], np.ones(min(1, len(key)), bool)]
+    many, mark = ~last[new], (key[last] & U64(1)).astype(bool)
+    value = key[new] >> U64(1)
+    del key, new, last
     part = (value >> U64(63 - bits) if exact else value >> U64(32)).astype(np.int64)
     cut, ends = stretches(part)
     kind = np.uint64 if exact else np.uint32

@@ -9,7 +9,7 @@ Hashes travel packed, by hash range, once a chunk (see common.repeats): a passag
 adds one entry a chunk, and no pairs are formed.
 
 A chunk is bounded by bytes of text and a range by hashes, each by its own count, so tasks keep their size as the corpus
-grows. Texts are handled whole: a chunk's words are taken in batches of some 512 KB, a longer text being a batch alone.
+grows. Texts are handled whole: a chunk's words are taken in batches of some 256 KB, a longer text being a batch alone.
 
 Nulls, empty texts and texts shorter than the window come back whole. Repeated rows count as occurrences of their own.
 An empty table gives an empty result.
@@ -26,6 +26,9 @@ from pyspark.sql import types as T
 from barloom.llm.common import PACKED, U64, batches, chunks, found_keys, member, pack, range_bits, repeats, short, text_bytes, text_table, texts_of, tidy, with_chunk
 from barloom.llm.textnum import covered, windows, words
 
+#: Bytes of text in a chunk; what a worker holds at a time is a small multiple of it.
+CHUNK_BYTES = 1 << 22
+
 
 def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space; the text itself if none goes),
@@ -37,12 +40,12 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
     rows = text_table(docs, id_col, text_col, carry)
     size = text_bytes(rows)
     bits = range_bits(spark, size // 4)  # a hash a word
-    rows = with_chunk(rows, chunks(spark, size))
+    rows = with_chunk(rows, chunks(spark, size, CHUNK_BYTES))
 
     @tidy
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         texts, hashes, marks = texts_of(table), [np.zeros(0, U64)], [np.zeros(0, bool)]
-        for a, b in batches(texts):
+        for a, b in batches(texts, 1 << 18):
             w = words(texts[a:b])
             h, whole = windows(w, block, 18)
             hashes.append(h[whole])
@@ -61,7 +64,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
     @tidy
     def extended(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts, keys, hashes = texts_of(left), found_keys(right), [np.zeros(0, U64)]
-        for a, b in batches(texts) if len(keys) else ():
+        for a, b in batches(texts, 1 << 18) if len(keys) else ():
             at, long = candidates(words(texts[a:b]), keys)
             hashes.append(long[at])
         return pack(key[0].as_py(), np.concatenate(hashes), None, bits, exact=True)
@@ -75,7 +78,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 35, block: int | Non
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts, keys = texts_of(left), found_keys(right)
         n_words, n_removed, kept, spans = [], [], [], []
-        for a, b in batches(texts):
+        for a, b in batches(texts, 1 << 18):
             w = words(texts[a:b])
             long, inside = windows(w, window, 35)
             gone = covered(np.flatnonzero(inside & member(long >> U64(1), keys)), window, len(w.hash)) if len(keys) and len(long) else np.zeros(len(w.hash), bool)

@@ -22,6 +22,8 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
 
 
 PLACE = odd_constants(1 << 12, 11)
+#: Words that are hashed at a time.
+WORDS_AT_ONCE = 1 << 14
 
 
 @dataclass
@@ -50,15 +52,16 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     text = np.searchsorted(offsets, start, side="right") - 1
     counts = np.bincount(text, minlength=len(texts))[: len(texts)] if len(texts) else np.zeros(0, np.int64)
     place = np.arange(len(start)) - np.repeat(np.cumsum(counts) - counts, counts)
-    if len(start):
-        size = end - start
-        letters = buffer[inside].astype(U64) + U64(1)
-        begin = np.cumsum(size) - size
-        at = np.arange(len(letters)) - np.repeat(begin, size)
-        factor = PLACE if size.max() <= len(PLACE) else odd_constants(int(size.max()), 11)
-        value = mix64(np.add.reduceat(letters * factor[at], begin) + size.astype(U64))
-    else:
-        value = np.zeros(0, U64)
+    size = end - start
+    factor = PLACE if not len(size) or size.max() <= len(PLACE) else odd_constants(int(size.max()), 11)
+    value = np.zeros(len(start), U64)
+    for a in range(0, len(start), WORDS_AT_ONCE):  # so that a very long text needs no arrays of its letters
+        part = slice(a, a + WORDS_AT_ONCE)
+        span = slice(start[part][0], end[part][-1])
+        letters = buffer[span][inside[span]].astype(U64) + U64(1)
+        begin = np.cumsum(size[part]) - size[part]
+        letters *= factor[np.arange(len(letters)) - np.repeat(begin, size[part])]
+        value[part] = mix64(np.add.reduceat(letters, begin) + size[part].astype(U64))
     return Words(buffer, start, end, text, place, value, counts, offsets)
 
 
