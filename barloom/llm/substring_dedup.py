@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from barloom.llm.common import PACKED, U64, batches, chunks, found_keys, member, pack, range_bits, repeats, short, text_bytes, text_table, texts_of, tidy, with_chunk
 from barloom.llm.textnum import covered, windows, words
 
-#: Bytes of text in a chunk; what a worker holds at a time is a small multiple of it.
+#: Bytes of text in a chunk; the fewer they are, the less a worker holds at a time.
 CHUNK_BYTES = 1 << 22
 
 
