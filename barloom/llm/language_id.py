@@ -68,10 +68,10 @@ class Profiles:
         if not len(gram):
             return None
         total = np.zeros(self.dimensions, np.float32)
-        for at in range(0, len(gram), 4096):
-            g = gram[at : at + 4096]
+        for at in range(0, len(gram), 512):  # what is bound at a time stays in the processor's cache
+            g = gram[at : at + 512]
             bound = self.placed[0][g // CODES**2] * self.placed[1][g // CODES % CODES] * self.placed[2][g % CODES]
-            total += counts[at : at + 4096].astype(np.float32) @ bound.astype(np.float32)
+            total += counts[at : at + 512].astype(np.float32) @ bound.astype(np.float32)
         size = np.linalg.norm(total)
         return total / size if size else total
 
@@ -88,10 +88,12 @@ def profiles() -> Profiles:
 def fit(labelled: DataFrame, fit_rows: int = 5_000) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from (doc_id, text, lang). What comes to the driver is one vector a language."""
     known = labelled.where("text is not null and lang is not null")
-    # One row a language, as the prototypes are.
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, fit_rows / n) * (1 << 20)))]) if counts else F.create_map().cast("map<string,int>")
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) <= F.element_at(share, F.col("lang")))
+    # Rows are drawn by id and text, so that rows without an id, or under one, are drawn apart; a language's least draw is
+    # always in, so that each is learned. One row a language comes back, as the prototypes do.
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 20))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("least")).collect()
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["least"], int(min(1.0, fit_rows / r["n"]) * (1 << 20))))]) if counts else F.create_map().cast("map<string,bigint>")
+    chosen = known.where(drawn <= F.element_at(share, F.col("lang")))
 
     def bundle(stream):
         sums: dict[str, np.ndarray] = {}

@@ -199,7 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 800) -> Field | None
                     yield pa.record_batch([pa.array([found], pa.list_(pa.list_(pa.int32()))), pa.array([counts], pa.list_(pa.int32())), pa.array([quality], pa.int32())], names=["lines", "words", "quality"])
 
     # The sample is bounded by fit_rows rows a class, so it can be broadcast.
-    rows = text_table(docs).join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(features, "lines array<array<int>>, words array<int>, quality int").collect()
+    # Of the texts under one labelled id, the first in order stands for all.
+    held = text_table(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = held.select("text", F.col("quality").cast("int")).mapInArrow(features, "lines array<array<int>>, words array<int>, quality int").collect()
     rows = sorted((r[2], r[0], r[1]) for r in rows)
     if {r[0] for r in rows} != {0, 1}:
         return None

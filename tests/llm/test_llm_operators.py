@@ -147,6 +147,16 @@ def test_pipeline_keeps_texts_of_one_id(spark):
             assert frame.count() == n, name
 
 
+def test_pipeline_survivor_is_defined(spark):
+    """Of rows equal in id and text the least in lang, source and n_chars stays, in any order of rows."""
+    import corpus_pipeline
+
+    rows = [(1, "one two three four five six", lang, source, n) for lang, source, n in (("fr", "b", 2), ("en", "z", 9), ("en", "b", 4), ("en", "b", 3))]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    for x in (rows, rows[::-1], rows[2:] + rows[:2]):
+        assert [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(x, shape).repartition(3), "").collect()] == [rows[3]]
+
+
 def test_minhash_strays(spark):
     """A bucket of many near copies and two strays: all links, none missed, and every row once."""
     words = [f"w{i}" for i in range(400)]
@@ -310,6 +320,23 @@ def test_language_sample_is_by_language(spark):
     assert set(language_id.fit(df, fit_rows=10)) == {"en", "fr"}
 
 
+def test_language_without_ids_is_learned(spark):
+    """Rows that share an id or have none are drawn apart, and no language is left out by the draw."""
+    words = {"en": "the cat sat on the mat and the dog ran", "xx": "zu wogu baki lomo nuri tafe dilu", "yy": "qirr sjoq vyrt hjolm grqat", "zz": "emma olla unna ibba"}
+    rows = [(i if lang == "en" else 7 if lang == "yy" else None, " ".join(text.split()[i % 4 :] * (1 + (i if lang != "zz" else 0))), lang) for lang, text in words.items() for i in range(60)]
+    found = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=5)
+    assert sorted(found) == ["en", "xx", "yy", "zz"]
+
+
+def test_line_fit_takes_one_row_an_id(spark):
+    """A labelled id with many rows teaches as one document, whichever partition its rows are in."""
+    docs = [(i, f"good line number {i} with words\nmore of it here") for i in range(6)] + [(10 + i, "buy now | click | here\nwww $$$ |||") for i in range(6)]
+    labels = spark.createDataFrame([(i, int(i < 10), 0) for i, _ in docs], "doc_id long, quality int, toxic int")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    once, many = (line_quality.rate(frame(docs), line_quality.fit(frame(x), labels)).select("doc_id", "content_share").collect() for x in (docs, docs + [docs[0]] * 50 + [(1, "z | later")] * 9))
+    assert sorted(once) == sorted(many)
+
+
 def test_language_id_edges(spark):
     rows = [(1, "le la les de la", "fr"), (2, "the of and to the", "en"), (3, None, "en"), (4, " 123 !?", "fr"), (5, "la les", None), (6, "\U00020000", "en"), (7, "x" * 100_000, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
