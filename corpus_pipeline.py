@@ -5,7 +5,7 @@ but the last return the columns of documents, n_chars being renewed where a text
 
 Rows, not ids, are documents: a null or repeated doc_id goes through all stages. Null texts and texts without a letter go
 in the first stage, so that an input of these alone, or an empty one, gives an empty result. Repeated rows are near
-duplicates, of which one stays; ties are settled by doc_id, then by a digest of the row. Texts are handled whole, however
+duplicates, of which one stays; ties are settled by doc_id, then by a digest of doc_id and text, then by lang, source and n_chars in order. Texts are handled whole, however
 long. Further columns of documents are not carried.
 """
 
@@ -38,7 +38,9 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("row_key", minhash_dedup.row_key())
     groups = minhash_dedup.near_duplicates(docs).where("class is not null").groupBy("group")
     best = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("x"))
-    found = rows.join(best.select("x.row_key"), "row_key").dropDuplicates(["row_key"])
+    # A key's rows share doc_id and text; of their other columns the least in order stays, nulls first.
+    other = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    found = rows.join(best.select("x.row_key"), "row_key").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), other).select("doc_id", "text", "rest.*")
     wordless = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return found.select(*COLUMNS).unionByName(wordless.select(*COLUMNS))
 
