@@ -47,6 +47,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows that have both; null where a side has no spread, which ends F.corr under ANSI rules."""
+    x, y = (F.col(v) if isinstance(v, str) else v for v in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def safe_divide(a: Column, b: Column, cap: float = 1e6) -> Column:
     """a / b; null where b is 0 or the ratio is not finite, held within +-cap."""
     x = F.try_divide(a, b)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import quantile, rank_avg, rank_pct, t_stat
+from barloom.functions.ranks import correlation, quantile, rank_avg, rank_pct, t_stat
 
 
 def spearman_by(df: DataFrame, by: list[str], x: str, y: str, least: int = 5) -> DataFrame:
     """Rank correlation of each group on rows that have both values; null below `least` pairs."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.withColumn("__x", rank_avg(x, *by)).withColumn("__y", rank_avg(y, *by))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.corr("__x", "__y")).alias("ic"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation("__x", "__y")).alias("ic"))
 
 
 def ic_summary(series: DataFrame, horizon: int | Column, spacing: int, by: list[str] | None = None) -> DataFrame:

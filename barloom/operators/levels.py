@@ -72,9 +72,14 @@ def clusters(prices: np.ndarray, weights: np.ndarray, tolerance: float = 0.025)
     return out
 
 
+def near_level(low: np.ndarray, close: np.ndarray, level: float) -> np.ndarray:
+    """Bars whose low nears the level and whose close holds it."""
+    return (low <= level * 1.025) & (low >= level * 0.97) & (close >= level * 0.98)
+
+
 def visit_spans(low: np.ndarray, close: np.ndarray, level: float, gap: int = 8) -> list[tuple[int, int]]:
     """First and last bars of visits: bars whose low nears the level and whose close holds it, no more than gap apart."""
-    hit = np.flatnonzero((low <= level * 1.025) & (low >= level * 0.97) & (close >= level * 0.98))
+    hit = np.flatnonzero(near_level(low, close, level))
     if not len(hit):
         return []
     cut = np.flatnonzero(np.diff(hit) > gap)

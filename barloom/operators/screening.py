@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.ranks import ratio
+
 
 def failures(gates: list[tuple[str, str]]) -> Column:
     """Names of all failed gates, in order; a test that is null has failed."""
@@ -27,11 +29,11 @@ def corrected(bars: DataFrame, declared: DataFrame) -> DataFrame:
     out = bars.join(steps, F.col("ticker") == F.col("__t"), "left")
     factor = F.aggregate(F.filter(F.coalesce("__f", F.array()), lambda x: F.col("session") < x["ex"]), F.lit(1.0), lambda s, x: s * x["factor"])
     out = out.withColumn("__k", factor)
-    return out.withColumns({c: F.col(c) * F.col("__k") for c in ("open", "high", "low", "close")} | {"volume": F.col("volume") / F.col("__k")}).drop("__t", "__f", "__k")
+    return out.withColumns({c: F.col(c) * F.col("__k") for c in ("open", "high", "low", "close")} | {"volume": ratio(F.col("volume"), F.col("__k"))}).drop("__t", "__f", "__k")
 
 
 def join_check(old: DataFrame, new: DataFrame, within: float = 1e-4) -> DataFrame:
     """Whether two histories of a name agree where they overlap."""
     both = old.select("ticker", "session", F.col("close").alias("__o")).join(new.select("ticker", "session", F.col("close").alias("__n")), ["ticker", "session"])
-    gap = F.max(F.abs(F.col("__n") / F.col("__o") - 1))
+    gap = F.max(F.abs(ratio(F.col("__n"), F.col("__o")) - 1))
     return both.groupBy("ticker").agg(F.count("*").alias("overlap"), F.when(gap <= within, "ok").otherwise("disagrees").alias("verdict"))

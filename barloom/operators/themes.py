@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import rank_avg, t_stat
+from barloom.functions.ranks import correlation, rank_avg, t_stat
 from barloom.operators.crosssection import spearman_by
 
 
@@ -22,7 +22,7 @@ def drop_correlated(df: DataFrame, metrics: list[str], by: str, limit: float) ->
     one aggregate; the choice among some tens of names is the driver's."""
     ranked = df.select(by, *[rank_avg(m, by).alias(m) for m in metrics])
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[:i]]
-    row = ranked.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).first()
+    row = ranked.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs]).first()
     kept: list[str] = []
     out = []
     for m in metrics:

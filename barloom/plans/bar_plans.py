@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import log_ratio
+from barloom.functions.ranks import log_ratio, ratio
 from barloom.operators import backtest as bt
 from barloom.operators import windows as w
 from barloom.plans.catalog import query, r
@@ -237,7 +237,7 @@ def breadth(spark, d):
     f50 = w.rows(-49)
     x = bars(spark, d).withColumn("p", F.lag("close").over(w.order())).withColumn("s50", F.when(F.count("close").over(f50) == 50, F.avg("close").over(f50))).withColumn("hi", F.max("high").over(w.rows(-251)))
     one = lambda c: c.cast("int")
-    out = x.groupBy("session").agg(F.count("p").alias("n"), r(F.avg(one(F.col("close") > F.col("s50"))), "above50"), r(F.percentile(F.col("close") / F.col("p") - 1, F.lit(0.5)), "median_ret"), r(F.sum(one(F.col("close") > F.col("p"))) / F.greatest(F.sum(one(F.col("close") < F.col("p"))), F.lit(1)), "adv_dec"), r(F.avg(one(F.col("high") >= F.col("hi"))), "at_high"))
+    out = x.groupBy("session").agg(F.count("p").alias("n"), r(F.avg(one(F.col("close") > F.col("s50"))), "above50"), r(F.percentile(ratio(F.col("close"), F.col("p")) - 1, F.lit(0.5)), "median_ret"), r(ratio(F.sum(one(F.col("close") > F.col("p"))), F.greatest(F.sum(one(F.col("close") < F.col("p"))), F.lit(1))), "adv_dec"), r(F.avg(one(F.col("high") >= F.col("hi"))), "at_high"))
     return out.where("n >= 5")
 
 
@@ -290,7 +290,7 @@ def liquidity(spark, d):
 @query("F39_gain_days", f"""WITH {BARS}, {SECTORS}, x AS (SELECT ticker, session, close / lag(close) OVER ({T}) - 1 AS v FROM bars), q AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY v DESC, ticker) AS up, row_number() OVER (PARTITION BY session ORDER BY v, ticker) AS down FROM x WHERE v IS NOT NULL),
 c AS (SELECT ticker, count(*) FILTER (up <= 3) AS gain_days, count(*) FILTER (down <= 3) AS loss_days FROM q GROUP BY 1), t AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY gain_days DESC, ticker) AS k FROM c JOIN sectors USING (ticker)) SELECT sector, ticker, gain_days, loss_days FROM t WHERE k <= 10""")
 def gain_days(spark, d):
-    x = bars(spark, d).withColumn("v", F.col("close") / F.lag("close").over(w.order()) - 1).where("v is not null")
+    x = bars(spark, d).withColumn("v", ratio(F.col("close"), F.lag("close").over(w.order())) - 1).where("v is not null")
     place = lambda o: F.row_number().over(Window.partitionBy("session").orderBy(o, "ticker"))
     x = x.withColumn("up", place(F.desc("v"))).withColumn("down", place(F.asc("v")))
     c = x.groupBy("ticker").agg(F.count_if(F.col("up") <= 3).alias("gain_days"), F.count_if(F.col("down") <= 3).alias("loss_days")).join(sectors(spark, d), "ticker")
@@ -300,7 +300,7 @@ def gain_days(spark, d):
 @query("F38_decayed_bursts", f"""WITH {BARS}, {CALENDAR}, x AS (SELECT ticker, session, close / lag(close) OVER ({T}) - 1 AS v FROM bars), q AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY v DESC, ticker) AS up FROM x WHERE v IS NOT NULL),
 b AS (SELECT q.ticker, c.session_idx AS i FROM q JOIN cal c USING (session) WHERE up <= 3), m AS (SELECT max(session_idx) AS m FROM cal) SELECT ticker, round(sum(pow(0.5, (m - i) / 63.0)), 6) AS heat FROM b, m GROUP BY 1""")
 def decayed_bursts(spark, d):
-    x = bars(spark, d).withColumn("v", F.col("close") / F.lag("close").over(w.order()) - 1).where("v is not null")
+    x = bars(spark, d).withColumn("v", ratio(F.col("close"), F.lag("close").over(w.order())) - 1).where("v is not null")
     x = x.withColumn("up", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("v"), "ticker"))).where("up <= 3")
     cal = calendar(spark, d)
     last = cal.agg(F.max("session_idx").alias("m"))
@@ -335,14 +335,14 @@ def corrections(spark, d):
 
 @query("E39_monthly_compounding", f"""WITH {BARS}, x AS (SELECT ticker, session, close / lag(close) OVER ({T}) - 1 AS v FROM bars) SELECT ticker, CAST(date_trunc('month', session) AS DATE) AS month, round(CASE WHEN count(v) >= 3 THEN exp(sum(ln(1 + v))) - 1 END, 6) AS ret FROM x GROUP BY 1, 2""")
 def monthly_compounding(spark, d):
-    x = bars(spark, d).withColumn("v", F.col("close") / F.lag("close").over(w.order()) - 1)
+    x = bars(spark, d).withColumn("v", ratio(F.col("close"), F.lag("close").over(w.order())) - 1)
     return x.groupBy("ticker", F.trunc("session", "month").alias("month")).agg(r(F.when(F.count("v") >= 3, F.expm1(F.sum(F.log1p("v")))), "ret"))
 
 
 @query("E40_seasonal_mean", f"""WITH {BARS}, m AS (SELECT ticker, CAST(date_trunc('month', session) AS DATE) AS month, arg_max(close, session) / arg_min(open, session) - 1 AS v FROM bars GROUP BY 1, 2)
 SELECT ticker, month, round(avg(v) OVER (PARTITION BY ticker, month(month) ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS season FROM m""")
 def seasonal_mean(spark, d):
-    m = w.resample(bars(spark, d), "month").withColumn("v", F.col("close") / F.col("open") - 1)
+    m = w.resample(bars(spark, d), "month").withColumn("v", ratio(F.col("close"), F.col("open")) - 1)
     prior = Window.partitionBy("ticker", F.month("period")).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
     return m.select("ticker", F.col("period").alias("month"), r(F.avg("v").over(prior), "season"))
 
@@ -352,7 +352,7 @@ SELECT ticker, count(DISTINCT g) AS runs, round(count(*) / count(DISTINCT g), 6)
 def run_lengths(spark, d):
     x = bars(spark, d).withColumn("k", F.row_number().over(w.order())).withColumn("up", F.col("close") > F.lag("close").over(w.order()))
     runs = w.islands(x, "up", 1, name="run", place="k").groupBy("ticker", "run").agg(F.count("*").alias("n"))
-    return runs.groupBy("ticker").agg(F.count("*").alias("runs"), r(F.sum("n") / F.count("*"), "mean_run"))
+    return runs.groupBy("ticker").agg(F.count("*").alias("runs"), r(ratio(F.sum("n"), F.count("*")), "mean_run"))
 
 
 @query("F62_history_join", f"""WITH {BARS}, o AS (SELECT ticker, session, close FROM bars WHERE session < DATE '1998-07-01'), n AS (SELECT ticker, session, close * CASE WHEN ticker % 7 = 0 THEN 2 ELSE 1 END AS close FROM bars WHERE session >= DATE '1998-01-01')

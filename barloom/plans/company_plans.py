@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import rank_avg, safe_divide, sum_reported
+from barloom.functions.ranks import rank_avg, ratio, safe_divide, sum_reported
 from barloom.operators import accounting as ac
 from barloom.operators.asof import latest_by
 from barloom.plans.catalog import query, r
@@ -146,9 +146,9 @@ def proxy_rescale(spark, d):
 SELECT cik, round(CASE WHEN count(*) OVER (PARTITION BY g) >= 5 THEN (rank() OVER (PARTITION BY g ORDER BY v) + (count(*) OVER (PARTITION BY g, v) - 1) / 2.0) / count(*) OVER (PARTITION BY g) END, 6) AS pct FROM k""")
 def peer_percentiles(spark, d):
     s = statement(spark, d).where("fy = 1998 and debt is not null and assets is not null")
-    j = s.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("cik")).withColumn("v", F.col("debt") / F.col("assets"))
+    j = s.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("cik")).withColumn("v", ratio(F.col("debt"), F.col("assets")))
     n = F.count("*").over(Window.partitionBy("c_nationkey"))
-    return j.select("cik", r(F.when(n >= 5, rank_avg("v", "c_nationkey") / n), "pct"))
+    return j.select("cik", r(F.when(n >= 5, ratio(rank_avg("v", "c_nationkey"), n)), "pct"))
 
 
 @query("A16_store_merge", f"""WITH {FACTS}, b AS (SELECT * FROM facts WHERE form = 'O'), c AS (SELECT * FROM facts WHERE form = 'F'), e AS (SELECT * FROM facts), bq AS (SELECT cik, date_trunc('quarter', ddate) AS q, max(filed) AS f FROM b GROUP BY 1, 2), cq AS (SELECT cik, date_trunc('quarter', ddate) AS q, max(filed) AS f FROM c GROUP BY 1, 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import rank_avg, rank_pct, welch_t
+from barloom.functions.ranks import correlation, rank_avg, rank_pct, ratio, welch_t
 from barloom.operators import crosssection as cs
 from barloom.operators import windows as w
 from barloom.plans.catalog import query, r
@@ -19,7 +19,7 @@ m AS (SELECT *, CAST(date_trunc('month', session) AS DATE) AS month FROM x)"""
 
 def scored(spark, d):
     b = bars(spark, d)
-    return b.select("ticker", "session", (F.col("close") / F.lag("close", 20).over(w.order()) - 1).alias("mom"), "volume", (F.col("close") * F.col("volume")).alias("traded"), w.forward_return(5).alias("fwd5"), w.forward_return(20).alias("fwd20"), F.trunc("session", "month").alias("month"))
+    return b.select("ticker", "session", (ratio(F.col("close"), F.lag("close", 20).over(w.order())) - 1).alias("mom"), "volume", (F.col("close") * F.col("volume")).alias("traded"), w.forward_return(5).alias("fwd5"), w.forward_return(20).alias("fwd20"), F.trunc("session", "month").alias("month"))
 
 
 def avg_rank(v: str, by: str) -> str:
@@ -97,7 +97,7 @@ def leave_one_out(spark, d):
 SELECT session, CAST(fifth AS BIGINT) AS fifth, round(avg(fwd5), 6) AS pool FROM q WHERE fwd5 IS NOT NULL GROUP BY 1, 2""")
 def pool_return(spark, d):
     day = Window.partitionBy("session")
-    q = scored(spark, d).withColumn("fifth", F.floor((F.row_number().over(day.orderBy("traded", "ticker")) - 1) * 5 / F.count("*").over(day)))
+    q = scored(spark, d).withColumn("fifth", F.floor(ratio((F.row_number().over(day.orderBy("traded", "ticker")) - 1) * 5, F.count("*").over(day))))
     return q.where("fwd5 is not null").groupBy("session", "fifth").agg(r(F.avg("fwd5"), "pool"))
 
 
@@ -142,7 +142,7 @@ def newey_west(spark, d):
     everything = Window.partitionBy(F.lit(1))
     c = s.withColumn("e", F.col("v") - F.avg("v").over(everything)).withColumn("p", F.lag("e").over(everything.orderBy("month")))
     n = F.count("*")
-    return c.agg(n.alias("n"), r(F.avg("v") / F.sqrt((F.sum(F.col("e") * F.col("e")) / n + F.sum(F.col("e") * F.col("p")) / n) / n), "t", 4))
+    return c.agg(n.alias("n"), r(ratio(F.avg("v"), F.sqrt(ratio(ratio(F.sum(F.col("e") * F.col("e")), n) + ratio(F.sum(F.col("e") * F.col("p")), n), n))), "t", 4))
 
 
 @query("E46_lead_lag", f"""WITH {X}, {SECTORS}, g AS (SELECT sector, month, avg(fwd5) AS v FROM m JOIN sectors USING (ticker) WHERE fwd5 IS NOT NULL GROUP BY 1, 2)
@@ -151,7 +151,7 @@ def lead_lag(spark, d):
     g = cs.group_returns(scored(spark, d).join(sectors(spark, d), "ticker"), ["sector", "month"], "fwd5", 1)
     a = g.select(F.col("sector").alias("leader"), F.col("ret").alias("x"), F.add_months("month", 1).alias("month"))
     b = g.select(F.col("sector").alias("follower"), F.col("ret").alias("y"), "month")
-    return a.join(b, "month").where("leader <> follower").groupBy("leader", "follower").agg(F.count("*").alias("n"), r(F.corr("x", "y"), "c", 5))
+    return a.join(b, "month").where("leader <> follower").groupBy("leader", "follower").agg(F.count("*").alias("n"), r(correlation("x", "y"), "c", 5))
 
 
 @query("E48_quadrants", f"""WITH {X}, {SECTORS}, g AS (SELECT sector, month, avg(mom) AS v FROM m JOIN sectors USING (ticker) WHERE mom IS NOT NULL GROUP BY 1, 2), c AS (SELECT sector, month, v - avg(v) OVER (PARTITION BY month) AS rel FROM g), p AS (SELECT *, lag(rel) OVER (PARTITION BY sector ORDER BY month) AS prev FROM c)

@@ -34,7 +34,7 @@ def clamp(x: str) -> str:
 
 @query("F20_level_quality", f"WITH {BARS}, {STATS} SELECT ticker, round(0.32 * least((n % 7) / 5.0, 1.0) + 0.26 * (n % 2) + 0.16 * least(n * 3 / 365.0, 1.0) + 0.10 * (1 - least(n * 2 / 504.0, 1.0)) + 0.16 * least(md / lc / 3.0, 1.0), 6) AS quality FROM st")
 def level_quality(spark, d):
-    return stats(spark, d).select("ticker", r(bo.level_quality(C("n") % 7, C("n") % 2, C("n") * 3, C("n") * 2, C("md") / C("lc")), "quality"))
+    return stats(spark, d).select("ticker", r(bo.level_quality(C("n") % 7, C("n") % 2, C("n") * 3, C("n") * 2, ratio(C("md"), C("lc"))), "quality"))
 
 
 @query("F27_retrace", f"WITH {BARS}, {STATS} SELECT ticker, round(1 - lc / hi, 6) AS dd_from_peak, round((hi - lc) / (hi - lo), 6) AS retrace_of_run, round(1 - lc / lo, 6) AS undercut, round(1 - c / lo, 6) AS undercut_close FROM st")
@@ -66,9 +66,9 @@ SCORE = f"""100.0 * (20 * {clamp("md / hi")} + 20 * {clamp("lc / md")} + 12 * {c
 
 @query("F31_composite", f"WITH {BARS}, {STATS}, s AS (SELECT ticker, {SCORE} AS s FROM st) SELECT ticker, round(s, 5) AS score, CASE WHEN s >= 75 THEN 'STRONG' WHEN s >= 60 THEN 'GOOD' WHEN s >= 45 THEN 'MARGINAL' ELSE 'WEAK' END AS band FROM s")
 def composite(spark, d):
-    part = lambda a, b: bo.clip(C(a) / C(b), 0.0, 1.0)
+    part = lambda a, b: bo.clip(ratio(C(a), C(b)), 0.0, 1.0)
     cap = F.when(C("n") % 2 == 0, C("vol") * C("md") * 50)
-    s = bo.composite(part("md", "hi"), (C("hi") - C("c")) / (C("hi") - C("lo")), C("hi") / C("lo"), C("hi") / C("md"), 100 * part("lc", "md"), part("lc", "c"), C("lc") / C("lo") - 1, C("md") / C("lc") - 1, bo.stage_fit(C("md") / C("lc")), C("vol") * C("md"), cap)
+    s = bo.composite(part("md", "hi"), ratio(C("hi") - C("c"), C("hi") - C("lo")), ratio(C("hi"), C("lo")), ratio(C("hi"), C("md")), 100 * part("lc", "md"), part("lc", "c"), ratio(C("lc"), C("lo")) - 1, ratio(C("md"), C("lc")) - 1, bo.stage_fit(ratio(C("md"), C("lc"))), C("vol") * C("md"), cap)
     return stats(spark, d).withColumn("s", s).select("ticker", r("s", "score", 5), bo.score_band(C("s")).alias("band"))
 
 
@@ -77,14 +77,14 @@ GRADE = "CASE WHEN n % 6 >= 4 AND n >= 60 AND md / lc - 1 <= 0.08 THEN 'A' WHEN
 
 @query("I9_support_grade", f"WITH {BARS}, {STATS} SELECT ticker, {GRADE} AS grade FROM st")
 def support_grade(spark, d):
-    return stats(spark, d).select("ticker", bo.support_grade(C("n") % 6, C("n"), C("md") / C("lc") - 1).alias("grade"))
+    return stats(spark, d).select("ticker", bo.support_grade(C("n") % 6, C("n"), ratio(C("md"), C("lc")) - 1).alias("grade"))
 
 
 @query("I10_bucket", f"""WITH {BARS}, {STATS}, g AS (SELECT ticker, {GRADE} AS grade, 9 * (c - lo) / (hi - lo) AS ext, vol * md * 20 AS adv FROM st), s AS (SELECT *, CASE WHEN ext < 1 THEN 'STILL_TESTING' WHEN ext < 1.75 THEN 'TURNING' WHEN ext < 5 THEN 'CONFIRMED' WHEN ext < 8 THEN 'EXTENDED' ELSE 'GONE' END AS stage, CASE WHEN adv < 5e6 THEN 'OK' WHEN adv < 25e6 THEN 'GOOD' ELSE 'DEEP' END AS tier FROM g)
 SELECT ticker, stage, tier, CASE WHEN stage IN ('EXTENDED', 'GONE') THEN 'LATE' WHEN grade IN ('A', 'B') AND stage IN ('TURNING', 'CONFIRMED') AND tier <> 'OK' THEN 'PRIME' WHEN stage = 'STILL_TESTING' AND grade IN ('A', 'B') THEN 'EARLY' WHEN tier = 'OK' OR grade IN ('C', 'D') THEN 'SPEC' ELSE 'WATCH' END AS bucket FROM s""")
 def buckets(spark, d):
-    ext, adv = 9 * (C("c") - C("lo")) / (C("hi") - C("lo")), C("vol") * C("md") * 20
-    s = stats(spark, d).select("ticker", bo.support_grade(C("n") % 6, C("n"), C("md") / C("lc") - 1).alias("grade"), bo.stage(ext).alias("stage"), bo.liquidity_tier(adv).alias("tier"))
+    ext, adv = ratio(9 * (C("c") - C("lo")), C("hi") - C("lo")), C("vol") * C("md") * 20
+    s = stats(spark, d).select("ticker", bo.support_grade(C("n") % 6, C("n"), ratio(C("md"), C("lc")) - 1).alias("grade"), bo.stage(ext).alias("stage"), bo.liquidity_tier(adv).alias("tier"))
     return s.select("ticker", "stage", "tier", bo.bucket(C("grade"), C("stage"), C("tier")).alias("bucket"))
 
 
@@ -350,25 +350,25 @@ def zone_suspicion(spark, d):
 @query("C12_good_level", f"WITH {BARS}, {STATS} SELECT ticker FROM st WHERE c / lo - 1 <= 4 AND c / hi >= 0.30 AND n % 100 >= 25 AND n % 60 <= 45")
 def good_level(spark, d):
     """Near its level, near its high, good reports and little noise."""
-    return stats(spark, d).where("c / lo - 1 <= 4 and c / hi >= 0.30 and n % 100 >= 25 and n % 60 <= 45").select("ticker")
+    return stats(spark, d).where("try_divide(c, lo) - 1 <= 4 and try_divide(c, hi) >= 0.30 and n % 100 >= 25 and n % 60 <= 45").select("ticker")
 
 
 @query("E85_profile_percentile", f"WITH {BARS}, k AS (SELECT ticker, close, arg_max(close, session) OVER (PARTITION BY ticker) AS last FROM bars) SELECT ticker, count(*) AS n, round(100.0 * sum(CAST(close < last AS INT)) / count(*), 6) AS pct FROM k GROUP BY 1 HAVING count(*) >= 8")
 def profile_percentile(spark, d):
     b = bars(spark, d)
     last = b.groupBy("ticker").agg(F.max_by("close", "session").alias("last"))
-    return b.join(last, "ticker").groupBy("ticker").agg(F.count("*").alias("n"), r(100.0 * F.count_if(C("close") < C("last")) / F.count("*"), "pct")).where("n >= 8")
+    return b.join(last, "ticker").groupBy("ticker").agg(F.count("*").alias("n"), r(ratio(100.0 * F.count_if(C("close") < C("last")), F.count("*")), "pct")).where("n >= 8")
 
 
 @query("G7_universe_rows", f"WITH {BARS}, {STATS}, {SECTORS} SELECT s.ticker, sector, CASE WHEN st.ticker IS NULL THEN 'no bars' WHEN n < 500 THEN 'short history' WHEN c / hi < 0.3 THEN 'far from high' ELSE 'screened' END AS stage FROM sectors s LEFT JOIN st ON st.ticker = s.ticker")
 def universe_rows(spark, d):
     j = sectors(spark, d).join(stats(spark, d), "ticker", "left")
-    return j.select("ticker", "sector", F.when(C("n").isNull(), "no bars").when(C("n") < 500, "short history").when(C("c") / C("hi") < 0.3, "far from high").otherwise("screened").alias("stage"))
+    return j.select("ticker", "sector", F.when(C("n").isNull(), "no bars").when(C("n") < 500, "short history").when(ratio(C("c"), C("hi")) < 0.3, "far from high").otherwise("screened").alias("stage"))
 
 
 @query("E135_drop_reason", f"WITH {BARS}, {STATS} SELECT ticker, CASE WHEN lc < 0.94 * (lo * 1.05) THEN 'support_broken' WHEN c / md - 1 > 0.2 THEN 'went_extended' ELSE 'bounce_stalled' END AS reason FROM st")
 def drop_reason(spark, d):
-    return stats(spark, d).select("ticker", F.when(C("lc") < 0.94 * (C("lo") * 1.05), "support_broken").when(C("c") / C("md") - 1 > 0.2, "went_extended").otherwise("bounce_stalled").alias("reason"))
+    return stats(spark, d).select("ticker", F.when(C("lc") < 0.94 * (C("lo") * 1.05), "support_broken").when(ratio(C("c"), C("md")) - 1 > 0.2, "went_extended").otherwise("bounce_stalled").alias("reason"))
 
 
 @query("E137_relative_strength", f"""WITH {BARS}, x AS (SELECT ticker, session, ln(close / lag(close) OVER ({T})) AS v FROM bars), m AS (SELECT *, v - avg(v) OVER (PARTITION BY session) AS rel, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM x) SELECT ticker, round(sum(rel), 6) AS rs FROM m WHERE k <= 63 GROUP BY 1 HAVING count(rel) >= 0.8 * 63""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranks import ratio
 from barloom.operators import asof
 from barloom.operators import events as ev
 from barloom.operators import windows as w
@@ -145,7 +146,7 @@ def halves_verdict(spark, d):
 @query("F48_episodes", f"""WITH RECURSIVE {BARS}, k AS (SELECT ticker, session, row_number() OVER ({T}) AS bar, close / lag(close) OVER ({T}) - 1 AS v FROM bars), e AS (SELECT ticker, session, bar FROM k WHERE v > 0.3),
 t AS (SELECT ticker, min(bar) AS bar FROM e GROUP BY 1 UNION ALL SELECT t.ticker, (SELECT min(e.bar) FROM e WHERE e.ticker = t.ticker AND e.bar >= t.bar + 21) FROM t WHERE t.bar IS NOT NULL) SELECT e.ticker, e.session FROM t JOIN e USING (ticker, bar)""")
 def episodes(spark, d):
-    k = bars(spark, d).select("ticker", "session", F.row_number().over(w.order()).alias("bar"), (F.col("close") / F.lag("close").over(w.order()) - 1).alias("v")).where("v > 0.3").drop("v")
+    k = bars(spark, d).select("ticker", "session", F.row_number().over(w.order()).alias("bar"), (ratio(F.col("close"), F.lag("close").over(w.order())) - 1).alias("v")).where("v > 0.3").drop("v")
     return ev.thin_episodes(k, 21).select("ticker", "session")
 
 
@@ -172,7 +173,7 @@ def decay_mean(spark, d):
     e = table(spark, d, "events").where("value is not null").withColumn("day", F.to_date("ts"))
     e = e.join(F.broadcast(e.agg(F.max("day").alias("m"))), how="cross")  # one row
     weight = F.pow(F.lit(0.5), F.datediff("m", "day") / 5.0)
-    return e.groupBy("user_id").agg(r(F.sum(F.col("value") * weight) / F.sum(weight), "mean"))
+    return e.groupBy("user_id").agg(r(ratio(F.sum(F.col("value") * weight), F.sum(weight)), "mean"))
 
 
 @query("E80_news_windows", "WITH m AS (SELECT max(CAST(ts AS DATE)) AS m FROM events) SELECT user_id, count(*) FILTER (m - CAST(ts AS DATE) < 5) AS n5, count(*) AS n30, round(avg(value) FILTER (m - CAST(ts AS DATE) < 5), 6) AS mean5, round(avg(value), 6) AS mean30, max(CAST(ts AS DATE)) AS newest, arg_max(event_id, value) AS top FROM events, m GROUP BY 1")

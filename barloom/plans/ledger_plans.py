@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import clip, rank_avg, rank_pct, ratio
+from barloom.functions.ranks import clip, correlation, rank_avg, rank_pct, ratio
 from barloom.operators import accounting as ac
 from barloom.operators import asof
 from barloom.operators import upsert as up
@@ -165,7 +165,7 @@ def display_projection(spark, d):
 @query("C24_provider_derive", "SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN c_nationkey / c_acctbal END, 8) AS fcf_yield, round(CASE WHEN c_acctbal > 0 THEN greatest(-10.0, least(10.0, (500 - c_nationkey * 40) / c_acctbal)) END, 6) AS net_debt_ebitda FROM customer")
 def provider_derive(spark, d):
     b = C("c_acctbal")
-    return table(spark, d, "customer").select("c_custkey", r(F.when(b > 0, C("c_nationkey") / b), "fcf_yield", 8), r(F.when(b > 0, clip((500 - C("c_nationkey") * 40) / b, -10.0, 10.0)), "net_debt_ebitda"))
+    return table(spark, d, "customer").select("c_custkey", r(F.when(b > 0, ratio(C("c_nationkey"), b)), "fcf_yield", 8), r(F.when(b > 0, clip(ratio(500 - C("c_nationkey") * 40, b), -10.0, 10.0)), "net_debt_ebitda"))
 
 
 @query("C26_core_codes", "SELECT p_partkey FROM part WHERE p_size BETWEEN 3 AND 7 OR p_size BETWEEN 20 AND 24 OR p_size = 30 OR p_size BETWEEN 41 AND 43")
@@ -258,7 +258,7 @@ def succession_links(spark, d):
     """A company with few facts and the one of its name with most, where their assets agree."""
     n = table(spark, d, "customer").select(C("c_custkey").alias("cik"), C("c_nationkey").alias("name"), C("c_acctbal").alias("assets")).join(facts(spark, d).groupBy("cik").agg(F.count("*").alias("n")), "cik", "left").na.fill(0, ["n"])
     old = n.where("n >= 12").select(C("cik").alias("old_cik"), "name", C("assets").alias("old_assets"), C("n").alias("old_n"))
-    j = n.where("n <= 6 and assets > 0").join(old, "name").where("cik <> old_cik and old_assets / assets between 0.8 and 1.25")
+    j = n.where("n <= 6 and assets > 0").join(old, "name").where("cik <> old_cik and try_divide(old_assets, assets) between 0.8 and 1.25")
     return j.groupBy("cik").agg(F.min(F.struct((-C("old_n")).alias("o"), "old_cik")).alias("x")).select("cik", C("x.old_cik").alias("old_cik"))
 
 
@@ -301,7 +301,7 @@ def derived_concepts(spark, d):
 @query("E77_row_consistency", f"WITH {FACTS}, {YEARS}, p AS (SELECT cik, y, rev / n AS price, net / n AS eps FROM fy) SELECT cik, y, CASE WHEN eps IS NULL THEN 'no eps' WHEN price / eps > 4 THEN 'pe off' ELSE 'ok' END AS verdict FROM p")
 def row_consistency(spark, d):
     """A price-earnings figure against price and earnings of one row."""
-    p = years(spark, d).select("cik", "y", (C("rev") / C("n")).alias("price"), (C("net") / C("n")).alias("eps"))
+    p = years(spark, d).select("cik", "y", (ratio(C("rev"), C("n"))).alias("price"), (ratio(C("net"), C("n"))).alias("eps"))
     return p.select("cik", "y", F.when(C("eps").isNull(), "no eps").when(ratio(C("price"), C("eps")) > 4, "pe off").otherwise("ok").alias("verdict"))
 
 
@@ -332,7 +332,7 @@ def pct(v: str) -> str:
 
 def metrics(spark, d):
     b = bars(spark, d)
-    return b.select("ticker", "session", (ratio(C("close"), F.lag("close", 5).over(w.order())) - 1).alias("mom"), (-(C("high") - C("low")) / C("close")).alias("calm"), (C("close") * C("volume")).alias("size"), w.forward_return(5).alias("fwd"))
+    return b.select("ticker", "session", (ratio(C("close"), F.lag("close", 5).over(w.order())) - 1).alias("mom"), (ratio(-(C("high") - C("low")), C("close"))).alias("calm"), (C("close") * C("volume")).alias("size"), w.forward_return(5).alias("fwd"))
 
 
 @query("E92_combo_score", f"{RANKED}, p AS (SELECT ticker, session, 100 * {pct('mom')} AS a, 100 - 100 * {pct('calm')} AS b, 100 * {pct('size')} AS c FROM m), t AS (SELECT *, (CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE (coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) END) AS theme FROM p) SELECT ticker, session, round((theme * 2.5 + c * 4.0) / 6.5, 5) AS score, round(((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT) / 3.0, 5) AS coverage FROM t WHERE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2")
@@ -377,7 +377,7 @@ def coupling_ic(spark, d):
     n = metrics(spark, d).where("mom is not null and fwd is not null").join(dates, "session").join(sectors(spark, d), "ticker")
     inner = lambda v: C(v) - F.avg(v).over(Window.partitionBy("session", "sector"))
     n = n.select("session", inner("mom").alias("x"), inner("fwd").alias("y")).select("session", rank_avg("x", "session").alias("rx"), rank_avg("y", "session").alias("ry"))
-    return n.groupBy("session").agg(r(F.corr("rx", "ry"), "ic"), F.count("*").alias("n")).where("n >= 8")
+    return n.groupBy("session").agg(r(correlation("rx", "ry"), "ic"), F.count("*").alias("n")).where("n >= 8")
 
 
 @query("E118_hot_at_support", f"{RANKED}, k AS (SELECT *, ntile(3) OVER (PARTITION BY session ORDER BY mom, ticker) AS s, calm < -0.5 AS near FROM m WHERE mom IS NOT NULL AND fwd IS NOT NULL) SELECT session, round(avg(fwd) FILTER (near) - avg(fwd) FILTER (NOT near), 6) AS gap FROM k WHERE s = 3 GROUP BY 1 HAVING count(*) FILTER (near) > 0 AND count(*) FILTER (NOT near) > 0")
@@ -442,7 +442,7 @@ def pair_forecast(spark, d):
     a = n.select(C("sector").alias("lead"), "k", C("z").alias("za"))
     b = n.select(C("sector").alias("follow"), (C("k") - 1).alias("k"), C("v").alias("vb"))
     j = a.join(b, "k").where("lead <> follow")
-    t = j.where("k <= 40").groupBy("lead", "follow").agg(F.signum(F.corr("za", "vb")).alias("s"))
+    t = j.where("k <= 40").groupBy("lead", "follow").agg(F.signum(correlation("za", "vb")).alias("s"))
     return j.where("k > 40").join(t, ["lead", "follow"]).groupBy("follow", "k").agg(r(F.avg(C("s") * C("za")), "forecast"), r(F.max("vb"), "came")).withColumn("k", C("k").cast("long"))
 
 
@@ -458,7 +458,7 @@ def case_extract(spark, d):
 def held_out_scoring(spark, d):
     """Signs fitted on the first years score the sessions after a gap."""
     m = metrics(spark, d)
-    s = m.where("session < date'1998-01-01' and mom is not null and fwd is not null").agg(F.signum(F.corr("mom", "fwd")).alias("a"), F.signum(F.corr("calm", "fwd")).alias("b"))
+    s = m.where("session < date'1998-01-01' and mom is not null and fwd is not null").agg(F.signum(correlation("mom", "fwd")).alias("a"), F.signum(correlation("calm", "fwd")).alias("b"))
     return m.where("session >= date'2000-01-01' and mom is not null").crossJoin(F.broadcast(s)).select("ticker", "session", r(C("a") * C("mom") + C("b") * C("calm"), "score"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import clip, rank_avg, rank_pct, safe_divide, t_stat, tier
+from barloom.functions.ranks import clip, correlation, rank_avg, rank_pct, ratio, safe_divide, t_stat, tier
 from barloom.operators import backtest as bt
 from barloom.operators import crosssection as cs
 from barloom.operators import themes
@@ -21,7 +21,7 @@ T = "PARTITION BY ticker ORDER BY session"
 
 @query("E3_strength", f"WITH {BARS} SELECT ticker, session, round(close / lag(close, 21) OVER ({T}) - 1, 6) AS strength FROM bars")
 def strength(spark, d):
-    return bars(spark, d).select("ticker", "session", r(F.col("close") / F.lag("close", 21).over(w.order()) - 1, "strength"))
+    return bars(spark, d).select("ticker", "session", r(ratio(F.col("close"), F.lag("close", 21).over(w.order())) - 1, "strength"))
 
 
 MACRO = f"""{BARS}, {SECTORS}, s AS (SELECT sector, session, avg(close) AS v FROM bars JOIN sectors USING (ticker) GROUP BY 1, 2), p AS (SELECT session, max(v) FILTER (sector = 'ASIA') AS asia, max(v) FILTER (sector = 'EUROPE') AS europe, max(v) FILTER (sector = 'AMERICA') AS america FROM s GROUP BY 1)"""
@@ -34,7 +34,7 @@ def macro_panel(spark, d):
     s = bars(spark, d).join(sectors(spark, d), "ticker").groupBy("session").pivot("sector", ["ASIA", "EUROPE", "AMERICA"]).agg(F.avg("close"))
     o = Window.partitionBy(F.lit(1)).orderBy("session")
     f = s.select("session", *[F.last(c, ignorenulls=True).over(o).alias(c.lower()) for c in ("ASIA", "EUROPE", "AMERICA")])
-    return f.select("session", *[r(c, c, 5) for c in ("asia", "europe", "america")], r(F.col("asia") / F.lag("asia", 20).over(o) - 1, "asia20", 5))
+    return f.select("session", *[r(c, c, 5) for c in ("asia", "europe", "america")], r(ratio(F.col("asia"), F.lag("asia", 20).over(o)) - 1, "asia20", 5))
 
 
 CAL = f"""{BARS}, tr AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER ({T})), 0), coalesce(abs(low - lag(close) OVER ({T})), 0)) AS tr FROM bars),
@@ -44,7 +44,7 @@ a AS (SELECT ticker, session, close / open - 1 AS ret, CASE WHEN count(tr) OVER
 
 @query("E5_severity_calibration", f"""WITH {CAL} SELECT event_type, count(*) AS n, round(avg(x), 5) AS mean, round(quantile_cont(x, 0.5), 5) AS median, round(quantile_cont(x, 0.9), 5) AS p90, round(quantile_cont(x, 0.5) / nullif((SELECT quantile_cont(x, 0.5) FROM j), 0), 5) AS lift FROM j GROUP BY 1""")
 def severity_calibration(spark, d):
-    a = w.with_atr(bars(spark, d), 14, 7, lag=1).withColumn("ret", F.col("close") / F.col("open") - 1).withColumn("rel", F.col("atr") / F.col("close")).where("rel > 0")
+    a = w.with_atr(bars(spark, d), 14, 7, lag=1).withColumn("ret", ratio(F.col("close"), F.col("open")) - 1).withColumn("rel", ratio(F.col("atr"), F.col("close"))).where("rel > 0")
     e = trades(spark, d).select((F.col("issuer") + 1).alias("ticker"), F.col("filed").alias("session"), F.col("role").alias("event_type"))
     j = a.join(e, ["ticker", "session"]).withColumn("x", F.least(F.lit(20.0), F.try_divide(F.abs("ret"), F.col("rel"))))
     everything = j.agg(F.percentile("x", F.lit(0.5)).alias("all"))
@@ -82,7 +82,7 @@ SELECT l.lag, count(*) AS n, round(corr(a.rk, b.rk), 5) AS c FROM l JOIN k a ON
 def lag_rank_profile(spark, d):
     g = scored(spark, d).where("fwd5 is not null").join(sectors(spark, d), "ticker").groupBy("month", "subind").agg(F.avg("fwd5").alias("v")).withColumn("rk", rank_avg("v", "month"))
     a = g.select("subind", F.col("rk").alias("x"), F.explode(F.array(F.lit(1), F.lit(3), F.lit(12))).alias("lag"), "month").withColumn("month", F.expr("add_months(month, lag)"))
-    return a.join(g.select("subind", "month", F.col("rk").alias("y")), ["subind", "month"]).groupBy("lag").agg(F.count("*").alias("n"), r(F.corr("x", "y"), "c", 5))
+    return a.join(g.select("subind", "month", F.col("rk").alias("y")), ["subind", "month"]).groupBy("lag").agg(F.count("*").alias("n"), r(correlation("x", "y"), "c", 5))
 
 
 @query("E45_longest_booms", f"""WITH {X}, {SECTORS}, g AS (SELECT month, sector, avg(fwd5) AS v FROM m JOIN sectors USING (ticker) WHERE fwd5 IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY v DESC, sector) AS place, datediff('month', DATE '1990-01-01', month) AS i FROM g),
@@ -121,13 +121,13 @@ def share_count(spark, d):
 @query("E73_growth_guarded", f"""WITH {STATEMENT} SELECT c.cik, CAST(c.fy AS INT) AS fy, round(CASE WHEN p.revenue > 0 THEN c.revenue / p.revenue - 1 END, 6) AS growth, round(CASE WHEN c.revenue > 0 THEN c.gross_profit / c.revenue END, 6) AS margin FROM s c LEFT JOIN s p ON p.cik = c.cik AND p.fy = c.fy - 1""")
 def growth_guarded(spark, d):
     s = pair(spark, d)
-    return s.select("cik", "fy", r(F.when(F.col("p_revenue") > 0, F.col("revenue") / F.col("p_revenue") - 1), "growth"), r(F.when(F.col("revenue") > 0, F.col("gross_profit") / F.col("revenue")), "margin"))
+    return s.select("cik", "fy", r(F.when(F.col("p_revenue") > 0, ratio(F.col("revenue"), F.col("p_revenue")) - 1), "growth"), r(F.when(F.col("revenue") > 0, ratio(F.col("gross_profit"), F.col("revenue"))), "margin"))
 
 
 @query("E76_dupont", f"WITH {STATEMENT} SELECT cik, CAST(fy AS INT) AS fy, round(net_income / revenue, 6) AS margin, round(revenue / assets, 6) AS turnover, round(CASE WHEN (net_income - cfo) / assets IS NOT NULL THEN greatest(-1, least(1, (net_income - cfo) / assets)) END, 6) AS accruals FROM s")
 def dupont(spark, d):
     s = statement(spark, d)
-    return s.select("cik", "fy", r(safe_divide(F.col("net_income"), F.col("revenue")), "margin"), r(safe_divide(F.col("revenue"), F.col("assets")), "turnover"), r(clip((F.col("net_income") - F.col("cfo")) / F.col("assets"), -1.0, 1.0), "accruals"))
+    return s.select("cik", "fy", r(safe_divide(F.col("net_income"), F.col("revenue")), "margin"), r(safe_divide(F.col("revenue"), F.col("assets")), "turnover"), r(clip(ratio(F.col("net_income") - F.col("cfo"), F.col("assets")), -1.0, 1.0), "accruals"))
 
 
 @query("E78_momentum_12_1", f"""WITH {BARS}, {CALENDAR}, m AS (SELECT max(session_idx) AS m FROM cal), l AS (SELECT b.ticker, arg_max(close, session_idx) FILTER (session_idx <= m - 21) AS a, arg_max(close, session_idx) FILTER (session_idx <= m - 252) AS b FROM bars b JOIN cal USING (session), m GROUP BY 1) SELECT ticker, round(a / b - 1, 6) AS mom FROM l""")
@@ -136,7 +136,7 @@ def momentum_12_1(spark, d):
     cal = calendar(spark, d)
     j = bars(spark, d).join(cal, "session").join(F.broadcast(cal.agg(F.max("session_idx").alias("m"))), how="cross")  # one row
     upto = lambda n: F.max_by(F.when(F.col("session_idx") <= F.col("m") - n, F.col("close")), F.when(F.col("session_idx") <= F.col("m") - n, F.col("session_idx")))
-    return j.groupBy("ticker").agg(upto(21).alias("a"), upto(252).alias("b")).select("ticker", r(F.col("a") / F.col("b") - 1, "mom"))
+    return j.groupBy("ticker").agg(upto(21).alias("a"), upto(252).alias("b")).select("ticker", r(ratio(F.col("a"), F.col("b")) - 1, "mom"))
 
 
 @query("E82_sector_rollup", f"WITH {X}, {SECTORS} SELECT sector, month, count(mom) AS n, round(avg(mom), 6) AS mean FROM m JOIN sectors USING (ticker) GROUP BY 1, 2")
@@ -147,7 +147,7 @@ def sector_rollup(spark, d):
 @query("E83_hype_surge", f"WITH {BARS} SELECT ticker, session, round(ln(avg(volume) OVER (f ROWS 20 PRECEDING) / avg(volume) OVER (f ROWS 251 PRECEDING)), 5) AS surge, round(close / avg(close) OVER (f ROWS 199 PRECEDING) - 1, 5) AS stretch FROM bars WINDOW f AS (PARTITION BY ticker ORDER BY session)")
 def hype_surge(spark, d):
     mean = lambda c, n: F.avg(c).over(w.rows(-(n - 1)))
-    return bars(spark, d).select("ticker", "session", r(F.ln(mean("volume", 21) / mean("volume", 252)), "surge", 5), r(F.col("close") / mean("close", 200) - 1, "stretch", 5))
+    return bars(spark, d).select("ticker", "session", r(F.ln(ratio(mean("volume", 21), mean("volume", 252))), "surge", 5), r(ratio(F.col("close"), mean("close", 200)) - 1, "stretch", 5))
 
 
 @query("E87_pillars", f"""WITH {X}, p AS (SELECT ticker, month, avg(mom) AS a, avg(volume) AS b, avg(traded) AS c FROM m GROUP BY 1, 2), k AS (SELECT ticker, month, CASE WHEN a IS NOT NULL THEN {avg_rank('a', 'month, a IS NULL')} / count(a) OVER (PARTITION BY month) END AS a, {avg_rank('b', 'month')} / count(*) OVER (PARTITION BY month) AS b, {avg_rank('c', 'month')} / count(*) OVER (PARTITION BY month) AS c FROM p)
@@ -181,7 +181,7 @@ def watchlist(spark, d):
     """Every name from its first bar on: gain since, best close, whether a close fell under half the first."""
     o = w.order()
     b = bars(spark, d).withColumn("first_close", F.first("close").over(o))
-    return b.select("ticker", "session", r(F.col("close") / F.col("first_close") - 1, "since"), r(F.max("close").over(o), "best"), F.bool_or(F.col("close") < 0.5 * F.col("first_close")).over(o).alias("failed"))
+    return b.select("ticker", "session", r(ratio(F.col("close"), F.col("first_close")) - 1, "since"), r(F.max("close").over(o), "best"), F.bool_or(F.col("close") < 0.5 * F.col("first_close")).over(o).alias("failed"))
 
 
 @query("E97_watchlist_all", f"""WITH {BARS}, k AS (SELECT *, first_value(close) OVER ({T}) AS entry FROM bars), s AS (SELECT ticker, session, close / entry - 1 AS since, max(close) OVER ({T}) AS best, min(low) OVER ({T}) AS worst, bool_or(low < 0.5 * entry) OVER ({T}) AS failed FROM k)
@@ -190,7 +190,7 @@ def watchlist_all(spark, d):
     """Every name from its first bar on: best close, worst low, whether a low fell under half the entry, and the lead over the mean of all names."""
     o = w.order()
     b = bars(spark, d).withColumn("entry", F.first("close").over(o))
-    s = b.select("ticker", "session", (F.col("close") / F.col("entry") - 1).alias("since"), F.max("close").over(o).alias("best"), F.min("low").over(o).alias("worst"), F.bool_or(F.col("low") < 0.5 * F.col("entry")).over(o).alias("failed"))
+    s = b.select("ticker", "session", (ratio(F.col("close"), F.col("entry")) - 1).alias("since"), F.max("close").over(o).alias("best"), F.min("low").over(o).alias("worst"), F.bool_or(F.col("low") < 0.5 * F.col("entry")).over(o).alias("failed"))
     return s.select("ticker", "session", r("since", "since"), r("best", "best"), r("worst", "worst"), "failed", r(F.col("since") - F.avg("since").over(Window.partitionBy("session")), "ahead"))
 
 
@@ -205,7 +205,7 @@ def decile_separators(spark, d):
     from barloom.functions.ranks import welch_t
 
     m = Window.partitionBy("month")
-    q = scored(spark, d).where("fwd5 is not null and mom is not null").withColumn("dec", F.floor((F.row_number().over(m.orderBy("fwd5", "ticker", "session")) - 1) * 10 / F.count("*").over(m)))
+    q = scored(spark, d).where("fwd5 is not null and mom is not null").withColumn("dec", F.floor(ratio((F.row_number().over(m.orderBy("fwd5", "ticker", "session")) - 1) * 10, F.count("*").over(m))))
     tidy = q.where("dec in (0, 9)").unpivot(["dec"], ["mom", "traded"], "metric", "value")
     return tidy.groupBy("metric").agg(r(welch_t(F.col("value"), F.col("dec") == 9), "t", 4))
 
@@ -224,7 +224,7 @@ def filter_combinations(spark, d):
 
 @query("E127_seasonal_outlook", f"WITH {BARS}, m AS (SELECT ticker, CAST(date_trunc('month', session) AS DATE) AS month, arg_max(close, session) / arg_min(open, session) - 1 AS v FROM bars GROUP BY 1, 2) SELECT ticker, CAST(month(month) AS INT) AS moy, count(*) AS years, round(avg(v), 6) AS mean, round(avg(CAST(v > 0 AS INT)), 6) AS positive FROM m GROUP BY 1, 2")
 def seasonal_outlook(spark, d):
-    m = w.resample(bars(spark, d), "month").withColumn("v", F.col("close") / F.col("open") - 1)
+    m = w.resample(bars(spark, d), "month").withColumn("v", ratio(F.col("close"), F.col("open")) - 1)
     return m.groupBy("ticker", F.month("period").alias("moy")).agg(F.count("*").alias("years"), r(F.avg("v"), "mean"), r(F.avg((F.col("v") > 0).cast("int")), "positive"))
 
 
@@ -244,7 +244,7 @@ def colored_average(spark, d):
 
 @query("F13_median_range", f"WITH {BARS}, tr AS (SELECT ticker, session, greatest(high - low, coalesce(abs(high - lag(close) OVER ({T})), 0), coalesce(abs(low - lag(close) OVER ({T})), 0)) / close AS v FROM bars) SELECT ticker, session, round(greatest(0.015, least(0.09, quantile_cont(v, 0.5) OVER ({T} ROWS 249 PRECEDING))), 6) AS scale FROM tr")
 def median_range(spark, d):
-    b = bars(spark, d).withColumn("v", w.true_range() / F.col("close"))
+    b = bars(spark, d).withColumn("v", ratio(w.true_range(), F.col("close")))
     return b.select("ticker", "session", r(clip(F.percentile("v", F.lit(0.5)).over(w.rows(-249)), 0.015, 0.09), "scale"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import rank_pct, tier
+from barloom.functions.ranks import rank_pct, ratio, tier
 from barloom.operators import asof
 from barloom.operators import windows as w
 from barloom.plans.catalog import query, r
@@ -33,7 +33,7 @@ def suffix_verdict(spark, d):
 @query("C11_price_plausible", f"""WITH {TRADES}, p AS (SELECT a.accession, any_value(a.value) AS value, count(b.accession) AS n, quantile_cont(b.value, 0.5) AS mid FROM trades a LEFT JOIN trades b ON a.issuer = b.issuer AND b.owner <> a.owner AND b.filed BETWEEN a.filed - 15 AND a.filed + 15 GROUP BY 1) SELECT accession, CASE WHEN n >= 2 THEN value / mid BETWEEN 0.5 AND 2 ELSE value <= 200000 END AS plausible FROM p""")
 def price_plausible(spark, d):
     p = asof.neighbours_within(trades(spark, d), "issuer", "filed", 15, "value", "owner")
-    near = (F.col("value") / F.col("peer_median")).between(0.5, 2)
+    near = (ratio(F.col("value"), F.col("peer_median"))).between(0.5, 2)
     return p.select("accession", F.when(F.col("n_peers") >= 2, near).otherwise(F.col("value") <= 200000).alias("plausible"))
 
 
@@ -49,7 +49,7 @@ def regimes(spark, d):
     """A series of sessions: few rows, whatever the data."""
     m = bars(spark, d).groupBy("session").agg(F.avg("close").alias("v"))
     o = Window.partitionBy(F.lit(1)).orderBy("session")
-    return m.select("session", (F.col("v") > F.avg("v").over(o.rowsBetween(-49, 0))).alias("above50"), (F.col("v") / F.lag("v", 20).over(o) - 1 > 0.02).alias("rising"))
+    return m.select("session", (F.col("v") > F.avg("v").over(o.rowsBetween(-49, 0))).alias("above50"), (ratio(F.col("v"), F.lag("v", 20).over(o)) - 1 > 0.02).alias("rising"))
 
 
 @query("C19_rank_flags", f"WITH {X}, p AS (SELECT ticker, session, {avg_rank('mom', 'session')} / count(*) OVER (PARTITION BY session) AS a, {avg_rank('volume', 'session')} / count(*) OVER (PARTITION BY session) AS b FROM m WHERE mom IS NOT NULL) SELECT ticker, session, a > 0.8 AS hot, a > 0.8 AND b <= 0.5 AS quiet FROM p")
@@ -78,7 +78,7 @@ def event_entry(spark, d):
 
 @query("D20_beat_or_miss", f"""WITH {BARS}, n AS (SELECT ticker, session, close / lag(close) OVER ({T}) - 1 AS v FROM bars), c AS (SELECT ticker, session, CAST(v > 0.1 AS INT) AS beat, CAST(v < -0.1 AS INT) AS miss FROM n) SELECT ticker, session, CASE WHEN sum(beat) OVER f > sum(miss) OVER f THEN 1 WHEN sum(beat) OVER f < sum(miss) OVER f THEN -1 ELSE 0 END AS direction FROM c WINDOW f AS ({T} ROWS 1 PRECEDING)""")
 def beat_or_miss(spark, d):
-    v = F.col("close") / F.lag("close").over(w.order()) - 1
+    v = ratio(F.col("close"), F.lag("close").over(w.order())) - 1
     c = bars(spark, d).withColumn("v", v).select(*KEY, (F.col("v") > 0.1).cast("int").alias("beat"), (F.col("v") < -0.1).cast("int").alias("miss"))
     f = w.rows(-1)
     gap = F.sum("beat").over(f) - F.sum("miss").over(f)
@@ -168,14 +168,14 @@ def extension_stage(spark, d):
 @query("F53_range20", f"WITH {BARS}, x AS (SELECT ticker, session, (greatest(high, coalesce(lag(close) OVER ({T}), high)) - least(low, coalesce(lag(close) OVER ({T}), low))) / close AS v FROM bars) SELECT ticker, session, round(CASE WHEN count(v) OVER f >= 15 THEN avg(v) OVER f END, 6) AS range20 FROM x WINDOW f AS ({T} ROWS 19 PRECEDING)")
 def range20(spark, d):
     before = F.lag("close").over(w.order())
-    x = bars(spark, d).withColumn("v", (F.greatest("high", before) - F.least("low", before)) / F.col("close"))
+    x = bars(spark, d).withColumn("v", ratio(F.greatest("high", before) - F.least("low", before), F.col("close")))
     f = w.rows(-19)
     return x.select(*KEY, r(F.when(F.count("v").over(f) >= 15, F.avg("v").over(f)), "range20"))
 
 
 @query("F68_trailing_counts", f"WITH {BARS}, x AS (SELECT ticker, session, CAST(coalesce(close / lag(close) OVER ({T}) - 1 > 0.2, false) AS INT) AS up FROM bars) SELECT ticker, session, CAST(sum(up) OVER ({T} ROWS 251 PRECEDING) AS BIGINT) AS n FROM x")
 def trailing_counts(spark, d):
-    up = F.coalesce((F.col("close") / F.lag("close").over(w.order()) - 1 > 0.2).cast("int"), F.lit(0))
+    up = F.coalesce((ratio(F.col("close"), F.lag("close").over(w.order())) - 1 > 0.2).cast("int"), F.lit(0))
     return bars(spark, d).withColumn("up", up).select(*KEY, F.sum("up").over(w.rows(-251)).alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranks import correlation
 from barloom.functions import text as tx
 from barloom.functions.news_classes import CLASSES
 from barloom.operators import levels, news
@@ -100,7 +101,7 @@ def column_arrays(spark, d):
 @query("E131_vector_corr", "WITH x AS (SELECT vec_id, unnest(embedding[1:32]) AS a, unnest(embedding[33:64]) AS b FROM embeddings) SELECT vec_id, round(corr(a, b), 5) AS c FROM x GROUP BY 1")
 def vector_corr(spark, d):
     x = table(spark, d, "embeddings").select("vec_id", F.explode(F.arrays_zip(F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))).alias("z"))
-    return x.select("vec_id", "z.*").toDF("vec_id", "a", "b").groupBy("vec_id").agg(r(F.corr(F.col("a").cast("double"), F.col("b").cast("double")), "c", 5))
+    return x.select("vec_id", "z.*").toDF("vec_id", "a", "b").groupBy("vec_id").agg(r(correlation(F.col("a").cast("double"), F.col("b").cast("double")), "c", 5))
 
 
 @query("E134_threshold_counts", "SELECT label, count(*) AS n, CAST(sum(CAST(list_sum(embedding) > 0 AS INT)) AS BIGINT) AS positive, CAST(sum(CAST(list_max(embedding) > 0.3 AS INT)) AS BIGINT) AS peaked FROM embeddings GROUP BY 1")

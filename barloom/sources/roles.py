@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranks import ratio
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of each supplier's parts: order-free aggregates, so that any task order gives one result."""
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = ratio(F.col("l_extendedprice"), F.col("l_quantity"))
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("session"))
-        .agg(F.avg(price).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"), F.count("*").alias("trades"))
+        .agg(F.avg(price).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), ratio(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"), F.count("*").alias("trades"))
     )
 
 
