@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.staged import stored
 from barloom.operators.windows import order, with_atr
 
 
@@ -69,12 +70,15 @@ def exits(paths: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row a path and rule: return on the entry and bars held.
 
     All rules are first-hit minima of one pass over the paths' bars: paths are already dealt by ticker, so the grouping
-    takes no shuffle, and it runs as generated code, where a fold by a higher-order function is interpreted."""
+    takes no shuffle, and it runs as generated code, where folds and tests by higher-order functions are interpreted. A
+    bar's highest close so far comes from the path's own closes, which saves a window over all bars of all paths."""
     rules = {k: RULES[k] for k in names or RULES}
-    bars = paths.where(F.size("path") > 0).select("ticker", "session", "entry", "atr", F.size("path").alias("size"), F.element_at("path", -1)["c"].alias("last"), F.posexplode("path").alias("i", "b")).withColumn("i", F.col("i") + 1)
-    if any(kind == "trail" for kind, _, _ in rules.values()):
-        seen = Window.partitionBy("ticker", "session").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-        bars = bars.withColumn("peak", F.greatest("entry", F.max("b.c").over(seen)))
+    trails = any(kind == "trail" for kind, _, _ in rules.values())
+    closes = [F.col("path.c").alias("closes")] if trails else []
+    bars = paths.where(F.size("path") > 0).select("ticker", "session", "entry", "atr", F.size("path").alias("size"), F.element_at("path", -1)["c"].alias("last"), *closes, F.posexplode("path").alias("i", "b"))
+    if trails:
+        bars = bars.withColumn("peak", F.greatest("entry", F.array_max(F.slice("closes", F.lit(1), F.col("i"))))).drop("closes")
+    bars = bars.withColumn("i", F.col("i") + 1)
     entry, atr, low, high = F.col("entry"), F.col("atr"), F.col("b.l"), F.col("b.h")
     found, ends = [], []
     for j, (kind, k, n) in enumerate(rules.values()):
@@ -103,9 +107,34 @@ def exits(paths: DataFrame, names: list[str] | None = None) -> DataFrame:
     return each.select("ticker", "session", F.explode(F.array(*ends)).alias("r")).select("ticker", "session", "r.*").where("ret is not null")
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], step: float = 1e-3, times: Column | None = None) -> DataFrame:
+    """Exact quantiles, linear between neighbours, a row a group, in tables that split: values are counted, the counts
+    summed by ranges of step, and only the ranges that hold a wanted rank are ordered. No task holds a group's values.
+    times: how often a row counts (once)."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.sum(times if times is not None else F.lit(1)).alias("__n")).withColumn("__range", F.floor(F.col("__v") / step))
+    ranges = counts.groupBy(*by, "__range").agg(F.sum("__n").alias("__n"))
+    up_to = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = ranges.withColumn("__to", up_to).withColumn("__from", F.col("__to") - F.col("__n")).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), ((F.col("__all") - 1) * q).alias("at")) for k, q in shares.items()]))
+    asked = ranges.select(*by, "__range", "__from", "__to", places.alias("__q")).where((F.ceil("__q.at") >= F.col("__from")) & (F.floor("__q.at") < F.col("__to")))
+    inside = Window.partitionBy(*by, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    held = counts.join(asked.select(*by, "__range").distinct(), [*by, "__range"], "left_semi").withColumn("__sum", F.sum("__n").over(inside))
+    near = held.join(asked, [*by, "__range"]).withColumn("__end", F.col("__from") + F.col("__sum")).withColumn("__begin", F.col("__end") - F.col("__n"))
+    low, high = F.floor("__q.at"), F.ceil("__q.at")
+    value_at = lambda place: F.max(F.when((place >= F.col("__begin")) & (place < F.col("__end")), F.col("__v")))
+    each = near.groupBy(*by, F.col("__q.name").alias("__name"), F.col("__q.at").alias("__at")).agg(value_at(low).alias("__low"), value_at(high).alias("__high"))
+    each = each.withColumn("__x", F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__at") - F.floor("__at")))
+    return each.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == k, F.col("__x"))).alias(k) for k in shares])
+
+
 def summary(done: DataFrame) -> DataFrame:
-    q = lambda p: F.percentile("ret", F.lit(p))
-    return done.groupBy("rule").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), q(0.5).alias("median"), F.avg((F.col("ret") > 0).cast("double")).alias("win"), F.percentile("held", F.lit(0.5)).alias("med_held"), q(0.25).alias("p25"), q(0.75).alias("p75"))
+    """Counts, mean, share of gains and quantiles of each rule's trades, all from one table of how often a result came."""
+    each = stored(done.groupBy("rule", "ret", "held").agg(F.count("*").alias("k")))
+    n = F.sum("k")
+    plain = each.groupBy("rule").agg(n.alias("n"), F.try_divide(F.sum(F.col("ret") * F.col("k")), n).alias("mean"), F.try_divide(F.sum(F.when(F.col("ret") > 0, F.col("k")).otherwise(0)), n).alias("win"))
+    held = each.groupBy("rule", "held").agg(n.alias("k"))  # some bars a rule
+    returns = quantiles(each, ["rule"], "ret", {"median": 0.5, "p25": 0.25, "p75": 0.75}, times=F.col("k"))
+    return plain.join(quantiles(held, ["rule"], "held", {"med_held": 0.5}, 1.0, F.col("k")), "rule").join(returns, "rule")
 
 
 def limit_fill(discount: float, days: int = 3) -> Column:

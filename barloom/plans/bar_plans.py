@@ -200,7 +200,7 @@ def panel(spark, d):
 
 
 #: Gates of the panel, in the order in which the first failure names the reason.
-GATES = [("STALE_DATA", "last_date >= date_sub(newest, 30)"), ("SHORT_HISTORY", "n_bars >= 250"), ("PENNY", "last_close >= 1.5"), ("ILLIQUID", "dollar_vol_20 >= 20000"), ("NO_TRADES", "trades_20 >= 1"), ("NEAR_HIGHS", "last_close / hi250 <= 0.9"), ("FLAT_RANGE", "hi250 / lo250 >= 1.5")]
+GATES = [("STALE_DATA", "last_date >= date_sub(newest, 30)"), ("SHORT_HISTORY", "n_bars >= 250"), ("PENNY", "last_close >= 1.5"), ("ILLIQUID", "dollar_vol_20 >= 20000"), ("NO_TRADES", "trades_20 >= 1"), ("NEAR_HIGHS", "try_divide(last_close, hi250) <= 0.9"), ("FLAT_RANGE", "try_divide(hi250, lo250) >= 1.5")]
 
 
 @query("C1_prefilter", f"""WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS k FROM bars),
@@ -260,7 +260,29 @@ def stop2(spark, d):
     return bt.exits(bt.with_paths(bars(spark, d)), ["stop2_hold20"]).select(*KEY, r("ret", "ret"), "held")
 
 
-@query("E15_exit_summary")
+def rule_sql() -> str:
+    """All exit rules as one aggregate over the paths' bars, then a row a path and rule."""
+    found, ends = [], []
+    for j, (name, (kind, k, n)) in enumerate(bt.RULES.items()):
+        found.append(f"max(i) FILTER (i <= {n}) AS n{j}, arg_max(close, i) FILTER (i <= {n}) AS c{j}")
+        price, held = f"c{j}", f"n{j}"
+        if kind in ("stop", "bracket"):
+            found.append(f"min(i) FILTER (i <= {n} AND low <= entry - {k[0]} * atr) AS s{j}")
+            stopped, level = f"s{j} IS NOT NULL", f"entry - {k[0]} * atr"
+        if kind == "bracket":
+            found.append(f"min(i) FILTER (i <= {n} AND high >= entry + {k[1]} * atr) AS t{j}")
+            price, held, stopped = f"CASE WHEN t{j} IS NOT NULL THEN entry + {k[1]} * atr ELSE c{j} END", f"coalesce(t{j}, n{j})", f"s{j} IS NOT NULL AND (t{j} IS NULL OR s{j} <= t{j})"
+        if kind == "trail":
+            found.append(f"min(i) FILTER (i <= {n} AND low <= peak - {k[0]} * atr) AS s{j}, arg_min(peak, i) FILTER (i <= {n} AND low <= peak - {k[0]} * atr) AS p{j}")
+            stopped, level = f"s{j} IS NOT NULL", f"p{j} - {k[0]} * atr"
+        if kind != "hold":
+            price, held = f"CASE WHEN {stopped} THEN {level} ELSE {price} END", f"CASE WHEN {stopped} THEN s{j} ELSE {held} END"
+        ends.append(f"SELECT '{name}' AS rule, ({price}) / entry - 1 AS ret, {held} AS held FROM g")
+    return f"""u AS (SELECT *, greatest(entry, coalesce(max(close) OVER (PARTITION BY ticker, session ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), entry)) AS peak FROM j),
+g AS (SELECT ticker, session, any_value(entry) AS entry, any_value(atr) AS atr, {", ".join(found)} FROM u GROUP BY 1, 2), x AS ({" UNION ALL ".join(ends)})"""
+
+
+@query("E15_exit_summary", f"""WITH {BARS}, {PATHS}, {rule_sql()} SELECT rule, count(*) AS n, round(avg(ret), 6) AS mean, round(quantile_cont(ret, 0.5), 6) AS median, round(avg(CAST(ret > 0 AS INT)), 6) AS win, round(quantile_cont(held, 0.5), 6) AS med_held, round(quantile_cont(ret, 0.25), 6) AS p25, round(quantile_cont(ret, 0.75), 6) AS p75 FROM x GROUP BY 1""")
 def exit_summary(spark, d):
     s = bt.summary(bt.exits(bt.with_paths(bars(spark, d))))
     return s.select("rule", "n", *[r(c, c) for c in ("mean", "median", "win", "med_held", "p25", "p75")])
