@@ -49,7 +49,7 @@ def nudged(sql: str) -> str:
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from barloom.plans import bar_plans, company_plans, cross_plans, desk_plans, event_plans, ledger_plans, module_plans, more_plans, screen_plans, store_plans, text_plans  # noqa: F401
+    from barloom.plans import bar_plans, company_plans, cross_plans, desk_plans, event_plans, ledger_plans, module_plans, more_plans, screen_plans, store_plans, study_plans, text_plans  # noqa: F401
 
 
 load()

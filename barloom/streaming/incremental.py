@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -86,3 +87,24 @@ def run_steps(steps: list[Step], watermarks: dict[str, str], session: str) -> li
                 failed.add(s.name)
         ledger.append(row)
     return ledger
+
+
+def backfill(today: str, missing: Callable[[], list[str]], compute: Callable[[str], int], budget: float, most: int | None = None, clock: Callable[[], float] = time.monotonic) -> dict:
+    """Computes today, then missing sessions from the newest back until budget seconds are spent on them.
+
+    missing is asked after today is done and reads the store, so that a run resumes where the last one ended, whatever
+    ended it. A session is not interrupted once begun; one that fails stays missing. Returns what was filled, failed and
+    left."""
+    compute(today)
+    gaps = sorted((d for d in missing() if d != today), reverse=True)[:most]
+    began, out = clock(), {"filled": [], "failed": [], "left": []}
+    for i, day in enumerate(gaps):
+        if clock() - began > budget:
+            out["left"] = gaps[i:]
+            break
+        try:
+            compute(day)
+            out["filled"].append(day)
+        except Exception:  # one session's failure must not end the run
+            out["failed"].append(day)
+    return out
