@@ -1,11 +1,17 @@
-"""Studies with controls, walk-forward searches, and days that settle."""
+"""Studies with controls and random draws, rules chosen on one period, and days that settle."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.plans.catalog import query
-from barloom.sources.roles import table
+from barloom.functions.ranks import t_stat
+from barloom.operators import asof, draws
+from barloom.operators import windows as w
+from barloom.plans import module_plans as mp
+from barloom.plans.catalog import query, r
+from barloom.plans.event_plans import TRADES, trades
+from barloom.sources.roles import BARS, CALENDAR, bars, calendar, table
 from barloom.streaming import settled
 
 C = F.col
@@ -33,3 +39,109 @@ def settled_mark(spark, d):
 def to_retry(spark, d):
     """Filings of the last 120 days that the next run asks for again."""
     return settled.to_retry(*feed(spark, d), F.lit(NOW).cast("date"))
+
+
+# ---- rules against luck
+
+#: Rules over the modules' metrics, in words that both engines read.
+RULES = {"dip_in_rise": "ret20 < 0 AND over50 > 0", "strong": "ret120 > 0.2 AND from_high > -0.8", "calm_rise": "range20 < 0.5 AND over20 > 0"}
+PATTERN = {"low_climb": "from_low < 6.0 AND ret5 > 0"}
+
+
+def mixed_sql(who: str, when: str, turn: str) -> str:
+    p, a, b, c, e = draws.PRIME, draws.WHO, draws.WHEN, draws.TURN, draws.MORE
+    x = f"((({who} % {p} * {a} + {when} % {p} * {b}) % {p} + {turn} * {c}) % {p})"
+    return f"(({x} * {x} % {p} + {turn}) * ({x} * {x} % {p} + {e}) % {p})"
+
+
+def draw_sql(rules: dict[str, str], outcome: str, n: int) -> str:
+    return f"""WITH {mp.SCORES}, p AS (SELECT g.*, session_idx, {outcome} AS fwd, quantile_cont({outcome}, 0.5) OVER d AS middle, avg({outcome}) OVER d AS mean, avg(CAST({outcome} > 0 AS INT)) OVER d AS up FROM g JOIN cal USING (session) WHERE {outcome} IS NOT NULL WINDOW d AS (PARTITION BY session)),
+k AS ({" UNION ALL ".join(f"SELECT '{k}' AS rule, session, fwd, middle, mean, up FROM p WHERE {v}" for k, v in rules.items())}), dd AS (SELECT rule, session, count(*) AS k, avg(fwd) - max(mean) AS excess, avg(CAST(fwd > 0 AS INT)) AS hit, max(up) AS pool_hit, avg(CAST(fwd > middle AS INT)) AS beat FROM k GROUP BY 1, 2 HAVING count(*) >= 3),
+hh AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY session) <= count(*) OVER (PARTITION BY rule) // 2 AS early FROM dd), f AS (SELECT rule, count(*) AS dates, CAST(sum(k) AS BIGINT) AS picks, avg(hit) AS hit, avg(pool_hit) AS pool_hit, avg(beat) AS beat, avg(excess) AS excess, CASE WHEN count(*) >= 3 THEN avg(excess) / (stddev_samp(excess) / sqrt(count(*))) END AS t, avg(excess) FILTER (early) AS first_half, avg(excess) FILTER (NOT early) AS second_half FROM hh GROUP BY 1),
+o AS (SELECT session, turn, fwd, mean, row_number() OVER (PARTITION BY session, turn ORDER BY {mixed_sql('ticker', 'session_idx', 'turn')}, ticker) AS n FROM p, (SELECT unnest(range({n})) AS turn) WHERE session IN (SELECT session FROM dd)), so AS (SELECT rule, turn, session, avg(fwd) - max(mean) AS e FROM o JOIN dd USING (session) WHERE n <= k GROUP BY 1, 2, 3), m AS (SELECT rule, turn, avg(e) AS drawn FROM so GROUP BY 1, 2),
+lu AS (SELECT rule, avg(CAST(drawn >= excess - 1e-12 AS INT)) AS p FROM m JOIN f USING (rule) GROUP BY 1)
+SELECT rule, dates, picks, round(hit, 6) AS hit, round(pool_hit, 6) AS pool_hit, round(beat, 6) AS beat, round(excess, 6) AS excess, round(t, 4) AS t, round(first_half, 6) AS first_half, round(second_half, 6) AS second_half, round(p, 4) AS p FROM f JOIN lu USING (rule)"""
+
+
+def luck(spark, d, rules, outcome):
+    pool = mp.scores(spark, d).join(F.broadcast(calendar(spark, d)), "session").withColumns({k: F.expr(v) for k, v in rules.items()})  # some hundred sessions a year
+    f = draws.against_draws(pool, list(rules), "session", "session_idx", outcome)
+    return f.select("rule", "dates", "picks", *[r(c, c) for c in ("hit", "pool_hit", "beat", "excess")], r("t", "t", 4), r("first_half", "first_half"), r("second_half", "second_half"), r("p", "p", 4))
+
+
+@query("E125_rule_accuracy", draw_sql(RULES, "fwd5", 1000))
+def rule_accuracy(spark, d):
+    """Rules against their dates' pools and against 1,000 draws of as many names."""
+    return luck(spark, d, RULES, "fwd5")
+
+
+@query("E105_pattern_draws", draw_sql(PATTERN, "fwd20", 1000))
+def pattern_draws(spark, d):
+    """Names that climb from their low, over the next 20 bars, against the pool and random draws."""
+    return luck(spark, d, PATTERN, "fwd20")
+
+
+# ---- one rule chosen on the first years
+
+FLAGS = {"dip": "ret20 < -0.05", "over": "over50 > 0", "thin": "traded20 < 120000", "calm": "range20 < 0.55"}
+SPLIT = "1999-01-01"
+
+
+def search_sql() -> str:
+    rules = " UNION ALL ".join(f"SELECT '{name}' AS rule, {bits} AS bits, {n} AS size, {k} AS k" for name, bits, n, k in draws.k_of_n(list(FLAGS)))
+    mask = " + ".join(f"CASE WHEN {v} THEN {1 << i} ELSE 0 END" for i, v in enumerate(FLAGS.values()))
+    return f"""WITH {mp.SCORES}, r AS ({rules}), bb AS (SELECT session >= DATE '{SPLIT}' AS test, date_trunc('quarter', session) AS q, {mask} AS mask, fwd20 AS v FROM g WHERE fwd20 IS NOT NULL),
+m AS (SELECT rule, size, k, test, q, count(*) AS n, sum(v) AS total FROM r JOIN bb ON bit_count(mask & bits) >= k GROUP BY ALL), h AS (SELECT rule, size, k, test, CAST(sum(n) AS BIGINT) AS n, sum(total) / sum(n) AS mean, CASE WHEN count(*) >= 3 THEN avg(total / n) / (stddev_samp(total / n) / sqrt(count(*))) END AS t FROM m GROUP BY 1, 2, 3, 4),
+p AS (SELECT *, n >= 30 AND t IS NOT NULL AS fit, row_number() OVER (ORDER BY (n >= 30 AND t IS NOT NULL) DESC, floor(t * 1e6 + 0.5) DESC NULLS LAST, size, k, rule) AS place FROM h WHERE NOT test), c AS (SELECT *, place = 1 AND fit AS chosen FROM p)
+SELECT c.rule, c.size, c.k, c.n AS train_n, round(c.mean, 6) AS train_mean, round(c.t, 4) AS train_t, place, chosen, CASE WHEN chosen THEN h.n END AS test_n, round(CASE WHEN chosen THEN h.mean END, 6) AS test_mean, round(CASE WHEN chosen THEN h.t END, 4) AS test_t FROM c LEFT JOIN h ON h.rule = c.rule AND h.test"""
+
+
+@query("E101_rule_search", search_sql())
+def rule_search(spark, d):
+    """All k-of-n rules on the first years; the best one, and no other, on the years after."""
+    rows = mp.scores(spark, d).withColumns({k: F.expr(v) for k, v in FLAGS.items()})
+    f = draws.chosen_rule(rows, list(FLAGS), "fwd20", "session", SPLIT)
+    return f.select("rule", "size", "k", "train_n", r("train_mean", "train_mean"), r("train_t", "train_t", 4), "place", "chosen", "test_n", r("test_mean", "test_mean"), r("test_t", "test_t", 4))
+
+
+# ---- events against the same name's quiet days
+
+STUDY = f"""{BARS}, {CALENDAR}, {TRADES}, b AS (SELECT ticker, session, row_number() OVER ({mp.T}) AS bar, close * volume AS traded, lead(close, 20) OVER ({mp.T}) / lead(open) OVER ({mp.T}) - 1 AS fwd FROM bars), span AS (SELECT ticker, count(*) AS bars FROM b GROUP BY 1),
+ev AS (SELECT accession AS event, issuer + 1 AS ticker, role, filed, coalesce((SELECT max(bar) FROM b WHERE b.ticker = issuer + 1 AND b.session < filed), 0) + 1 AS place FROM trades), e AS (SELECT event, ev.ticker, role, place FROM ev JOIN span USING (ticker) WHERE place <= bars),
+tr AS (SELECT event, ticker, role, place, turn, place - 250 + {mixed_sql('event', 'place', 'turn')} % 501 AS spot FROM e, (SELECT unnest(range(1, 21)) AS turn)), ok AS (SELECT event, ticker, role, spot, min(turn) AS turn FROM tr JOIN span USING (ticker) WHERE spot >= 1 AND spot <= bars - 20 AND NOT EXISTS (SELECT 1 FROM e x WHERE x.ticker = tr.ticker AND x.role = tr.role AND abs(x.place - tr.spot) <= 10) GROUP BY 1, 2, 3, 4),
+pl AS (SELECT event, ticker, role, spot AS place FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY turn) AS n FROM ok) WHERE n <= 5)"""
+
+
+def placed(spark, d):
+    """(events, spans, bars): events at their name's first bar from the filing day on, the bars of each name, and all bars
+    numbered, with their fifth of traded value on the day and what followed."""
+    b = bars(spark, d).select("ticker", "session", F.row_number().over(w.order()).cast("long").alias("bar"), (C("close") * C("volume")).alias("traded"), w.forward_return(20).alias("fwd"))
+    span = b.groupBy("ticker").agg(F.count("*").alias("bars"))
+    e = trades(spark, d).select(C("accession").alias("event"), (C("issuer") + 1).alias("ticker"), "role", "filed")
+    at = asof.backward(e, b, "ticker", "filed", "session", ["bar"], strict=True).withColumn("place", F.coalesce("bar", F.lit(0).cast("long")) + 1)
+    return at.join(span, "ticker").where("place <= bars").select("event", "ticker", "role", "place"), span, b
+
+
+@query("E115_placebo_dates", f"WITH {STUDY} SELECT event, pl.ticker, role, pl.place, session FROM pl JOIN b ON b.ticker = pl.ticker AND b.bar = pl.place")
+def placebo_dates(spark, d):
+    """Up to five quiet days of the same name for each event, more than ten bars from any event of its kind."""
+    e, span, b = placed(spark, d)
+    p = draws.clear_dates(e, ["ticker", "role"], span)
+    return p.join(b.select("ticker", C("bar").alias("place"), "session"), ["ticker", "place"]).select("event", "ticker", "role", "place", "session")
+
+
+@query("E114_events_and_placebos", f"""WITH {STUDY}, q AS (SELECT *, (row_number() OVER (PARTITION BY session ORDER BY traded, ticker) - 1) * 5 // count(*) OVER (PARTITION BY session) AS fifth FROM b), x AS (SELECT ticker, bar, session, (fwd - avg(fwd) OVER (PARTITION BY session, fifth)) * 100 AS excess FROM q WHERE fwd IS NOT NULL),
+y AS (SELECT event, role, session, excess FROM e JOIN x ON x.ticker = e.ticker AND x.bar = e.place), z AS (SELECT event, avg(excess) AS control, count(*) AS k FROM pl JOIN x ON x.ticker = pl.ticker AND x.bar = pl.place GROUP BY 1), j AS (SELECT role, session, excess, control, excess - control AS diff FROM y JOIN z USING (event)),
+t AS (SELECT role, avg(m) / (stddev_samp(m) / sqrt(count(*))) AS t, count(*) AS quarters FROM (SELECT role, date_trunc('quarter', session) AS qq, avg(diff) AS m FROM j GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 3)
+SELECT role, count(*) AS episodes, round(avg(excess), 5) AS excess, round(avg(control), 5) AS control, round(avg(diff), 5) AS diff, any_value(quarters) AS quarters, round(any_value(t), 4) AS t FROM j JOIN t USING (role) GROUP BY 1""")
+def events_and_placebos(spark, d):
+    """Each event's excess over names of its liquidity fifth, less that of its own placebo days; t over quarters."""
+    e, span, b = placed(spark, d)
+    day = Window.partitionBy("session")
+    q = b.withColumn("fifth", F.floor((F.row_number().over(day.orderBy("traded", "ticker")) - 1) * 5 / F.count("*").over(day))).where("fwd is not null")
+    x = q.select("ticker", C("bar").alias("place"), "session", ((C("fwd") - F.avg("fwd").over(Window.partitionBy("session", "fifth"))) * 100).alias("excess"))
+    control = draws.clear_dates(e, ["ticker", "role"], span).join(x, ["ticker", "place"]).groupBy("event").agg(F.avg("excess").alias("control"))
+    j = e.join(x, ["ticker", "place"]).join(control, "event").withColumn("diff", C("excess") - C("control"))
+    quarters = j.groupBy("role", F.date_trunc("quarter", "session").alias("q")).agg(F.avg("diff").alias("m")).groupBy("role").agg(F.count("*").alias("quarters"), t_stat("m").alias("t"))
+    found = j.groupBy("role").agg(F.count("*").alias("episodes"), *[F.avg(c).alias(c) for c in ("excess", "control", "diff")]).join(quarters.where("quarters >= 3"), "role")
+    return found.select("role", "episodes", *[r(c, c, 5) for c in ("excess", "control", "diff")], "quarters", r("t", "t", 4))
