@@ -146,6 +146,43 @@ def derive(lines: dict[str, Column]) -> dict[str, Column]:
     }
 
 
+#: Lines read as the trailing year's sum, else as reported; of these the outflows, which filers sign either way.
+YEARLY = ("cogs", "opinc", "net_income", "cfo", "capex", "pretax", "tax", "interest_exp", "sbc", "dividends", "buybacks")
+OUTFLOWS = ("capex", "interest_exp", "dividends", "buybacks")
+BALANCES = ("assets", "assets_current", "liabilities", "liabilities_current", "equity", "inventory", "receivables", "payables", "retained", "ppe")
+#: The share of a bank's two incomes below which its revenue is a part only; bounds and stand-in of the tax rate.
+BANK_SHARE, TAX_RATE = 0.90, (0.0, 0.50, 0.21)
+
+
+def derived(lines: list[str]) -> dict[str, Column]:
+    """Every concept that metrics need, from the raw columns that a frame has; one that is not among lines counts as null.
+
+    Revenue: the trailing sum, else the reported one; a bank's interest and other income where that is missing or much
+    less; null where it lies below a positive net income that neither operating nor pre-tax income bounds. Depreciation
+    and amortisation: their reported total, else the sum of what is there of the two."""
+    have = set(lines)
+    raw = lambda name: F.col(name).cast("double") if name in have else F.lit(None).cast("double")
+    yearly = lambda name: F.coalesce(raw(f"{name}_ttm"), raw(name))
+    out = {name: F.abs(yearly(name)) if name in OUTFLOWS else yearly(name) for name in YEARLY} | {name: raw(name) for name in BALANCES}
+    sales, bank = yearly("revenue"), raw("nii_ttm") + raw("nonint_income_ttm")
+    part = sales.isNull() | (sales < BANK_SHARE * bank)
+    sales = F.when(F.coalesce((bank > 0) & part, F.lit(False)), bank).otherwise(sales)
+    bounded = F.coalesce(sales >= F.coalesce(out["opinc"], out["pretax"]), F.lit(False))
+    odd = F.coalesce((out["net_income"] > 0) & (sales < out["net_income"]), F.lit(False)) & ~bounded
+    out["revenue"] = F.when(~odd, sales)
+    out["gross_profit"] = F.coalesce(raw("gross_profit_ttm"), out["revenue"] - out["cogs"])
+    out["dna"] = F.coalesce(yearly("dna"), sum_reported(yearly("deprec"), yearly("amort")))
+    out["cash"], out["debt"] = sum_reported(raw("cash"), raw("sti")), sum_reported(raw("debt_lt"), raw("debt_st"))
+    out["shares"] = F.coalesce(raw("shares_diluted"), raw("shares_out"), raw("shares_basic"))
+    out["ebit"], out["ebitda"] = out["opinc"], out["opinc"] + out["dna"]
+    out["fcf"], out["net_debt"] = out["cfo"] - out["capex"], out["debt"] - out["cash"]
+    out["invested_capital"] = out["debt"] + out["equity"] - out["cash"]
+    low, high, usual = TAX_RATE
+    out["tax_rate"] = F.coalesce(clip(ratio(out["tax"], out["pretax"]), low, high), F.lit(usual))
+    out["nopat"] = out["ebit"] * (1 - out["tax_rate"])
+    return out
+
+
 def anchored(df: DataFrame, by: str, day: str, reach: int) -> DataFrame:
     """(by, day, anchor): the first day of a group takes all within reach of it, then the next one begins. Sequential, so a
     grouped map; a group is one company's periods."""

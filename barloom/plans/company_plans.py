@@ -189,3 +189,34 @@ def store_diff(spark, d):
     b = f.where("adsh % 3 <> 1").select("adsh", F.expr("value + case when adsh % 50 = 1 then 1 else 0 end").alias("y"))
     side = F.expr("case when y is null then 'left' when x is null then 'right' when x <> y then 'differs' else 'equal' end")
     return a.join(b, "adsh", "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+#: Raw lines of a supplier's year, one for each key of its order lines; what no line has is not reported.
+RAW = ["revenue_ttm", "revenue", "nii_ttm", "nonint_income_ttm", "cogs_ttm", "cogs", "net_income_ttm", "net_income", "opinc_ttm", "opinc", "pretax_ttm", "pretax", "gross_profit_ttm", "cfo_ttm", "cfo", "capex_ttm", "capex", "dna_ttm", "dna", "deprec_ttm", "deprec", "amort_ttm", "amort", "tax_ttm", "tax", "interest_exp_ttm", "interest_exp", "assets", "assets_current", "liabilities", "liabilities_current", "equity", "cash", "sti", "inventory", "receivables", "payables", "retained", "ppe", "debt_lt", "debt_st", "shares_diluted", "shares_out", "shares_basic", "sbc_ttm", "sbc", "dividends_ttm", "dividends", "buybacks_ttm", "buybacks"]
+LINES = f"""wide AS (SELECT l_suppkey AS cik, year(l_shipdate) AS y, {", ".join(f"sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END) FILTER (l_orderkey % {len(RAW)} = {i}) AS {c}" for i, c in enumerate(RAW))} FROM lineitem GROUP BY 1, 2)"""
+
+
+def raw_lines(spark, d):
+    """A supplier's year as one wide row; returned goods count against it, so that lines of either sign occur."""
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cik"), F.year("l_shipdate").alias("y"), F.pmod("l_orderkey", F.lit(len(RAW))).alias("k"), F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("v"))
+    return x.groupBy("cik", "y").agg(*[F.sum(F.when(F.col("k") == i, F.col("v"))).alias(c) for i, c in enumerate(RAW)])
+
+
+def derived_sql() -> str:
+    yearly = lambda c: f"coalesce({c}_ttm, {c})"
+    pair = lambda a, b: f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN NULL ELSE coalesce({a}, 0) + coalesce({b}, 0) END"
+    first = {c: f"abs({yearly(c)})" if c in ac.OUTFLOWS else yearly(c) for c in ac.YEARLY} | {c: c for c in ac.BALANCES}
+    first |= {"s0": yearly("revenue"), "bank": "nii_ttm + nonint_income_ttm", "dna": f"coalesce({yearly('dna')}, {pair(yearly('deprec'), yearly('amort'))})", "cash": pair("cash", "sti"), "debt": pair("debt_lt", "debt_st"), "shares": "coalesce(shares_diluted, shares_out, shares_basic)", "gp": "gross_profit_ttm"}
+    last = [*ac.YEARLY, *ac.BALANCES, "dna", "cash", "debt", "shares", "revenue"]
+    more = {"gross_profit": "coalesce(gp, revenue - cogs)", "ebit": "opinc", "ebitda": "opinc + dna", "fcf": "cfo - capex", "net_debt": "debt - cash", "invested_capital": "debt + equity - cash", "tax_rate": "rate", "nopat": "opinc * (1 - rate)"}
+    return f"""WITH {LINES}, a AS (SELECT cik, y, {", ".join(f"{v} AS {k}" for k, v in first.items())} FROM wide), b AS (SELECT *, CASE WHEN bank > 0 AND (s0 IS NULL OR s0 < {ac.BANK_SHARE} * bank) THEN bank ELSE s0 END AS s1 FROM a),
+c AS (SELECT *, CASE WHEN net_income > 0 AND s1 < net_income AND NOT coalesce(s1 >= coalesce(opinc, pretax), false) THEN NULL ELSE s1 END AS revenue, coalesce(greatest(0.0, least(0.5, CASE WHEN pretax <> 0 THEN tax / pretax END)), 0.21) AS r0, pretax AS p0, tax AS t0 FROM b),
+e AS (SELECT *, CASE WHEN p0 IS NULL OR t0 IS NULL OR p0 = 0 THEN 0.21 ELSE r0 END AS rate FROM c) SELECT cik, y, {", ".join(f"round({c}, 2) AS {c}" for c in last)}, {", ".join(f"round({v}, 4) AS {k}" for k, v in more.items())} FROM e"""
+
+
+@query("E72_all_concepts", derived_sql())
+def all_concepts(spark, d):
+    """Every derived concept of every supplier's year."""
+    x = raw_lines(spark, d)
+    small = ("gross_profit", "ebit", "ebitda", "fcf", "net_debt", "invested_capital", "tax_rate", "nopat")
+    return x.select("cik", "y", *[r(v, k, 4 if k in small else 2) for k, v in ac.derived(x.columns).items()])

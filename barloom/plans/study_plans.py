@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ranks import t_stat
 from barloom.operators import asof, draws
+from barloom.operators import rebase as rb
 from barloom.operators import windows as w
 from barloom.plans import module_plans as mp
 from barloom.plans.catalog import query, r
 from barloom.plans.event_plans import TRADES, trades
+from barloom.sources import macro
 from barloom.sources.roles import BARS, CALENDAR, bars, calendar, table
 from barloom.streaming import settled
 
@@ -145,3 +147,47 @@ def events_and_placebos(spark, d):
     quarters = j.groupBy("role", F.date_trunc("quarter", "session").alias("q")).agg(F.avg("diff").alias("m")).groupBy("role").agg(F.count("*").alias("quarters"), t_stat("m").alias("t"))
     found = j.groupBy("role").agg(F.count("*").alias("episodes"), *[F.avg(c).alias(c) for c in ("excess", "control", "diff")]).join(quarters.where("quarters >= 3"), "role")
     return found.select("role", "episodes", *[r(c, c, 5) for c in ("excess", "control", "diff")], "quarters", r("t", "t", 4))
+
+
+# ---- what was known, and series that were corrected
+
+VINTAGES = """v AS (SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS obs_date, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS early, round(sum(o_totalprice), 2) AS late FROM orders GROUP BY 1, 2),
+vin AS (SELECT series, obs_date, early AS value, CAST(obs_date + INTERVAL 1 MONTH AS DATE) + 15 AS rs, CAST(obs_date + INTERVAL 1 MONTH AS DATE) + 59 AS re FROM v UNION ALL SELECT series, obs_date, late, CAST(obs_date + INTERVAL 1 MONTH AS DATE) + 60, DATE '9999-12-31' FROM v)"""
+
+
+def vintages(spark, d):
+    """Monthly sums by priority as a feed tells them: finished orders 15 days after the month, all orders 60 days after."""
+    month = F.to_date(F.date_trunc("month", "o_orderdate"))
+    v = table(spark, d, "orders").groupBy(C("o_orderpriority").alias("series"), month.alias("obs_date")).agg(F.round(F.sum(F.when(C("o_orderstatus") == "F", C("o_totalprice"))) + 1e-9, 2).alias("early"), F.round(F.sum("o_totalprice") + 1e-9, 2).alias("late"))
+    told = F.add_months("obs_date", 1)
+    spans = F.array(F.struct(C("early").alias("value"), F.date_add(told, 15).alias("realtime_start"), F.date_add(told, 59).alias("realtime_end")), F.struct(C("late").alias("value"), F.date_add(told, 60).alias("realtime_start"), F.lit(macro.OPEN_END).cast("date").alias("realtime_end")))
+    return v.select("series", "obs_date", F.explode(spans).alias("x")).select("series", "obs_date", "x.*")
+
+
+@query("A39_known_on", f"WITH {CALENDAR}, {VINTAGES}, g AS (SELECT session FROM cal WHERE session_idx % 10 = 1), k AS (SELECT series, session, obs_date, value, re, row_number() OVER (PARTITION BY series, session ORDER BY obs_date DESC, rs DESC) AS n FROM g JOIN vin ON rs <= session) SELECT series, session, obs_date, round(CASE WHEN re >= session THEN value END, 2) AS value FROM k WHERE n = 1")
+def known_on(spark, d):
+    """What each series showed on each day, revisions as they were then."""
+    days = calendar(spark, d).where("session_idx % 10 = 1")
+    return macro.known_on(vintages(spark, d), days).select("series", "session", "obs_date", r("value", "value", 2))
+
+
+def split_store(spark, d):
+    """(bars as stored, corrections declared): every tenth name's bars before a day stand at 1,000 times their price; half
+    of the declared factors are right, half are not."""
+    b = bars(spark, d).select("ticker", "session", "open", "high", "low", "close", "volume")
+    ex = b.where("ticker % 10 = 0 and session >= date'1998-01-05'").groupBy("ticker").agg(F.min("session").alias("ex"))
+    stored = b.join(F.broadcast(ex), "ticker", "left")  # one row a declared name
+    k = F.when(C("session") < C("ex"), 1000.0).otherwise(1.0)
+    stored = stored.select("ticker", "session", *[(C(c) * k).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    return stored, ex.select("ticker", "ex", F.when(C("ticker") % 20 == 0, 0.001).otherwise(0.9).alias("factor"))
+
+
+@query("B23_rebased", f"""WITH {BARS}, x AS (SELECT ticker, min(session) AS ex FROM bars WHERE ticker % 10 = 0 AND session >= DATE '1998-01-05' GROUP BY 1), st AS (SELECT b.ticker, b.session, close * CASE WHEN session < ex THEN 1000 ELSE 1 END AS close, ex FROM bars b LEFT JOIN x USING (ticker)),
+l AS (SELECT *, ln(close / lag(close) OVER ({mp.T})) AS v FROM st), z AS (SELECT *, CASE WHEN count(v) OVER f >= 20 AND stddev_samp(v) OVER f > 0 THEN v / stddev_samp(v) OVER f END AS z, stddev_samp(v) OVER f AS sd FROM l WINDOW f AS ({mp.T} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+m AS (SELECT ticker, ex, CASE WHEN ticker % 20 = 0 THEN 0.001 ELSE 0.9 END AS factor, v, z, sd FROM z WHERE session = ex), a AS (SELECT *, CASE WHEN v IS NULL THEN 'skip' WHEN NOT CASE WHEN z IS NOT NULL THEN abs(z) > 5 ELSE abs(exp(v) - 1) > 0.15 END THEN 'held' WHEN CASE WHEN z IS NOT NULL THEN abs((v - ln(factor)) / sd) > 5 ELSE abs(exp(v - ln(factor)) - 1) > 0.15 END THEN 'refuse' ELSE 'adjust' END AS action FROM m)
+SELECT st.ticker, st.session, round(close * CASE WHEN action = 'adjust' AND st.session < st.ex THEN factor ELSE 1 END, 4) AS close, action FROM st JOIN a USING (ticker)""")
+def rebased_bars(spark, d):
+    """Bars of the corrected names after re-basing, with what was decided about each name."""
+    stored, declared = split_store(spark, d)
+    verdict = rb.measured(stored, declared).select("ticker", "action")
+    return rb.rebased(stored, declared).join(F.broadcast(verdict), "ticker").select("ticker", "session", r("close", "close", 4), "action")
