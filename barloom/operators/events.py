@@ -85,6 +85,8 @@ def halves_verdict(df: DataFrame, value: str, day: str, split: str, by: list[str
 
 
 def random_controls(pool: DataFrame, wanted: DataFrame, by: str, seed: int, who: str = "ticker") -> DataFrame:
-    """As many rows of the pool as wanted asks for in each group (columns: by, k), by a seeded hash, without replacement."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(by).cast("string"), who), who)
+    """As many rows of the pool as wanted asks for in each group (columns: by, k), by a seeded hash, without replacement. The
+    hash is one that every engine has, so that a draw can be repeated elsewhere."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"), F.col(who).cast("string")).cast("binary"))
+    w = Window.partitionBy(by).orderBy(order, who)
     return pool.withColumn("__n", F.row_number().over(w)).join(wanted, by).where("__n <= k").drop("__n", "k")

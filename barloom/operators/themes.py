@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import correlation, rank_avg, t_stat
@@ -44,20 +44,18 @@ def subsets(df: DataFrame, flags: list[str], outcome: str) -> DataFrame:
 
 
 def walk_forward(df: DataFrame, metrics: list[str], by: str, outcome: str, folds: int, start: float = 0.4) -> DataFrame:
-    """Expanding folds over dates: on each, the metric with the largest t before it is judged on what follows."""
+    """Expanding folds over dates: on each, the metric with the largest t before it is judged on what follows. One plan:
+    the IC series is some rows a year, and each fold's rows are found by their dates' numbers."""
     tidy = df.where(F.col(outcome).isNotNull()).unpivot([by, outcome], metrics, "metric", "value").where("value is not null")
-    series = spearman_by(tidy, ["metric", by], "value", outcome).where("ic is not null").cache()
-    dates = [r[0] for r in series.select(by).distinct().orderBy(by).collect()]  # a few a year
-    if not dates:
-        return df.sparkSession.createDataFrame([], "fold int, chosen string, n long, ic double")
-    first, out = int(len(dates) * start), None
-    for fold in range(folds):
-        a = first + (len(dates) - first) * fold // folds
-        b = first + (len(dates) - first) * (fold + 1) // folds
-        if a >= b:
-            continue
-        best = series.where(F.col(by) < F.lit(dates[a])).groupBy("metric").agg(t_stat("ic").alias("t")).where("t is not null").orderBy(F.desc(F.abs("t")), "metric").limit(1)
-        after = series.where((F.col(by) >= F.lit(dates[a])) & (F.col(by) <= F.lit(dates[b - 1])))
-        got = after.join(F.broadcast(best), "metric").groupBy(F.lit(fold).alias("fold"), F.col("metric").alias("chosen")).agg(F.count("*").alias("n"), F.avg(F.col("ic") * F.sign("t")).alias("ic"))  # best is one row
-        out = got if out is None else out.unionByName(got)
-    return out
+    series = spearman_by(tidy, ["metric", by], "value", outcome).where("ic is not null").select("metric", by, "ic")
+    every = Window.partitionBy(F.lit(1))
+    numbered = series.withColumn("__i", F.dense_rank().over(every.orderBy(by)) - 1).withColumn("__n", F.max("__i").over(every) + 1)
+    first = F.floor(F.col("__n") * start)
+    edge = lambda k: first + F.floor((F.col("__n") - first) * k / folds)
+    spans = F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), edge(k).alias("a"), edge(k + 1).alias("b")) for k in range(folds)]))
+    each = numbered.withColumn("__f", spans).select("metric", "ic", "__i", "__f.*")
+    before = each.where("__i < a and a < b").groupBy("fold", "metric").agg(t_stat("ic").alias("t")).where("t is not null")
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc(F.abs("t")), "metric"))
+    best = before.withColumn("__k", place).where("__k = 1").select("fold", "metric", "t")
+    after = each.where("__i >= a and __i < b").join(F.broadcast(best), ["fold", "metric"])  # a row a fold
+    return after.groupBy("fold", F.col("metric").alias("chosen")).agg(F.count("*").alias("n"), F.avg(F.col("ic") * F.signum("t")).alias("ic"))

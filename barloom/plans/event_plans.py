@@ -150,7 +150,8 @@ def episodes(spark, d):
     return ev.thin_episodes(k, 21).select("ticker", "session")
 
 
-@query("D21_random_controls")
+@query("D21_random_controls", f"""WITH {BARS}, {TRADES}, e AS (SELECT DISTINCT issuer + 1 AS ticker, filed AS session FROM trades WHERE value > 200000), k AS (SELECT session, count(*) AS k FROM bars JOIN e USING (ticker, session) GROUP BY 1), o AS (SELECT ticker, session, row_number() OVER (PARTITION BY session ORDER BY md5('7|' || session || '|' || ticker), ticker) AS n FROM bars)
+SELECT ticker, session FROM o JOIN k USING (session) WHERE n <= k""")
 def random_controls(spark, d):
     b = bars(spark, d).select("ticker", "session")
     wanted = event_rows(spark, d).groupBy("session").agg(F.count("*").alias("k"))

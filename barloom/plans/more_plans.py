@@ -10,6 +10,7 @@ from barloom.operators import backtest as bt
 from barloom.operators import crosssection as cs
 from barloom.operators import themes
 from barloom.operators import windows as w
+from barloom.plans.bar_plans import PATHS, rule_sql
 from barloom.plans.catalog import query, r
 from barloom.plans.company_plans import STATEMENT, pair, statement
 from barloom.plans.cross_plans import X, avg_rank, scored
@@ -66,7 +67,7 @@ def bucket_averages(spark, d):
     return x.groupBy("bucket").agg(F.count("*").alias("n"), r(F.avg("fwd5"), "mean"))
 
 
-@query("E31_rule_by_date")
+@query("E31_rule_by_date", f"WITH {BARS}, {PATHS}, {rule_sql()} SELECT session, rule, count(*) AS n, round(avg(ret), 6) AS mean FROM x WHERE rule IN ('hold_5', 'stop2_hold20', 'trail_2') GROUP BY 1, 2")
 def rule_by_date(spark, d):
     return bt.exits(bt.with_paths(bars(spark, d)), ["hold_5", "stop2_hold20", "trail_2"]).groupBy("session", "rule").agg(F.count("*").alias("n"), r(F.avg("ret"), "mean"))
 
@@ -164,10 +165,26 @@ def gated_rank(spark, d):
     return inside.select("ticker", "month", r(rank_pct(-F.col("a"), "month"), "dip"))
 
 
-@query("E91_correlation_dedup")
+CORRELATED = ["traded", "traded2", "volume", "mom"]
+
+
+def dedup_sql() -> str:
+    """The choice in order of preference, one table a step: a metric goes if its nearest kept one reaches 0.9."""
+    ranks = ", ".join(f"{avg_rank(m, 'session')} AS {m}" for m in CORRELATED)
+    pairs = ", ".join(f"abs(corr({a}, {b})) AS {a}_{b}" for i, a in enumerate(CORRELATED) for b in CORRELATED[:i])
+    first, *rest = CORRELATED
+    steps = [f"s0 AS (SELECT *, true AS keep_{first}, CAST(NULL AS VARCHAR) AS like_{first} FROM c)"]
+    for i, a in enumerate(rest, 1):
+        near = "[" + ", ".join(f"CASE WHEN keep_{b} THEN {{'c': {a}_{b}, 'k': '{b}'}} END" for b in CORRELATED[:i]) + "]"
+        steps.append(f"s{i} AS (SELECT * EXCLUDE (n), coalesce(n.c < 0.9, true) AS keep_{a}, CASE WHEN n.c >= 0.9 THEN n.k END AS like_{a} FROM (SELECT *, list_max({near}) AS n FROM s{i - 1}))")
+    out = " UNION ALL ".join(f"SELECT '{a}' AS metric, keep_{a} AS kept, like_{a} AS \"like\" FROM s{len(rest)}" for a in CORRELATED)
+    return f"WITH {X}, r AS (SELECT {ranks} FROM (SELECT *, traded * 2 + volume AS traded2 FROM m WHERE mom IS NOT NULL)), c AS (SELECT {pairs} FROM r), {', '.join(steps)} {out}"
+
+
+@query("E91_correlation_dedup", dedup_sql())
 def correlation_dedup(spark, d):
     metrics = scored(spark, d).where("mom is not null").select("ticker", "session", "mom", "volume", "traded", (F.col("traded") * 2 + F.col("volume")).alias("traded2"))
-    return themes.drop_correlated(metrics, ["traded", "traded2", "volume", "mom"], "session", 0.9)
+    return themes.drop_correlated(metrics, CORRELATED, "session", 0.9)
 
 
 @query("E94_strategy_coverage", f"WITH {X} SELECT count(*) FILTER (mom IS NOT NULL AND fwd5 IS NOT NULL) AS ranked, count(*) FILTER (mom IS NULL OR fwd5 IS NULL) AS dropped, count(*) FILTER (mom IS NULL) AS missing FROM m")
@@ -194,7 +211,10 @@ def watchlist_all(spark, d):
     return s.select("ticker", "session", r("since", "since"), r("best", "best"), r("worst", "worst"), "failed", r(F.col("since") - F.avg("since").over(Window.partitionBy("session")), "ahead"))
 
 
-@query("E100_walk_forward")
+@query("E100_walk_forward", f"""WITH {X}, l AS (SELECT month, fwd5, metric, value FROM (SELECT month, fwd5, mom, CAST(volume AS DOUBLE) AS volume, traded FROM m WHERE fwd5 IS NOT NULL) UNPIVOT (value FOR metric IN (mom, volume, traded))), k AS (SELECT metric, month, {avg_rank('value', 'metric, month')} AS a, {avg_rank('fwd5', 'metric, month')} AS b FROM l),
+s AS (SELECT metric, month, corr(a, b) AS ic FROM k GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0), n AS (SELECT *, dense_rank() OVER (ORDER BY month) - 1 AS i, (SELECT count(DISTINCT month) FROM s) AS n FROM s), f AS (SELECT fold, i0 + (n - i0) * fold // 4 AS a, i0 + (n - i0) * (fold + 1) // 4 AS b FROM (SELECT DISTINCT n, CAST(floor(n * 0.4) AS BIGINT) AS i0 FROM n), (SELECT unnest(range(4)) AS fold)),
+p AS (SELECT fold, metric, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t FROM f JOIN n ON n.i < f.a WHERE a < b GROUP BY 1, 2 HAVING count(*) >= 3), best AS (SELECT fold, metric, t, row_number() OVER (PARTITION BY fold ORDER BY abs(t) DESC, metric) AS k FROM p WHERE t IS NOT NULL)
+SELECT CAST(best.fold AS INT) AS fold, best.metric AS chosen, count(*) AS n, round(avg(ic * sign(t)), 6) AS ic FROM best JOIN f USING (fold) JOIN n ON n.metric = best.metric AND n.i >= f.a AND n.i < f.b WHERE k = 1 GROUP BY 1, 2""")
 def walk_forward(spark, d):
     return themes.walk_forward(scored(spark, d), ["mom", "volume", "traded"], "month", "fwd5", folds=4).select("fold", "chosen", "n", r("ic", "ic"))
 
@@ -253,7 +273,7 @@ def pattern_flags(spark, d):
     return bars(spark, d).select("ticker", "session", (F.min("low").over(w.rows(-19)) > F.min("low").over(w.rows(-79, -20))).alias("higher_floor"))
 
 
-@query("F52_limit_entries")
+@query("F52_limit_entries", f"WITH {BARS}, {PATHS} SELECT j.ticker, j.session, round(any_value(b.close) * 0.98, 6) AS price, CAST(min(i) AS INT) AS bar FROM j JOIN bars b ON b.ticker = j.ticker AND b.session = j.session WHERE i <= 3 AND j.low <= b.close * (1 - 0.02) GROUP BY 1, 2")
 def limit_entries(spark, d):
     p = bt.with_paths(bars(spark, d)).withColumn("x", bt.limit_fill(0.02))
     return p.where("x is not null").select("ticker", "session", r("x.price", "price"), F.col("x.bar").alias("bar"))

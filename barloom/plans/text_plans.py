@@ -41,6 +41,13 @@ def taxonomy(spark, d):
     return news.classified(headlines(spark, d)).select("id", "event_type")
 
 
+@query("I1_document_taxonomy", f"WITH h AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10))[1] AS headline FROM documents) SELECT id, {case('headline', lambda c: repr(c[0]))} ELSE 'OTHER' END AS event_type FROM h")
+def document_taxonomy(spark, d):
+    """The class of every document's first line, as a wire's headline is its first line."""
+    h = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("headline"))
+    return news.classified(h).select("id", "event_type")
+
+
 @query("I3_severity", f"WITH {HEADLINES}, c AS (SELECT *, {case('headline', lambda c: repr(c[0]))} ELSE 'OTHER' END AS k, {case('headline', lambda c: repr(c[3]))} ELSE 0.8 END AS p FROM h), s AS (SELECT id, CASE WHEN k IN ('NOISE', 'MACRO') THEN 0 ELSE least(100, p * 18 / (1 + 0.25 * (n_symbols - 1))) END AS v FROM c) SELECT id, round(v, 5) AS severity, CASE WHEN v >= 45 THEN 'CRITICAL' WHEN v >= 32 THEN 'HIGH' WHEN v >= 20 THEN 'MEDIUM' WHEN v >= 10 THEN 'LOW' ELSE 'NOISE' END AS band FROM s")
 def severities(spark, d):
     c = news.classified(headlines(spark, d))
