@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ranks import t_stat
 from barloom.operators import asof, draws
+from barloom.operators import intraday as it
 from barloom.operators import rebase as rb
 from barloom.operators import windows as w
 from barloom.plans import module_plans as mp
@@ -191,3 +192,33 @@ def rebased_bars(spark, d):
     stored, declared = split_store(spark, d)
     verdict = rb.measured(stored, declared).select("ticker", "action")
     return rb.rebased(stored, declared).join(F.broadcast(verdict), "ticker").select("ticker", "session", r("close", "close", 4), "action")
+
+
+# ---- trades on half-hour bars, then days: an event's value is a trade's price, its user the name
+
+INTRA = """s AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS day, CAST((hour(ts) * 60 + minute(ts)) // 30 AS INT) AS slot, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close FROM events WHERE value > 0 GROUP BY 1, 2, 3),
+d AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS n FROM (SELECT ticker, day, arg_min(open, slot) AS open, max(high) AS high, min(low) AS low, arg_max(close, slot) AS close FROM s GROUP BY 1, 2))"""
+
+
+def ends_sql(keys: str, gain: float, loss: float, hold: int) -> str:
+    """Trades e (keys, ticker, day, n, slot, price, inside) to their ends: one list of bars, slots before days."""
+    return f"""p AS (SELECT e.*, slot_no AS at, b.open, b.high, b.low, b.close FROM e JOIN (SELECT ticker, day, slot AS slot_no, open, high, low, close FROM s) b ON b.ticker = e.ticker AND b.day = e.day AND slot_no >= e.slot UNION ALL SELECT e.*, 100 + d.n - e.n, d.open, d.high, d.low, d.close FROM e JOIN d ON d.ticker = e.ticker AND d.n > e.n AND d.n <= e.n + {hold - 1}),
+i AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY "at") AS i, count(*) OVER (PARTITION BY {keys}) AS bars FROM p), x AS (SELECT *, price * {1 - loss} AS st, price * {1 + gain} AS tg FROM i),
+h AS (SELECT *, CASE WHEN i > 1 AND open <= st THEN open WHEN i > 1 AND open >= tg THEN open WHEN low <= st THEN st WHEN high >= tg AND (i > 1 OR NOT inside) THEN tg END AS px, CASE WHEN i > 1 AND open <= st THEN 'stop' WHEN i > 1 AND open >= tg THEN 'target' WHEN low <= st THEN 'stop' ELSE 'target' END AS kind FROM x),
+f AS (SELECT {keys}, day, any_value(price) AS price, min(i) FILTER (px IS NOT NULL) AS hit, any_value(bars) AS bars, arg_max(close, i) AS last, arg_min(px, i) FILTER (px IS NOT NULL) AS px, arg_min(kind, i) FILTER (px IS NOT NULL) AS kind FROM h GROUP BY {keys}, day)
+SELECT {keys}, day, round(price, 6) AS price, round(coalesce(px, last) / price - 1, 6) AS ret, CAST(coalesce(hit, bars) AS INT) AS bars, coalesce(kind, 'time') AS kind FROM f"""
+
+
+@query("F54_slots_then_days", f"WITH {INTRA}, e AS (SELECT s.ticker, s.day, any_value(d.n) AS n, min(slot) AS slot, arg_min(s.open, slot) AS price, false AS inside FROM s JOIN d ON d.ticker = s.ticker AND d.day = s.day WHERE slot >= 4 GROUP BY 1, 2), {ends_sql('ticker, day', 0.4, 0.3, 5)}".replace("SELECT ticker, day, day,", "SELECT ticker, day,").replace("GROUP BY ticker, day, day)", "GROUP BY ticker, day)"))
+def slots_then_days(spark, d):
+    """A trade a day from its fifth half hour on, ended inside the day or on one of the four days after it."""
+    b = it.days(it.slots(table(spark, d, "events"), "user_id", "ts", "value"))
+    return it.after_open(b, 4, 0.4, 0.3, 5).select("ticker", "day", r("price", "price"), r("ret", "ret"), "bars", "kind")
+
+
+@query("F66_limit_by_slots", f"""WITH {INTRA}, o AS (SELECT ticker, day AS signal, n AS n0, close * 0.9 AS lim FROM d), c AS (SELECT o.ticker, signal, d.day, d.n, s.slot, CASE WHEN s.open <= lim THEN s.open WHEN s.low <= lim * 0.998 THEN lim END AS price, s.open > lim AS inside FROM o JOIN d ON d.ticker = o.ticker AND d.n BETWEEN n0 + 1 AND n0 + 3 JOIN s ON s.ticker = d.ticker AND s.day = d.day),
+e AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY ticker, signal ORDER BY n, slot) AS k FROM c WHERE price IS NOT NULL) WHERE k = 1), {ends_sql('ticker, signal', 0.4, 0.3, 5)}""")
+def limit_by_slots(spark, d):
+    """Orders a tenth under the close, followed in half hours for three days, then ended as any trade."""
+    b = it.days(it.slots(table(spark, d, "events"), "user_id", "ts", "value"))
+    return it.limit_orders(b, 0.1, 0.002, 3, 0.4, 0.3, 5).select("ticker", "signal", "day", r("price", "price"), r("ret", "ret"), "bars", "kind")
