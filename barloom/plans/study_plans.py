@@ -10,6 +10,8 @@ from barloom.operators import asof, draws
 from barloom.operators import intraday as it
 from barloom.operators import rebase as rb
 from barloom.operators import windows as w
+from barloom.operators import zone_study as zs
+from barloom.operators.staged import stored
 from barloom.plans import module_plans as mp
 from barloom.plans.catalog import query, r
 from barloom.plans.event_plans import TRADES, trades
@@ -222,3 +224,13 @@ def limit_by_slots(spark, d):
     """Orders a tenth under the close, followed in half hours for three days, then ended as any trade."""
     b = it.days(it.slots(table(spark, d, "events"), "user_id", "ts", "value"))
     return it.limit_orders(b, 0.1, 0.002, 3, 0.4, 0.3, 5).select("ticker", "signal", "day", r("price", "price"), r("ret", "ret"), "bars", "kind")
+
+
+# ---- zones read from shortened histories
+
+
+@query("E124_zone_lengths")
+def zone_lengths(spark, d):
+    """Shares of levels that are reached, fail and hold, by the length of history that they were read from."""
+    out = zs.by_arm(stored(zs.scored(bars(spark, d))))  # the readings are dear, and three figures rest on them
+    return out.select("arm", "levels", r("reached", "reached"), r("failed", "failed"), r("hit", "hit"), "dates", r("diff", "diff"), r("t", "t", 4))
