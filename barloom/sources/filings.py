@@ -86,6 +86,91 @@ def instances(df: DataFrame, wanted: list[str] | None = None, xml: str = "xml")
     return df.select("accession", F.col(xml).alias("xml")).mapInPandas(run, INSTANCE)
 
 
+ROLES = "accession string, role string"
+SHOWN = "accession string, role string, concept string, parent string, depth int"
+
+
+def local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def face_roles(summary: bytes) -> list[str]:
+    """Roles of a filing's face statements, by the rendering summary's category or the role's own definition."""
+    out = []
+    for report in (x for x in ET.fromstring(summary).iter() if local(x.tag) == "Report"):
+        told = {local(x.tag): (x.text or "").strip() for x in report}
+        if told.get("Role") and (told.get("MenuCategory") == "Statements" or " - statement - " in told.get("LongName", "").lower()):
+            out.append(told["Role"])
+    return list(dict.fromkeys(out))
+
+
+def presented(linkbase: bytes) -> list[tuple[str, str, str | None, int]]:
+    """(role, concept, parent, depth) of each concept that a presentation linkbase places, walked from each role's roots
+    along its arcs in their order. A concept that no arc reaches is a root; one under several parents has a row for each;
+    a ring of arcs ends where it comes back."""
+    held: dict[str, tuple[dict[str, str], list[tuple[float, str, str]]]] = {}
+    for link in (x for x in ET.fromstring(linkbase).iter() if local(x.tag) == "presentationLink"):
+        a = lambda x: {local(k): v for k, v in x.attrib.items()}
+        names, arcs = held.setdefault(a(link).get("role", ""), ({}, []))
+        for x in link:
+            at = a(x)
+            if local(x.tag) == "loc" and "_" in (name := at.get("href", "").rsplit("#", 1)[-1]):
+                names[at.get("label", name)] = name.split("_", 1)[1]
+            elif local(x.tag) == "presentationArc":
+                arcs.append((float(at.get("order") or 0), at.get("from", ""), at.get("to", "")))
+    out = []
+    for role, (names, arcs) in held.items():
+        below: dict[str, list[str]] = {}
+        for _, a, b in sorted(arcs, key=lambda x: x[0]):
+            if a in names and b in names:
+                below.setdefault(a, []).append(b)
+        reached = {b for bs in below.values() for b in bs}
+        todo = [(x, None, 0, ()) for x in reversed(names) if x not in reached]
+        seen = set()
+        while todo:
+            at, parent, depth, path = todo.pop()
+            if at in path:
+                continue
+            seen.add(at)
+            out.append((role, names[at], parent, depth))
+            todo += [(b, names[at], depth + 1, (*path, at)) for b in reversed(below.get(at, []))]
+        out += [(role, names[x], None, 0) for x in names if x not in seen]
+    return list(dict.fromkeys(out))
+
+
+def _per_filing(df: DataFrame, column: str, read, shape: str) -> DataFrame:
+    """Rows that read gives for each filing's document; one that cannot be parsed gives none."""
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for accession, text in zip(part["accession"], part["xml"], strict=True):
+                try:
+                    found = read((text or "").encode() if isinstance(text, str) or text is None else bytes(text))
+                except ET.ParseError:
+                    continue
+                rows += [(accession, *(f if isinstance(f, tuple) else (f,))) for f in found]
+            yield pd.DataFrame(rows, columns=names).astype({"depth": "int32"} if "depth" in names else {})
+
+    return df.select("accession", F.col(column).alias("xml")).mapInPandas(run, shape)
+
+
+def statement_roles(df: DataFrame, summary: str = "summary") -> DataFrame:
+    """ROLES of the face statements of filings (accession, summary)."""
+    return _per_filing(df, summary, face_roles, ROLES)
+
+
+def presentation(df: DataFrame, linkbase: str = "linkbase") -> DataFrame:
+    """SHOWN: where filings (accession, linkbase) place each concept."""
+    return _per_filing(df, linkbase, presented, SHOWN)
+
+
+def statement_concepts(shown: DataFrame, roles: DataFrame) -> DataFrame:
+    """(accession, concept) of the concepts that stand on a face statement."""
+    return shown.join(roles, ["accession", "role"], "left_semi").select("accession", "concept").distinct()
+
+
 #: The line that holds a trade, the lines about the one before, owners' codes.
 TRADE = r"(S \(partial\)|P|S|E)\s+(\d{2}/\d{2}/\d{4})\s*(\d{2}/\d{2}/\d{4})\s*(\$[\d,]+(?:\s*-\s*\$[\d,]+)?|Over \$[\d,]+)"
 ABOUT = r"^(F\s+S\s+:|D\s+:|S\s+O\s+:|C\s+:|L\s+:)"

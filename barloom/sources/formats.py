@@ -23,17 +23,23 @@ def short_volume(spark: SparkSession, path: str) -> DataFrame:
     return out.where("total_vol > 0 and date is not null")
 
 
-def members(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
-    """Rows of one tab-separated member of each zip archive under path, as text columns, with the archive's path."""
-    schema = ", ".join(f"`{c}` string" for c in ["archive", *columns])
+def members(spark: SparkSession, path: str, name: str, columns: list[str], numbered: bool = False) -> DataFrame:
+    """Rows of one tab-separated member of each zip archive under path, as text columns, with the archive's path and, if
+    numbered, their line in the member."""
+    schema = ", ".join(f"`{c}` string" for c in ["archive", *columns]) + (", line long" if numbered else "")
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for archive, content in zip(part["path"], part["content"], strict=True):
+                line = 0
                 with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(name) as f:
                     for rows in pd.read_csv(f, sep="\t", dtype=str, chunksize=50_000, usecols=lambda c: c in columns, keep_default_na=False, na_values=[""]):
-                        rows = rows.reindex(columns=columns)
+                        rows = rows.reindex(columns=columns).astype(object)
+                        rows = rows.where(rows.notna(), None)
                         rows.insert(0, "archive", archive)
+                        if numbered:
+                            rows["line"] = range(line, line + len(rows))
+                            line += len(rows)
                         yield rows
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)
@@ -48,6 +54,61 @@ def quarterly_facts(spark: SparkSession, path: str, wanted: list[str], forms: li
     return num.join(sub, ["archive", "adsh"]).select(F.col("cik").cast("long"), "adsh", "tag", day("ddate").alias("ddate"), F.col("qtrs").cast("int"), F.expr("try_cast(value as double)").alias("value"), day("filed").alias("filed"), "form", F.col("fy").cast("int"), "fp", F.col("sic").cast("int"), F.coalesce("uom", F.lit("USD")).alias("uom")).where("value is not null")
 
 
+#: The forms of insiders' trades, and where a relationship's words stand in its code.
+TRADE_FORMS = ("4", "4/A")
+RELATIONS = {"is_director": "Director", "is_officer": "Officer", "is_ten_pct": "TenPercent", "is_other": "Other"}
+
+
+def insider_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """Trades of quarterly insider archives: filings, owners and non-derivative transactions joined by archive and filing.
+
+    A filing's primary owner is its first director or officer, else its first owner; owner_ciks names all in their order.
+    Flags that a filing lacks are null, its relations false. A filing has a few owners, so that its list stays small."""
+    key = ["archive", "ACCESSION_NUMBER"]
+    sub = members(spark, path, "SUBMISSION.tsv", ["ACCESSION_NUMBER", "FILING_DATE", "PERIOD_OF_REPORT", "DOCUMENT_TYPE", "ISSUERCIK", "ISSUERNAME", "ISSUERTRADINGSYMBOL", "AFF10B5ONE"]).where(F.col("DOCUMENT_TYPE").isin(*TRADE_FORMS))
+    own = members(spark, path, "REPORTINGOWNER.tsv", ["ACCESSION_NUMBER", "RPTOWNERCIK", "RPTOWNERNAME", "RPTOWNER_RELATIONSHIP", "RPTOWNER_TITLE", "RPTOWNER_TXT"], numbered=True)
+    deals = members(spark, path, "NONDERIV_TRANS.tsv", ["ACCESSION_NUMBER", "SECURITY_TITLE", "TRANS_DATE", "TRANS_CODE", "TRANS_SHARES", "TRANS_PRICEPERSHARE", "TRANS_PRICEPERSHARE_FN", "TRANS_ACQUIRED_DISP_CD", "SHRS_OWND_FOLWNG_TRANS", "DIRECT_INDIRECT_OWNERSHIP"])
+    relation = F.lower(F.coalesce("RPTOWNER_RELATIONSHIP", F.lit("")))
+    own = own.withColumns({k: relation.contains(v.lower()) for k, v in RELATIONS.items()})
+    first = F.struct((~(F.col("is_director") | F.col("is_officer"))).alias("junior"), "line", "RPTOWNERCIK", "RPTOWNERNAME", F.coalesce("RPTOWNER_TITLE", "RPTOWNER_TXT").alias("title"), *RELATIONS)
+    cik = F.expr("cast(try_cast(RPTOWNERCIK as bigint) as string)")
+    owners = own.groupBy(*key).agg(F.min(first).alias("p"), F.count("*").cast("int").alias("n_owners"), F.array_sort(F.collect_list(F.struct("line", cik.alias("cik")))).alias("all"))
+    t = deals.join(sub, key).join(owners, key, "left")
+    day = lambda c: F.coalesce(*[F.to_date(F.try_to_timestamp(F.col(c), F.lit(f))) for f in ("dd-MMM-yyyy", "yyyy-MM-dd")])
+    number = lambda c: F.expr(f"try_cast(trim({c}) as double)")
+    out = t.select(
+        F.col("ACCESSION_NUMBER").alias("accession"), F.col("DOCUMENT_TYPE").alias("form"), day("FILING_DATE").alias("filing_date"), day("PERIOD_OF_REPORT").alias("period"), F.expr("try_cast(ISSUERCIK as bigint)").alias("issuer_cik"), F.col("ISSUERNAME").alias("issuer_name"), F.col("ISSUERTRADINGSYMBOL").alias("issuer_symbol"),
+        F.expr("try_cast(p.RPTOWNERCIK as bigint)").alias("owner_cik"), F.col("p.RPTOWNERNAME").alias("owner_name"), "n_owners", F.array_join(F.transform("all", lambda x: x["cik"]), ";").alias("owner_ciks"), *[F.coalesce(f"p.{k}", F.lit(False)).alias(k) for k in RELATIONS], F.col("p.title").alias("officer_title"),
+        F.when(F.col("AFF10B5ONE").isNotNull(), F.lower(F.trim("AFF10B5ONE")).isin("1", "true", "y").cast("double")).alias("aff10b5one"), F.col("SECURITY_TITLE").alias("security_title"), day("TRANS_DATE").alias("trans_date"), F.trim("TRANS_CODE").alias("trans_code"), F.trim("TRANS_ACQUIRED_DISP_CD").alias("acq_disp"),
+        number("TRANS_SHARES").alias("shares"), number("TRANS_PRICEPERSHARE").alias("price"), number("SHRS_OWND_FOLWNG_TRANS").alias("shares_after"), F.trim("DIRECT_INDIRECT_OWNERSHIP").alias("direct"), F.col("TRANS_PRICEPERSHARE_FN").isNotNull().alias("price_fn"),
+    )
+    return out.withColumn("value", F.col("shares") * F.col("price"))
+
+
+def archived_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, xml): the first XML member of each zip archive under path; an archive without one gives no row."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for archive, content in zip(part["path"], part["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    name = next((n for n in z.namelist() if n.lower().endswith(".xml")), None)
+                    if name:
+                        rows.append((archive, z.read(name).decode("utf-8-sig", "replace")))
+            yield pd.DataFrame(rows, columns=["archive", "xml"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "archive string, xml string")
+
+
+def report_index(df: DataFrame, kind: str = "P", xml: str = "xml") -> DataFrame:
+    """(doc_id, year, last, member, state_dst, filing_date) of a year's filing index: the reports of one kind."""
+    tag = lambda name: F.trim(F.regexp_extract("m", rf"(?s)<{name}>(.*?)</{name}>", 1))
+    each = df.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)<Member>.*?</Member>"), F.lit(0))).alias("m")).where(tag("FilingType") == kind)
+    name = F.array_join(F.filter(F.array(*[tag(x) for x in ("Prefix", "First", "Last", "Suffix")]), lambda x: x != ""), " ")
+    return each.select(tag("DocID").alias("doc_id"), F.expr("try_cast(regexp_extract(m, '<Year>(.*?)</Year>', 1) as int)").alias("year"), tag("Last").alias("last"), name.alias("member"), tag("StateDst").alias("state_dst"), F.to_date(F.try_to_timestamp(tag("FilingDate"), F.lit("M/d/yyyy"))).alias("filing_date"))
+
+
 COMPANY = "cik long, facts map<string, map<string, struct<units: map<string, array<struct<start:string, `end`:string, val:double, accn:string, fy:int, fp:string, form:string, filed:string>>>>>>"
 
 
