@@ -62,7 +62,7 @@ def against_draws(pool: DataFrame, rules: list[str], day: str, number: str, outc
         return pd.DataFrame({"rule": np.array(rule, np.int32), "turn": np.array(turn, np.int64), "excess": np.array(excess, float)})
 
     drawn = rows.select("day", "number", "who", "out", *rules).groupBy("day").applyInPandas(draw, "rule int, turn long, excess double").withColumn("rule", F.get(F.array(*map(F.lit, rules)), F.col("rule")))
-    luck = drawn.groupBy("rule", "turn").agg(F.avg("excess").alias("drawn")).join(found.select("rule", "excess"), "rule").groupBy("rule").agg(share(F.col("drawn") >= F.col("excess") - 1e-12).alias("p"))
+    luck = drawn.groupBy("rule", "turn").agg(F.avg("excess").alias("drawn")).join(found.select("rule", "excess"), "rule").groupBy("rule").agg(share(F.col("drawn") >= F.col("excess") - 1e-9).alias("p"))
     return found.join(luck, "rule")
 
 

@@ -6,6 +6,7 @@ would read the store once for each."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -184,3 +185,36 @@ def combo(long: DataFrame, proof: DataFrame, by: str = "session", least_coverage
     cover = names.select(key, by, F.lit("combo_cov").alias("metric"), F.col("coverage").alias("value"), F.lit(None).cast("string").alias("label"))
     whole = names.groupBy(by).agg(F.max("used").cast("double").alias("value"), F.max("names").alias("label")).select(F.lit("_ALL").alias("ticker"), by, F.lit("combo_n").alias("metric"), "value", "label")
     return score.unionByName(cover).unionByName(whole)
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """A ranking that a user declares: a condition, sort keys (column, asc or desc), and how many names a date."""
+
+    name: str
+    sort: tuple[tuple[str, str], ...]
+    top: int
+    where: str = "true"
+
+    def __post_init__(self):
+        if not self.sort or self.top < 1 or any(way not in ("asc", "desc") for _, way in self.sort):
+            raise ValueError(f"recipe {self.name!r} needs sort keys that are asc or desc, and a top of 1 or more")
+
+
+def recipes(text: str) -> list[Recipe]:
+    """Recipes of a JSON list; unknown fields and repeated names are errors."""
+    out = [Recipe(**(x | {"sort": tuple(map(tuple, x.get("sort", ())))})) for x in json.loads(text)]
+    if len({x.name for x in out}) < len(out):
+        raise ValueError("two recipes of one name")
+    return out
+
+
+def by_recipes(scores: DataFrame, wanted: list[Recipe], by: str = "session") -> DataFrame:
+    """(recipe, by, ticker, place): the first names of each recipe on each date; ties go to the smaller ticker."""
+    out = None
+    for x in wanted:
+        keys = [(F.col(c).asc_nulls_last() if way == "asc" else F.col(c).desc_nulls_last()) for c, way in x.sort]
+        place = F.row_number().over(Window.partitionBy(by).orderBy(*keys, "ticker"))
+        rows = scores.where(F.expr(x.where)).select(by, "ticker", *dict.fromkeys(c for c, _ in x.sort)).withColumn("place", place).where(F.col("place") <= x.top).select(F.lit(x.name).alias("recipe"), by, "ticker", "place")
+        out = rows if out is None else out.unionByName(rows)
+    return out

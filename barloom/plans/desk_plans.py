@@ -11,7 +11,7 @@ from barloom.operators import bounce as bo
 from barloom.operators import events as ev
 from barloom.operators import windows as w
 from barloom.plans.catalog import query, r
-from barloom.sources.roles import BARS, CALENDAR, SECTORS, bars, calendar, sectors, table
+from barloom.sources.roles import BARS, CALENDAR, SECTORS, bars, calendar, sectors, table, walk_bars
 
 T = "PARTITION BY ticker ORDER BY session"
 KEY = ["ticker", "session"]
@@ -101,28 +101,28 @@ def topology(spark, d):
 @query("F32_bounce_screen")
 def bounce_screen(spark, d):
     """Every name's structure, scores, bucket and first failed gate; sequential, so tested on worked paths."""
-    s = bo.screen(bars(spark, d))
+    s = bo.screen(walk_bars(spark, d))
     return s.select("ticker", "session", "peak_session", r("run_x", "run_x"), r("retrace_of_run", "retrace_of_run"), r("level", "level"), "touches", r("quality", "quality"), r("bounce", "bounce"), r("volume_sign", "volume_sign"), r("score", "score"), "band", "grade", "stage", "bucket", "failed")
 
 
 @query("F23_dominant_peak")
 def dominant_peak(spark, d):
-    return bo.read(bars(spark, d)).where("peak is not null").select("ticker", "peak_session", r("peak", "peak"))
+    return bo.read(walk_bars(spark, d)).where("peak is not null").select("ticker", "peak_session", r("peak", "peak"))
 
 
 @query("F24_run_start")
 def run_start(spark, d):
-    return bo.read(bars(spark, d)).where("run_x is not null").select("ticker", "base_session", r("run_x", "run_x"), r("run_z", "run_z"), "run_bars")
+    return bo.read(walk_bars(spark, d)).where("run_x is not null").select("ticker", "base_session", r("run_x", "run_x"), r("run_z", "run_z"), "run_bars")
 
 
 @query("F25_base_zone")
 def base_zone(spark, d):
-    return bo.read(bars(spark, d)).where("base_low is not null").select("ticker", r("base_low", "base_low"), r("base_mid", "base_mid"), r("base_high", "base_high"))
+    return bo.read(walk_bars(spark, d)).where("base_low is not null").select("ticker", r("base_low", "base_low"), r("base_mid", "base_mid"), r("base_high", "base_high"))
 
 
 @query("F28_bounce_points")
 def bounce_points(spark, d):
-    return bo.read(bars(spark, d)).where("bounce is not null").select("ticker", r("bounce", "bounce"), r("ext", "ext"))
+    return bo.read(walk_bars(spark, d)).where("bounce is not null").select("ticker", r("bounce", "bounce"), r("ext", "ext"))
 
 
 # ---- indicators

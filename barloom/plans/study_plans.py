@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions.ranks import t_stat
+from barloom.functions.ranks import rank_avg, ratio, t_stat
 from barloom.operators import asof, draws
+from barloom.operators import backtest as bt
 from barloom.operators import intraday as it
+from barloom.operators import modules as mo
 from barloom.operators import rebase as rb
 from barloom.operators import windows as w
 from barloom.operators import zone_study as zs
 from barloom.operators.staged import stored
 from barloom.plans import module_plans as mp
+from barloom.plans.bar_plans import PATHS
 from barloom.plans.catalog import query, r
 from barloom.plans.event_plans import TRADES, trades
 from barloom.sources import macro
-from barloom.sources.roles import BARS, CALENDAR, bars, calendar, table
+from barloom.sources.roles import BARS, CALENDAR, WALK, bars, calendar, table, walk_bars
 from barloom.streaming import settled
 
 C = F.col
@@ -64,7 +67,7 @@ def draw_sql(rules: dict[str, str], outcome: str, n: int) -> str:
 k AS ({" UNION ALL ".join(f"SELECT '{k}' AS rule, session, fwd, middle, mean, up FROM p WHERE {v}" for k, v in rules.items())}), dd AS (SELECT rule, session, count(*) AS k, avg(fwd) - max(mean) AS excess, avg(CAST(fwd > 0 AS INT)) AS hit, max(up) AS pool_hit, avg(CAST(fwd > middle AS INT)) AS beat FROM k GROUP BY 1, 2 HAVING count(*) >= 3),
 hh AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY session) <= count(*) OVER (PARTITION BY rule) // 2 AS early FROM dd), f AS (SELECT rule, count(*) AS dates, CAST(sum(k) AS BIGINT) AS picks, avg(hit) AS hit, avg(pool_hit) AS pool_hit, avg(beat) AS beat, avg(excess) AS excess, CASE WHEN count(*) >= 3 THEN avg(excess) / (stddev_samp(excess) / sqrt(count(*))) END AS t, avg(excess) FILTER (early) AS first_half, avg(excess) FILTER (NOT early) AS second_half FROM hh GROUP BY 1),
 o AS (SELECT session, turn, fwd, mean, row_number() OVER (PARTITION BY session, turn ORDER BY {mixed_sql('ticker', 'session_idx', 'turn')}, ticker) AS n FROM p, (SELECT unnest(range({n})) AS turn) WHERE session IN (SELECT session FROM dd)), so AS (SELECT rule, turn, session, avg(fwd) - max(mean) AS e FROM o JOIN dd USING (session) WHERE n <= k GROUP BY 1, 2, 3), m AS (SELECT rule, turn, avg(e) AS drawn FROM so GROUP BY 1, 2),
-lu AS (SELECT rule, avg(CAST(drawn >= excess - 1e-12 AS INT)) AS p FROM m JOIN f USING (rule) GROUP BY 1)
+lu AS (SELECT rule, avg(CAST(drawn >= excess - 1e-9 AS INT)) AS p FROM m JOIN f USING (rule) GROUP BY 1)
 SELECT rule, dates, picks, round(hit, 6) AS hit, round(pool_hit, 6) AS pool_hit, round(beat, 6) AS beat, round(excess, 6) AS excess, round(t, 4) AS t, round(first_half, 6) AS first_half, round(second_half, 6) AS second_half, round(p, 4) AS p FROM f JOIN lu USING (rule)"""
 
 
@@ -234,3 +237,105 @@ def zone_lengths(spark, d):
     """Shares of levels that are reached, fail and hold, by the length of history that they were read from."""
     out = zs.by_arm(stored(zs.scored(bars(spark, d))))  # the readings are dear, and three figures rest on them
     return out.select("arm", "levels", r("reached", "reached"), r("failed", "failed"), r("hit", "hit"), "dates", r("diff", "diff"), r("t", "t", 4))
+
+
+# ---- lists of names: against seeds, by bucket, traded, by recipe
+
+LISTED = f"""{mp.SCORES}, q AS (SELECT g.*, session_idx, CASE WHEN ret20 IS NOT NULL THEN row_number() OVER (PARTITION BY session ORDER BY ret20 DESC NULLS LAST, ticker) END AS place FROM g JOIN cal USING (session))"""
+
+
+def listed(spark, d):
+    """Names of the grid dates with their place by 20-bar return."""
+    day = Window.partitionBy("session").orderBy(F.col("ret20").desc_nulls_last(), "ticker")
+    x = mp.scores(spark, d).join(F.broadcast(calendar(spark, d)), "session")  # some sessions a year
+    return x.withColumn("place", F.when(C("ret20").isNotNull(), F.row_number().over(day)))
+
+
+SEEDS = 20
+
+
+@query("E17_screen_against_seeds", f"""WITH {LISTED}, p AS (SELECT * FROM q WHERE fwd5 IS NOT NULL), k AS (SELECT session, count(*) AS k FROM p WHERE place <= 5 GROUP BY 1), o AS (SELECT session, fwd5, turn, row_number() OVER (PARTITION BY session, turn ORDER BY {mixed_sql('ticker', 'session_idx', 'turn')}, ticker) AS n FROM p, (SELECT unnest(range(1, {SEEDS + 1})) AS turn)),
+r AS (SELECT turn, fwd5 FROM o JOIN k USING (session) WHERE n <= k), ts AS (SELECT turn, avg(fwd5) AS m, avg(CAST(fwd5 > 0 AS INT)) AS w FROM r GROUP BY 1), aa AS (SELECT count(*) AS n, avg(fwd5) AS m, var_samp(fwd5) AS v, avg(CAST(fwd5 > 0 AS INT)) AS w FROM p WHERE place <= 5), bb AS (SELECT count(*) AS n, avg(fwd5) AS m, var_samp(fwd5) AS v FROM r)
+SELECT aa.n AS picks, round(aa.m, 6) AS screen, round(aa.w, 6) AS screen_win, round((SELECT avg(m) FROM ts), 6) AS random, round((SELECT min(m) FROM ts), 6) AS random_low, round((SELECT max(m) FROM ts), 6) AS random_high, round((SELECT avg(w) FROM ts), 6) AS random_win, (SELECT count(*) FROM ts WHERE ts.m >= aa.m - 1e-9) AS seeds_as_good, round((aa.m - bb.m) / sqrt(aa.v / aa.n + bb.v / bb.n), 4) AS t FROM aa, bb""")
+def screen_against_seeds(spark, d):
+    """The five best names of each date against as many drawn by each of twenty seeds: range of the seeds, Welch's t."""
+    p = listed(spark, d).where("fwd5 is not null").select("session", "session_idx", "ticker", "fwd5", (C("place") <= 5).alias("hit"))
+    k = p.where("hit").groupBy("session").agg(F.count("*").alias("k"))
+    turns = p.join(k, "session").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SEEDS).cast("long"))))
+    order = Window.partitionBy("session", "turn").orderBy(draws.mixed(C("ticker"), C("session_idx"), C("turn")), "ticker")
+    drawn = turns.withColumn("n", F.row_number().over(order)).where("n <= k").select("turn", "fwd5")
+    up = F.avg((C("fwd5") > 0).cast("double"))
+    seeds = drawn.groupBy("turn").agg(F.avg("fwd5").alias("m"), up.alias("w"))
+    a = p.where("hit").agg(F.count("*").alias("picks"), F.avg("fwd5").alias("screen"), F.var_samp("fwd5").alias("va"), up.alias("screen_win"))
+    b = drawn.agg(F.count("*").alias("nb"), F.avg("fwd5").alias("mb"), F.var_samp("fwd5").alias("vb"))
+    s = seeds.agg(F.avg("m").alias("random"), F.min("m").alias("random_low"), F.max("m").alias("random_high"), F.avg("w").alias("random_win"), F.collect_list("m").alias("each"))
+    one = a.join(F.broadcast(b), how="cross").join(F.broadcast(s), how="cross")  # one row each
+    good = F.size(F.filter("each", lambda m: m >= C("screen") - 1e-9)).cast("long")
+    t = ratio(C("screen") - C("mb"), F.sqrt(ratio(C("va"), C("picks")) + ratio(C("vb"), C("nb"))))
+    return one.select("picks", *[r(c, c) for c in ("screen", "screen_win", "random", "random_low", "random_high", "random_win")], good.alias("seeds_as_good"), r(t, "t", 4))
+
+
+@query("E19_replay_medians", f"WITH {LISTED} SELECT CAST(floor((place - 1) / 5) AS BIGINT) AS bucket, count(*) AS n, round(quantile_cont(fwd5, 0.5), 6) AS fwd5, round(quantile_cont(fwd20, 0.5), 6) AS fwd20, round(avg(CAST(fwd5 > 0 AS INT)), 6) AS win FROM q WHERE place <= 20 GROUP BY 1")
+def replay_medians(spark, d):
+    """What followed past lists, as medians by bucket of five places."""
+    x = listed(spark, d).where("place <= 20").withColumn("bucket", F.floor((C("place") - 1) / 5))
+    return x.groupBy("bucket").agg(F.count("*").alias("n"), *[r(F.percentile(c, F.lit(0.5)), c) for c in ("fwd5", "fwd20")], r(F.avg((C("fwd5") > 0).cast("double")), "win"))
+
+
+LEDGER_END = "1999-01-01"
+
+
+@query("E99_shortlist_trades", f"""WITH {LISTED.replace(BARS + ", " + CALENDAR + ", b AS", BARS + ", " + CALENDAR + ", b0 AS").replace("FROM b WINDOW", "FROM b0 WINDOW")}, {PATHS}, h AS (SELECT ticker, session, min(i) AS i FROM j WHERE low <= entry - atr OR high >= entry + 2 * atr GROUP BY 1, 2), z AS (SELECT ticker, session, max(i) AS i FROM j GROUP BY 1, 2),
+done AS (SELECT j.ticker, j.session, CASE WHEN h.i IS NULL THEN j.close WHEN j.low <= entry - atr THEN entry - atr ELSE entry + 2 * atr END / entry - 1 AS ret, j.i AS held FROM z LEFT JOIN h USING (ticker, session) JOIN j ON j.ticker = z.ticker AND j.session = z.session AND j.i = coalesce(h.i, z.i))
+SELECT q.ticker, q.session, CAST(place AS INT) AS place, round(ret, 6) AS ret, CAST(held AS BIGINT) AS held FROM q JOIN done ON done.ticker = q.ticker AND done.session = q.session WHERE place <= 5 AND q.session >= DATE '{LEDGER_END}'""")
+def shortlist_trades(spark, d):
+    """Listed names that the ledger has not closed yet, each traded by the bracket rule from its next open."""
+    wanted = listed(spark, d).where("place <= 5").select("ticker", "session", "place")
+    closed = wanted.where(C("session") < F.lit(LEDGER_END)).select("ticker", "session")  # what the ledger holds
+    open_rows = wanted.join(closed, ["ticker", "session"], "left_anti")
+    paths = bt.with_paths(bars(spark, d)).join(open_rows.select("ticker", "session"), ["ticker", "session"], "left_semi")
+    return bt.exits(paths, ["bracket_1x2"]).join(open_rows, ["ticker", "session"]).select("ticker", "session", "place", r("ret", "ret"), "held")
+
+
+@query("C12_good_levels", f"""WITH {BARS}, {WALK}, x AS (SELECT ticker, session, close / min(low) OVER (f ROWS 19 PRECEDING) - 1 AS dist, close / max(high) OVER (f ROWS 19 PRECEDING) AS pct_hi, round(close / lag(close, 20) OVER f - 1, 9) AS v, volume FROM walk WINDOW f AS (PARTITION BY ticker ORDER BY session)),
+k AS (SELECT *, 100 * {mp.avg_rank('v', 'session')} / count(*) OVER (PARTITION BY session) AS fund, 100 * {mp.avg_rank('volume', 'session')} / count(*) OVER (PARTITION BY session) AS hype FROM x WHERE v IS NOT NULL) SELECT ticker, session, round(dist, 6) AS dist, round(pct_hi, 6) AS pct_hi FROM k WHERE dist <= 0.06 AND pct_hi >= 0.80 AND fund >= 55 AND hype <= 45""")
+def good_levels(spark, d):
+    """Near the low, near the high of the same bars, with a high score and low attention: the rule's four fixed bounds."""
+    f = w.rows(-19)
+    x = walk_bars(spark, d).select("ticker", "session", (ratio(C("close"), F.min("low").over(f)) - 1).alias("dist"), ratio(C("close"), F.max("high").over(f)).alias("pct_hi"), r(ratio(C("close"), F.lag("close", 20).over(w.order())) - 1, "v", 9), "volume").where("v is not null")
+    held = F.count("*").over(Window.partitionBy("session"))
+    x = x.withColumn("fund", ratio(100 * rank_avg("v", "session"), held)).withColumn("hype", ratio(100 * rank_avg("volume", "session"), held))
+    return x.where("dist <= 0.06 and pct_hi >= 0.80 and fund >= 55 and hype <= 45").select("ticker", "session", r("dist", "dist"), r("pct_hi", "pct_hi"))
+
+
+ZONES_ON = "1999-06-15"
+
+
+@query("D33_zones_on_a_day", f"""WITH {BARS}, w AS (SELECT ticker, session, low, min(low) OVER f AS m, count(low) OVER f AS n, lead(session, 5) OVER (PARTITION BY ticker ORDER BY session) AS known FROM bars WINDOW f AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)), z AS (SELECT ticker, low AS level, known, last_day(known) AS file FROM w WHERE n = 11 AND low = m),
+ff AS (SELECT max(file) AS file FROM z WHERE file <= DATE '{ZONES_ON}'), l AS (SELECT ticker, arg_max(close, session) AS price FROM bars WHERE session <= DATE '{ZONES_ON}' GROUP BY 1), c AS (SELECT z.ticker, level, price, row_number() OVER (PARTITION BY z.ticker ORDER BY price / level, known DESC, level DESC) AS k FROM z, ff JOIN l ON l.ticker = z.ticker WHERE z.file <= ff.file AND known > ff.file - 365 AND level <= price)
+SELECT ticker, round(level, 5) AS level, round(price, 5) AS price, (SELECT file FROM ff) AS file FROM c WHERE k = 1""")
+def zones_on_a_day(spark, d):
+    """Support levels as the newest monthly file up to a day held them, the nearest one under each name's price. A file holds
+    the swing lows of the year before it that were known by then."""
+    lows = w.with_swing_low(bars(spark, d)).withColumn("known", F.lead("session", 5).over(w.order())).where("swing_low")
+    z = lows.select("ticker", C("low").alias("level"), "known", F.last_day("known").alias("file"))
+    newest = F.broadcast(z.where(C("file") <= F.lit(ZONES_ON)).agg(F.max("file").alias("newest")))  # one row
+    price = bars(spark, d).where(C("session") <= F.lit(ZONES_ON)).groupBy("ticker").agg(F.max_by("close", "session").alias("price"))
+    held = z.join(newest, how="cross").where((C("file") <= C("newest")) & (C("known") > F.date_sub("newest", 365))).join(price, "ticker").where("level <= price")
+    near = Window.partitionBy("ticker").orderBy(ratio(C("price"), C("level")), F.desc("known"), F.desc("level"))
+    return held.withColumn("k", F.row_number().over(near)).where("k = 1").select("ticker", r("level", "level", 5), r("price", "price", 5), C("newest").alias("file"))
+
+
+#: Ranking recipes as a user's file declares them: a condition, sort keys, and how many names.
+RECIPES = """[{"name": "movers", "where": "over20 > 0", "sort": [["ret5", "desc"]], "top": 3}, {"name": "calm", "where": "ret20 is not null", "sort": [["range20", "asc"], ["traded20", "desc"]], "top": 2}]"""
+
+
+def recipe_sql() -> str:
+    one = lambda x: f"SELECT '{x.name}' AS recipe, session, ticker, row_number() OVER (PARTITION BY session ORDER BY {', '.join(f'{c} {way} NULLS LAST' for c, way in x.sort)}, ticker) AS place, {x.top} AS top FROM g WHERE {x.where}"
+    return f"WITH {mp.SCORES}, k AS ({' UNION ALL '.join(map(one, mo.recipes(RECIPES)))}) SELECT recipe, session, ticker, CAST(place AS INT) AS place FROM k WHERE place <= top"
+
+
+@query("K4_recipes", recipe_sql())
+def by_recipe(spark, d):
+    """Each recipe's names of every grid date."""
+    return mo.by_recipes(mp.scores(spark, d), mo.recipes(RECIPES)).select("recipe", "session", "ticker", "place")

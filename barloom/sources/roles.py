@@ -22,6 +22,16 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose prices move in steps: each name's volume of a session, modulo 21, is its move, from -10 to 10 percent. These
+    have runs, retraces and levels, which prices that are drawn anew each session have not."""
+    move = (F.pmod(F.col("volume").cast("long"), F.lit(21)) - 10) / 100.0
+    past = Window.partitionBy("ticker").orderBy("session").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = bars(spark, sf_dir).withColumn("__move", move).withColumn("close", 50 * F.exp(F.sum("__move").over(past)))
+    begun = F.col("close") * F.exp(-F.col("__move"))
+    return b.select("ticker", "session", begun.alias("open"), (F.greatest(begun, F.col("close")) * 1.01).alias("high"), (F.least(begun, F.col("close")) * 0.99).alias("low"), "close", "volume", "trades")
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions and their numbers. A calendar has some hundred rows a year whatever the data, so one window holds it."""
     days = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("session")).distinct()
@@ -44,6 +54,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 BARS = """bars AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS session, avg(l_extendedprice / l_quantity) AS open,
  max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, sum(l_extendedprice) / sum(l_quantity) AS close,
  sum(l_quantity) AS volume, count(*) AS trades FROM lineitem GROUP BY 1, 2)"""
+WALK = """wm AS (SELECT *, (CAST(volume AS BIGINT) % 21 - 10) / 100.0 AS mv FROM bars), wk AS (SELECT *, 50 * exp(sum(mv) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING)) AS c FROM wm),
+walk AS (SELECT ticker, session, c * exp(-mv) AS open, greatest(c * exp(-mv), c) * 1.01 AS high, least(c * exp(-mv), c) * 0.99 AS low, c AS close, volume, trades FROM wk)"""
 CALENDAR = """cal AS (SELECT session, row_number() OVER (ORDER BY session) AS session_idx FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS session FROM lineitem))"""
 SECTORS = """sectors AS (SELECT s_suppkey AS ticker, n_name AS subind, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 FACTS = """facts AS (SELECT o_custkey AS cik, o_orderkey AS adsh, o_orderpriority AS concept, CAST(date_trunc('quarter', o_orderdate) AS DATE) - 1 AS ddate,

@@ -32,7 +32,7 @@ def test_draws_against_python(spark):
         luck = [statistics.mean(statistics.mean(x[3] for x in sorted(g, key=lambda x: (draws.mixed(x[0], x[2], turn), x[0]))[:k]) - statistics.mean(x[3] for x in g) for g in by.values()) for turn in range(n)]
         x = found[rule]
         assert x.excess == pytest.approx(statistics.mean(excess)) and x.dates == 6 and x.picks == 6 * k
-        assert x.p == pytest.approx(sum(v >= statistics.mean(excess) - 1e-12 for v in luck) / n)
+        assert x.p == pytest.approx(sum(v >= statistics.mean(excess) - 1e-9 for v in luck) / n)
         assert x.first_half == pytest.approx(statistics.mean(excess[:3])) and x.second_half == pytest.approx(statistics.mean(excess[3:]))
     assert found["good"].p == 0 < found["any_third"].p
 

@@ -85,3 +85,13 @@ def test_combo_weights_themes_by_evidence(spark):
     b, c = 100 / 3, 100 - 100 / 3
     assert out["3", "combo"] == pytest.approx((6 * 100 + 2 * (b + c) / 2) / 8)
     assert out["_ALL", "combo_n"] == 3
+
+
+def test_recipes():
+    one = mo.recipes('[{"name": "a", "sort": [["x", "desc"]], "top": 2}]')[0]
+    assert one == mo.Recipe("a", (("x", "desc"),), 2)
+    for bad in ('[{"name": "a", "sort": [["x", "up"]], "top": 2}]', '[{"name": "a", "sort": [], "top": 2}]', '[{"name": "a", "sort": [["x", "asc"]], "top": 0}]', '[{"name": "a", "sort": [["x", "asc"]], "top": 1}, {"name": "a", "sort": [["x", "asc"]], "top": 1}]'):
+        with pytest.raises(ValueError):
+            mo.recipes(bad)
+    with pytest.raises(TypeError):
+        mo.recipes('[{"name": "a", "sort": [["x", "asc"]], "top": 1, "limit": 3}]')
