@@ -90,3 +90,21 @@ def random_controls(pool: DataFrame, wanted: DataFrame, by: str, seed: int, who:
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"), F.col(who).cast("string")).cast("binary"))
     w = Window.partitionBy(by).orderBy(order, who)
     return pool.withColumn("__n", F.row_number().over(w)).join(wanted, by).where("__n <= k").drop("__n", "k")
+
+
+def upcoming(snapshots: DataFrame, calendar: DataFrame, asof: str, within: int = 10, oldest: int = 7) -> DataFrame:
+    """(ticker, day, moment, session, ahead): what the newest snapshot up to asof, if it is no older than `oldest` days,
+    expects within so many sessions; ahead counts sessions, 0 being the next one from asof on.
+
+    snapshots: (taken, ticker, day, moment); news after the close (moment amc) moves the session after its day. calendar:
+    (session, session_idx)."""
+    at = F.lit(asof).cast("date")
+    last = snapshots.where((F.col("taken") <= at) & (F.col("taken") >= F.date_sub(at, oldest))).agg(F.max("taken").alias("__last"))
+    rows = snapshots.join(F.broadcast(last), F.col("taken") == F.col("__last"), "left_semi").select("ticker", "day", "moment").distinct()
+    # Some days ahead, looked up among some sessions: the calendar is bounded by time.
+    base = calendar.where(F.col("session") >= at).agg(F.min("session_idx").alias("__base"))
+    ahead = calendar.where(F.col("session") >= at).join(F.broadcast(base), how="cross").select("session", (F.col("session_idx") - F.col("__base")).alias("ahead")).where(F.col("ahead") <= within + 1)
+    days = rows.select("day", "moment").distinct().where(F.col("day") >= at)
+    met = days.join(F.broadcast(ahead), F.when(F.col("moment") == "amc", F.col("session") > F.col("day")).otherwise(F.col("session") >= F.col("day")))
+    first = met.groupBy("day", "moment").agg(F.min("session").alias("session"), F.min("ahead").alias("ahead"))
+    return rows.join(F.broadcast(first), ["day", "moment"]).where(F.col("ahead") <= within).select("ticker", "day", "moment", "session", "ahead")

@@ -6,7 +6,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from barloom.functions.ranks import ratio
 
 
 def peaks(x: np.ndarray, prominence: float, distance: int, wlen: int = 252) -> np.ndarray:
@@ -147,6 +150,28 @@ def zones(bars: DataFrame, reach: float = 0.16, least: int = 2, most: int = 8) -
     return _history(bars).groupBy("ticker").applyInPandas(run, "ticker long, level double, dist_pct double, touches long, bounces long, bounce_median double, bars_since_touch long")
 
 
+def suspects(bars: DataFrame, leap: float = 0.85, crowd: float = 3.0, share: float = 0.05) -> DataFrame:
+    """(ticker, suspect): a leap of the close without volume, or a last close under a twentieth of the year's high, as a
+    split that is not adjusted leaves behind."""
+    name = Window.partitionBy("ticker")
+    by_day = name.orderBy("session")
+    x = bars.withColumn("__v", F.abs(F.ln(ratio(F.col("close"), F.lag("close").over(by_day))))).withColumn("__top", F.max("high").over(by_day.rowsBetween(-249, 0))).withColumn("__mid", F.percentile("volume", F.lit(0.5)).over(name))
+    leapt = F.bool_or(F.coalesce((F.col("__v") > leap) & (F.col("volume") <= crowd * F.col("__mid")), F.lit(False)))
+    fallen = F.coalesce(F.max_by(ratio(F.col("close"), F.col("__top")), "session") < share, F.lit(False))
+    return x.groupBy("ticker").agg((leapt | fallen).alias("suspect"))
+
+
+def zone_scan(bars: DataFrame, **limits) -> DataFrame:
+    """Every name: its zones, or one row that says it has no support, or one that its prices are suspect and were not read.
+    (ticker, level, dist_pct, touches, bounces, bounce_median, bars_since_touch, no_support, suspect)"""
+    told = suspects(bars)
+    odd = told.where("suspect").select("ticker")
+    found = zones(bars.join(odd, "ticker", "left_anti"), **limits).select("*", F.lit(False).alias("no_support"), F.lit(False).alias("suspect"))
+    empty = told.where("not suspect").select("ticker").join(found.select("ticker").distinct(), "ticker", "left_anti").select("ticker", F.lit(True).alias("no_support"), F.lit(False).alias("suspect"))
+    marked = odd.select("ticker", F.lit(False).alias("no_support"), F.lit(True).alias("suspect"))
+    return found.unionByName(empty.unionByName(marked), allowMissingColumns=True)
+
+
 def zigzag(close: np.ndarray, turn: float = 0.10) -> list[int]:
     """Turning places: the price has come back by `turn` from the extreme since the last one."""
     out, way, best = [0], 0, 0

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ranks import rank_avg, ratio, t_stat
-from barloom.operators import asof, draws
+from barloom.operators import asof, draws, levels
 from barloom.operators import backtest as bt
+from barloom.operators import crosssection as cs
+from barloom.operators import events as ev
 from barloom.operators import intraday as it
 from barloom.operators import modules as mo
 from barloom.operators import rebase as rb
@@ -19,7 +21,7 @@ from barloom.plans.bar_plans import PATHS
 from barloom.plans.catalog import query, r
 from barloom.plans.event_plans import TRADES, trades
 from barloom.sources import macro
-from barloom.sources.roles import BARS, CALENDAR, WALK, bars, calendar, table, walk_bars
+from barloom.sources.roles import BARS, CALENDAR, SECTORS, WALK, bars, calendar, sectors, table, walk_bars
 from barloom.streaming import settled
 
 C = F.col
@@ -339,3 +341,54 @@ def recipe_sql() -> str:
 def by_recipe(spark, d):
     """Each recipe's names of every grid date."""
     return mo.by_recipes(mp.scores(spark, d), mo.recipes(RECIPES)).select("recipe", "session", "ticker", "place")
+
+
+# ---- what is to come, states of groups, studies by kind
+
+EXPECTED = "sn AS (SELECT CAST(o_orderdate AS DATE) AS taken, o_orderkey % 50 + 1 AS ticker, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 23 AS INT) AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'amc' ELSE 'bmo' END AS moment FROM orders)"
+
+
+@query("D42_upcoming", f"""WITH {BARS}, {CALENDAR}, {EXPECTED}, l AS (SELECT max(taken) AS t FROM sn WHERE taken <= DATE '{NOW}' AND taken >= DATE '{NOW}' - 7), b AS (SELECT min(session_idx) AS b FROM cal WHERE session >= DATE '{NOW}'), x AS (SELECT DISTINCT ticker, day, moment FROM sn, l WHERE taken = t AND day >= DATE '{NOW}'),
+m AS (SELECT ticker, day, moment, min(session) AS session, min(session_idx) - (SELECT b FROM b) AS ahead FROM x JOIN cal ON CASE WHEN moment = 'amc' THEN session > day ELSE session >= day END GROUP BY 1, 2, 3) SELECT * FROM m WHERE ahead <= 10""")
+def upcoming(spark, d):
+    """Expected reports in the ten sessions from NOW on, by the newest snapshot."""
+    sn = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("taken"), (C("o_orderkey") % 50 + 1).alias("ticker"), F.date_add(F.to_date("o_orderdate"), (C("o_orderkey") % 23).cast("int")).alias("day"), F.when(C("o_orderkey") % 2 == 0, "amc").otherwise("bmo").alias("moment"))
+    return ev.upcoming(sn, calendar(spark, d), NOW)
+
+
+STATES = f"""{BARS}, {SECTORS}, x AS (SELECT ticker, session, close / lag(close, 20) OVER ({mp.T}) - 1 AS mom, lead(close, 5) OVER ({mp.T}) / lead(open) OVER ({mp.T}) - 1 AS fwd FROM bars), gm AS (SELECT subind, CAST(date_trunc('month', session) AS DATE) AS month, avg(mom) AS v FROM x JOIN sectors USING (ticker) WHERE mom IS NOT NULL GROUP BY 1, 2),
+st AS (SELECT subind, month, last_day(month) AS known, CASE WHEN v > quantile_cont(v, 2.0 / 3) OVER (PARTITION BY month) THEN 3 WHEN v <= quantile_cont(v, 1.0 / 3) OVER (PARTITION BY month) THEN 1 ELSE 2 END AS state FROM gm)"""
+
+
+@query("E49_state_terciles", f"WITH {STATES}, j AS (SELECT st.state, x.fwd FROM x JOIN sectors USING (ticker) ASOF JOIN st ON st.subind = sectors.subind AND st.known <= x.session WHERE x.fwd IS NOT NULL) SELECT state, count(*) AS n, round(avg(fwd), 6) AS mean, round(avg(CAST(fwd > 0 AS INT)), 6) AS up FROM j GROUP BY 1")
+def state_terciles(spark, d):
+    """Outcomes by the third that the name's group held in the newest whole month."""
+    s = sectors(spark, d).select("ticker", "subind")
+    x = bars(spark, d).select("ticker", "session", (ratio(C("close"), F.lag("close", 20).over(w.order())) - 1).alias("mom"), w.forward_return(5).alias("fwd")).join(F.broadcast(s), "ticker")  # a row a name
+    g = x.where("mom is not null").groupBy("subind", F.trunc("session", "month").alias("month")).agg(F.avg("mom").alias("v"))
+    st = cs.with_thirds(g, "v", ["month"], "state").select("subind", F.last_day("month").alias("known"), "state")
+    j = asof.backward(x.where("fwd is not null").select("subind", "session", "fwd"), st, "subind", "session", "known", ["state"]).where("state is not null")
+    return j.groupBy("state").agg(F.count("*").alias("n"), r(F.avg("fwd"), "mean"), r(F.avg((C("fwd") > 0).cast("double")), "up"))
+
+
+@query("E112_event_studies", f"""WITH {BARS}, {TRADES}, b AS (SELECT ticker, session, lead(close, 5) OVER ({mp.T}) / lead(open) OVER ({mp.T}) - 1 AS fwd5, lead(close, 20) OVER ({mp.T}) / lead(open) OVER ({mp.T}) - 1 AS fwd20 FROM bars), p AS (SELECT *, avg(fwd5) OVER (PARTITION BY session) AS p5, avg(fwd20) OVER (PARTITION BY session) AS p20 FROM b),
+e AS (SELECT DISTINCT role, issuer + 1 AS ticker, filed AS session FROM trades), j AS (SELECT role, session, 5 AS horizon, fwd5 AS v, p5 AS pool FROM p JOIN e USING (ticker, session) UNION ALL SELECT role, session, 20, fwd20, p20 FROM p JOIN e USING (ticker, session)), x AS (SELECT *, (v - pool) * 100 AS x FROM j WHERE v IS NOT NULL),
+q AS (SELECT role, horizon, avg(x) AS m FROM x GROUP BY role, horizon, date_trunc('quarter', session)), t AS (SELECT role, horizon, count(*) AS quarters, CASE WHEN count(*) >= 3 THEN avg(m) / (stddev_samp(m) / sqrt(count(*))) END AS t FROM q GROUP BY 1, 2)
+SELECT role, horizon, count(*) AS n, round(avg(x), 5) AS mean, round(quantile_cont(x, 0.5), 5) AS median, round(avg(CAST(v > 0 AS INT)), 6) AS up, round(avg(CAST(x > 0 AS INT)), 6) AS beat, round(any_value(t), 4) AS t, any_value(quarters) AS quarters FROM x JOIN t USING (role, horizon) GROUP BY 1, 2 HAVING count(*) >= 10""")
+def event_studies(spark, d):
+    """Every kind of event at every horizon against its date's pool, in one frame."""
+    b = bars(spark, d).select("ticker", "session", w.forward_return(5).alias("fwd5"), w.forward_return(20).alias("fwd20"))
+    day = Window.partitionBy("session")
+    p = b.withColumn("p5", F.avg("fwd5").over(day)).withColumn("p20", F.avg("fwd20").over(day))
+    e = trades(spark, d).select("role", (C("issuer") + 1).alias("ticker"), C("filed").alias("session")).distinct()
+    each = F.explode(F.array(F.struct(F.lit(5).alias("horizon"), C("fwd5").alias("v"), C("p5").alias("pool")), F.struct(F.lit(20).alias("horizon"), C("fwd20").alias("v"), C("p20").alias("pool"))))
+    j = p.join(e, ["ticker", "session"]).select("role", "session", each.alias("x")).select("role", "session", "x.*")
+    out = ev.study(j, "v", "pool", "session", ["role", "horizon"])
+    return out.select("role", "horizon", "n", r("mean", "mean", 5), r("median", "median", 5), r("up", "up"), r("beat", "beat"), r("t", "t", 4), "quarters")
+
+
+@query("F35_zone_scan")
+def zone_scan(spark, d):
+    """Every name of the walking bars with its zones, or why it has none."""
+    z = levels.zone_scan(walk_bars(spark, d))
+    return z.select("ticker", r("level", "level"), r("dist_pct", "dist_pct", 4), "touches", "bounces", r("bounce_median", "bounce_median"), "bars_since_touch", "no_support", "suspect")

@@ -385,3 +385,22 @@ def test_bounce_reads_only_the_past():
     g = bounce_path()
     later = g.tail(40).assign(close=99.0, high=100.0, low=98.0)
     assert bounce.read_name(g.head(190)) == bounce.read_name(pd.concat([g.head(190), later]).head(190).reset_index(drop=True))
+
+
+def test_zone_scan_tells_of_every_name(spark):
+    """Names with zones, a name without support, and a name whose price leapt without volume."""
+    import math
+
+    from barloom.operators import levels
+
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)
+    rows = []
+    for i in range(300):
+        x = 100 + 10 * math.sin(i / 8)
+        for t, c in ((1, x), (2, 50 * 1.004**i), (3, x * (10 if i > 200 else 1))):
+            rows.append((t, day(i), c, c * 1.01, c * 0.99, c, 100.0))
+    got = levels.zone_scan(spark.createDataFrame(rows, "ticker long, session date, open double, high double, low double, close double, volume double")).collect()
+    by = {t: [r for r in got if r.ticker == t] for t in (1, 2, 3)}
+    assert by[1] and not any(r.no_support or r.suspect for r in by[1]) and all(r.touches >= 2 for r in by[1])
+    assert [(r.level, r.no_support, r.suspect) for r in by[2]] == [(None, True, False)]
+    assert [(r.level, r.no_support, r.suspect) for r in by[3]] == [(None, False, True)]

@@ -85,3 +85,16 @@ def test_backfill_takes_today_first_and_resumes():
     assert order == ["2024-03-08", "2024-03-07", "2024-03-06"] and first == {"filled": ["2024-03-07"], "failed": ["2024-03-06"], "left": ["2024-03-05"]}
     assert run() == {"filled": ["2024-03-06", "2024-03-05"], "failed": [], "left": []}
     assert order[3] == "2024-03-08" and run() == {"filled": [], "failed": [], "left": []}
+
+
+def test_upcoming_reports(spark):
+    """The newest snapshot counts alone, and not if it is old; news after the close belongs to the next session."""
+    from barloom.operators import events
+
+    cal = spark.createDataFrame([(D(2024, 3, d), i) for i, d in enumerate((1, 4, 5, 6, 7, 8, 11))], "session date, session_idx int")
+    rows = [(D(2024, 3, 2), "a", D(2024, 3, 5), "bmo"), (D(2024, 3, 3), "a", D(2024, 3, 6), "bmo"), (D(2024, 3, 3), "b", D(2024, 3, 6), "amc"), (D(2024, 3, 3), "c", D(2024, 3, 9), "bmo"), (D(2024, 3, 3), "d", D(2024, 3, 1), "bmo"), (D(2024, 3, 3), "e", D(2024, 3, 20), "bmo"), (D(2024, 3, 9), "f", D(2024, 3, 6), "bmo")]
+    snaps = spark.createDataFrame(rows, "taken date, ticker string, day date, moment string")
+    got = lambda asof, **k: {r.ticker: (r.session.day, r.ahead) for r in events.upcoming(snaps, cal, asof, **k).collect()}
+    assert got("2024-03-04") == {"a": (6, 2), "b": (7, 3), "c": (11, 5)}
+    assert got("2024-03-04", within=2) == {"a": (6, 2)}
+    assert got("2024-03-04", oldest=0) == {} and got("2024-02-01") == {}
