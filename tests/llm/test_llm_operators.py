@@ -555,3 +555,24 @@ def test_pipeline(spark, data):
         else:
             assert set(got) == set(held) and all(v[0] + v[1] + v[2] == 0 for v in brute.secrets(list(got.items())).values())
         held, frame = got, spark.createDataFrame(out.collect(), frame.schema)
+
+
+def test_pipeline_long_texts_and_clashing_columns(spark, tmp_path):
+    """A text of a megabyte, nulls in every column, and further columns whose names the stages use themselves."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i * 7919 % 1_000_003}" for i in range(120_000))
+    rows = [(1, long, None, None, None), (2, "a short text with seven words here", "en", "s", 3), (None, "another text of some words without id", None, "t", None), (3, None, "en", "s", 1), (None, None, None, None, None), (4, "123 456", "en", "s", 2), (5, "", None, "s", 0)]
+    more = "row_key int, class string, `group` int, rest string, chunk int, spans int, kept boolean"
+    frame = spark.createDataFrame([(*r, 1, "x", 2, "y", 3, 4, False) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(((r[0], r[1]) for r in rows[:3]), key=str), name
+    pieces = docs.collect()
+    assert {r.doc_id for r in pieces} == {1, 2, None} and sum(r.length for r in pieces if r.doc_id == 1) > 120_000
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
