@@ -3,7 +3,7 @@
 1. Anchors. Every window of `window` bytes has a lightest k-byte gram (by hash). Equal windows have equal lightest grams,
    so windows whose gram stands nowhere else are settled at once. Runs of windows with one gram form a segment.
 2. Segments whose gram repeats are dealt by gram: equal windows meet in one bucket. Equal segments (by 128-bit digest) are
-   one string with a count, and one that is alone with its gram and stands twice is a repeat as it is.
+   one string with a count in the merge.
 3. A gram with over `group_limit` different segments (the edge of a very common passage) would outgrow a task. Its windows
    are dealt anew by what all windows at a like distance from the gram share: 64 distances together and, where that is
    still too much, 16, then one by one. Equal windows still meet.
@@ -309,7 +309,6 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
         cuts.append(pieces.select("segment", "owner", "at"))
         latest = kinds(pieces, "sum(n)")
         known = known.where(f"kinds <= {group_limit}").unionByName(latest)
-    alone = known.where("kinds = 1 and n > 1").select("segment", F.lit(0).alias("first"), F.col("size").alias("last"))
 
     def strings(wanted: DataFrame) -> DataFrame:
         """The bytes of segments, each from one document that holds it."""
@@ -337,11 +336,12 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, group_limit: int =
         out = [(ids[text[x]], first, last) for x, y in zip(*stretches(text), strict=True) for first, last in runs(offset[x:y], window)]
         return pa.table([list(c) for c in zip(*out, strict=True)] or [[], [], []], pa.schema([("segment", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
 
-    # A string that is alone with its gram and stands once can only repeat inside itself.
-    mixed = known.where("kinds > 1 or (n = 1 and several)")
+    # A string that is alone with its gram and stands once, without the gram again in itself, cannot repeat. All others go
+    # through the merge: of equal ones a single string, which carries their count.
+    mixed = known.where("kinds > 1 or n > 1 or several")
     held = mixed.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
     buckets = max(2 * partitions(spark), -(-held // BUCKET_BYTES))
-    ranges = strings(mixed).withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(merge, RUNS).unionByName(alone)
+    ranges = strings(mixed).withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(merge, RUNS)
     for cut_rows in reversed(cuts):  # a piece's ranges are its owner's too; the merge itself is read once
         own = F.struct("segment", "first", "last")
         owners = F.when(F.col("owner").isNotNull(), F.struct(F.col("owner").alias("segment"), (F.col("first") + F.col("at")).alias("first"), (F.col("last") + F.col("at")).alias("last")))
