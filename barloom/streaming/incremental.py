@@ -51,17 +51,34 @@ def sessions(stream: DataFrame, time: str, gap: str, by: list[str], late: str =
 
 @dataclass
 class Step:
-    """A step of the daily run: due when its watermark lies before the session, blocked while one that it needs failed."""
+    """A step of the daily run: due when its watermark lies before the session, blocked while one that it needs failed.
+
+    timeout is what the step should take at most, in seconds: a step that takes longer is told as late, not stopped.
+    when, if given, decides instead of the cadence: when(watermark, session)."""
 
     name: str
     run: Callable[[str], int]
     needs: list[str] = field(default_factory=list)
     weekly: bool = False
+    timeout: float | None = None
+    when: Callable[[str | None, str], bool] | None = None
+
+
+def declared(steps: list[Step]) -> list[Step]:
+    """The steps, if their names differ and each needs only steps before it: an order that can be run."""
+    seen: set[str] = set()
+    for s in steps:
+        if s.name in seen or not set(s.needs) <= seen or (s.timeout is not None and s.timeout <= 0):
+            raise ValueError(f"step {s.name!r} is named twice, needs what does not come before it, or has no time")
+        seen.add(s.name)
+    return steps
 
 
 def due(step: Step, watermark: str | None, session: str) -> bool:
     import datetime as dt
 
+    if step.when is not None:
+        return step.when(watermark, session)
     if watermark is None:
         return True
     if step.weekly:
@@ -70,11 +87,12 @@ def due(step: Step, watermark: str | None, session: str) -> bool:
     return watermark < session
 
 
-def run_steps(steps: list[Step], watermarks: dict[str, str], session: str) -> list[dict]:
+def run_steps(steps: list[Step], watermarks: dict[str, str], session: str, clock: Callable[[], float] = time.monotonic) -> list[dict]:
     """Runs what is due in the order given; returns a ledger row a step and moves the watermarks of those that ended well."""
     ledger, failed = [], set()
-    for s in steps:
-        row = {"step": s.name, "session": session, "status": "not due", "rows": None, "error": None}
+    for s in declared(steps):
+        row = {"step": s.name, "session": session, "status": "not due", "rows": None, "error": None, "seconds": None, "late": False}
+        began = clock()
         if failed & set(s.needs):
             row["status"] = "blocked"
             failed.add(s.name)
@@ -85,6 +103,8 @@ def run_steps(steps: list[Step], watermarks: dict[str, str], session: str) -> li
             except Exception as e:  # a failed step must not end the run
                 row |= {"status": "failed", "error": str(e)[:500]}
                 failed.add(s.name)
+            took = clock() - began
+            row |= {"seconds": took, "late": s.timeout is not None and took > s.timeout}
         ledger.append(row)
     return ledger
 

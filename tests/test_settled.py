@@ -98,3 +98,18 @@ def test_upcoming_reports(spark):
     assert got("2024-03-04") == {"a": (6, 2), "b": (7, 3), "c": (11, 5)}
     assert got("2024-03-04", within=2) == {"a": (6, 2)}
     assert got("2024-03-04", oldest=0) == {} and got("2024-02-01") == {}
+
+
+def test_step_declarations():
+    clock = [0.0]
+
+    def slow(_):
+        clock[0] += 9
+        return 3
+
+    steps = [incremental.Step("a", slow, timeout=5), incremental.Step("b", slow, ["a"], timeout=50), incremental.Step("c", slow, when=lambda mark, session: session.endswith("-08"))]
+    rows = incremental.run_steps(steps, {}, "2024-03-07", clock=lambda: clock[0])
+    assert [(r["step"], r["status"], r["seconds"], r["late"]) for r in rows] == [("a", "ok", 9, True), ("b", "ok", 9, False), ("c", "not due", None, False)]
+    for bad in ([steps[1]], [steps[0], steps[0]], [incremental.Step("x", slow, timeout=0)]):
+        with pytest.raises(ValueError):
+            incremental.declared(bad)
