@@ -274,7 +274,8 @@ def screen_against_seeds(spark, d):
     one = a.join(F.broadcast(b), how="cross").join(F.broadcast(s), how="cross")  # one row each
     good = F.size(F.filter("each", lambda m: m >= C("screen") - 1e-9)).cast("long")
     t = ratio(C("screen") - C("mb"), F.sqrt(ratio(C("va"), C("picks")) + ratio(C("vb"), C("nb"))))
-    return one.select("picks", *[r(c, c) for c in ("screen", "screen_win", "random", "random_low", "random_high", "random_win")], good.alias("seeds_as_good"), r(t, "t", 4))
+    one = one.withColumn("seeds_as_good", good)  # before the rounded column of that name can stand for it
+    return one.select("picks", *[r(c, c) for c in ("screen", "screen_win", "random", "random_low", "random_high", "random_win")], "seeds_as_good", r(t, "t", 4))
 
 
 @query("E19_replay_medians", f"WITH {LISTED} SELECT CAST(floor((place - 1) / 5) AS BIGINT) AS bucket, count(*) AS n, round(quantile_cont(fwd5, 0.5), 6) AS fwd5, round(quantile_cont(fwd20, 0.5), 6) AS fwd20, round(avg(CAST(fwd5 > 0 AS INT)), 6) AS win FROM q WHERE place <= 20 GROUP BY 1")
