@@ -94,14 +94,16 @@ def local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+#: The rendering's category of face statements, and the mark of one in a role's definition.
+FACE, FACE_MARK = "Statements", " - statement - "
+
+
 def face_roles(summary: bytes) -> list[str]:
     """Roles of a filing's face statements, by the rendering summary's category or the role's own definition."""
-    out = []
-    for report in (x for x in ET.fromstring(summary).iter() if local(x.tag) == "Report"):
-        told = {local(x.tag): (x.text or "").strip() for x in report}
-        if told.get("Role") and (told.get("MenuCategory") == "Statements" or " - statement - " in told.get("LongName", "").lower()):
-            out.append(told["Role"])
-    return list(dict.fromkeys(out))
+    text = lambda report, tag: (report.findtext(f"{{*}}{tag}") or "").strip()
+    reports = ET.fromstring(summary).iterfind(".//{*}Report")
+    told = ((text(x, "Role"), text(x, "MenuCategory") == FACE or FACE_MARK in text(x, "LongName").lower()) for x in reports)
+    return list(dict.fromkeys(role for role, face in told if role and face))
 
 
 def presented(linkbase: bytes) -> list[tuple[str, str, str | None, int]]:
