@@ -193,7 +193,7 @@ def store_diff(spark, d):
 
 #: Raw lines of a supplier's year, one for each key of its order lines; what no line has is not reported.
 RAW = ["revenue_ttm", "revenue", "nii_ttm", "nonint_income_ttm", "cogs_ttm", "cogs", "net_income_ttm", "net_income", "opinc_ttm", "opinc", "pretax_ttm", "pretax", "gross_profit_ttm", "cfo_ttm", "cfo", "capex_ttm", "capex", "dna_ttm", "dna", "deprec_ttm", "deprec", "amort_ttm", "amort", "tax_ttm", "tax", "interest_exp_ttm", "interest_exp", "assets", "assets_current", "liabilities", "liabilities_current", "equity", "cash", "sti", "inventory", "receivables", "payables", "retained", "ppe", "debt_lt", "debt_st", "shares_diluted", "shares_out", "shares_basic", "sbc_ttm", "sbc", "dividends_ttm", "dividends", "buybacks_ttm", "buybacks"]
-LINES = f"""wide AS (SELECT l_suppkey AS cik, year(l_shipdate) AS y, {", ".join(f"sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END) FILTER (l_orderkey % {len(RAW)} = {i}) AS {c}" for i, c in enumerate(RAW))} FROM lineitem GROUP BY 1, 2)"""
+LINES = f"""wide AS (SELECT l_suppkey AS cik, CAST(year(l_shipdate) AS INT) AS y, {", ".join(f"sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END) FILTER (l_orderkey % {len(RAW)} = {i}) AS {c}" for i, c in enumerate(RAW))} FROM lineitem GROUP BY 1, 2)"""
 
 
 def raw_lines(spark, d):
