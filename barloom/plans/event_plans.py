@@ -54,7 +54,7 @@ def public_session(spark, d):
 
 @query("D18_peer_price", f"""WITH {TRADES} SELECT a.accession, count(b.accession) AS n_peers, round(CASE WHEN count(b.accession) >= 2 THEN quantile_cont(b.value, 0.5) END, 4) AS peer_median FROM trades a LEFT JOIN trades b ON a.issuer = b.issuer AND b.owner <> a.owner AND b.filed BETWEEN a.filed - 15 AND a.filed + 15 GROUP BY 1""")
 def peer_price(spark, d):
-    return asof.neighbours_within(trades(spark, d), "issuer", "filed", 15, "value", "owner").select("accession", "n_peers", r("peer_median", "peer_median", 4))
+    return asof.neighbours_within(trades(spark, d).drop("role"), "issuer", "filed", 15, "value", "owner").select("accession", "n_peers", r("peer_median", "peer_median", 4))
 
 
 @query("D19_nearest_within_day", """WITH e AS (SELECT * FROM events WHERE event_type = 'error'), c AS (SELECT * FROM events WHERE event_type = 'click'), j AS (SELECT e.event_id, c.event_id AS click_id, abs(epoch(e.ts) - epoch(c.ts)) AS lag, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch(e.ts) - epoch(c.ts)), c.event_id) AS n FROM e JOIN c USING (user_id) WHERE abs(epoch(e.ts) - epoch(c.ts)) <= 86400)

@@ -32,7 +32,7 @@ def suffix_verdict(spark, d):
 
 @query("C11_price_plausible", f"""WITH {TRADES}, p AS (SELECT a.accession, any_value(a.value) AS value, count(b.accession) AS n, quantile_cont(b.value, 0.5) AS mid FROM trades a LEFT JOIN trades b ON a.issuer = b.issuer AND b.owner <> a.owner AND b.filed BETWEEN a.filed - 15 AND a.filed + 15 GROUP BY 1) SELECT accession, CASE WHEN n >= 2 THEN value / mid BETWEEN 0.5 AND 2 ELSE value <= 200000 END AS plausible FROM p""")
 def price_plausible(spark, d):
-    p = asof.neighbours_within(trades(spark, d), "issuer", "filed", 15, "value", "owner")
+    p = asof.neighbours_within(trades(spark, d).drop("role"), "issuer", "filed", 15, "value", "owner")
     near = (ratio(F.col("value"), F.col("peer_median"))).between(0.5, 2)
     return p.select("accession", F.when(F.col("n_peers") >= 2, near).otherwise(F.col("value") <= 200000).alias("plausible"))
 
