@@ -13,16 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of each supplier's parts: order-free aggregates, so that any task order gives one result.
+    """Daily bars of each supplier's parts. Sums of doubles depend on their order, so lines are added in that of their orders:
+    any task order gives one result, and names with the same lines have the same prices to the last bit.
 
     Lines are dealt by name once: the grouping and all windows by name that follow take no other exchange. A name and day
     has few lines, so that summing before the exchange would save little."""
     price = ratio(F.col("l_extendedprice"), F.col("l_quantity"))
     return (
         table(spark, sf_dir, "lineitem")
-        .select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-        .repartition("l_suppkey")
-        .groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("session"))
+        .select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("session"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+        .repartition("ticker")
+        .sortWithinPartitions("ticker", "session", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+        .groupBy("ticker", "session")
         .agg(F.avg(price).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), ratio(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"), F.count("*").alias("trades"))
     )
 
