@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.functions.ranks import clip, ratio
 
@@ -76,8 +77,6 @@ def with_atr(df: DataFrame, n: int = 14, least: int = 7, lag: int = 0, name: str
 def with_recursive(df: DataFrame, spans: dict[str, tuple[str, float]]) -> DataFrame:
     """Exponential averages y = y + alpha (x - y), started at the first value; spans names each one's column and alpha.
     Recursive, so one grouped map a ticker for all of them. A ticker's history is bounded by its sessions."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     schema = StructType([*df.schema.fields, *[StructField(k, DoubleType()) for k in spans]])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -164,6 +163,19 @@ def with_self_percentile(df: DataFrame, value: str, n: int = 252, least: int = 6
     return out.withColumn(name, F.when(held >= least, F.size(F.filter("__earlier", lambda x: x < F.col(value))) / held * 100)).drop("__earlier")
 
 
+def with_rolling_quantile(df: DataFrame, value: str, n: int, q: float, name: str) -> DataFrame:
+    """Linear-interpolated quantile of the n values up to each row, nulls passed over. A window would count all n values
+    anew for each row; one grouped map a ticker keeps them ordered and puts one in and takes one out."""
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("session")
+        found = g[value].astype(float).rolling(n, min_periods=1).quantile(q)
+        return g.assign(**{name: found.astype("Float64")})
+
+    return df.groupBy("ticker").applyInPandas(run, schema)
+
+
 def with_market_beta(df: DataFrame, n: int = 120, least: int = 40, cap: float = 5.0) -> DataFrame:
     """Slope of a ticker's returns on the mean return of all, over n bars."""
     ret = ratio(F.col("close"), F.lag("close").over(order())) - 1

@@ -265,7 +265,8 @@ def colored_average(spark, d):
 @query("F13_median_range", f"WITH {BARS}, tr AS (SELECT ticker, session, greatest(high - low, coalesce(abs(high - lag(close) OVER ({T})), 0), coalesce(abs(low - lag(close) OVER ({T})), 0)) / close AS v FROM bars) SELECT ticker, session, round(greatest(0.015, least(0.09, quantile_cont(v, 0.5) OVER ({T} ROWS 249 PRECEDING))), 6) AS scale FROM tr")
 def median_range(spark, d):
     b = bars(spark, d).withColumn("v", ratio(w.true_range(), F.col("close")))
-    return b.select("ticker", "session", r(clip(F.percentile("v", F.lit(0.5)).over(w.rows(-249)), 0.015, 0.09), "scale"))
+    m = w.with_rolling_quantile(b.select("ticker", "session", "v"), "v", 250, 0.5, "middle")
+    return m.select("ticker", "session", r(clip(F.col("middle"), 0.015, 0.09), "scale"))
 
 
 @query("F43_pattern_flags", f"WITH {BARS} SELECT ticker, session, min(low) OVER ({T} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > min(low) OVER ({T} ROWS BETWEEN 79 PRECEDING AND 20 PRECEDING) AS higher_floor FROM bars")
