@@ -154,7 +154,8 @@ def ma_shift(spark, d):
     src = (C("high") + C("low")) / 2
     a = bars(spark, d).select(*KEY, src.alias("src")).withColumn("diff", C("src") - w.sma("src", 40))
     frame = w.rows(-999)
-    p = F.when(F.count("diff").over(frame) >= 250, F.percentile("diff", F.lit(0.99)).over(frame))
+    a = w.with_rolling_quantile(a, "diff", 1000, 0.99, "top")
+    p = F.when(F.count("diff").over(frame) >= 250, C("top"))
     a = a.withColumn("norm", ratio(C("diff"), p)).withColumn("v", C("norm") - F.lag("norm", 15).over(w.order()))
     return w.with_hma(a, "v", 10, "osc").select(*KEY, (C("src") >= C("src") - C("diff")).alias("regime_up"), r("osc", "osc", 4))
 
