@@ -25,21 +25,27 @@ def peaks(x: np.ndarray, prominence: float, distance: int, wlen: int = 252) -> n
     inner = np.arange(1, len(first) - 1)
     top = inner[(level[inner] > level[inner - 1]) & (level[inner] > level[inner + 1])]
     found = (first[top] + last[top]) // 2
-    alive = np.ones(len(found), bool)
-    for i in np.argsort(v[found], kind="stable")[::-1]:
-        if alive[i]:
-            near = np.abs(found - found[i]) < distance
-            near[i] = False
-            alive &= ~near
-    found = found[alive]
-    half, out = wlen // 2, []
-    for p in found:
-        lo, hi = max(0, p - half), min(len(v) - 1, p + half)
-        higher = np.flatnonzero(v[lo:p] > v[p])
-        left = v[lo + (higher[-1] + 1 if len(higher) else 0) : p + 1].min()
-        higher = np.flatnonzero(v[p + 1 : hi + 1] > v[p])
-        right = v[p : p + 1 + (higher[0] if len(higher) else hi - p)].min()
-        if v[p] - max(left, right) >= prominence:
+    rank, place = np.argsort(v[found], kind="stable")[::-1].tolist(), found.tolist()
+    alive = [True] * len(place)
+    for i in rank:
+        if alive[i]:  # only neighbours can be near
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(place) and abs(place[j] - place[i]) < distance:
+                    alive[j] = False
+                    j += step
+    half, out, x = wlen // 2, [], v.tolist()
+    for p in (p for p, on in zip(place, alive, strict=True) if on):
+        top, deep = x[p], True
+        for way, end in ((-1, max(0, p - half)), (1, min(len(x) - 1, p + half))):
+            j, floor = p, top  # the walk ends where the drop is deep enough, a bar is higher or the reach is over
+            while deep and top - floor < prominence:
+                j += way
+                if (j - end) * way > 0 or x[j] > top:
+                    deep = False
+                elif x[j] < floor:
+                    floor = x[j]
+        if deep:
             out.append(p)
     return keep[np.array(out, np.int64)]
 
@@ -62,16 +68,20 @@ def pivot_places(high: np.ndarray, low: np.ndarray, close: np.ndarray, k: float
 
 def clusters(prices: np.ndarray, weights: np.ndarray, tolerance: float = 0.025) -> list[tuple[float, int]]:
     """(level, members): the price with the most weight within tolerance takes its neighbours; then again without them."""
-    at, w, out = np.log(prices), weights.copy(), []
+    at, w, out = np.log(prices), weights, []
+    near = np.abs(at[:, None] - at[None, :]) <= tolerance
     free = np.ones(len(at), bool)
+    held = near * w[None, :]
+    mass = held.sum(axis=1)
     while free.any():
-        near = (np.abs(at[:, None] - at[None, :]) <= tolerance) & free[None, :] & free[:, None]
-        mass = (near * w[None, :]).sum(axis=1)
-        mass[~free] = -1
-        seed = int(np.flatnonzero(mass == mass.max())[0])
-        mine = near[seed]
-        out.append((float(np.exp(np.average(at[mine], weights=w[mine]))), int(mine.sum())))
+        mine = near[int(np.argmax(mass))] & free
+        share = w[mine]
+        out.append((float(np.exp((at[mine] * share).sum() / share.sum())), len(share)))
         free &= ~mine
+        held[:, mine] = 0
+        mass[mine] = -1
+        lost = near[mine].any(axis=0) & free  # only these have lost a neighbour
+        mass[lost] = held[lost].sum(axis=1)
     return out
 
 
