@@ -1,9 +1,14 @@
-"""Exits along price paths: arrays in rows, folded by higher-order functions, no Python."""
+"""Exits along price paths: arrays in rows, folded by higher-order functions, or read as matrices, a batch of rows each."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from barloom.operators.staged import stored
 from barloom.operators.windows import order, with_atr
@@ -66,60 +71,71 @@ RULES = {
 }
 
 
-def exits(paths: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One row a path and rule: return on the entry and bars held.
+def first(hit: np.ndarray) -> np.ndarray:
+    """The first bar of each row that hits, from 1; 0 where none does."""
+    return np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 0)
+
+
+def exits(paths: DataFrame, names: list[str] | None = None, keep: tuple[str, ...] = ("ticker", "session")) -> DataFrame:
+    """One row a path and rule: the kept columns, return on the entry and bars held.
 
-    All rules are first-hit minima of one pass over the paths' bars: paths are already dealt by ticker, so the grouping
-    takes no shuffle, and it runs as generated code, where folds and tests by higher-order functions are interpreted. A
-    bar's highest close so far comes from the path's own closes, which saves a window over all bars of all paths."""
+    A batch of paths is one matrix of bars, on which every rule is a first hit by row: paths do not become rows, nothing is
+    grouped, and a task holds one batch, however many paths there are."""
     rules = {k: RULES[k] for k in names or RULES}
-    trails = any(kind == "trail" for kind, _, _ in rules.values())
-    closes = [F.col("path.c").alias("closes")] if trails else []
-    bars = paths.where(F.size("path") > 0).select("ticker", "session", "entry", "atr", F.size("path").alias("size"), F.element_at("path", -1)["c"].alias("last"), *closes, F.posexplode("path").alias("i", "b"))
-    if trails:
-        bars = bars.withColumn("peak", F.greatest("entry", F.array_max(F.slice("closes", F.lit(1), F.col("i"))))).drop("closes")
-    bars = bars.withColumn("i", F.col("i") + 1)
-    entry, atr, low, high = F.col("entry"), F.col("atr"), F.col("b.l"), F.col("b.h")
-    found, ends = [], []
-    for j, (kind, k, n) in enumerate(rules.values()):
-        inside = F.col("i") <= n
-        at = lambda test: F.min(F.when(test & inside, F.col("i")))  # noqa: B023, E731
-        found.append(F.max(F.when(F.col("i") == n, F.col("b.c"))).alias(f"c{j}"))
-        if kind in ("stop", "bracket"):
-            found.append(at(low <= entry - k[0] * atr).alias(f"s{j}"))
-        if kind == "bracket":
-            found.append(at(high >= entry + k[1] * atr).alias(f"t{j}"))
-        if kind == "trail":
-            hit = low <= F.col("peak") - k[0] * atr
-            found += [at(hit).alias(f"s{j}"), F.min(F.when(hit & inside, F.col("peak"))).alias(f"p{j}")]  # peaks only rise, so the least is the first hit's
-    each = bars.groupBy("ticker", "session", "entry", "atr", "size", "last").agg(*found)
-    for j, (name, (kind, k, n)) in enumerate(rules.items()):
-        s, t = F.col(f"s{j}"), F.col(f"t{j}")
-        price, held = F.coalesce(f"c{j}", "last"), F.least(F.lit(n), F.col("size"))
-        if kind == "bracket":
-            stopped, reached = s.isNotNull() & (t.isNull() | (s <= t)), t.isNotNull()
-            price = F.when(stopped, entry - k[0] * atr).when(reached, entry + k[1] * atr).otherwise(price)
-            held = F.coalesce(F.least(s, t), held)
-        elif kind in ("stop", "trail"):
-            base = F.col(f"p{j}") if kind == "trail" else entry
-            price, held = F.when(s.isNotNull(), base - k[0] * atr).otherwise(price), F.coalesce(s, held)
-        ends.append(F.struct(F.lit(name).alias("rule"), (F.try_divide(price, entry) - 1).alias("ret"), held.cast("long").alias("held")))
-    return each.select("ticker", "session", F.explode(F.array(*ends)).alias("r")).select("ticker", "session", "r.*").where("ret is not null")
+    found = paths.where(F.size("path") > 0).select(*keep, F.col("entry").cast("double"), F.col("atr").cast("double"), "path")
+    schema = StructType([*[found.schema[k] for k in keep], StructField("code", IntegerType()), StructField("ret", DoubleType()), StructField("held", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda x: np.asarray(x.to_numpy(zero_copy_only=False), float)
+        for batch in (b for b in batches if b.num_rows):
+            entry, atr, bars = numbers(batch["entry"]), numbers(batch["atr"]), batch["path"].flatten()
+            size = batch["path"].value_lengths().to_numpy()
+            there = np.arange(size.max()) < size[:, None]
+            high, low, close = (np.full(there.shape, np.nan) for _ in range(3))
+            for x, k in ((high, "h"), (low, "l"), (close, "c")):
+                x[there] = numbers(bars.field(k))  # a missing price passes no test
+            rows, last = np.arange(len(size)), close[np.arange(len(size)), size - 1]
+            peak = np.fmax.accumulate(np.c_[entry, close[:, :-1]], axis=1) if any(kind == "trail" for kind, _, _ in rules.values()) else None
+            rets, helds = [], []
+            for kind, k, n in rules.values():
+                at_end = close[:, n - 1] if close.shape[1] >= n else np.nan
+                price, held = np.where(np.isnan(at_end), last, at_end), np.minimum(n, size)
+                if kind != "hold":
+                    base = peak[:, :n] if kind == "trail" else entry[:, None]
+                    s = first(low[:, :n] <= base - (k[0] * atr)[:, None])
+                    t = first(high[:, :n] >= (entry + k[1] * atr)[:, None]) if kind == "bracket" else np.zeros_like(s)
+                    stopped = (s > 0) & ((t == 0) | (s <= t))  # the stop comes first on a bar that touches both
+                    level = (peak[rows, np.maximum(s, 1) - 1] if kind == "trail" else entry) - k[0] * atr
+                    price = np.where(stopped, level, np.where(t > 0, entry + k[1] * atr, price) if kind == "bracket" else price)
+                    held = np.where(stopped, s, np.where(t > 0, t, held))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    rets.append(np.where(entry != 0, price / entry - 1, np.nan))
+                helds.append(held)
+            ret, code = np.concatenate(rets), np.repeat(np.arange(len(rules)), len(size))
+            good = np.flatnonzero(~np.isnan(ret))
+            of = pa.array(np.tile(rows, len(rules))[good])
+            columns = [*[batch[c].take(of) for c in keep], pa.array(code[good], pa.int32()), pa.array(ret[good]), pa.array(np.concatenate(helds)[good], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    rule = F.get(F.array(*[F.lit(k) for k in rules]), F.col("code"))
+    return found.mapInArrow(run, schema).select(*keep, rule.alias("rule"), "ret", "held")
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], step: float = 1e-3, times: Column | None = None) -> DataFrame:
-    """Exact quantiles, linear between neighbours, a row a group, in tables that split: values are counted, the counts
-    summed by ranges of step, and only the ranges that hold a wanted rank are ordered. No task holds a group's values.
-    times: how often a row counts (once)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.sum(times if times is not None else F.lit(1)).alias("__n")).withColumn("__range", F.floor(F.col("__v") / step))
-    ranges = counts.groupBy(*by, "__range").agg(F.sum("__n").alias("__n"))
+    """Exact quantiles, linear between neighbours, a row a group, in tables that split: rows are counted by ranges of step,
+    which tasks sum before they send, and only the values of ranges that hold a wanted rank are dealt and ordered. No task
+    holds a group's values. df is read twice. times: how often a row counts (once)."""
+    count = F.sum(times if times is not None else F.lit(1)).alias("__n")
+    rows = df.where(F.col(value).isNotNull()).withColumn("__v", F.col(value).cast("double")).withColumn("__range", F.floor(F.col("__v") / step))
+    ranges = rows.groupBy(*by, "__range").agg(count)
     up_to = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
     ranges = ranges.withColumn("__to", up_to).withColumn("__from", F.col("__to") - F.col("__n")).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
     places = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), ((F.col("__all") - 1) * q).alias("at")) for k, q in shares.items()]))
     asked = ranges.select(*by, "__range", "__from", "__to", places.alias("__q")).where((F.ceil("__q.at") >= F.col("__from")) & (F.floor("__q.at") < F.col("__to")))
+    asked = stored(asked)  # two ranges a group and share at most
     inside = Window.partitionBy(*by, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    held = counts.join(asked.select(*by, "__range").distinct(), [*by, "__range"], "left_semi").withColumn("__sum", F.sum("__n").over(inside))
-    near = held.join(asked, [*by, "__range"]).withColumn("__end", F.col("__from") + F.col("__sum")).withColumn("__begin", F.col("__end") - F.col("__n"))
+    held = rows.join(F.broadcast(asked.select(*by, "__range").distinct()), [*by, "__range"], "left_semi").groupBy(*by, "__range", "__v").agg(count).withColumn("__sum", F.sum("__n").over(inside))
+    near = held.join(F.broadcast(asked), [*by, "__range"]).withColumn("__end", F.col("__from") + F.col("__sum")).withColumn("__begin", F.col("__end") - F.col("__n"))
     low, high = F.floor("__q.at"), F.ceil("__q.at")
     value_at = lambda place: F.max(F.when((place >= F.col("__begin")) & (place < F.col("__end")), F.col("__v")))
     each = near.groupBy(*by, F.col("__q.name").alias("__name"), F.col("__q.at").alias("__at")).agg(value_at(low).alias("__low"), value_at(high).alias("__high"))
@@ -128,12 +144,13 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
 
 
 def summary(done: DataFrame) -> DataFrame:
-    """Counts, mean, share of gains and quantiles of each rule's trades, all from one table of how often a result came."""
-    each = stored(done.groupBy("rule", "ret", "held").agg(F.count("*").alias("k")))
+    """Counts, mean, share of gains and quantiles of each rule's trades. Trades are written once; what is dealt is counts by
+    rule and bars held, and the values near a quantile."""
+    each = stored(done.select("rule", "ret", "held"))
+    held = stored(each.groupBy("rule", "held").agg(F.count("*").alias("k"), F.sum("ret").alias("total"), F.count_if(F.col("ret") > 0).alias("gains")))  # some bars a rule
     n = F.sum("k")
-    plain = each.groupBy("rule").agg(n.alias("n"), F.try_divide(F.sum(F.col("ret") * F.col("k")), n).alias("mean"), F.try_divide(F.sum(F.when(F.col("ret") > 0, F.col("k")).otherwise(0)), n).alias("win"))
-    held = each.groupBy("rule", "held").agg(n.alias("k"))  # some bars a rule
-    returns = quantiles(each, ["rule"], "ret", {"median": 0.5, "p25": 0.25, "p75": 0.75}, times=F.col("k"))
+    plain = held.groupBy("rule").agg(n.alias("n"), F.try_divide(F.sum("total"), n).alias("mean"), F.try_divide(F.sum("gains"), n).alias("win"))
+    returns = quantiles(each, ["rule"], "ret", {"median": 0.5, "p25": 0.25, "p75": 0.75})
     return plain.join(quantiles(held, ["rule"], "held", {"med_held": 0.5}, 1.0, F.col("k")), "rule").join(returns, "rule")
 
 

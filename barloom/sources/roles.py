@@ -12,6 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a partition at most, so that what a task holds does not grow with the tables.
+ROWS_A_PART = 500_000
+
+
+def parts(spark: SparkSession, sf_dir: str, name: str = "lineitem") -> int:
+    """How many partitions hold a table's rows; the count is read from the files' footers."""
+    return -(-table(spark, sf_dir, name).count() // ROWS_A_PART)
+
+
+def dealt(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """df dealt by columns: as Spark would where that is enough, in n partitions where it would make fewer, larger ones."""
+    return df.repartition(n, *by) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*by)
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of each supplier's parts. Sums of doubles depend on their order, so lines are added in that of their orders:
     any task order gives one result, and names with the same lines have the same prices to the last bit.
@@ -19,10 +33,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines are dealt by name once: the grouping and all windows by name that follow take no other exchange. A name and day
     has few lines, so that summing before the exchange would save little."""
     price = ratio(F.col("l_extendedprice"), F.col("l_quantity"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("session"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     return (
-        table(spark, sf_dir, "lineitem")
-        .select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("session"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-        .repartition("ticker")
+        dealt(lines, parts(spark, sf_dir), "ticker")
         .sortWithinPartitions("ticker", "session", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
         .groupBy("ticker", "session")
         .agg(F.avg(price).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), ratio(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"), F.count("*").alias("trades"))
