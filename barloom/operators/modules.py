@@ -10,11 +10,16 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from barloom.functions.ranks import rank_pct, ratio, tier
 from barloom.operators import crosssection as cs
+from barloom.operators.staged import stored
+from barloom.sources.roles import ROWS_A_PART, dealt
 
 
 @dataclass(frozen=True)
@@ -114,17 +119,31 @@ def drawn(seed: int, *keys: str) -> Column:
 def evidence(long: DataFrame, outcomes: dict[str, int], spacing: int, least_dates: int = 10) -> DataFrame:
     """Every metric at every horizon: IC, t, hit rate, IC of a random order, spread of the outer fifths, dates, names a date.
 
-    long: (ticker, session, metric, value, one column an outcome); outcomes: column to its horizon in sessions. Dates are
-    spacing sessions apart. One frame holds all metrics and horizons; nothing is read or grouped once a metric."""
-    keys = ["metric", "horizon", "session"]
-    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("fwd")) for c, h in outcomes.items()]))
-    rows = long.select("ticker", "session", "metric", "value", each.alias("x")).select("ticker", "session", "metric", "value", "x.*").where("fwd is not null and value is not null")
+    long: (ticker, session, metric, value, one column an outcome), a table that is cheap to read again; outcomes: column to
+    its horizon in sessions. Dates are spacing sessions apart. A metric's names on one date are a group, which is ranked once
+    for all horizons: rows are dealt once, and nothing is read or grouped once a metric."""
+    keys = ["metric", "session"]
+    rows = long.where("value is not null").select("ticker", *keys, F.col("value").cast("double"), *[F.col(c).cast("double") for c in outcomes])
     rows = rows.withColumn("random", F.conv(F.substring(drawn(1, "ticker", "session", "metric"), 1, 8), 16, 10).cast("double"))
-    ic = cs.spearman_by(rows, keys, "value", "fwd")
-    noise = cs.spearman_by(rows, keys, "random", "fwd").select(*keys, F.col("ic").alias("noise"))
-    spread = cs.quantile_spread(rows, keys, "value", "fwd").select(*keys, "spread")
-    dates = ic.join(noise, keys).join(spread, keys, "left")
-    found = cs.ic_summary(ic, F.col("horizon"), spacing, ["metric", "horizon"])
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("horizon", IntegerType()), StructField("n", LongType()), *[StructField(k, DoubleType()) for k in ("ic", "noise", "spread")]])
+
+    def agreement(a: pd.Series, b: pd.Series) -> float | None:
+        x, y = (v.to_numpy() - v.mean() for v in (a.rank(), b.rank()))
+        spread = np.sqrt((x @ x) * (y @ y))
+        return x @ y / spread if len(x) >= 5 and spread > 0 else None
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g, out = g.sort_values(["value", "ticker"]), []
+        for c, h in outcomes.items():
+            both = g[g[c].notna()]
+            if n := len(both):
+                fwd, bins = both[c].to_numpy(), np.arange(n) * 5 // n
+                out.append((*key, h, n, agreement(both["value"], both[c]), agreement(both["random"], both[c]), fwd[bins == 4].mean() - fwd[bins == 0].mean() if n >= 15 else None))
+        found = pd.DataFrame(out, columns=schema.names)
+        return found.astype({k: "Float64" for k in ("ic", "noise", "spread")})
+
+    dates = stored(dealt(rows, -(-long.count() // ROWS_A_PART), *keys).groupBy(*keys).applyInPandas(run, schema))
+    found = cs.ic_summary(dates, F.col("horizon"), spacing, ["metric", "horizon"])
     means = dates.where("ic is not null").groupBy("metric", "horizon").agg(F.avg("noise").alias("ic_random"), F.avg("spread").alias("spread"), F.avg("n").alias("names"))
     return found.join(means, ["metric", "horizon"]).where(F.col("n_dates") >= least_dates)
 
@@ -134,6 +153,7 @@ def top_turnover(long: DataFrame, top: int = 10) -> DataFrame:
     dates = long.select("session").distinct().withColumn("__i", F.row_number().over(Window.orderBy("session")))  # dates grow with time alone
     w = Window.partitionBy("metric", "session").orderBy(F.desc("value"), "ticker")
     best = long.select("ticker", "session", "metric", "value").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= top).join(F.broadcast(dates), "session").select("ticker", "metric", "__i")
+    best = stored(best)  # some names a metric and date
     before = best.select("ticker", "metric", (F.col("__i") + 1).alias("__i"), F.lit(1).alias("__was"))
     share = best.join(before, ["ticker", "metric", "__i"], "left").groupBy("metric", "__i").agg(F.avg(F.coalesce("__was", F.lit(0))).alias("__kept"))
     return share.where("__i > 1").groupBy("metric").agg((1 - F.avg("__kept")).alias("turnover"))
@@ -141,6 +161,7 @@ def top_turnover(long: DataFrame, top: int = 10) -> DataFrame:
 
 def leaderboard(long: DataFrame, outcomes: dict[str, int], spacing: int, least_dates: int = 10) -> DataFrame:
     """evidence and turnover, with each metric's place by the size of its IC at its horizon."""
+    long = stored(long)
     board = evidence(long, outcomes, spacing, least_dates).join(top_turnover(long), "metric", "left")
     # Metrics and horizons are some tens of rows.
     return board.withColumn("place", F.row_number().over(Window.partitionBy("horizon").orderBy(F.desc(F.abs("ic")), "metric")).cast("long"))
@@ -171,14 +192,14 @@ def combo(long: DataFrame, proof: DataFrame, by: str = "session", least_coverage
 
     proof: (metric, theme, t) of the admitted metrics, some tens of rows. Ranks are turned by the sign of t and averaged by
     theme; themes count by the mean size of their t, and a theme that a name lacks does not vote."""
-    used = proof.select("metric", "theme", F.signum("t").alias("sign"), F.abs("t").alias("size"))
+    used = stored(proof.select("metric", "theme", F.signum("t").alias("sign"), F.abs("t").alias("size")))
     weights = used.groupBy("theme").agg(F.avg("size").alias("weight"))
     total = used.agg(F.count("*").alias("used"), F.array_join(F.sort_array(F.collect_list("metric")), ",").alias("names"))
     ranked = long.select("ticker", by, "metric", "value").join(F.broadcast(used), "metric").withColumn("rank", 100 * rank_pct("value", by, "metric"))
     ranked = ranked.withColumn("rank", F.when(F.col("sign") >= 0, F.col("rank")).otherwise(100 - F.col("rank")))
     themes = ranked.groupBy("ticker", by, "theme").agg(F.avg("rank").alias("mean"), F.count("*").alias("k")).join(F.broadcast(weights), "theme")
     names = themes.groupBy("ticker", by).agg(ratio(F.sum(F.col("mean") * F.col("weight")), F.sum("weight")).alias("score"), F.sum("k").alias("k")).join(F.broadcast(total), how="cross")  # one row
-    names = names.withColumn("coverage", F.col("k") / F.col("used"))
+    names = stored(names.withColumn("coverage", F.col("k") / F.col("used")))
     label = tier(F.col("score"), BANDS, "STRONG")
     key = F.col("ticker").cast("string").alias("ticker")
     score = names.where(F.col("coverage") >= least_coverage).select(key, by, F.lit("combo").alias("metric"), F.col("score").alias("value"), label.alias("label"))

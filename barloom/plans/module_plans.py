@@ -8,6 +8,7 @@ from barloom.functions.ranks import ratio
 from barloom.operators import modules as mo
 from barloom.operators import windows as w
 from barloom.operators.modules import Metric, Module, Strategy
+from barloom.operators.staged import stored
 from barloom.plans.catalog import query, r
 from barloom.plans.cross_plans import avg_rank
 from barloom.sources.roles import BARS, CALENDAR, bars, calendar
@@ -20,10 +21,25 @@ def back(n: int, value: str = "close"):
     return F.lag(value, n).over(w.order())
 
 
+BLOCK = 10
+
+
+def blocks(b, sums=(), most=(), least=()):
+    """b with sums, maxima and minima of the last BLOCK bars: long frames are made of them, as a frame of n bars takes n steps a row."""
+    f = w.rows(-(BLOCK - 1))
+    each = {f"sum_{c}": F.when(F.count(c).over(f) == BLOCK, F.sum(c).over(f)) for c in sums} | {f"most_{c}": F.max(c).over(f) for c in most} | {f"least_{c}": F.min(c).over(f) for c in least}
+    return b.select("*", *[v.alias(k) for k, v in each.items()])
+
+
+def of_blocks(name: str, n: int):
+    """The blocks that make up the last n bars; null before a name's first bar."""
+    return [C(name), *[back(k, name) for k in range(BLOCK, n, BLOCK)]]
+
+
 def mean(value: str, n: int):
     """Mean of the last n bars, once there are n."""
-    frame = w.rows(-(n - 1))
-    return F.when(F.count(value).over(frame) == n, F.avg(value).over(frame))
+    first, *rest = of_blocks(f"sum_{value}", n)
+    return sum(rest, first) / n
 
 
 def step(a, b):
@@ -32,19 +48,19 @@ def step(a, b):
 
 PACE = mo.register(Module("pace", (
     Metric("ret5", lambda: step(C("close"), back(5))), Metric("ret20", lambda: step(C("close"), back(20))), Metric("ret60", lambda: step(C("close"), back(60))), Metric("ret120", lambda: step(C("close"), back(120))),
-    Metric("ret_skip", lambda: step(back(20), back(120))), Metric("from_high", lambda: step(C("close"), F.max("high").over(w.rows(-249)))), Metric("from_low", lambda: step(C("close"), F.min("low").over(w.rows(-249)))),
-)))
+    Metric("ret_skip", lambda: step(back(20), back(120))), Metric("from_high", lambda: step(C("close"), F.greatest(*of_blocks("most_high", 250)))), Metric("from_low", lambda: step(C("close"), F.least(*of_blocks("least_low", 250)))),
+), lambda b: blocks(b, most=["high"], least=["low"])))
 CALM = mo.register(Module("calm", (
     Metric("range1", lambda: C("range"), -1), Metric("range20", lambda: mean("range", 20), -1), Metric("move20", lambda: F.when(F.count("day").over(w.rows(-19)) == 20, F.stddev_samp("day").over(w.rows(-19))), -1),
     Metric("worst20", lambda: F.min("day").over(w.rows(-19))), Metric("bars_used", lambda: F.count("*").over(w.rows(-249)).cast("double"), signal=False),
-), lambda b: b.withColumn("range", ratio(C("high") - C("low"), C("close"))).withColumn("day", step(C("close"), back(1)))))
+), lambda b: blocks(b.withColumn("range", ratio(C("high") - C("low"), C("close"))).withColumn("day", step(C("close"), back(1))), ["range"])))
 FLOW = mo.register(Module("flow", (
     Metric("traded", lambda: C("worth")), Metric("traded20", lambda: mean("worth", 20)), Metric("surge", lambda: ratio(C("volume"), mean("volume", 60))), Metric("trades20", lambda: mean("trades", 20)), Metric("lot", lambda: ratio(C("volume"), C("trades")), -1),
-), lambda b: b.withColumn("worth", C("close") * C("volume"))))
+), lambda b: blocks(b.withColumn("worth", C("close") * C("volume")), ["worth", "volume", "trades"])))
 TREND = mo.register(Module("trend", (
     Metric("over20", lambda: step(C("close"), mean("close", 20))), Metric("over50", lambda: step(C("close"), mean("close", 50))), Metric("over200", lambda: step(C("close"), mean("close", 200))), Metric("crossing", lambda: step(mean("close", 20), mean("close", 100))),
     Metric("gap", lambda: step(C("open"), back(1))), Metric("body", lambda: step(C("close"), C("open"))), Metric("in_range", lambda: ratio(C("close") - C("low"), C("high") - C("low"))),
-)))
+), lambda b: blocks(b, ["close"])))
 MODULES = [PACE, CALM, FLOW, TREND]
 OUTCOMES = {"fwd5": 5, "fwd20": 20}
 SPACING = 20
@@ -123,7 +139,7 @@ SELECT CAST(ticker AS VARCHAR) AS ticker, session, 'combo' AS metric, round(scor
 UNION ALL SELECT CAST(ticker AS VARCHAR), session, 'combo_cov', round(coverage, 5), NULL FROM c UNION ALL SELECT '_ALL', session, 'combo_n', round(any_value(used) * 1.0, 5), any_value(names) FROM c GROUP BY session""")
 def combo_by_evidence(spark, d):
     """Weights from the dates before the split score the dates after it: what is graded has not been fitted on."""
-    long = mo.tidy(scores(spark, d), MODULES, list(OUTCOMES))
+    long = stored(mo.tidy(scores(spark, d), MODULES, list(OUTCOMES)))
     proof = mo.evidence(long.where(C("session") < F.lit(COMBO_SPLIT)), OUTCOMES, SPACING).where((C("horizon") == 20) & (F.abs("t") >= COMBO_T))
     of = F.create_map(*[F.lit(x) for m in MODULES for y in m.metrics for x in (y.name, m.name)])
     out = mo.combo(long.where(C("session") >= F.lit(COMBO_SPLIT)), proof.withColumn("theme", F.element_at(of, C("metric"))))

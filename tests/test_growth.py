@@ -66,3 +66,23 @@ def test_values_are_dealt_near_quantiles_only(spark):
     assert counted < next(i for i, x in enumerate(text) if "LeftSemi" in x)
     want = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.25)).alias("a"), F.percentile("v", F.lit(0.5)).alias("b")).collect()}
     assert {r.g: (pytest.approx(r.a), pytest.approx(r.b)) for r in q.collect()} == want
+
+
+def test_evidence_ranks_a_date_once(spark):
+    """Before, each reading of the result ran the scores' windows and three exchanges of all rows and horizons anew."""
+    from barloom.operators import modules as mo
+
+    rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(day), m, float((t * 7 + day) % 9), float(t % 5), None if t < 20 else float(-t)) for day in range(11) for t in range(30) for m in ("a", "b")]
+    long = spark.createDataFrame(rows, "ticker int, session date, metric string, value double, x double, y double")
+    found = mo.evidence(long, {"x": 5, "y": 20}, 20)
+    assert "Window" not in plan(found) and "LocalRelation" not in plan(found)
+    assert {(r.metric, r.horizon): (r.n_dates, r.names, r.spread is None) for r in found.collect()} == {(m, h): (11, n, n < 15) for m in "ab" for h, n in ((5, 30), (20, 10))}
+
+
+def test_long_frames_are_blocks(spark):
+    """Before, frames of up to 250 bars took as many steps a row."""
+    from barloom.plans import catalog  # noqa: F401, I001
+    from barloom.plans import module_plans as mp
+
+    text = plan(mp.scores(spark, SF))
+    assert "-249" not in text and "-199" not in text and "-9" in text
