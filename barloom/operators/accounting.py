@@ -184,16 +184,21 @@ def derived(lines: list[str]) -> dict[str, Column]:
 
 
 def anchored(df: DataFrame, by: str, day: str, reach: int) -> DataFrame:
-    """(by, day, anchor): the first day of a group takes all within reach of it, then the next one begins. Sequential, so a
-    grouped map; a group is one company's periods."""
-    import pandas as pd
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(day)
-        anchors, at = [], None
-        for x in g[day]:
-            at = x if at is None or (x - at).days > reach else at
-            anchors.append(at)
-        return pd.DataFrame({by: g[by], day: g[day], "anchor": anchors})
-
-    return df.select(by, day).groupBy(by).applyInPandas(run, f"{by} long, {day} date, anchor date")
+    """(by, day, anchor): the first day of a group takes all within reach of it, then the next one begins. Sequential, so one
+    pass over rows in order; companies are many and have few periods, so that a call for each would take longer than the rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        key, at = None, None
+        for batch in batches:
+            anchors = []
+            for k, x in zip(batch[0].to_pylist(), batch[1].cast(pa.int32()).to_pylist(), strict=True):
+                if k != key:
+                    key, at = k, None
+                if x is not None and (at is None or x - at > reach):
+                    at = x
+                anchors.append(at)
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(anchors, pa.int32()).cast(pa.date32())], names=[by, day, "anchor"])
+
+    rows = df.select(F.col(by).cast("long"), day).repartition(by).sortWithinPartitions(by, day)
+    return rows.mapInArrow(run, f"{by} long, {day} date, anchor date")

@@ -86,3 +86,83 @@ def test_long_frames_are_blocks(spark):
 
     text = plan(mp.scores(spark, SF))
     assert "-249" not in text and "-199" not in text and "-9" in text
+
+
+@pytest.mark.parametrize("name", ["E92_combo_score", "E91_correlation_dedup", "E90_admission"])
+def test_cross_sections_are_dealt_by_rows(spark, monkeypatch, name):
+    """Before, the ranks of all dates were in as many partitions as Spark likes, whatever the number of rows."""
+    from barloom.plans import catalog
+
+    seen = []
+    made = type(spark.range(0))
+    monkeypatch.setattr(roles, "ROWS_A_PART", 300)
+    monkeypatch.setattr(made, "repartition", lambda self, n, *by, f=made.repartition: seen.append((n, by)) or f(self, n, *by))
+    got = catalog.QUERIES[name](spark, SF)
+    n = roles.parts(spark, SF)
+    assert (n, ("ticker",)) in seen and any(k == n and by in (("session",), ("metric", "month")) for k, by in seen)
+    assert got.count() > 0
+
+
+def test_only_what_is_asked_is_read(spark, monkeypatch):
+    """Before, peaks and runs also took the level, the volumes and all signs of a turn, most of a name's time."""
+    import pandas as pd
+
+    from barloom.operators import bounce as bo
+
+    g = roles.walk_bars(spark, "/root/testdata/sf0.01").where("ticker < 6").toPandas()
+    names = [x.sort_values("session").reset_index(drop=True) for _, x in g.groupby("ticker")]
+    whole = [bo.read_name(x) for x in names]
+    assert any("bounce" in x for x in whole)
+
+    def never(*_):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(bo, "level_and_volume", never)
+    turn = [bo.read_name(x, "turn") for x in names]
+    monkeypatch.setattr(bo, "turn_signs", never)
+    for only, found in (("peak", [bo.read_name(x, "peak") for x in names]), ("run", [bo.read_name(x, "run") for x in names]), ("turn", turn)):
+        for w, f in zip(whole, found, strict=True):
+            assert {"peak": "peak", "run": "run_x", "turn": "bounce"}[only] in f or "bounce" not in w
+            assert all(v == w[k] or (pd.isna(v) and pd.isna(w[k])) for k, v in f.items() if k != "tops")
+
+
+def test_beta_of_blocks(spark):
+    """Before, a frame of 120 rows took as many steps a row; a flat market has no spread, whatever rounding leaves."""
+    from barloom.operators import windows as w
+
+    rng, rows = np.random.default_rng(2), []
+    for t in range(3):
+        rows += [(t, dt.date(2020, 1, 1) + dt.timedelta(i), None if (t, i) == (1, 30) else float(x)) for i, x in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.1, 70))))]
+    df = spark.createDataFrame(rows, "ticker int, session date, close double")
+    found = w.with_market_beta(df, 12, 4)
+    assert "-11" not in plan(found)
+    p = df.toPandas()
+    p["r"] = p.groupby("ticker")["close"].transform(lambda c: c / c.shift() - 1)
+    p["m"] = p.groupby("session")["r"].transform("mean")
+    want = {}
+    for t, g in p.groupby("ticker"):
+        r, m = g["r"].tolist(), g["m"].tolist()
+        for i, day in enumerate(g["session"]):
+            a, b = np.array(r[max(i - 11, 0) : i + 1]), np.array(m[max(i - 11, 0) : i + 1])
+            both, there = ~np.isnan(a) & ~np.isnan(b), ~np.isnan(b)
+            want[t, day] = pytest.approx(np.clip(np.cov(a[both], b[both])[0, 1] / b[there].var(ddof=1), -3, 5)) if both.sum() >= 4 else None
+    assert {(x.ticker, x.session): x.beta for x in found.collect()} == want
+    flat = spark.createDataFrame([(t, dt.date(2020, 1, 1) + dt.timedelta(i), 1.1**i) for t in range(2) for i in range(40)], "ticker int, session date, close double").withColumn("close", F.lit(100.0))
+    assert w.with_market_beta(flat, 12, 4).where("beta is not null").count() == 0
+
+
+def test_anchors_across_batches(spark):
+    """Before, each company was a call of its own. Batches end inside companies here."""
+    from barloom.operators import accounting as ac
+
+    days = {1: [0, 10, 45, 46, 91, 92, 200], 2: [0], 3: [5, 50, 51, 60, 97]}
+    want = {1: [0, 0, 0, 46, 46, 92, 200], 2: [0], 3: [5, 5, 51, 51, 97]}
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = ac.anchored(spark.createDataFrame([(k, day(x)) for k, v in days.items() for x in v], "cik long, filed date"), "cik", "filed", 45)
+        assert "FlatMapGroups" not in plan(found)
+        got = {(x.cik, x.filed): x.anchor for x in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(k, day(x)): day(y) for k in days for x, y in zip(days[k], want[k], strict=True)}
