@@ -178,10 +178,21 @@ def with_rolling_quantile(df: DataFrame, value: str, n: int, q: float, name: str
 
 def with_market_beta(df: DataFrame, n: int = 120, least: int = 40, cap: float = 5.0) -> DataFrame:
     """Slope of a ticker's returns on the mean return of all, over n bars."""
-    ret = ratio(F.col("close"), F.lag("close").over(order())) - 1
-    out = df.withColumn("__r", ret)
-    out = out.withColumn("__m", F.avg("__r").over(Window.partitionBy("session")))
-    frame = rows(-(n - 1))
-    var = F.var_samp("__m").over(frame)
-    beta = ratio(F.covar_samp("__r", "__m").over(frame), var)
-    return out.withColumn("beta", F.when((F.count("__r").over(frame) >= least) & (var > 0), clip(beta, -3.0, cap))).drop("__r", "__m")
+    out = df.withColumn("__r", ratio(F.col("close"), F.lag("close").over(order())) - 1)
+    market = out.groupBy("session").agg(F.avg("__r").alias("__m"))  # a calendar: it grows with time alone
+    out = out.join(F.broadcast(market), "session", "left")
+    m, a, b = F.col("__m"), F.when(F.col("__m").isNotNull(), F.col("__r")), F.when(F.col("__r").isNotNull(), F.col("__m"))
+    sums = {"r": F.count("__r"), "n": F.count(a), "a": F.sum(a), "b": F.sum(b), "ab": F.sum(a * b), "k": F.count(m), "m": F.sum(m), "mm": F.sum(m * m)}
+    ends = {"low": (F.min(m), F.least), "high": (F.max(m), F.greatest)}
+    step = next(k for k in range(int(n**0.5), 0, -1) if n % k == 0)  # a frame of n rows takes n steps a row, one of blocks their number
+    frame = rows(-(step - 1))
+    out = out.withColumn("__s", F.struct(*[v.over(frame).alias(k) for k, v in sums.items()], *[v.over(frame).alias(k) for k, (v, _) in ends.items()]))
+    out = out.withColumn("__s", F.array("__s", *[F.lag("__s", k).over(order()) for k in range(step, n, step)]))
+    part = lambda k: [F.get("__s", F.lit(i))[k] for i in range(n // step)]
+    total = lambda k: sum((F.coalesce(x, F.lit(0)) for x in part(k)[1:]), F.coalesce(part(k)[0], F.lit(0)))
+    out = out.withColumn("__s", F.struct(*[total(k).alias(k) for k in sums], *[(v(*part(k)) if n > step else part(k)[0]).alias(k) for k, (_, v) in ends.items()]))
+    s = {k: F.col(f"__s.{k}") for k in [*sums, *ends]}
+    var = ratio(s["mm"] - ratio(s["m"] * s["m"], s["k"]), s["k"] - 1)
+    beta = ratio(ratio(s["ab"] - ratio(s["a"] * s["b"], s["n"]), s["n"] - 1), var)
+    moves = (s["low"] < s["high"]) & (var > 0)  # sums of equal values leave rounding where there is no spread
+    return out.withColumn("beta", F.when((s["r"] >= least) & moves, clip(beta, -3.0, cap))).drop("__r", "__m", "__s")
