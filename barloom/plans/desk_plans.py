@@ -107,22 +107,22 @@ def bounce_screen(spark, d):
 
 @query("F23_dominant_peak")
 def dominant_peak(spark, d):
-    return bo.read(walk_bars(spark, d)).where("peak is not null").select("ticker", "peak_session", r("peak", "peak"))
+    return bo.read(walk_bars(spark, d), only="peak").where("peak is not null").select("ticker", "peak_session", r("peak", "peak"))
 
 
 @query("F24_run_start")
 def run_start(spark, d):
-    return bo.read(walk_bars(spark, d)).where("run_x is not null").select("ticker", "base_session", r("run_x", "run_x"), r("run_z", "run_z"), "run_bars")
+    return bo.read(walk_bars(spark, d), only="run").where("run_x is not null").select("ticker", "base_session", r("run_x", "run_x"), r("run_z", "run_z"), "run_bars")
 
 
 @query("F25_base_zone")
 def base_zone(spark, d):
-    return bo.read(walk_bars(spark, d)).where("base_low is not null").select("ticker", r("base_low", "base_low"), r("base_mid", "base_mid"), r("base_high", "base_high"))
+    return bo.read(walk_bars(spark, d), only="run").where("base_low is not null").select("ticker", r("base_low", "base_low"), r("base_mid", "base_mid"), r("base_high", "base_high"))
 
 
 @query("F28_bounce_points")
 def bounce_points(spark, d):
-    return bo.read(walk_bars(spark, d)).where("bounce is not null").select("ticker", r("bounce", "bounce"), r("ext", "ext"))
+    return bo.read(walk_bars(spark, d), only="turn").where("bounce is not null").select("ticker", r("bounce", "bounce"), r("ext", "ext"))
 
 
 # ---- indicators
