@@ -11,7 +11,7 @@ from barloom.operators import asof
 from barloom.operators import upsert as up
 from barloom.operators import windows as w
 from barloom.plans.catalog import query, r
-from barloom.sources.roles import BARS, CALENDAR, FACTS, SECTORS, bars, calendar, facts, sectors, table
+from barloom.sources.roles import BARS, CALENDAR, FACTS, SECTORS, bars, calendar, dealt, facts, parts, sectors, table
 
 T = "PARTITION BY ticker ORDER BY session"
 C = F.col
@@ -338,7 +338,7 @@ def metrics(spark, d):
 @query("E92_combo_score", f"{RANKED}, p AS (SELECT ticker, session, 100 * {pct('mom')} AS a, 100 - 100 * {pct('calm')} AS b, 100 * {pct('size')} AS c FROM m), t AS (SELECT *, (CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE (coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) END) AS theme FROM p) SELECT ticker, session, round((theme * 2.5 + c * 4.0) / 6.5, 5) AS score, round(((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT) / 3.0, 5) AS coverage FROM t WHERE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2")
 def combo_score(spark, d):
     """Percentile ranks, turned by their sign, averaged by theme, themes weighted by their evidence; half the metrics at least."""
-    m = metrics(spark, d)
+    m = dealt(metrics(spark, d), parts(spark, d), "session")
     ranks = m.select("ticker", "session", (100 * rank_pct("mom", "session")).alias("a"), (100 - 100 * rank_pct("calm", "session")).alias("b"), (100 * rank_pct("size", "session")).alias("c"))
     held = lambda *cs: sum((C(x).isNotNull().cast("int") for x in cs[1:]), C(cs[0]).isNotNull().cast("int"))
     mean = lambda *cs: ratio(sum((F.coalesce(C(x), F.lit(0.0)) for x in cs[1:]), F.coalesce(C(cs[0]), F.lit(0.0))), held(*cs))

@@ -15,7 +15,7 @@ from barloom.plans.catalog import query, r
 from barloom.plans.company_plans import STATEMENT, pair, statement
 from barloom.plans.cross_plans import X, avg_rank, scored
 from barloom.plans.event_plans import TRADES, trades
-from barloom.sources.roles import BARS, CALENDAR, SECTORS, bars, calendar, sectors, table
+from barloom.sources.roles import BARS, CALENDAR, SECTORS, bars, calendar, dealt, parts, sectors, table
 
 T = "PARTITION BY ticker ORDER BY session"
 
@@ -184,6 +184,7 @@ def dedup_sql() -> str:
 @query("E91_correlation_dedup", dedup_sql())
 def correlation_dedup(spark, d):
     metrics = scored(spark, d).where("mom is not null").select("ticker", "session", "mom", "volume", "traded", (F.col("traded") * 2 + F.col("volume")).alias("traded2"))
+    metrics = dealt(metrics, parts(spark, d), "session")
     return themes.drop_correlated(metrics, CORRELATED, "session", 0.9)
 
 

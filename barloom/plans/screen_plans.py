@@ -11,7 +11,7 @@ from barloom.operators import windows as w
 from barloom.plans.catalog import query, r
 from barloom.plans.cross_plans import X, avg_rank, scored
 from barloom.plans.event_plans import TRADES, trades
-from barloom.sources.roles import BARS, CALENDAR, SECTORS, bars, calendar, sectors, table
+from barloom.sources.roles import BARS, CALENDAR, SECTORS, bars, calendar, dealt, parts, sectors, table
 
 T = "PARTITION BY ticker ORDER BY session"
 KEY = ["ticker", "session"]
@@ -136,6 +136,7 @@ def admission(spark, d):
     from barloom.operators.crosssection import spearman_by
 
     tidy = scored(spark, d).unpivot(["ticker", "month", "fwd5"], ["mom", "volume"], "metric", "value")
+    tidy = dealt(tidy, parts(spark, d), "metric", "month")
     return spearman_by(tidy, ["metric", "month"], "value", "fwd5").groupBy("metric").agg(((F.count("ic") >= 20) & (F.abs(t_stat("ic")) >= 2)).alias("admitted"))
 
 
