@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ranks import t_stat
 from barloom.operators.draws import PRIME, mixed
-from barloom.operators.levels import _history, level_rows, visit_spans
+from barloom.operators.levels import Readings, _history, level_rows, visit_spans
 
 SCORED = "session date, arm string, ticker long, level double, reached boolean, failed boolean, hit boolean"
 #: A touch is a low up to this share over the level; a level fails a tenth below it and holds by 15 % above.
@@ -47,19 +47,26 @@ def placebos(ticker: int, bar: int, price: float, real: np.ndarray, tries: int =
 
 def scored(bars: DataFrame, lengths: tuple[int, ...] = (60, 120, 250), step: int = 20, mature: int = 300, reach: int = 40, hold: int = 20) -> DataFrame:
     """SCORED rows of every step-th bar of each name with `mature` bars before it: the levels of its full history (arm
-    full), of its last n bars (arm n), and placebo levels. One grouped map a name reads its history once; each reading
-    sees bars up to its own date alone, and only the outcome looks ahead."""
+    full), of its last n bars (arm n), and placebo levels. One grouped map a name reads its history once, and what readings
+    have in common is worked out once (levels.Readings); each sees bars up to its own date alone, and only the outcome
+    looks ahead."""
     kinds = {"session": "object", "arm": "object", "ticker": "int64", "level": "float64", "reached": "object", "failed": "object", "hit": "object"}
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("session").reset_index(drop=True)
-        low, close, ticker = g["low"].to_numpy(float), g["close"].to_numpy(float), int(g["ticker"].iloc[0])
-        rows = []
-        for at in range(mature - 1, len(g) - 1, step):
-            past = g.iloc[: at + 1]
-            full = zone_levels(past)
-            arms = {"full": full} | {str(n): zone_levels(past.iloc[-n:].reset_index(drop=True)) for n in lengths} | {"placebo": placebos(ticker, at, close[at], full)}
-            rows += [(g["session"][at], arm, ticker, float(x), *outcome(low, close, at, x, reach, hold)) for arm, levels in arms.items() for x in levels]
+        high, low, close, ticker = g["high"].to_numpy(float), g["low"].to_numpy(float), g["close"].to_numpy(float), int(g["ticker"].iloc[0])
+        ends = [at + 1 for at in range(mature - 1, len(g) - 1, step)]
+        readings, session, rows = Readings(high, low, close), g["session"].to_numpy(), []
+        for n in lengths if ends else ():
+            readings.prepare(n, ends)
+
+        def visited(begin: int, end: int, least: int = 2) -> np.ndarray:
+            return np.array([x for x in readings.under(begin, end, FARTHEST) if len(visit_spans(low[begin:end], close[begin:end], x)) >= least], float)
+
+        for end in ends:
+            full, at = visited(0, end), end - 1
+            arms = {"full": full} | {str(n): visited(max(0, end - n), end) for n in lengths} | {"placebo": placebos(ticker, at, close[at], full)}
+            rows += [(session[at], arm, ticker, float(x), *outcome(low, close, at, x, reach, hold)) for arm, levels in arms.items() for x in levels]
         return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
 
     return _history(bars).groupBy("ticker").applyInPandas(run, SCORED)
