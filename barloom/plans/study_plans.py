@@ -293,11 +293,13 @@ done AS (SELECT j.ticker, j.session, CASE WHEN h.i IS NULL THEN j.close WHEN j.l
 SELECT q.ticker, q.session, CAST(place AS INT) AS place, round(ret, 6) AS ret, CAST(held AS BIGINT) AS held FROM q JOIN done ON done.ticker = q.ticker AND done.session = q.session WHERE place <= 5 AND q.session >= DATE '{LEDGER_END}'""")
 def shortlist_trades(spark, d):
     """Listed names that the ledger has not closed yet, each traded by the bracket rule from its next open."""
-    wanted = listed(spark, d).where("place <= 5").select("ticker", "session", "place")
+    wanted = F.broadcast(stored(listed(spark, d).where("place <= 5").select("ticker", "session", "place")))  # five names a grid date
     closed = wanted.where(C("session") < F.lit(LEDGER_END)).select("ticker", "session")  # what the ledger holds
-    open_rows = wanted.join(closed, ["ticker", "session"], "left_anti")
-    paths = bt.with_paths(bars(spark, d)).join(open_rows.select("ticker", "session"), ["ticker", "session"], "left_semi")
-    return bt.exits(paths, ["bracket_1x2"]).join(open_rows, ["ticker", "session"]).select("ticker", "session", "place", r("ret", "ret"), "held")
+    open_rows = wanted.join(F.broadcast(closed), ["ticker", "session"], "left_anti")
+    # Lines of other names are not dealt, and paths, twenty times as wide as bars, go through no exchange.
+    held = bars(spark, d).join(F.broadcast(open_rows.select("ticker").distinct()), "ticker", "left_semi")
+    paths = bt.with_paths(held).join(F.broadcast(open_rows), ["ticker", "session"])
+    return bt.exits(paths, ["bracket_1x2"], ("ticker", "session", "place")).select("ticker", "session", "place", r("ret", "ret"), "held")
 
 
 @query("C12_good_levels", f"""WITH {BARS}, {WALK}, x AS (SELECT ticker, session, close / min(low) OVER (f ROWS 19 PRECEDING) - 1 AS dist, close / max(high) OVER (f ROWS 19 PRECEDING) AS pct_hi, round(close / lag(close, 20) OVER f - 1, 9) AS v, volume FROM walk WINDOW f AS (PARTITION BY ticker ORDER BY session)),
