@@ -64,7 +64,7 @@ def rank_share(spark, d):
 SELECT ticker, session, CASE WHEN traded > b THEN 'large' WHEN traded <= a THEN 'small' ELSE 'mid' END AS size FROM q WHERE n >= 10""")
 def size_terciles(spark, d):
     x = scored(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("session"))).where("n >= 10")
-    return cs.with_thirds(x, "traded", ["session"]).select("ticker", "session", F.element_at(F.array(F.lit("small"), F.lit("mid"), F.lit("large")), F.col("third")).alias("size"))
+    return cs.with_thirds(x, "traded", ["session"]).select("ticker", "session", F.element_at(F.array(F.lit("small"), F.lit("mid"), F.lit("large")), F.coalesce("third", F.lit(2))).alias("size"))  # without a price: mid
 
 
 @query("E26_thirds_spread", f"""WITH {X}, q AS (SELECT *, quantile_cont(mom, 1.0 / 3) OVER (PARTITION BY session) AS a, quantile_cont(mom, 2.0 / 3) OVER (PARTITION BY session) AS b FROM m WHERE mom IS NOT NULL AND fwd5 IS NOT NULL)
