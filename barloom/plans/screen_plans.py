@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.ranks import rank_pct, ratio, tier
 from barloom.operators import asof
 from barloom.operators import windows as w
-from barloom.plans.catalog import query, r
+from barloom.plans.catalog import NUDGE, query, r
 from barloom.plans.cross_plans import X, avg_rank, scored
 from barloom.plans.event_plans import TRADES, trades
 from barloom.sources.roles import BARS, CALENDAR, SECTORS, bars, calendar, dealt, parts, sectors, table
@@ -143,7 +143,8 @@ def admission(spark, d):
 @query("E93_strategy_rank", f"WITH {X}, k AS (SELECT ticker, session, mom, fwd5, traded FROM m), p AS (SELECT ticker, session, {avg_rank('mom', 'session')} / count(*) OVER (PARTITION BY session) AS a, {avg_rank('-traded', 'session')} / count(*) OVER (PARTITION BY session) AS b FROM k WHERE mom IS NOT NULL) SELECT ticker, session, CAST(rank() OVER (PARTITION BY session ORDER BY round(0.6 * a + 0.4 * b, 9) DESC) AS BIGINT) AS place FROM p")
 def strategy_rank(spark, d):
     p = scored(spark, d).where("mom is not null").withColumn("a", rank_pct("mom", "session")).withColumn("b", rank_pct(-F.col("traded"), "session"))
-    score = F.round(0.6 * F.col("a") + 0.4 * F.col("b"), 9)
+    # Rounded as DuckDB does, by the product: decimal digits of a double, which F.round takes, fall otherwise at halves.
+    score = F.floor((0.6 * F.col("a") + 0.4 * F.col("b") + NUDGE) * 1e9 + 0.5)
     return p.withColumn("s", score).select(*KEY, F.rank().over(Window.partitionBy("session").orderBy(F.desc("s"))).cast("long").alias("place"))
 
 
