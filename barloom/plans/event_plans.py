@@ -182,5 +182,6 @@ def news_windows(spark, d):
     e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
     e = e.join(F.broadcast(e.agg(F.max("day").alias("m"))), how="cross")  # one row
     near = F.datediff("m", "day") < 5
-    best = F.when(F.col("value").isNotNull(), F.struct("value", -F.col("event_id")))  # of equal values the first event's
+    there = F.col("value").isNotNull() & F.col("event_id").isNotNull()
+    best = F.when(there, F.struct("value", F.bitwise_not("event_id")))  # of equal values the first event's
     return e.groupBy("user_id").agg(F.count_if(near).alias("n5"), F.count("*").alias("n30"), r(F.avg(F.when(near, F.col("value"))), "mean5"), r(F.avg("value"), "mean30"), F.max("day").alias("newest"), F.max_by("event_id", best).alias("top"))
