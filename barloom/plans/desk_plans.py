@@ -356,8 +356,10 @@ def good_level(spark, d):
 
 @query("E85_profile_percentile", f"WITH {BARS}, k AS (SELECT ticker, close, arg_max(close, session) OVER (PARTITION BY ticker) AS last FROM bars) SELECT ticker, count(*) AS n, round(100.0 * sum(CAST(close < last AS INT)) / count(*), 6) AS pct FROM k GROUP BY 1 HAVING count(*) >= 8")
 def profile_percentile(spark, d):
-    b = bars(spark, d).withColumn("last", F.max_by("close", "session").over(Window.partitionBy("ticker")))  # of the same bars, to the last bit
-    return b.groupBy("ticker").agg(F.count("*").alias("n"), r(ratio(100.0 * F.count_if(C("close") < C("last")), F.count("*")), "pct")).where("n >= 8")
+    newest = F.max_by("close", F.when(C("close").isNotNull(), C("session")))  # a day without a price is not the last
+    b = bars(spark, d).withColumn("last", newest.over(Window.partitionBy("ticker")))  # of the same bars, to the last bit
+    below = F.sum((C("close") < C("last")).cast("int"))  # null where no bar has a price
+    return b.groupBy("ticker").agg(F.count("*").alias("n"), r(ratio(100.0 * below, F.count("*")), "pct")).where("n >= 8")
 
 
 @query("G7_universe_rows", f"WITH {BARS}, {STATS}, {SECTORS} SELECT s.ticker, sector, CASE WHEN st.ticker IS NULL THEN 'no bars' WHEN n < 500 THEN 'short history' WHEN c / hi < 0.3 THEN 'far from high' ELSE 'screened' END AS stage FROM sectors s LEFT JOIN st ON st.ticker = s.ticker")
